@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import quality, simhash
 
 
 def queries():
     return {
         "op5_simhash_dedup": simhash.query,
+        "op9_quality_rules": quality.query,
     }
 
 
