@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import quality, sharding, simhash
 
 
 def queries():
     return {
         "op5_simhash_dedup": simhash.query,
         "op9_quality_rules": quality.query,
+        "op10_sharding": sharding.query,
     }
 
 
