@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, simhash
+from . import mixing, packing, quality, sharding, simhash
 
 
 def queries():
     return {
+        "op2_mixing": mixing.query,
         "op5_simhash_dedup": simhash.query,
+        "op7_packing": packing.query,
         "op9_quality_rules": quality.query,
         "op10_sharding": sharding.query,
     }
