@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, sharding, simhash
+from . import chat, mixing, packing, quality, sharding, simhash, tokens
 
 
 def queries():
     return {
         "op2_mixing": mixing.query,
+        "op3_token_counts": tokens.query,
         "op5_simhash_dedup": simhash.query,
         "op7_packing": packing.query,
+        "op8_chat_formatting": chat.query,
         "op9_quality_rules": quality.query,
         "op10_sharding": sharding.query,
     }
