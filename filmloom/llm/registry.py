@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality, sharding, simhash, tokens
+from . import chat, licenses, mixing, packing, quality, sharding, simhash, tokens
 
 
 def queries():
     return {
         "op2_mixing": mixing.query,
         "op3_token_counts": tokens.query,
+        "op4_license_scan": licenses.query,
         "op5_simhash_dedup": simhash.query,
         "op7_packing": packing.query,
         "op8_chat_formatting": chat.query,
