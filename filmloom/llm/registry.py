@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing, packing, quality, sharding, simhash, tokens
+from . import chat, hamming, licenses, mixing, packing, quality, sharding, simhash, tokens
 
 
 def queries():
     return {
+        "op1_top_k_search": hamming.query,
         "op2_mixing": mixing.query,
         "op3_token_counts": tokens.query,
         "op4_license_scan": licenses.query,
@@ -19,4 +20,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_top_k_search": hamming.ORACLE}
