@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, hamming, licenses, mixing, packing, quality, sharding, simhash, tokens
+from . import chat, hamming, licenses, mixing, packing, quality, sharding, simhash, suffixes, tokens
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_token_counts": tokens.query,
         "op4_license_scan": licenses.query,
         "op5_simhash_dedup": simhash.query,
+        "op6_suffix_array_dedup": suffixes.query,
         "op7_packing": packing.query,
         "op8_chat_formatting": chat.query,
         "op9_quality_rules": quality.query,
