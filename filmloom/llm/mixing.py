@@ -184,6 +184,7 @@ def repeat_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     p = plan(docs, mix).select(
         F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "n", "whole", "extra"
     )
+    p = common.with_size_checked_broadcast(common.cut(p, "mix-plan"), 80)
     same = keyed["doc_id"].eqNullSafe(p["_d"]) & keyed["source"].eqNullSafe(p["_s"]) & (keyed["_size"] == p["_z"])
     joined = keyed.join(p, same)
     alone = joined.where("n = 1").withColumn("_k", F.lit(1))

@@ -165,8 +165,8 @@ def estimate(points: DataFrame, p: int, rules: Rules) -> DataFrame:
     return now
 
 
-def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``docs`` (doc_id, lang, source, text; anything else is left out) with BASE, base_failed and kept.
+def judged(docs: DataFrame, rules: Rules = Rules(), others: tuple[str, ...] = ()) -> DataFrame:
+    """Every row's doc_id, BASE, base_failed, kept and distance, and its columns ``others``.
 
     Null lang or source is a group of its own; a null text has no words and so
     fails the base rules. Repeated rows are judged alike, each on its own. An
@@ -177,6 +177,7 @@ def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         F.col("doc_id"),
         F.concat_ws("", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("n")), F.lit("\x00"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).alias("g"),
         "text",
+        *others,
     )
     failed = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
@@ -199,8 +200,19 @@ def judged(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "base_failed",
         (~F.col("base_failed") & F.coalesce(near, F.lit(True))).alias("kept"),
         _distance(p).alias("distance"),
+        *others,
     )
 
 
+def passing(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    key = F.struct("doc_id", "lang", "source", "text")
+    keyed = docs.withColumns({"_k1": F.xxhash64(key), "_k2": F.xxhash64(F.lit(1), key)})
+    verdict = judged(keyed, rules, ("_k1", "_k2"))
+    rejected = common.cut(verdict.where(~F.col("kept")).select("_k1", "_k2").distinct(), "rejected")
+    rejected = common.with_size_checked_broadcast(rejected, 32)
+    return keyed.join(rejected, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+
+
 def query(spark, sf_dir) -> DataFrame:
     return judged(common.table(spark, sf_dir, "documents")).drop("distance")

@@ -45,16 +45,18 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. Null text: no words."""
+def fingerprints(docs: DataFrame, shingle: int = 3, others: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and ``others``, long columns: fp is the fingerprint as a signed long. Null text: no words."""
+    names = ["doc_id", *others, "fp"]
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(t, shingle) for t in batch.column(0).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found.view(np.int64))], names)
 
     common.small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    chosen = docs.select(F.col("text").cast("string").alias("text"), *[F.col(c).cast("long").alias(c) for c in names[:-1]])
+    return chosen.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _variants(classes: DataFrame) -> DataFrame:
@@ -155,22 +157,48 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return common.cut(dealt.mapInArrow(run, "a long, b long").distinct(), "simhash-links")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id reachable over links.
+def near_duplicates(
+    docs: DataFrame, shingle: int = 3, distance: int = DISTANCE, others: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, fp, component_id) and ``others``, long columns; component_id: the smallest doc_id reachable over links.
 
     Null or blank texts have fingerprint 0 and link like any other; rows with
     a null doc_id get their class's smallest id (null if it has none). Equal
     fingerprints are one class throughout; repeated rows stay repeated. Other
     columns are ignored. An empty table gives an empty result.
     """
-    prints = common.cut(fingerprints(docs, shingle), "simhash")
+    prints = common.cut(fingerprints(docs, shingle, others), "simhash")
     grouped = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     classes = common.cut(grouped.where("rep is not null"), "simhash-classes")
     edges = links(classes, distance)
     labels = common.components(edges, "simhash-components")
     small = classes.join(labels, classes["rep"] == labels["node"], "left")
     ids = small.select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(ids, prints["fp"] == ids["_fp"], "left").select("doc_id", "fp", "component_id")
+    return prints.join(ids, prints["fp"] == ids["_fp"], "left").select("doc_id", *others, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id."""
+    key = F.struct("doc_id", "text")
+    keyed = docs.withColumns({"_k1": F.xxhash64(key), "_k2": F.xxhash64(F.lit(1), key)})
+    found = common.cut(near_duplicates(keyed, shingle, distance, ("_k1", "_k2")), "near-duplicates")
+    # a group without any doc_id is known by its fingerprint
+    rows = found.select(
+        F.when(F.col("component_id").isNull(), F.xxhash64("fp")).otherwise(F.col("component_id")).alias("g"),
+        F.col("component_id").isNull().alias("none"),
+        F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_k1", "_k2").alias("row"),
+    )
+    first = rows.groupBy("g", "none").agg(F.min("row").alias("first"))
+    marked = rows.groupBy("g", "none", "row").agg(F.count("*").alias("n")).join(first, ["g", "none"])
+    marked = common.cut(marked.select("row._k1", "row._k2", "n", (F.col("row") == F.col("first")).alias("stays")), "marked")
+    stays, gone = marked.where("stays"), marked.where("not stays").select("_k1", "_k2")
+    out = keyed.join(common.with_size_checked_broadcast(gone, 32), ["_k1", "_k2"], "left_anti")
+    again = stays.where("n > 1").select("_k1", "_k2")
+    if again.head(1):  # the same row several times
+        again = common.with_size_checked_broadcast(again, 32)
+        several = out.join(again, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+        out = out.join(again, ["_k1", "_k2"], "left_anti").unionByName(several)
+    return out.select(*docs.columns)
 
 
 def query(spark, sf_dir) -> DataFrame:

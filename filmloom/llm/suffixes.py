@@ -399,9 +399,9 @@ def _open_strings(texts: DataFrame, found: DataFrame, r: Repeats) -> DataFrame:
     return rows.repartition("sym", "sub").sortWithinPartitions("sym", "sub").mapInArrow(run, done)
 
 
-def _hashed(docs: DataFrame, length: int, seed: int) -> DataFrame:
+def _hashed(docs: DataFrame, seed: int, *others: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id"), text.alias("text"), F.xxhash64(F.lit(seed), text).alias("h"))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(F.lit(seed), text).alias("h"), *others)
 
 
 def repeated(docs: DataFrame, r: Repeats = Repeats()) -> tuple[int, DataFrame, DataFrame]:
@@ -414,7 +414,7 @@ def repeated(docs: DataFrame, r: Repeats = Repeats()) -> tuple[int, DataFrame, D
     spark, seed = docs.sparkSession, 0
     long_enough = docs.where(F.octet_length("text") >= r.length)
     while True:
-        hashed = _hashed(long_enough, r.length, seed)
+        hashed = _hashed(long_enough, seed)
         other = F.xxhash64(F.lit(seed + 1_000_003), "text")
         groups = hashed.groupBy("h").agg(
             F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.min(other).alias("o0"), F.max(other).alias("o1")
@@ -428,7 +428,7 @@ def repeated(docs: DataFrame, r: Repeats = Repeats()) -> tuple[int, DataFrame, D
     texts = hashed.join(small, "h", "left").where(
         F.col("rep").isNull() | F.col("doc_id").eqNullSafe(F.col("rep"))
     ).select("h", "text")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    common.small_batches(spark, 1000)
     strings = common.cut(symbol_strings(symbol_rows(texts, r)), "symbol-strings")
     ranks = common.cut(sampled_ranks(strings), "sampled-ranks")
     compared = merged(strings, ranks).union(ranks.select("h", "i", "lcp"))
@@ -449,23 +449,40 @@ def repeated(docs: DataFrame, r: Repeats = Repeats()) -> tuple[int, DataFrame, D
     return seed, copies, common.cut(spans, "stretches")
 
 
-def cleaned(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; kept: the bytes that stay.
+def cleaned(docs: DataFrame, r: Repeats = Repeats(), others: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of every row, and the columns ``others`` as they are.
 
     Null texts are empty; texts shorter than ``length`` stay as they are;
-    repeated rows are copies and lose all their bytes. An empty table gives an
-    empty result.
+    repeated rows are copies and lose all their bytes. kept_sha256 is of the
+    bytes that stay; kept_text leaves out characters that a cut divides. An
+    empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seed, copies, spans = repeated(docs, r)
+    carried = [f"_o{k}" for k in range(len(others))]
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        *[F.col(c).alias(o) for c, o in zip(others, carried)],
+    )
+    seed, copies, spans = repeated(docs.select("doc_id", "text"), r)
     small = common.with_size_checked_broadcast(copies.select("h", F.lit(True).alias("copy")), 32)
     listed = common.with_size_checked_broadcast(spans, 400)
-    rows = _hashed(docs, r.length, seed).join(small, "h", "left").join(listed, "h", "left")
+    rows = _hashed(docs, seed, *carried).join(small, "h", "left").join(listed, "h", "left")
     long_enough = F.octet_length("text") >= r.length
     rows = rows.select(
-        "doc_id", "text", (F.coalesce("copy", F.lit(False)) & long_enough).alias("copy"), F.when(long_enough, F.col("spans")).alias("spans")
+        "doc_id",
+        "text",
+        (F.coalesce("copy", F.lit(False)) & long_enough).alias("copy"),
+        F.when(long_enough, F.col("spans")).alias("spans"),
+        *carried,
     )
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    types = [pa.int64()] * 4 + [pa.string(), pa.string()]
+    schema = rows.select(
+        "doc_id",
+        *[F.lit(0).cast("long").alias(n) for n in names[1:4]],
+        *[F.lit("").alias(n) for n in names[4:]],
+        *carried,
+    ).schema
 
     def run(batches):
         for batch in batches:
@@ -473,7 +490,7 @@ def cleaned(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
             for doc_id, text, copy, spans in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 b = text.encode()
                 cuts = [[0, len(b)]] if copy else []
-                for x in spans or []:
+                for x in [] if copy else spans or []:
                     low, high = x["low"], x["high"] + r.length
                     if cuts and low <= cuts[-1][1]:
                         cuts[-1][1] = max(cuts[-1][1], high)
@@ -481,13 +498,22 @@ def cleaned(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
                         cuts.append([low, high])
                 edges = [0, *(y for c in cuts for y in c), len(b)]
                 kept = b"".join(b[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
-                out.append((doc_id, len(b), len(b) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept))
-            types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+                stays = kept.decode("utf-8", "ignore") if cuts else text
+                out.append((doc_id, len(b), len(b) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), stays))
             if out:
-                yield _batch(schema, [pa.array(c, t) for c, t in zip(zip(*out), types)])
+                made = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+                yield pa.RecordBatch.from_arrays([*made, *batch.columns[4:]], [*names, *carried])
+
+    done = rows.mapInArrow(run, schema)
+    return done.select(*names, *[F.col(o).alias(c) for o, c in zip(carried, others)])
+
 
-    return rows.mapInArrow(run, schema)
+def strip_repeats(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
+    """``docs`` with repeated passages cut out of the texts, and n_chars (if there) to match. A null text becomes empty."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    done = cleaned(docs, r, others).withColumn("n_chars", F.length("kept_text").cast("long"))
+    return done.withColumn("text", F.col("kept_text")).select(*docs.columns)
 
 
 def query(spark, sf_dir) -> DataFrame:
-    return cleaned(common.table(spark, sf_dir, "documents")).drop("kept")
+    return cleaned(common.table(spark, sf_dir, "documents")).drop("kept_text")
