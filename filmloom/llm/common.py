@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: Java regex: what separates words, and the characters alone.
 GAPS = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
-#: A side is broadcast below this many bytes, by count times row width; else shuffled.
-BROADCAST_BYTES = 32 << 20
+#: A side is broadcast up to this many bytes, counted before; else shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,15 @@ def drop(*frames: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def with_size_checked_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Mark ``df`` for broadcast if its counted size is small; else leave the join to a shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def with_size_checked_broadcast(df: DataFrame, row_bytes: int, array: str | None = None, item_bytes: int = 0) -> DataFrame:
+    """Mark ``df`` for broadcast if its counted size is small; else leave the join to a shuffle.
+
+    The size is ``row_bytes`` a row and ``item_bytes`` for each item of the column ``array``.
+    """
+    size = F.count("*") * row_bytes
+    if array:
+        size = size + F.coalesce(F.sum(F.size(array)), F.lit(0)) * item_bytes
+    return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_BYTES else df
 
 
 def words_of(text: Column) -> Column:

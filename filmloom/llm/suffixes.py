@@ -336,7 +336,7 @@ def _open_strings(texts: DataFrame, found: DataFrame, r: Repeats) -> DataFrame:
     lists = asked.select("at.*", "sym", "ctx", (F.col("many") > CROWDED).alias("hot")).groupBy("h").agg(
         F.collect_list(F.struct("place", "sym", "ctx", "hot")).alias("asked")
     )
-    lists = common.with_size_checked_broadcast(common.cut(lists, "passage-ends"), 400)
+    lists = common.with_size_checked_broadcast(common.cut(lists, "passage-ends"), 48, "asked", 56)
     schema = "sym long, sub long, ctx long, low long, bytes binary"
 
     def strings(batches):
@@ -445,7 +445,12 @@ def repeated(docs: DataFrame, r: Repeats = Repeats()) -> tuple[int, DataFrame, D
     )
     part = marks.join(ends, ["sym", "ctx"]).select("h", (place + F.col("low")).alias("low"), (place + F.col("high")).alias("high"))
     bulk = found.where("kind = 0").select("h", F.col("sym").alias("low"), F.col("ctx").alias("high"))
-    spans = bulk.union(whole).union(part).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
+    before = Window.partitionBy("h").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    rows = bulk.union(whole).union(part).withColumn("_reach", F.max("high").over(before))
+    new = F.coalesce(F.col("low") > F.col("_reach") + 1, F.lit(True)).cast("int")
+    upto = Window.partitionBy("h").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.withColumn("_k", F.sum(new).over(upto)).groupBy("h", "_k").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    spans = joined.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
     return seed, copies, common.cut(spans, "stretches")
 
 
@@ -465,7 +470,7 @@ def cleaned(docs: DataFrame, r: Repeats = Repeats(), others: tuple[str, ...] = (
     )
     seed, copies, spans = repeated(docs.select("doc_id", "text"), r)
     small = common.with_size_checked_broadcast(copies.select("h", F.lit(True).alias("copy")), 32)
-    listed = common.with_size_checked_broadcast(spans, 400)
+    listed = common.with_size_checked_broadcast(spans, 48, "spans", 40)
     rows = _hashed(docs, seed, *carried).join(small, "h", "left").join(listed, "h", "left")
     long_enough = F.octet_length("text") >= r.length
     rows = rows.select(
