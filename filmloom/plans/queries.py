@@ -493,13 +493,12 @@ def text_band_groups(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {PARTS}, j AS (SELECT *, area >= 0.5 * quantile_cont(area, 0.5) OVER w AS big FROM parts WINDOW w AS (PARTITION BY clip_id, frame_idx)),
-m AS (SELECT *, CASE WHEN big THEN score END AS vote, quantile_cont(CASE WHEN big THEN score END, 0.5) OVER w AS mid, count(CASE WHEN big THEN score END) OVER w AS votes FROM j WINDOW w AS (PARTITION BY clip_id, frame_idx)),
-f AS (SELECT *, round(abs(vote - mid), 9) AS far FROM m), b AS (SELECT *, greatest(0.1, 3 * quantile_cont(far, 0.5) OVER (PARTITION BY clip_id, frame_idx)) AS bar FROM f),
-o AS (SELECT *, far <= bar + 1e-9 AS ok, avg((far <= bar + 1e-9)::INT::DOUBLE) OVER (PARTITION BY clip_id, frame_idx) AS share FROM b)
+m AS (SELECT *, CASE WHEN big THEN bh END AS vote, quantile_cont(CASE WHEN big THEN bh END, 0.5) OVER w AS mid, count(CASE WHEN big THEN bh END) OVER w AS votes FROM j WINDOW w AS (PARTITION BY clip_id, frame_idx)),
+f AS (SELECT *, abs(vote - mid) AS far FROM m), b AS (SELECT *, greatest(2.0, 3 * quantile_cont(far, 0.5) OVER (PARTITION BY clip_id, frame_idx)) AS bar FROM f),
+o AS (SELECT *, far <= bar AS ok, avg((far <= bar)::INT::DOUBLE) OVER (PARTITION BY clip_id, frame_idx) AS share FROM b)
 SELECT clip_id, frame_idx, label FROM o WHERE votes < 3 OR share < 0.6 OR far IS NULL OR ok""")
 def agreement_veto(spark, d) -> DataFrame:
-    parts = _parts(spark, d).withColumn("score", F.round("score", 6))
-    return gates.agreeing(parts, ["clip_id", "frame_idx"], "score", 0.1 + 1e-9, 0.6).select("clip_id", "frame_idx", "label")
+    return gates.agreeing(_parts(spark, d), ["clip_id", "frame_idx"], "bh", 2.0, 0.6).select("clip_id", "frame_idx", "label")
 
 
 @query(f"""WITH {V.DETECTIONS}, t AS (SELECT clip_id, frame_idx, det_id, CASE WHEN det_id % 4 = 0 THEN NULL ELSE (x0 + y0 * 3 + x1) % 41 - 20 END AS tilt FROM detections),
