@@ -593,3 +593,31 @@ def relative_boxes(spark, d) -> DataFrame:
 
     det = V.detections(spark, d).select("clip_id", "frame_idx", "det_id", "score", *[(F.col(c) / float(n)).alias(c) for c, n in (("x0", 640), ("y0", 360), ("x1", 640), ("y1", 360))])
     return detectors.from_relative(det, 640, 360, 0.3).select("clip_id", "frame_idx", "det_id", "x0", "y0", "x1", "y1")
+
+
+def _film(spark, clips: int = 2, frames: int = 24):
+    from ..config import build
+    from ..sources import frames as source
+
+    rgb, depth, dets = source.synthetic(spark, clips, frames)
+    return rgb, depth, dets, build("both", **{"filters.min_text_height": 0.05})
+
+
+@query(None)
+def mask_frames(spark, d) -> DataFrame:
+    """Masks of synthetic clips: covered pixels and level by frame."""
+    from ..operators import masks
+
+    rgb, _, dets, config = _film(spark)
+    m = masks.run(rgb, dets, config, 160, 90)
+    return m.select("clip_id", "frame_idx", "height", "width", F.sha2("mask", 256).alias("mask_sha"))
+
+
+@query(None)
+def repair_depth(spark, d) -> DataFrame:
+    """Repaired depth of synthetic clips."""
+    from ..operators import masks
+
+    rgb, depth, dets, config = _film(spark)
+    fixed = masks.repaired(depth, masks.run(rgb, dets, config, 160, 90), config)
+    return fixed.select("clip_id", "frame_idx", "name", F.sha2("data", 256).alias("data_sha"))
