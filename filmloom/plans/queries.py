@@ -621,3 +621,68 @@ def repair_depth(spark, d) -> DataFrame:
     rgb, depth, dets, config = _film(spark)
     fixed = masks.repaired(depth, masks.run(rgb, dets, config, 160, 90), config)
     return fixed.select("clip_id", "frame_idx", "name", F.sha2("data", 256).alias("data_sha"))
+
+
+def _events(spark, d, last: bool = False) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    e = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    return e.select(F.col("user_id").alias("clip_id"), F.col("event_id").alias("frame_idx"), (F.col("value") / 1e6).alias("coverage"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("dets"),
+        F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")).alias("ts"),
+    )
+
+
+STREAM_SQL = VERDICT_SQL.replace("row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx", "event_id AS frame_idx").replace("frame_idx // 45 AS window_id", "0 AS window_id")
+
+
+@query(f"""WITH {STREAM_SQL} SELECT clip_id, count(*) AS frames_scanned, CAST(max(text_frames) AS BIGINT) AS text_frames, CAST(max(longest_run) AS BIGINT) AS longest_run,
+  greatest(max(coverage), 0.0) AS peak_coverage, bool_or(flagged) AS flagged FROM stop WHERE stop IS NULL OR frame_idx <= stop GROUP BY 1""")
+def stream_verdicts(spark, d) -> DataFrame:
+    from ..streaming import verdicts as S
+
+    rows = S.drained(spark, S.stream_verdicts(_events(spark, d).drop("ts")), "update")
+    last = F.max_by(F.struct(*[c for c in rows.columns if c != "clip_id"]), "frames_scanned")
+    return rows.groupBy("clip_id").agg(last.alias("v")).select("clip_id", "v.*")
+
+
+@query("""WITH f AS (SELECT user_id AS clip_id, event_id AS frame_idx, value AS v FROM events)
+SELECT clip_id, frame_idx, quantile_cont(v, 0.5) OVER (PARTITION BY clip_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM f""")
+def stream_medians(spark, d) -> DataFrame:
+    from ..streaming import verdicts as S
+
+    ends = V.read(spark, d, "events", "user_id", "event_id").groupBy(F.col("user_id").alias("clip_id")).agg(F.max("event_id").alias("end"))
+    frames = _events(spark, d).select("clip_id", "frame_idx", (F.col("coverage") * 1e6).alias("v")).join(ends, "clip_id")
+    return S.drained(spark, S.stream_medians(frames.select("clip_id", "frame_idx", "v", (F.col("frame_idx") == F.col("end")).alias("last")), 2), "append").withColumn("v", F.round("v", 6))
+
+
+SQL["stream_medians"] = SQL["stream_medians"].replace("quantile_cont(v, 0.5) OVER", "round(quantile_cont(v, 0.5) OVER").replace("2 FOLLOWING) AS v", "2 FOLLOWING), 6) AS v")
+
+
+@query("""WITH h AS (SELECT user_id AS clip_id, ts FROM events WHERE value >= 100),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY clip_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM h),
+s AS (SELECT *, sum(new) OVER (PARTITION BY clip_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT clip_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, count(*) AS hits FROM s GROUP BY clip_id, k""")
+def stream_hit_sessions(spark, d) -> DataFrame:
+    from ..streaming import verdicts as S
+
+    hits = _events(spark, d).where("coverage >= 0.0001").select("clip_id", "ts")
+    rows = S.drained(spark, S.hit_sessions(hits, "6 hours"), "complete")
+    return rows.select("clip_id", F.unix_micros("start").alias("start_us"), "hits")
+
+
+@query("""SELECT user_id AS clip_id, CAST(epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS start_us, count(*) AS hits, max(value) / 1e6 AS peak FROM events WHERE value >= 100 GROUP BY 1, 2""")
+def stream_tumbling_hits(spark, d) -> DataFrame:
+    from ..streaming import verdicts as S
+
+    hits = _events(spark, d).where("coverage >= 0.0001").select("clip_id", "ts", "coverage")
+    rows = S.drained(spark, S.tumbling_hits(hits, "1 day"), "complete")
+    return rows.select("clip_id", F.unix_micros("start").alias("start_us"), "hits", "peak")
+
+
+@query(None)
+def triage_report(spark, d) -> DataFrame:
+    from ..operators import scan
+
+    frames = V.frames(spark, d)
+    words = V.words(spark, d).select(F.pmod("doc_id", F.lit(150)).alias("clip_id"), F.floor(F.col("pos") / 4).alias("frame_idx"), "pos", "word", "confidence")
+    out = scan.triage(frames, words)
+    return out.withColumns({c: F.concat_ws(" ", F.transform(c, lambda x: x.cast("string"))) for c in ("hits", "words")})
