@@ -9,7 +9,8 @@ until all are.
 Index and queries are packed by (segment, the segment's upper byte) in chunks
 of bounded size. Chunks meet by an equality join on the upper byte, the
 queries' side carrying every upper byte within the radius; which rows of two
-chunks are that near, and their whole distance, is worked out in arrays.
+chunks are that near, and their whole distance, is worked out in arrays. The search at radius r gives the codes at
+distances 4 r to 4 r + 3, all of which have a segment within r.
 """
 
 from __future__ import annotations
@@ -56,14 +57,15 @@ def sign_codes(vectors: DataFrame, ident: str = "vec_id", column: str = "embeddi
     )
 
 
-def _packed(codes: DataFrame, chunk: int, name: str) -> DataFrame:
-    """(segment, top, <name>): the distinct codes as bytes, by segment and its upper byte, in chunks."""
+def _packed(codes: DataFrame, chunk: int, columns: list[str]) -> DataFrame:
+    """(segment, top, packed): rows of longs, by segment of ``code`` and its upper byte, in chunks."""
     many = codes.count()
     dealt = F.pmod(F.xxhash64("code"), F.lit(max(1, -(-many // (256 * chunk // 4)))))
     rows = codes.select(
-        "code", dealt.alias("_chunk"), F.explode(F.array(*map(F.lit, range(SEGMENTS)))).alias("segment")
+        "code", *columns, dealt.alias("_chunk"), F.explode(F.array(*map(F.lit, range(SEGMENTS)))).alias("segment")
     ).withColumn("top", F.expr("cast(shiftrightunsigned(code, segment * 16 + 8) & 255 as int)"))
-    return rows.groupBy("segment", "top", "_chunk").agg(F.sort_array(F.collect_list("code")).alias(name)).drop("_chunk")
+    packed = F.flatten(F.sort_array(F.collect_list(F.array("code", *columns))))
+    return rows.groupBy("segment", "top", "_chunk").agg(packed.alias("packed")).drop("_chunk")
 
 
 def _ring(radius: int) -> list[tuple[int, int]]:
@@ -71,62 +73,56 @@ def _ring(radius: int) -> list[tuple[int, int]]:
     return [(m, m.bit_count()) for m in range(256) if m.bit_count() <= radius]
 
 
-def _candidates(chunks: DataFrame, asked: DataFrame, radius: int, k: int, chunk: int) -> DataFrame:
-    """(query, code, distance): of the codes at exactly ``radius`` in a segment, the k nearest of each task."""
-    spark = chunks.sparkSession
+def _candidates(chunks: DataFrame, asked: DataFrame, radius: int, search: Search) -> DataFrame:
+    """(query, code, least, distance) at distances 4 * radius .. 4 * radius + 3: of each task, a query's k nearest."""
+    spark, k = chunks.sparkSession, search.k
     masks = F.broadcast(spark.createDataFrame(_ring(radius), "mask int, spent int"))
-    probes = _packed(asked, chunk, "queries").crossJoin(masks)  # 256 masks at most
-    probes = probes.select("segment", F.col("top").bitwiseXOR(F.col("mask")).alias("top"), "spent", "queries")
+    probes = _packed(asked, search.chunk, []).join(masks)  # 256 masks at most
+    probes = probes.select("segment", F.col("top").bitwiseXOR(F.col("mask")).alias("top"), "spent", F.col("packed").alias("queries"))
     met = probes.join(chunks, ["segment", "top"])
 
     def best(held):
-        q, c, d = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((c, d, q))
-        q, c, d = q[order], c[order], d[order]
-        new = np.r_[True, (q[1:] != q[:-1]) | (c[1:] != c[:-1])]
-        q, c, d = q[new], c[new], d[new]
-        first = np.r_[True, q[1:] != q[:-1]]
-        rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
-        # codes tied with the k-th stay, for ids break ties only later
-        kth = np.full(len(q), 99, np.int64)
-        at = np.flatnonzero(rank == k - 1)
-        starts = np.flatnonzero(first)
-        group = np.cumsum(first) - 1
-        bound = np.full(len(starts), 99, np.int64)
-        bound[group[at]] = d[at]
-        kth = bound[group]
-        keep = d <= kth
-        return q[keep], c[keep], d[keep]
+        q, c, n, d = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((n, d, q))
+        q, c, n, d = q[order], c[order], n[order], d[order]
+        new = np.r_[True, (q[1:] != q[:-1]) | (n[1:] != n[:-1])]
+        q, c, n, d = q[new], c[new], n[new], d[new]
+        at = np.arange(len(q))
+        rank = at - np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], at, 0))
+        return q[rank < k], c[rank < k], n[rank < k], d[rank < k]
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            segment, spent = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, (s, used) in enumerate(zip(segment, spent)):
+            for i, (s, spent) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 q = batch.column(2)[i].values.to_numpy().view(np.uint64)
-                c = batch.column(3)[i].values.to_numpy().view(np.uint64)
-                low = np.uint64(16 * s)
+                rows = batch.column(3)[i].values.to_numpy().reshape(-1, 2)
+                c, least, low = rows[:, 0].view(np.uint64), rows[:, 1], np.uint64(16 * s)
                 for a in range(0, len(q), 64):
                     part = q[a : a + 64]
                     apart = part[:, None] ^ c[None, :]
-                    near = np.bitwise_count((apart >> low) & np.uint64(255)) == radius - used
+                    far = np.bitwise_count(apart)
+                    near = (far // SEGMENTS == radius) & (np.bitwise_count((apart >> low) & np.uint64(255)) <= radius - spent)
                     x, y = np.nonzero(near)
                     if len(x):
-                        held.append((part[x].view(np.int64), c[y].view(np.int64), np.bitwise_count(apart[near]).astype(np.int64)))
+                        held.append((part[x].view(np.int64), c[y].view(np.int64), least[y], far[near].astype(np.int64)))
                         size += len(x)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     held = [best(held)]
                     size = len(held[0][0])
-                    if size > 1_000_000:
+                    if size > 500_000:
                         yield batch_of(held.pop())
                         size = 0
         if held:
             yield batch_of(best(held))
 
     def batch_of(x):
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in x], ["query", "code", "distance"])
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in x], ["query", "code", "least", "distance"])
 
-    return met.select("segment", "spent", "queries", "codes").mapInArrow(run, "query long, code long, distance long")
+    return met.select("segment", "spent", "queries", "packed").mapInArrow(run, FOUND)
+
+
+FOUND = "query long, code long, least long, distance long"
 
 
 def top_k(codes: DataFrame, search: Search = Search()) -> DataFrame:
@@ -143,30 +139,26 @@ def top_k(codes: DataFrame, search: Search = Search()) -> DataFrame:
     members = rows.withColumn("_n", F.row_number().over(by_code)).where(F.col("_n") <= k).drop("_n")
     members = common.cut(members, "code-members")  # a top-k can hold no others
     distinct = members.groupBy("code").agg(F.min("id").alias("least"))
-    distinct = common.cut(distinct, "distinct-codes")
-    chunks = common.cut(_packed(distinct.select("code"), search.chunk, "codes"), "code-chunks")
+    chunks = common.cut(_packed(distinct, search.chunk, ["least"]), "code-chunks")
     queries = rows.where(F.pmod("id", F.lit(search.every)) == 0)
     asked = common.cut(queries.select("code").distinct(), "asked")
     total, radius = distinct.count(), 0
-    found = common.cut(
-        spark.createDataFrame([], "query long, code long, distance long"), "found"
-    )
+    found = common.cut(spark.createDataFrame([], FOUND), "found")
     done = []
     while True:
-        more = _candidates(chunks, asked, radius, k, search.chunk)
-        both = found.union(more).groupBy("query", "code").agg(F.min("distance").alias("distance"))
-        best = both.join(distinct, "code")
+        both = found.union(_candidates(chunks, asked, radius, search)).dropDuplicates(["query", "code"])
         nearest = Window.partitionBy("query").orderBy("distance", "least")
-        now = common.cut(best.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k), "found")
-        kth = now.groupBy("query").agg(F.max("distance").alias("_far"), F.count("*").alias("_many"))
-        sure = ((F.col("_many") >= min(k, total)) & (F.col("_far") < SEGMENTS * (radius + 1))) | F.lit(radius == BITS)
-        ended = kth.where(sure).select("query")
-        done.append(common.cut(now.join(ended, "query", "left_semi").select("query", "code", "distance"), "done"))
-        rest = common.cut(now.join(ended, "query", "left_anti").select("query", "code", "distance"), "found")
-        left = common.cut(asked.join(ended, asked["code"] == ended["query"], "left_anti"), "asked")
-        common.drop(now)
-        found, asked, radius = rest, left, radius + 1
-        if radius > BITS or not asked.head(1):
+        now = common.cut(both.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k).drop("_n"), "found")
+        # all codes below 4 * (radius + 1) have been seen, so k of them are the nearest
+        full = now.groupBy("query").agg(F.count("*").alias("_many")).where(F.col("_many") >= min(k, total)).select("query")
+        last = radius == BITS
+        done.append(now if last else common.cut(now.join(full, "query", "left_semi"), "done"))
+        if last:
+            break
+        found = common.cut(now.join(full, "query", "left_anti"), "found")
+        asked = common.cut(asked.join(full, asked["code"] == full["query"], "left_anti"), "asked")
+        radius += 1
+        if not asked.head(1):
             break
     near = done[0]
     for more in done[1:]:
