@@ -67,8 +67,8 @@ def blob_support(pixels: DataFrame, keys: list[str]) -> DataFrame:
     frame = Window.partitionBy(*keys)
     return each.select(
         "*",
-        F.round(F.col("inside") / F.col("area"), 6).alias("overlap"),
-        F.round(F.sum("inside").over(frame) / F.sum("area").over(frame), 6).alias("prior_overlap"),
+        (F.col("inside") / F.col("area")).alias("overlap"),
+        (F.sum("inside").over(frame) / F.sum("area").over(frame)).alias("prior_overlap"),
     )
 
 
@@ -146,7 +146,7 @@ def mask_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
     p, t, c = F.col("pred"), F.col("truth"), F.col("core")
 
     def share(a: Column, b: Column) -> Column:
-        return F.round(F.count_if(a) / F.greatest(F.count_if(b), F.lit(1)), 6)
+        return F.count_if(a) / F.greatest(F.count_if(b), F.lit(1))
 
     return pairs.groupBy(*keys).agg(
         share(p & t, p | t).alias("iou"), share(p & c, c).alias("recall"), share(p & t, p).alias("precision")

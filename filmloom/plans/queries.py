@@ -37,11 +37,11 @@ def geom_gate(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {V.DETECTIONS} SELECT clip_id, frame_idx, det_id,
-  round(greatest(least(x1, 640) - x0, 0) * greatest(least(y1, 360) - greatest(y0, 252), 0) / ((x1 - x0) * (y1 - y0))::DOUBLE, 6) AS inside
+  greatest(least(x1, 640) - x0, 0) * greatest(least(y1, 360) - greatest(y0, 252), 0) / ((x1 - x0) * (y1 - y0))::DOUBLE AS inside
   FROM detections""")
 def roi_overlap(spark, d) -> DataFrame:
     out = gates.roi_overlap(V.detections(spark, d), V.WIDTH, V.HEIGHT, "bottom:0.30")
-    return out.select("clip_id", "frame_idx", "det_id", F.round("inside", 6).alias("inside"))
+    return out.select("clip_id", "frame_idx", "det_id", "inside")
 
 
 @query(f"WITH {V.DETECTIONS} SELECT clip_id, frame_idx, det_id, score FROM detections WHERE score >= 0.3")
@@ -245,8 +245,8 @@ def prior_or_window(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {PRIOR_SQL}, each AS (SELECT clip_id, frame_idx, y // 3 AS label, count(*) AS area, count(*) FILTER (trusted) AS inside FROM trust WHERE v > 127 GROUP BY 1, 2, 3)
-SELECT clip_id, frame_idx, label, area, inside, round(inside / area::DOUBLE, 6) AS overlap,
-  round(sum(inside) OVER (PARTITION BY clip_id, frame_idx) / (sum(area) OVER (PARTITION BY clip_id, frame_idx))::DOUBLE, 6) AS prior_overlap FROM each""")
+SELECT clip_id, frame_idx, label, area, inside, inside / area::DOUBLE AS overlap,
+  sum(inside) OVER (PARTITION BY clip_id, frame_idx) / (sum(area) OVER (PARTITION BY clip_id, frame_idx))::DOUBLE AS prior_overlap FROM each""")
 def prior_overlap_weighted(spark, d) -> DataFrame:
     p = measures.remembered_pixels(V.pixels(spark, d), 3, 0.8).where("v > 127")
     p = p.withColumn("label", F.floor(F.col("y") / 3)).withColumn("allowed", F.col("trusted"))
@@ -446,8 +446,8 @@ def label_pixels(spark, d) -> DataFrame:
 
 
 SCORE_SQL = f"""{V.PIXELS}, p AS (SELECT clip_id, frame_idx, v > 127 AS pred, v > 120 AND x < 6 AS truth, v > 120 AND x BETWEEN 1 AND 4 AS core FROM pixels),
-sc AS (SELECT clip_id, frame_idx, round(count(*) FILTER (pred AND truth) / greatest(count(*) FILTER (pred OR truth), 1)::DOUBLE, 6) AS iou,
-  round(count(*) FILTER (pred AND core) / greatest(count(*) FILTER (core), 1)::DOUBLE, 6) AS recall, round(count(*) FILTER (pred AND truth) / greatest(count(*) FILTER (pred), 1)::DOUBLE, 6) AS precision FROM p GROUP BY 1, 2)"""
+sc AS (SELECT clip_id, frame_idx, count(*) FILTER (pred AND truth) / greatest(count(*) FILTER (pred OR truth), 1)::DOUBLE AS iou,
+  count(*) FILTER (pred AND core) / greatest(count(*) FILTER (core), 1)::DOUBLE AS recall, count(*) FILTER (pred AND truth) / greatest(count(*) FILTER (pred), 1)::DOUBLE AS precision FROM p GROUP BY 1, 2)"""
 
 
 def _scores(spark, d) -> DataFrame:
@@ -510,10 +510,10 @@ def upright_rule(spark, d) -> DataFrame:
     return gates.upright(det.withColumn("tilt", tilt), ["clip_id", "frame_idx"]).select("clip_id", "frame_idx", "det_id")
 
 
-@query(f"WITH {PARTS} SELECT clip_id, frame_idx, round(sum(area * (label % 5) // 10) / greatest(sum(area), 1)::DOUBLE, 6) AS fill, sum(area * (label % 5) // 10) / greatest(sum(area), 1)::DOUBLE < 0.2 AS thin FROM parts GROUP BY 1, 2")
+@query(f"WITH {PARTS} SELECT clip_id, frame_idx, sum(area * (label % 5) // 10) / greatest(sum(area), 1)::DOUBLE AS fill, sum(area * (label % 5) // 10) / greatest(sum(area), 1)::DOUBLE < 0.2 AS thin FROM parts GROUP BY 1, 2")
 def thin_frames(spark, d) -> DataFrame:
     ink = _parts(spark, d).select("clip_id", "frame_idx", F.floor(F.col("area") * F.pmod("label", F.lit(5)) / 10).alias("ink"), F.col("area").alias("box_area"))
-    return gates.thin_frames(ink, ["clip_id", "frame_idx"], 0.2).withColumn("fill", F.round("fill", 6))
+    return gates.thin_frames(ink, ["clip_id", "frame_idx"], 0.2)
 
 
 @query("SELECT s_suppkey AS clip_id, round(greatest(0.012, 0.02, 14.0::DOUBLE / (120 + s_suppkey % 1000)), 9) AS min_text_height FROM supplier")

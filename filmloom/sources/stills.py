@@ -64,7 +64,10 @@ def _decode_png(data: bytes) -> np.ndarray:
         raise ValueError("PNG of a kind that is not read: 8 or 16 bits, no palette, not interlaced")
     w, h, depth, colour = header[:4]
     unit = _CHANNELS[colour] * depth // 8
-    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+    try:
+        raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+    except zlib.error as e:
+        raise ValueError(f"damaged PNG: {e}") from None
     if raw.size < h * (w * unit + 1):
         raise ValueError("PNG ends early")
     lines = raw[: h * (w * unit + 1)].reshape(h, w * unit + 1)
