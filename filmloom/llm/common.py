@@ -65,6 +65,18 @@ def with_size_checked_broadcast(df: DataFrame, row_bytes: int, array: str | None
     return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_BYTES else df
 
 
+def maybe_among(rows: DataFrame, keys: DataFrame, h: str) -> DataFrame:
+    """``rows`` without most of those whose long ``h`` is not among ``keys``, before a join on it.
+
+    The keys become a bitmap of 2**25 bits, at most 524,288 rows whatever
+    their number, which is broadcast; with very many keys it lets more through.
+    """
+    word, bit = F.shiftrightunsigned(h, 45), F.expr(f"shiftleft(1L, cast({h} & 63 as int))")
+    bits = keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    met = rows.withColumn("_word", word).join(F.broadcast(bits), "_word")
+    return met.where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+
+
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; null: none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAPS), "")

@@ -336,7 +336,9 @@ def _open_strings(texts: DataFrame, found: DataFrame, r: Repeats) -> DataFrame:
     lists = asked.select("at.*", "sym", "ctx", (F.col("many") > CROWDED).alias("hot")).groupBy("h").agg(
         F.collect_list(F.struct("place", "sym", "ctx", "hot")).alias("asked")
     )
-    lists = common.with_size_checked_broadcast(common.cut(lists, "passage-ends"), 48, "asked", 56)
+    lists = common.cut(lists, "passage-ends")
+    texts = common.maybe_among(texts, lists, "h")
+    lists = common.with_size_checked_broadcast(lists, 48, "asked", 56)
     schema = "sym long, sub long, ctx long, low long, bytes binary"
 
     def strings(batches):
