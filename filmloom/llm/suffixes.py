@@ -137,25 +137,35 @@ def _by_text(rows: DataFrame, order: list[str], schema: str, work) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h", *order).mapInArrow(run, schema)
 
 
-def _by_order(rows: DataFrame, keys: list[str], schema: str, work) -> DataFrame:
-    """``work`` over rows in the global order of ``keys``: range partitions, each sorted.
+def _by_order(rows: DataFrame, keys: list[str], results: str, work) -> DataFrame:
+    """(h, i) of ``rows`` with what ``work`` finds for their keys, long columns ``results``.
 
-    ``work(columns, new, before)`` gets whole groups of equal keys: where a
-    new key starts, and how many keys this task has seen before.
+    Equal keys are counted together first, so that a key of many rows is one
+    row; the distinct keys are range-partitioned and sorted, and ``work(columns,
+    n, before)`` gets them in the global order, with how many rows each stands
+    for and how many keys the task has seen before.
     """
+    out = [f"r_{k}" for k in keys]
+    schema = ", ".join(f"{c} long" for c in [*out, *results.split(", ")])
 
     def run(batches):
-        seen = TaskContext.get().partitionId() << 40
+        seen = (TaskContext.get().partitionId() << 40) + 1
         for columns in _whole_groups(batches, len(keys)):
-            new = np.zeros(len(columns[0]), bool)
-            new[0] = True
-            for x in columns[: len(keys)]:
-                new[1:] |= x[1:] != x[:-1]
-            yield _batch(schema, work(columns, new, seen + 1))
-            seen += int(new.sum())
+            yield _batch(schema, [*columns[:-1], *work(columns[:-1], columns[-1], seen)])
+            seen += len(columns[0])
 
-    chosen = rows.select(*keys, *[c for c in rows.columns if c not in keys])
-    return chosen.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    distinct = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    found = distinct.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    same = [rows[k] == found[o] for k, o in zip(keys, out)]
+    return rows.join(found, same).select("h", "i", *results.split(", "))
+
+
+def _with_next(shared_with_next: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """What each key shares at most: with rows of its own, with the key before or the one after."""
+    best = own.copy()
+    best[1:] = np.maximum(best[1:], shared_with_next)
+    best[:-1] = np.maximum(best[:-1], shared_with_next)
+    return best
 
 
 def _next_at(h, i, by: int, values):
@@ -193,8 +203,8 @@ def symbol_rows(texts: DataFrame, r: Repeats) -> DataFrame:
 
 def symbol_strings(symbols: DataFrame) -> DataFrame:
     """(h, i, place, sym, ctx, c1, c2): symbols seen twice or more, numbered within runs; 0 ends a run."""
-    often = F.count("*").over(Window.partitionBy("sym"))
-    kept = symbols.withColumn("n", often).where("n > 1").select("h", "place", "sym", "ctx")
+    often = symbols.groupBy("sym").agg(F.count("*").alias("n")).where("n > 1").select("sym")
+    kept = symbols.join(often, "sym").select("h", "place", "sym", "ctx")
 
     def work(h, packed, sym, ctx):
         once = np.r_[True, (h[1:] != h[:-1]) | (packed[1:] != packed[:-1])]
@@ -220,28 +230,24 @@ def sampled_ranks(strings: DataFrame) -> DataFrame:
     """
     triples = strings.where("i % 3 <> 0").select("sym", "c1", "c2", "h", "i")
 
-    def name(columns, new, before):
-        return columns[3], columns[4], np.cumsum(new) - 1 + before
+    def name(columns, n, before):
+        return [np.arange(len(n)) + before]
 
-    named = _by_order(triples, ["sym", "c1", "c2"], "h long, i long, name long", name)
+    named = _by_order(triples, ["sym", "c1", "c2"], "name", name)
 
     def names_of(h, i, name):
         return name, _next_at(h, i, 3, name), _next_at(h, i, 6, name), h, i
 
     again = _by_text(named, ["i"], "n0 long, n3 long, n6 long, h long, i long", names_of)
 
-    def rank(columns, new, before):
-        n0, n3, n6, h, i = columns
-        same = np.zeros(len(h), np.int64)
+    def rank(columns, n, before):
+        n0, n3, n6 = columns
         a = n0[1:] == n0[:-1]
         b = a & (n3[1:] == n3[:-1]) & (n3[1:] > 0)
-        c = b & (n6[1:] == n6[:-1]) & (n6[1:] > 0)
-        with_next = 3 * (a.astype(np.int64) + b + c)
-        same[1:] = with_next
-        same[:-1] = np.maximum(same[:-1], with_next)
-        return h, i, np.cumsum(new) - 1 + before, same
+        own = np.where(n > 1, 3 * (1 + (n3 > 0) + (n6 > 0)), 0)
+        return np.arange(len(n)) + before, _with_next(3 * (a.astype(np.int64) + b), own)
 
-    return _by_order(again, ["n0", "n3", "n6"], "h long, i long, rank long, lcp long", rank)
+    return _by_order(again, ["n0", "n3", "n6"], "rank, lcp", rank)
 
 
 def merged(strings: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -267,18 +273,14 @@ def merged(strings: DataFrame, ranks: DataFrame) -> DataFrame:
 
     keyed = _by_text(rows, ["i"], "list long, sym long, c1 long, rank long, h long, i long", keys)
 
-    def compare(columns, new, before):
-        which, sym, c1, rank, h, i = columns
-        same = np.zeros(len(h), np.int64)
+    def compare(columns, n, before):
+        which, sym, c1, rank = columns
         a = (which[1:] == which[:-1]) & (sym[1:] == sym[:-1])
         b = a & (c1[1:] == c1[:-1]) & (c1[1:] != 0)
-        whole = a & (c1[1:] == c1[:-1]) & (rank[1:] == rank[:-1]) & (rank[1:] > 0)
-        with_next = a.astype(np.int64) + b + 3 * whole
-        same[1:] = with_next
-        same[:-1] = np.maximum(same[:-1], with_next)
-        return h, i, same
+        own = np.where(n > 1, 1 + (c1 != 0) + 3 * (rank > 0), 0)
+        return [_with_next(a.astype(np.int64) + b, own)]
 
-    return _by_order(keyed, ["list", "sym", "c1", "rank"], "h long, i long, lcp long", compare)
+    return _by_order(keyed, ["list", "sym", "c1", "rank"], "lcp", compare)
 
 
 def shared(strings: DataFrame, compared: DataFrame, r: Repeats) -> DataFrame:
@@ -330,9 +332,9 @@ def _open_strings(texts: DataFrame, found: DataFrame, r: Repeats) -> DataFrame:
     each = found.where("kind > 0").groupBy("sym", "ctx").agg(
         F.count("*").alias("n"), F.max("kind").alias("kind"), F.min(F.struct("h", "place")).alias("at")
     )
-    within = Window.partitionBy("sym")
-    need = F.max((F.col("n") == 1) & (F.col("kind") == 2)).over(within)
-    asked = each.select("sym", "ctx", "at", need.alias("need"), F.count("*").over(within).alias("many")).where("need")
+    unsure = (F.col("n") == 1) & (F.col("kind") == 2)
+    of_symbol = each.groupBy("sym").agg(F.max(unsure).alias("need"), F.count("*").alias("many")).where("need")
+    asked = each.join(of_symbol.select("sym", "many"), "sym").select("sym", "ctx", "at", "many")
     lists = asked.select("at.*", "sym", "ctx", (F.col("many") > CROWDED).alias("hot")).groupBy("h").agg(
         F.collect_list(F.struct("place", "sym", "ctx", "hot")).alias("asked")
     )
