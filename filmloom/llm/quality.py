@@ -193,7 +193,7 @@ def judged(docs: DataFrame, rules: Rules = Rules(), others: tuple[str, ...] = ()
     found = estimate(both, p, rules)
     keys = rows.join(sizes, "g", "left").withColumn("g", F.coalesce(large, F.lit("all")))
     small = common.with_size_checked_broadcast(found, 200)
-    near = _distance(p) <= rules.cutoff
+    near = (F.col("n") < rules.support * rules.least_rows) | (_distance(p) <= rules.cutoff)
     return keys.join(small, "g", "left").select(
         "doc_id",
         *BASE,
