@@ -79,3 +79,8 @@ def fingerprint(size: Column, modified: Column, head: Column) -> Column:
     """16 hex digits of size, whole second of change and leading bytes of a file."""
     text = F.concat(size.cast("string"), F.lit("|"), modified.cast("string"), F.lit("|"), head)
     return F.substring(F.sha2(text, 256), 1, 16)
+
+
+def depth_destination(depth: Column, clip: Column, source_root: str, dest_root: str) -> Column:
+    """A depth map beside its clip's place under ``dest_root``, under its own name."""
+    return F.concat(F.regexp_replace(destination(clip, source_root, dest_root), r"[^/]*$", ""), file_name(depth))

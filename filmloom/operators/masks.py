@@ -144,3 +144,13 @@ def run(frames: DataFrame, dets: DataFrame, config: Config, width: int, height:
         held = held.withColumn("_o", offsets).withColumn("frame_idx", F.col("frame_idx") + F.col("_o")).drop("_o").join(ends, ["clip_id", "frame_idx"])
     stay = tracks.persistence(kept, frames, config.filters).where("keep").select("clip_id", "frame_idx", "det_id")
     return masks(frames, held.join(stay, ["clip_id", "frame_idx", "det_id"]), config)
+
+
+def masks_for(frames: DataFrame, dets: DataFrame, wanted: DataFrame, config: Config, width: int, height: int) -> DataFrame:
+    """Masks of the ``wanted`` frames (clip_id, frame_idx), from the frames within the halo of them alone.
+
+    The halo is the sum of the stages' radii, so each mask is that of a full run.
+    """
+    around = wanted.select("clip_id", F.explode(F.sequence(F.col("frame_idx") - config.halo, F.col("frame_idx") + config.halo)).alias("frame_idx")).distinct()
+    near, boxes = (x.join(around, ["clip_id", "frame_idx"], "left_semi") for x in (frames, dets))
+    return run(near, boxes, config, width, height).join(wanted.distinct(), ["clip_id", "frame_idx"], "left_semi")

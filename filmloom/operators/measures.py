@@ -164,3 +164,34 @@ def score_summary(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 def report_totals(report: DataFrame) -> DataFrame:
     return report.groupBy("verdict").agg(F.count("*").alias("clips"))
+
+
+def relative_code(ring: DataFrame, keys: list[str], offset: float, low: float, high: float) -> DataFrame:
+    """Level just in front of the depth around a text: the ring's 90th percentile and a share of the range."""
+    base = F.percentile("v", F.lit(0.9)) + offset * (high - low)
+    return ring.groupBy(*keys).agg(F.round(F.least(F.greatest(base, F.lit(low)), F.lit(high)), 6).alias("code"))
+
+
+def colour_spread(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """P90 - P10 over blobs (label) of the median of their stronger halves."""
+    mid = F.percentile("v", F.lit(0.5)).over(Window.partitionBy(*keys, "label"))
+    strong = pixels.withColumn("_mid", mid).where(F.col("v") >= F.col("_mid"))
+    each = strong.groupBy(*keys, "label").agg(F.percentile("v", F.lit(0.5)).alias("median"))
+    spread = F.percentile("median", F.lit(0.9)) - F.percentile("median", F.lit(0.1))
+    return each.groupBy(*keys).agg(F.round(spread, 6).alias("spread"))
+
+
+def thinned(ink: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """Every k-th pixel of a region with more than ``most``."""
+    rows = ink.withColumns(
+        {"_rn": F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))}
+    )
+    step = F.floor(F.col("_n") / most) + 1
+    return rows.where((F.col("_n") <= most) | (F.pmod("_rn", step) == 0)).drop("_rn", "_n")
+
+
+def region_pixels(pixels: DataFrame, blobs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pixels inside the box of any blob (x0, y0, x1, y1) of their frame."""
+    boxes = blobs.groupBy(*keys).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("_boxes"))
+    inside = F.exists("_boxes", lambda b: (F.col("x") >= b["x0"]) & (F.col("x") < b["x1"]) & (F.col("y") >= b["y0"]) & (F.col("y") < b["y1"]))
+    return pixels.join(boxes, keys).where(inside).drop("_boxes")

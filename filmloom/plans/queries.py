@@ -686,3 +686,126 @@ def triage_report(spark, d) -> DataFrame:
     words = V.words(spark, d).select(F.pmod("doc_id", F.lit(150)).alias("clip_id"), F.floor(F.col("pos") / 4).alias("frame_idx"), "pos", "word", "confidence")
     out = scan.triage(frames, words)
     return out.withColumns({c: F.concat_ws(" ", F.transform(c, lambda x: x.cast("string"))) for c in ("hits", "words")})
+
+
+@query(f"""WITH {PARTS} SELECT clip_id, frame_idx, label FROM parts WHERE area >= 60 AND score >= 0.2 AND bh / 8.0::DOUBLE >= 0.8
+  AND (label % 5 = 0 OR (area <= 0.35::DOUBLE * 200 * 60 AND NOT (bw >= 199 AND bh >= 59) AND bh / 8.0::DOUBLE <= greatest(3.0, 0.1::DOUBLE * bh)))""")
+def stroke_components(spark, d) -> DataFrame:
+    from ..config import Strokes
+
+    parts = _parts(spark, d).withColumns(
+        {"crop_w": F.lit(200), "crop_h": F.lit(60), "strength": F.col("score"), "stroke": F.col("bh") / 8.0, "text_height": F.col("bh"), "segmented": F.pmod("label", F.lit(5)) == 0}
+    )
+    options = Strokes(min_cc_area=60, min_relative_strength=0.2, max_stroke=3.0, max_stroke_frac=0.1)
+    return gates.stroke_components(parts, options).select("clip_id", "frame_idx", "label")
+
+
+@query(f"""WITH {V.PIXELS} SELECT clip_id, frame_idx, y, x, round(least(greatest(greatest(v / 255.0::DOUBLE - (40 + x * 10) / 255.0::DOUBLE, 0) / greatest(abs(1.0 - (40 + x * 10) / 255.0::DOUBLE), 0.05), 0), 1), 9) AS alpha FROM pixels""")
+def residual_opacity(spark, d) -> DataFrame:
+    behind = (F.lit(40) + F.col("x") * 10) / 255.0
+    signal = F.greatest(F.col("v") / 255.0 - behind, F.lit(0.0))
+    return V.pixels(spark, d).select("clip_id", "frame_idx", "y", "x", F.round(px.residual_opacity(signal, behind, True, 0.05), 9).alias("alpha"))
+
+
+@query(f"""WITH {V.PIXELS} SELECT clip_id, frame_idx, round(least(greatest(quantile_cont(v * 4, 0.9) + 0.08::DOUBLE * 876, 64), 940), 6) AS code
+  FROM pixels WHERE y IN (0, 7) OR x IN (0, 7) GROUP BY 1, 2""")
+def relative_code(spark, d) -> DataFrame:
+    ring = V.pixels(spark, d).where(F.col("y").isin(0, 7) | F.col("x").isin(0, 7))
+    return measures.relative_code(ring.withColumn("v", F.col("v") * 4), ["clip_id", "frame_idx"], 0.08, 64.0, 940.0)
+
+
+@query(f"WITH {V.COLOURS} SELECT clip_id, frame_idx, y, x, CAST(round_even((r + g + b) / 3.0::DOUBLE, 0) AS BIGINT) AS plane FROM colours")
+def plane_of_channels(spark, d) -> DataFrame:
+    return V.colours(spark, d).select("clip_id", "frame_idx", "y", "x", F.rint((F.col("r") + F.col("g") + F.col("b")) / 3.0).cast("long").alias("plane"))
+
+
+@query(f"""WITH {V.PIXELS}, strong AS (SELECT *, quantile_cont(v, 0.5) OVER (PARTITION BY clip_id, frame_idx, y) AS mid FROM pixels),
+m AS (SELECT clip_id, frame_idx, y, quantile_cont(v, 0.5) AS median FROM strong WHERE v >= mid GROUP BY 1, 2, 3)
+SELECT clip_id, frame_idx, round(quantile_cont(median, 0.9) - quantile_cont(median, 0.1), 6) AS spread FROM m GROUP BY 1, 2""")
+def colour_spread(spark, d) -> DataFrame:
+    return measures.colour_spread(V.pixels(spark, d).withColumn("label", F.col("y")), ["clip_id", "frame_idx"])
+
+
+@query(f"""WITH {V.FRAMES} SELECT a.clip_id, a.frame_idx, a.coverage, b.dets, c.window_id FROM frames a JOIN (SELECT * FROM frames WHERE frame_idx % 2 = 0) b USING (clip_id, frame_idx)
+  JOIN (SELECT * FROM frames WHERE frame_idx % 3 = 0) c USING (clip_id, frame_idx)""")
+def preview_join(spark, d) -> DataFrame:
+    f = V.frames(spark, d)
+    rgb, depth = f.select("clip_id", "frame_idx", "coverage"), f.where("frame_idx % 2 = 0").select("clip_id", "frame_idx", "dets")
+    mask = f.where("frame_idx % 3 = 0").select("clip_id", "frame_idx", "window_id")
+    return pairing.zipped(pairing.zipped(rgb, depth), mask)
+
+
+@query(f"""WITH {V.PIXELS}, verdict AS (SELECT clip_id, frame_idx, y // 3 AS label, CASE WHEN count(*) FILTER (v > 127) >= 10 THEN 255 ELSE 0 END AS keep FROM pixels GROUP BY 1, 2, 3)
+SELECT clip_id, frame_idx, y, x, CAST(v & keep AS BIGINT) AS v FROM pixels p JOIN verdict k USING (clip_id, frame_idx) WHERE p.y // 3 = k.label""")
+def verdict_lookup(spark, d) -> DataFrame:
+    p = V.pixels(spark, d).withColumn("label", F.floor(F.col("y") / 3))
+    keep = p.groupBy("clip_id", "frame_idx", "label").agg(F.when(F.count_if(F.col("v") > 127) >= 10, 255).otherwise(0).cast("long").alias("keep"))
+    return p.join(keep, ["clip_id", "frame_idx", "label"]).select("clip_id", "frame_idx", "y", "x", F.col("v").bitwiseAND(F.col("keep")).alias("v"))
+
+
+@query(f"""WITH {V.PIXELS}, n AS (SELECT *, row_number() OVER (PARTITION BY clip_id, frame_idx ORDER BY y, x) - 1 AS rn, count(*) OVER (PARTITION BY clip_id, frame_idx) AS n FROM pixels WHERE v > 100)
+SELECT clip_id, frame_idx, y, x FROM n WHERE n <= 20 OR rn % (n // 20 + 1) = 0""")
+def ink_stride(spark, d) -> DataFrame:
+    return measures.thinned(V.pixels(spark, d).where("v > 100"), ["clip_id", "frame_idx"], ["y", "x"], 20).select("clip_id", "frame_idx", "y", "x")
+
+
+@query(f"WITH {V.FRAMES} SELECT DISTINCT clip_id, frame_idx FROM frames WHERE frame_idx % 2 = 0 EXCEPT SELECT clip_id, frame_idx FROM frames WHERE coverage > 0.0001")
+def on_off_difference(spark, d) -> DataFrame:
+    f = V.frames(spark, d)
+    return f.where("frame_idx % 2 = 0").select("clip_id", "frame_idx").subtract(f.where("coverage > 0.0001").select("clip_id", "frame_idx"))
+
+
+@query(f"""WITH {V.PIXELS}, b AS (SELECT clip_id, frame_idx, y // 4 AS label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pixels WHERE v > 170 GROUP BY 1, 2, 3)
+SELECT DISTINCT p.clip_id, p.frame_idx, p.y, p.x FROM pixels p JOIN b ON p.clip_id = b.clip_id AND p.frame_idx = b.frame_idx AND p.x BETWEEN b.x0 AND b.x1 AND p.y BETWEEN b.y0 AND b.y1""")
+def region_mask(spark, d) -> DataFrame:
+    p = V.pixels(spark, d)
+    blobs = measures.blob_stats(p.where("v > 170").withColumn("label", F.floor(F.col("y") / 4)), ["clip_id", "frame_idx", "label"])
+    return measures.region_pixels(p, blobs, ["clip_id", "frame_idx"]).select("clip_id", "frame_idx", "y", "x")
+
+
+@query(f"""WITH {V.PIXELS}, tile AS (SELECT * FROM pixels WHERE frame_idx < 60), bad AS (SELECT * FROM tile WHERE v > 170), good AS (SELECT * FROM tile WHERE v <= 170),
+n AS (SELECT b.clip_id, b.frame_idx, b.y, b.x, min((b.y - g.y) * (b.y - g.y) + (b.x - g.x) * (b.x - g.x)) AS gap FROM bad b JOIN good g USING (clip_id, frame_idx) GROUP BY 1, 2, 3, 4)
+SELECT * FROM n""")
+def nearest_valid(spark, d) -> DataFrame:
+    """Squared distance of every masked pixel to its nearest valid one, by the kernel."""
+    import numpy as np
+    import pandas as pd
+
+    from ..kernels import arrays
+
+    def run(pdf):
+        plane = np.zeros((8, 8), np.int64)
+        plane[pdf["y"], pdf["x"]] = pdf["v"]
+        mask = plane > 170
+        far, _, _ = arrays.nearest_unset(mask)
+        ys, xs = np.nonzero(mask)
+        return pd.DataFrame({"clip_id": pdf["clip_id"].iloc[0], "frame_idx": pdf["frame_idx"].iloc[0], "y": ys, "x": xs, "gap": np.rint(far[ys, xs] ** 2).astype(int)})
+
+    tile = V.pixels(spark, d).where("frame_idx < 60")
+    return tile.groupBy("clip_id", "frame_idx").applyInPandas(run, "clip_id long, frame_idx long, y long, x long, gap long")
+
+
+@query(f"""WITH {V.CLIP_FILES}, {KEYS_SQL} SELECT page_id, '/out/' || (page_id % 7) || '/' || key || '_depth.mkv' AS dst FROM k""")
+def depth_destinations(spark, d) -> DataFrame:
+    f = V.clip_files(spark, d)
+    depth = F.concat(F.lit("/depth/elsewhere/"), pairing.clip_key(F.col("path"), F.col("is_dir")), F.lit("_depth.mkv"))
+    return f.select("page_id", strings.depth_destination(depth, F.col("path"), "/clips", "/out").alias("dst"))
+
+
+@query(f"""WITH {V.WORDS}, w AS (SELECT doc_id % 150 AS clip_id, doc_id, pos, word, confidence FROM words WHERE doc_id < 150)
+SELECT clip_id, array_to_string(list(word ORDER BY pos)[1:6], ' ') AS words FROM w GROUP BY 1""")
+def first_words(spark, d) -> DataFrame:
+    w = V.words(spark, d).where("doc_id < 150")
+    first = F.slice(F.array_sort(F.collect_list(F.struct("pos", "word"))), 1, 6)
+    return w.groupBy(F.pmod("doc_id", F.lit(150)).alias("clip_id")).agg(F.array_join(F.transform(first, lambda x: x["word"]), " ").alias("words"))
+
+
+@query(None)
+def masks_for_frames(spark, d) -> DataFrame:
+    """Masks of single frames, computed from no more than their context."""
+    from ..operators import masks
+
+    rgb, _, dets, config = _film(spark)
+    wanted = rgb.where("frame_idx in (7, 12)").select("clip_id", "frame_idx")
+    m = masks.masks_for(rgb, dets, wanted, config, 160, 90)
+    return m.select("clip_id", "frame_idx", F.sha2("mask", 256).alias("mask_sha"))
