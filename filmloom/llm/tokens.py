@@ -22,7 +22,7 @@ from . import common
 
 #: Characters whose classes the pattern below and the library see alike (later
 #: additions to Unicode differ); parts of text with others go to the library whole.
-UNSURE = regex.compile(r"[^\x00-ԯ‐-⁠]")
+UNSURE = regex.compile(r"[^\u0000-\u052f\u2010-\u2060]")
 
 
 @dataclass(frozen=True)
