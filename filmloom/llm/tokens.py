@@ -1,42 +1,43 @@
 """Token counts by map-side lookup in two tiers.
 
 A text's pre-tokens are looked up in a broadcast table of frequent ones, then
-in the worker's own cache; only what neither knows is encoded. Pre-tokens are
-never shuffled, and every row stays where it was read.
+in the worker's own cache; only what neither knows is encoded. The table holds
+the pre-tokens that are in the vocabulary, which a tokenizer takes up in the
+order of their frequency, so it needs no pass over the corpus and is bounded
+by the vocabulary. Pre-tokens are never shuffled, and every row stays where it
+was read.
 """
 
 from __future__ import annotations
 
 import os
-from collections import Counter
+import re
 from dataclasses import dataclass
 from itertools import islice
 
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Characters whose classes the pattern below and the library see alike (later
-#: additions to Unicode differ); parts of text with others go to the library whole.
-UNSURE = regex.compile(r"[^\u0000-\u052f\u2010-\u2060]")
+#: The tokenizer's pattern in terms of the faster standard module.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Characters that the library sorts otherwise than PIECES does, or that came to
+#: Unicode later: parts of text with any of them go to the library whole.
+UNSURE = re.compile(r"[^\u0000-\u001b\u0020-\u00b1\u00b4-\u00b8\u00ba-\u00bb\u00bf-\u052f\u2010-\u2060]")
 
 
 @dataclass(frozen=True)
 class Counting:
-    """The tables only save time, never change a count: ``sample_rows`` rows are read
-    to find the ``frequent`` pre-tokens that are broadcast (a few MB at most);
-    ``cached`` bounds a worker's second tier. ``limit`` is what over_limit means."""
+    """The tables only save time, never change a count: ``frequent`` bounds the
+    broadcast tier, ``cached`` a worker's own. ``limit`` is what over_limit means."""
 
     tokenizer: str = "byte_bpe_50k.json"
     special: str = "<|endoftext|>"
-    sample_rows: int = 2000
-    frequent: int = 20_000
-    longest: int = 64
-    cached: int = 200_000
+    frequent: int = 50_000
+    cached: int = 400_000
     limit: int = 1024
 
 
@@ -48,12 +49,19 @@ def load(source: str):
     return Tokenizer.from_str(source)
 
 
-def pieces(text: str, pattern, at_once: int = 100_000):
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return [chr(b) if b in prints else chr(256 + rest.index(b)) for b in range(256)]
+
+
+def pieces(text: str, at_once: int = 100_000):
     """Lists of pre-tokens; a long text comes in several."""
     if len(text) <= 1 << 20:
-        yield pattern.findall(text)
+        yield PIECES.findall(text)
         return
-    found = (m.group() for m in pattern.finditer(text))
+    found = (m.group() for m in PIECES.finditer(text))
     while part := list(islice(found, at_once)):
         yield part
 
@@ -63,13 +71,20 @@ class Counter2:
 
     def __init__(self, source: str, frequent: dict[str, int], counting: Counting):
         self.tokenizer, self.frequent, self.counting = load(source), frequent, counting
-        self.pattern, self.cache = regex.compile(public_tokenizers.PATTERN), {}
+        self.model, self.characters, self.cache = self.tokenizer.model, byte_characters(), {}
+
+    def encoded(self, piece: str) -> int:
+        """Tokens of one pre-token."""
+        return len(self.model.tokenize("".join([self.characters[b] for b in piece.encode()])))
 
     def lengths(self, missing: list[str]) -> int:
-        new = [p for p in dict.fromkeys(missing) if p not in self.cache]
+        known = list(map(self.cache.get, missing))
+        if None not in known:
+            return sum(known)
+        new = list(dict.fromkeys(p for p, n in zip(missing, known) if n is None))
         if len(self.cache) + len(new) > self.counting.cached:
             self.cache, new = {}, list(dict.fromkeys(missing))
-        self.cache.update(zip(new, (len(x.ids) for x in self.tokenizer.encode_batch(new, add_special_tokens=False))))
+        self.cache.update((p, self.encoded(p)) for p in new)
         return sum(map(self.cache.__getitem__, missing))
 
     def count(self, text: str | None) -> int:
@@ -79,7 +94,7 @@ class Counter2:
             if UNSURE.search(part):
                 total += len(self.tokenizer.encode(part, add_special_tokens=False).ids)
                 continue
-            for found in pieces(part, self.pattern):
+            for found in pieces(part):
                 known = list(map(self.frequent.get, found))
                 if None in known:
                     total += self.lengths([p for p, n in zip(found, known) if n is None])
@@ -89,21 +104,12 @@ class Counter2:
         return total
 
 
-def frequent_lengths(docs: DataFrame, source: str, counting: Counting) -> dict[str, int]:
-    """Token counts of the pre-tokens that are frequent in a bounded sample of rows."""
-
-    def run(batches):
-        seen, pattern = Counter(), regex.compile(public_tokenizers.PATTERN)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for found in pieces(text or "", pattern):
-                    seen.update(p for p in found if len(p) <= counting.longest)
-            seen = Counter(dict(seen.most_common(8 * counting.frequent)))
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen.most_common(counting.frequent)], pa.string())], ["p"])
-
-    sample = docs.select(F.col("text").cast("string").alias("text")).limit(counting.sample_rows).coalesce(1)
-    tokenizer, found = load(source), [r["p"] for r in sample.mapInArrow(run, "p string").collect()]
-    usual = [p for p in dict.fromkeys(found) if not UNSURE.search(p)]
+def frequent_lengths(source: str, counting: Counting) -> dict[str, int]:
+    """Token counts of the vocabulary's own pre-tokens, the most frequent first."""
+    tokenizer = load(source)
+    ids = range(min(tokenizer.get_vocab_size(with_added_tokens=False), counting.frequent))
+    found = (tokenizer.decode([i]) for i in ids)
+    usual = [p for p in dict.fromkeys(found) if p and "\ufffd" not in p and not UNSURE.search(p) and PIECES.findall(p) == [p]]
     return dict(zip(usual, (len(x.ids) for x in tokenizer.encode_batch(usual, add_special_tokens=False))))
 
 
@@ -117,7 +123,7 @@ def token_counts(docs: DataFrame, counting: Counting = Counting()) -> DataFrame:
     with open(public_tokenizers.path(counting.tokenizer), encoding="utf-8") as f:
         source = f.read()
     common.small_batches(spark)
-    shared = spark.sparkContext.broadcast((source, frequent_lengths(docs, source, counting)))
+    shared = spark.sparkContext.broadcast((source, frequent_lengths(source, counting)))
 
     def run(batches):
         counter = None
