@@ -68,16 +68,12 @@ def _packed(codes: DataFrame, chunk: int, columns: list[str]) -> DataFrame:
     return rows.groupBy("segment", "top", "_chunk").agg(packed.alias("packed")).drop("_chunk")
 
 
-def _ring(radius: int) -> list[tuple[int, int]]:
-    """(mask, bits) of the upper bytes within ``radius``."""
-    return [(m, m.bit_count()) for m in range(256) if m.bit_count() <= radius]
-
-
 def _candidates(chunks: DataFrame, asked: DataFrame, radius: int, search: Search) -> DataFrame:
     """(query, code, least, distance) at distances 4 * radius .. 4 * radius + 3: of each task, a query's k nearest."""
-    spark, k = chunks.sparkSession, search.k
-    masks = F.broadcast(spark.createDataFrame(_ring(radius), "mask int, spent int"))
-    probes = _packed(asked, search.chunk, []).join(masks)  # 256 masks at most
+    k = search.k
+    # every upper byte within the radius, 256 at most
+    probes = _packed(asked, search.chunk, []).select("*", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("mask"))
+    probes = probes.withColumn("spent", F.bit_count("mask")).where(F.col("spent") <= radius)
     probes = probes.select("segment", F.col("top").bitwiseXOR(F.col("mask")).alias("top"), "spent", F.col("packed").alias("queries"))
     met = probes.join(chunks, ["segment", "top"])
 
