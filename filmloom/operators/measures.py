@@ -83,17 +83,16 @@ def remembered_pixels(pixels: DataFrame, radius: int, min_level: float) -> DataF
 def tilt_scores(ink: DataFrame, keys: list[str], max_tilt: float = 8.0, step: float = 2.0, margin: float = 1.2) -> DataFrame:
     """Angle at which the sheared ink (x, y, v) falls into the fewest rows; 0 where no angle clearly wins.
 
-    The grid is a constant of a few angles, joined to every pixel of ink.
+    Every pixel of ink is sheared by each of a few constant angles.
     """
     import math
 
     wide = 3 * max_tilt
     n = int(wide / step)
     grid = [(k * step, math.tan(math.radians(k * step))) for k in range(-n, n + 1)]
-    spark = ink.sparkSession
-    angles = F.broadcast(spark.createDataFrame(grid, "angle double, slope double"))
+    angles = F.array(*[F.struct(F.lit(a).alias("angle"), F.lit(t).alias("slope")) for a, t in grid])
     middle = F.avg("x").over(Window.partitionBy(*keys))
-    sheared = ink.withColumn("_m", middle).crossJoin(angles)
+    sheared = ink.withColumn("_m", middle).select("*", F.inline(angles))
     band = F.rint(F.col("y") - (F.col("x") - F.col("_m")) * F.col("slope"))
     profile = sheared.groupBy(*keys, "angle", band.alias("band")).agg(F.sum("v").alias("s"))
     score = profile.groupBy(*keys, "angle").agg(F.sum(F.col("s") * F.col("s")).alias("score"))
