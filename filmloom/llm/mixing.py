@@ -182,15 +182,15 @@ def repeat_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """``docs`` with every row as often as the mix takes it."""
     keyed = docs.withColumn("_size", word_count(F.col("text")))
     p = plan(docs, mix).select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "n", "whole", "extra"
+        *[F.col(c).alias(n) for c, n in (("doc_id", "_d"), ("source", "_s"), ("size", "_z"), ("n", "_n"), ("whole", "_whole"), ("extra", "_extra"))]
     )
     p = common.with_size_checked_broadcast(common.cut(p, "mix-plan"), 80)
     same = keyed["doc_id"].eqNullSafe(p["_d"]) & keyed["source"].eqNullSafe(p["_s"]) & (keyed["_size"] == p["_z"])
     joined = keyed.join(p, same)
-    alone = joined.where("n = 1").withColumn("_k", F.lit(1))
+    alone = joined.where("_n = 1").withColumn("_k", F.lit(1))
     among = Window.partitionBy("_d", "_s", "_z").orderBy(F.xxhash64("text"))
-    several = joined.where("n > 1").withColumn("_k", F.row_number().over(among))
-    copies = F.col("whole") + F.when(F.col("_k") <= F.col("extra"), 1).otherwise(0)
+    several = joined.where("_n > 1").withColumn("_k", F.row_number().over(among))
+    copies = F.col("_whole") + F.when(F.col("_k") <= F.col("_extra"), 1).otherwise(0)
     both = alone.unionByName(several).withColumn("_copies", copies).where("_copies > 0")
     return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
 

@@ -20,7 +20,7 @@ def odd_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit(1) for c in ("h", "size", "place", "copy", "fp", "slot", "g", "sym")})
+    return df.withColumns({c: F.lit(1) for c in ("h", "size", "place", "copy", "fp", "slot", "g", "sym", "n", "whole", "extra", "copies", "target", "bucket", "kept", "spans", "n_words", "component_id")})
 
 
 @pytest.fixture(scope="session")
