@@ -204,6 +204,7 @@ def symbol_rows(texts: DataFrame, r: Repeats) -> DataFrame:
 def symbol_strings(symbols: DataFrame) -> DataFrame:
     """(h, i, place, sym, ctx, c1, c2): symbols seen twice or more, numbered within runs; 0 ends a run."""
     often = symbols.groupBy("sym").agg(F.count("*").alias("n")).where("n > 1").select("sym")
+    often = common.cut(often, "symbols-seen-twice")  # a table of its own, so that a frequent symbol's join can be split
     kept = symbols.join(often, "sym").select("h", "place", "sym", "ctx")
 
     def work(h, packed, sym, ctx):
