@@ -456,7 +456,9 @@ def repeated(docs: DataFrame, r: Repeats = Repeats()) -> tuple[int, DataFrame, D
     upto = Window.partitionBy("h").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.withColumn("_k", F.sum(new).over(upto)).groupBy("h", "_k").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     spans = joined.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
-    return seed, copies, common.cut(spans, "stretches")
+    spans = common.cut(spans, "stretches")
+    common.drop(strings, ranks, found, ends)
+    return seed, copies, spans
 
 
 def cleaned(docs: DataFrame, r: Repeats = Repeats(), others: tuple[str, ...] = ()) -> DataFrame:
