@@ -24,11 +24,11 @@ DISTANCE = 3
 CROWDED = 2048
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """SimHash of a text's word shingles; 0 if it has no word."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's word shingles, one for each place; a shorter text is one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     joined, ends, at = b" ".join(words), [], -1
     for w in words:
@@ -37,7 +37,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     starts = [0, *(e + 1 for e in ends)]
     last = min(shingle, len(words)) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[starts[i] : ends[i + last]], SEED) for i in range(n)), np.uint64, n)
+    return np.fromiter((digest(joined[starts[i] : ends[i + last]], SEED) for i in range(n)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """SimHash of a text's word shingles; 0 if it has no word."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -177,28 +185,35 @@ def near_duplicates(
     return prints.join(ids, prints["fp"] == ids["_fp"], "left").select("doc_id", *others, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _k1 and _k2, by which a row is known."""
     key = F.struct("doc_id", "text")
-    keyed = docs.withColumns({"_k1": F.xxhash64(key), "_k2": F.xxhash64(F.lit(1), key)})
-    found = common.cut(near_duplicates(keyed, shingle, distance, ("_k1", "_k2")), "near-duplicates")
-    # a group without any doc_id is known by its fingerprint
-    rows = found.select(
-        F.when(F.col("component_id").isNull(), F.xxhash64("fp")).otherwise(F.col("component_id")).alias("g"),
-        F.col("component_id").isNull().alias("none"),
-        F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_k1", "_k2").alias("row"),
-    )
-    first = rows.groupBy("g", "none").agg(F.min("row").alias("first"))
-    marked = rows.groupBy("g", "none", "row").agg(F.count("*").alias("n")).join(first, ["g", "none"])
+    return docs.withColumns({"_k1": F.xxhash64(key), "_k2": F.xxhash64(F.lit(1), key)})
+
+
+def firsts(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows``, which are keyed, without all but the smallest doc_id of each group of ``found`` (g, none, doc_id, _k1, _k2)."""
+    found = found.select("g", "none", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_k1", "_k2").alias("row"))
+    first = found.groupBy("g", "none").agg(F.min("row").alias("first"))
+    marked = found.groupBy("g", "none", "row").agg(F.count("*").alias("n")).join(first, ["g", "none"])
     marked = common.cut(marked.select("row._k1", "row._k2", "n", (F.col("row") == F.col("first")).alias("stays")), "marked")
     stays, gone = marked.where("stays"), marked.where("not stays").select("_k1", "_k2")
-    out = keyed.join(common.with_size_checked_broadcast(gone, 32), ["_k1", "_k2"], "left_anti")
+    out = rows.join(common.with_size_checked_broadcast(gone, 32), ["_k1", "_k2"], "left_anti")
     again = stays.where("n > 1").select("_k1", "_k2")
     if again.head(1):  # the same row several times
         again = common.with_size_checked_broadcast(again, 32)
         several = out.join(again, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
         out = out.join(again, ["_k1", "_k2"], "left_anti").unionByName(several)
-    return out.select(*docs.columns)
+    return out.drop("_k1", "_k2")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id."""
+    rows = keyed(docs)
+    found = common.cut(near_duplicates(rows, shingle, distance, ("_k1", "_k2")), "near-duplicates")
+    # a group without any doc_id is known by its fingerprint
+    g = F.when(F.col("component_id").isNull(), F.xxhash64("fp")).otherwise(F.col("component_id"))
+    return firsts(rows, found.select(g.alias("g"), F.col("component_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).select(*docs.columns)
 
 
 def query(spark, sf_dir) -> DataFrame:
