@@ -59,6 +59,15 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _once(words: list[bytes], first: int, end: int) -> dict[bytes, int]:
+    """The place of each word in words[first:end], in order; -1 of those that occur again."""
+    at: dict[bytes, int] = {}
+    for k in range(first, end):
+        w = words[k]
+        at[w] = -1 if w in at else k
+    return at
+
+
 def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     """Matched places (in a, in b), increasing in both."""
     out, todo = [], [(0, len(a), 0, len(b))]
@@ -72,9 +81,8 @@ def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
             out.append((a1, b1))
         if a0 >= a1 or b0 >= b1:
             continue
-        once_a, once_b = Counter(a[a0:a1]), Counter(b[b0:b1])
-        at_b = {w: k for k, w in enumerate(b[b0:b1], b0) if once_b[w] == 1}
-        anchors = increasing([(k, at_b[w]) for k, w in enumerate(a[a0:a1], a0) if once_a[w] == 1 and w in at_b])
+        at_a, at_b = _once(a, a0, a1), _once(b, b0, b1)
+        anchors = increasing([(k, at_b[w]) for w, k in at_a.items() if k >= 0 and at_b.get(w, -1) >= 0])
         if anchors:
             out += anchors
             ends = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
@@ -86,62 +94,140 @@ def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
 class Template:
     name: str
     words: list[bytes]
-    keys: dict[bytes, int] = field(default_factory=dict)
+    seeds: dict[bytes, int] = field(default_factory=dict)
+    counts: Counter = field(default_factory=Counter)
+
+
+@dataclass(frozen=True)
+class Notice:
+    cover: float
+    size: int
+    name: str
+    first: int
+    end: int
+
 
+#: In templates of fewer words, inserted text longer than the template ends a notice, for their words meet by chance.
+SHORT = 20
 
-def templates(texts: dict[str, str], keys: int = 3) -> list[Template]:
-    """Templates with up to ``keys`` of their longest words that they hold once."""
+
+def templates(texts: dict[str, str]) -> list[Template]:
+    """Templates with the places of all words that they hold once."""
     out = []
     for name, text in texts.items():
         words = tokens(text)
-        once = [w for w, n in Counter(words).items() if n == 1]
-        chosen = sorted(once, key=lambda w: (-len(w), w))[:keys]
-        out.append(Template(name, words, {w: words.index(w) for w in chosen}))
+        counts = Counter(words)
+        out.append(Template(name, words, {w: k for k, w in enumerate(words) if counts[w] == 1}, counts))
     return out
 
 
-def scan(words: list[bytes], known: list[Template], least: float) -> tuple[str | None, float, int, int]:
-    """(template, coverage, first word, end word) that covers best; the longer template wins a tie.
+def vocabulary_of(known: list[Template]) -> set[bytes]:
+    return {w for t in known for w in t.words}
+
+
+def _chained(words: list[bytes], t: Template, chain: list[tuple[int, int]]) -> Notice:
+    """The notice on a chain of (place in words, place in template), the gaps between aligned."""
+    slack = len(t.words) // 4 + 2
+    (i, j), (k, m) = chain[0], chain[-1]
+    ends = [(max(-1, i - j - slack), -1), *chain, (min(len(words), k + len(t.words) - m + slack), len(t.words))]
+    found = list(chain)
+    for (i, j), (k, m) in zip(ends, ends[1:]):
+        if m > j + 1 and k > i + 1:
+            found += [(i + 1 + x, j + 1 + y) for x, y in align(words[i + 1 : k], t.words[j + 1 : m])]
+    places = [x for x, _ in found]
+    return Notice(len(found) / len(t.words), len(t.words), t.name, min(places), max(places) + 1)
+
+
+def scan(words: list[bytes], known: list[Template], least: float, vocabulary: set[bytes] | None = None) -> tuple[Notice | None, list[Notice]]:
+    """The notice that covers best (the longer template wins a tie) and all that reach ``least``.
 
     A stretch as long as the template and half as much again is tried around
-    every place of a key word, so one notice of several is aligned alone.
+    every place of every word that the template holds once, so one notice of
+    several is aligned alone. Stretches are tried in the order of how many of
+    the template's words they hold, which bounds what they can cover. Then the
+    longest chains of such words are tried, whatever text lies between.
+    Notices of one template do not overlap.
     """
-    places: dict[bytes, list[int]] = {w: [] for t in known for w in t.keys}
-    if places.keys().isdisjoint(words):
-        return None, 0.0, -1, -1
+    vocabulary = vocabulary_of(known) if vocabulary is None else vocabulary
+    at: dict[bytes, list[int]] = {}
     for k, w in enumerate(words):
-        if w in places:
-            places[w].append(k)
-    best = (0.0, 0, None, -1, -1)
-    for t in known:
-        slack = len(t.words) // 4 + 2
-        starts = {max(0, k - at - slack) for w, at in t.keys.items() for k in places[w]}
-        for start in sorted(starts):
-            found = align(words[start : start + len(t.words) + 2 * slack], t.words)
+        if w in vocabulary:
+            at.setdefault(w, []).append(k)
+    best, reached = None, []
+    bounds = [(sum([min(n, len(at[w])) for w, n in t.counts.items() if w in at]) / len(t.words), t) for t in known]
+    for most, t in sorted(bounds, key=lambda x: (-x[0], -len(x[1].words))):
+        size, own = len(t.words), []
+        if not most or (most < least and best is not None and (most, size) <= (best.cover, best.size)):
+            continue
+        slack = size // 4 + 2
+        hits = sorted([(k, j) for w, j in t.seeds.items() if w in at for k in at[w]])
+        places = sorted([k for w in t.counts if w in at for k in at[w]])
+        stretches = {(bisect_left(places, s), bisect_left(places, s + size + 2 * slack)) for s in {k - j - slack for k, j in hits}}
+        tried = []
+        for i, j in stretches:
+            bound = min(j - i, size)
+            if bound >= least * size or best is None or (bound / size, size) > (best.cover, best.size):
+                part = Counter([words[k] for k in places[i:j]])
+                tried.append((-sum([min(n, t.counts[w]) for w, n in part.items()]), i, j))
+        for bound, i, j in sorted(tried):
+            if -bound < least * size and best is not None and (-bound / size, size) <= (best.cover, best.size):
+                break
+            # other words than the template's never match
+            found = align([words[k] for k in places[i:j]], t.words)
             if found:
-                cover = len(found) / len(t.words)
-                if (cover, len(t.words)) > best[:2]:
-                    best = (cover, len(t.words), t.name, start + found[0][0], start + found[-1][0] + 1)
-    cover, _, name, first, end = best
-    return (name, cover, first, end) if cover >= least else (None, cover, -1, -1)
+                notice = Notice(len(found) / size, size, t.name, places[i + found[0][0]], places[i + found[-1][0]] + 1)
+                own.append(notice)
+                if best is None or (notice.cover, size) > (best.cover, best.size):
+                    best = notice
+        if most < least:
+            continue
+        while hits:
+            taken = [(n.first, n.end) for n in own if n.cover >= least]
+            hits = [(k, j) for k, j in hits if not any(a <= k < b for a, b in taken)]
+            parts, part = [], []
+            for k, j in hits:
+                if part and size < SHORT and k - part[-1][0] > size:
+                    parts, part = [*parts, part], []
+                part.append((k, j))
+            chained = [_chained(words, t, increasing(x)) for x in [*parts, part] if len(x) > 1]
+            own += chained
+            for notice in chained:
+                if best is None or (notice.cover, size) > (best.cover, best.size):
+                    best = notice
+            if not any(n.cover >= least for n in chained):
+                break
+        chosen: list[Notice] = []
+        for n in sorted((n for n in own if n.cover >= least), key=lambda n: (-n.cover, n.end - n.first, n.first)):
+            if all(n.end <= m.first or m.end <= n.first for m in chosen):
+                chosen.append(n)
+        reached += chosen
+    return best, sorted(reached, key=lambda n: (n.first, n.end, n.name))
 
 
 def license_scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, least: float = 0.8) -> DataFrame:
-    """doc_id, n_words, license, coverage, first_word, end_word of every row.
+    """doc_id, n_words, license, coverage, first_word, end_word, notices of every row.
 
+    ``notices`` are all that reach ``least`` (license, coverage, first_word,
+    end_word), in the order of the text; the other columns have the best.
     license is null and the words -1 where no template reaches ``least``; the
     best coverage is given all the same. Null and blank texts have coverage 0;
     repeated rows are scanned each; whole texts are scanned, whatever their length.
     """
     known = templates(texts)
+    vocabulary = vocabulary_of(known)
+    item = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
                 words = tokens(text)
-                rows.append((len(words), *scan(words, known, least)))
-            n, name, cover, first, end = zip(*rows) if rows else [()] * 5
+                best, reached = scan(words, known, least, vocabulary)
+                cover = best.cover if best else 0.0
+                name, first, end = (best.name, best.first, best.end) if cover >= least else (None, -1, -1)
+                notices = [{"license": n.name, "coverage": round(n.cover, 6), "first_word": n.first, "end_word": n.end} for n in reached]
+                rows.append((len(words), name, cover, first, end, notices))
+            n, name, cover, first, end, notices = zip(*rows) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -150,12 +236,13 @@ def license_scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, least: floa
                     pa.array([round(c, 6) for c in cover], pa.float64()),
                     pa.array(first, pa.int64()),
                     pa.array(end, pa.int64()),
+                    pa.array(notices, item),
                 ],
-                ["doc_id", "n_words", "license", "coverage", "first_word", "end_word"],
+                ["doc_id", "n_words", "license", "coverage", "first_word", "end_word", "notices"],
             )
 
     common.small_batches(docs.sparkSession)
-    schema = "doc_id long, n_words long, license string, coverage double, first_word long, end_word long"
+    schema = "doc_id long, n_words long, license string, coverage double, first_word long, end_word long, notices array<struct<license:string,coverage:double,first_word:bigint,end_word:bigint>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
