@@ -27,7 +27,8 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 class Rules:
     """Parameters of the rules.
 
-    ``support`` of a group's rows carry its estimate; ``inflate`` makes the
+    ``support`` of a group's rows carry its estimate, half of them so that a
+    third of junk, however alike, can't; ``inflate`` makes the
     scatter of that share consistent for normal data in four dimensions.
     ``cutoff`` bounds the squared distance (chi-square with four degrees of
     freedom exceeds it with probability 1e-6). ``floors`` are the
@@ -39,8 +40,8 @@ class Rules:
     min_words: int = 10
     max_repeat_percent: int = 20
     window: int = 5
-    support: float = 0.75
-    inflate: float = 1.49
+    support: float = 0.5
+    inflate: float = 2.11
     steps: int = 4
     cutoff: float = 33.4
     floors: tuple[float, ...] = (0.08, 0.10, 0.12, 0.08)
