@@ -12,14 +12,15 @@ repeats:
    the corpus can't lie in a repeat and end a run; what is left is a
    collection of strings of symbols.
 2. Difference cover. Suffixes at places 1 and 2 modulo 3 are sampled; their
-   triples of symbols are sorted and named, and the names' triples sorted
-   again, which ranks them by nine symbols, more than a string spans on
-   average. The remaining suffixes (place 0) are merged by (symbol, rank of
-   the next) against place 1 and by (two symbols, rank of the one after)
-   against place 2. Adjacent suffixes in these orders are compared: what they
-   share are repeats.
+   triples of symbols are sorted and named, the names' triples sorted and
+   named again, and so on until names seen twice span ``length`` bytes. The
+   remaining suffixes (place 0) are merged by (symbol, rank of the next)
+   against place 1 and by (two symbols, rank of the one after) against
+   place 2. Adjacent suffixes in these orders are compared: stretches of
+   symbols that they share are repeats, and a string that holds more symbols
+   than its suffix shares with a neighbour is none.
 3. Ends. Where a repeat ends between anchors, the strings of ``length`` bytes
-   that an anchor owns are compared one by one within the anchor's symbol.
+   that the order leaves open are compared within their anchor's symbol.
 
 All sorts and regroupings are Spark shuffles of narrow rows of numbers; a
 task holds one text's anchors or a stretch of sorted rows at a time.
@@ -45,6 +46,8 @@ STRETCH = 1 << 19
 APART = 30
 #: Symbols with more distinct surroundings than this have their strings dealt out by digest.
 CROWDED = 1024
+#: Surroundings seen more often than this meet their rows by a broadcast; there is at most one for so many rows.
+FREQUENT = 4096
 
 
 @dataclass(frozen=True)
@@ -60,12 +63,15 @@ class Repeats:
 
 
 def anchors(text: bytes, r: Repeats):
-    """Arrays (place, first, last): each anchor and the strings of ``length`` bytes it owns."""
+    """Arrays (place, first, last): the anchors whose symbols lie in the text, and the windows that have them.
+
+    Windows go on to the end of the text, so that a string has the same anchors
+    wherever it stands.
+    """
     parts = []
-    for base in range(0, max(len(text) - r.length + 1, 0), STRETCH):
-        part = text[base : base + STRETCH + r.length - 1]
-        starts = len(part) - r.length + 1
-        n = len(part) - 7
+    for base in range(0, max(len(text) - r.window - 6, 0), STRETCH):
+        part = text[base : base + STRETCH + r.window + 6]
+        starts, n = len(part) - r.window - 6, len(part) - 7
         key = np.empty(n, np.uint64)
         for o in range(8):
             key[o::8] = np.frombuffer(part, "<u8", offset=o, count=(len(part) - o) // 8)
@@ -83,16 +89,21 @@ def anchors(text: bytes, r: Repeats):
         parts.append((place[first] + base, first + base, last + base))
     if not parts:
         return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*parts))
+    place, first, last = (np.concatenate(x) for x in zip(*parts))
+    new = np.r_[True, place[1:] != place[:-1]]  # an anchor of two stretches is one
+    place, first, last = place[new], first[new], last[np.r_[np.flatnonzero(new)[1:] - 1, len(new) - 1]]
+    fits = place + r.body <= len(text)
+    return place[fits], first[fits], last[fits]
 
 
-def _packed(place, first, last):
-    return place << 14 | (place - first) << 7 | (place - last)
+def _packed(place, first, last, clipped=0):
+    return place << 22 | clipped << 14 | (place - first) << 7 | (place - last)
 
 
 def _unpacked(packed):
-    place = packed >> 14
-    return place, place - (packed >> 7 & 127), place - (packed & 127)
+    """place, first, last, and how many of the windows up to last begin too late for a whole string."""
+    place = packed >> 22
+    return place, place - (packed >> 7 & 127), place - (packed & 127), packed >> 14 & 255
 
 
 def _batch(schema: str, columns) -> pa.RecordBatch:
@@ -137,8 +148,8 @@ def _by_text(rows: DataFrame, order: list[str], schema: str, work) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h", *order).mapInArrow(run, schema)
 
 
-def _by_order(rows: DataFrame, keys: list[str], results: str, work) -> DataFrame:
-    """(h, i) of ``rows`` with what ``work`` finds for their keys, long columns ``results``.
+def _by_order(rows: DataFrame, keys: list[str], others: list[str], results: str, work) -> DataFrame:
+    """``others`` of ``rows`` with what ``work`` finds for their keys, long columns ``results``.
 
     Equal keys are counted together first, so that a key of many rows is one
     row; the distinct keys are range-partitioned and sorted, and ``work(columns,
@@ -157,7 +168,7 @@ def _by_order(rows: DataFrame, keys: list[str], results: str, work) -> DataFrame
     distinct = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     found = distinct.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
     same = [rows[k] == found[o] for k, o in zip(keys, out)]
-    return rows.join(found, same).select("h", "i", *results.split(", "))
+    return rows.join(found, same).select(*[rows[c] for c in others], *results.split(", "))
 
 
 def _with_next(shared_with_next: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -188,11 +199,12 @@ def symbol_rows(texts: DataFrame, r: Repeats) -> DataFrame:
                 b = text.encode()
                 place, first, last = anchors(b, r)
                 if len(place):
-                    p, f, e = place.tolist(), first.tolist(), last.tolist()
+                    clipped = np.clip(last - (len(b) - r.length), 0, r.window)
+                    p, f, e = place.tolist(), first.tolist(), (last - clipped).tolist()
                     sym = np.fromiter((digest(b[x : x + r.body]) for x in p), np.uint64, len(p)).view(np.int64)
-                    ctx = [digest(b[x : y + r.length], (z - x) << 8 | (y - x)) for x, y, z in zip(f, e, p)]
+                    ctx = [digest(b[x : y + r.length], (z - x) << 8 | max(y - x + 1, 0)) for x, y, z in zip(f, e, p)]
                     sym[sym == 0] = 1
-                    out.append((sym, np.array(ctx, np.uint64).view(np.int64), np.full(len(p), h), _packed(place, first, last)))
+                    out.append((sym, np.array(ctx, np.uint64).view(np.int64), np.full(len(p), h), _packed(place, first, last, clipped)))
             if out:
                 whole = [np.concatenate(x) for x in zip(*out)]
                 for at in range(0, len(whole[0]), 100_000):
@@ -210,7 +222,7 @@ def symbol_strings(symbols: DataFrame) -> DataFrame:
     def work(h, packed, sym, ctx):
         once = np.r_[True, (h[1:] != h[:-1]) | (packed[1:] != packed[:-1])]
         h, packed, sym, ctx = (x[once] for x in (h, packed, sym, ctx))
-        _, first, last = _unpacked(packed)
+        _, first, last, _ = _unpacked(packed)
         text = np.r_[True, h[1:] != h[:-1]]
         run = text | np.r_[True, first[1:] != last[:-1] + 1]
         at, runs = np.arange(len(h)), np.cumsum(run)
@@ -224,42 +236,68 @@ def symbol_strings(symbols: DataFrame) -> DataFrame:
     return _by_text(kept, ["place"], schema, work)
 
 
-def sampled_ranks(strings: DataFrame) -> DataFrame:
-    """(h, i, rank, lcp) of the suffixes at places 1 and 2 modulo 3.
+def _in_common(sym, c1, c2, same=True):
+    """Symbols that neighbours in an order share at their start, three at most."""
+    a = (sym[1:] == sym[:-1]) & same
+    b = a & (c1[1:] == c1[:-1]) & (c1[1:] != 0)
+    c = b & (c2[1:] == c2[:-1]) & (c2[1:] != 0)
+    return a.astype(np.int64) + b + c
 
-    lcp: symbols shared with a neighbour in the order, counted in threes.
-    """
-    triples = strings.where("i % 3 <> 0").select("sym", "c1", "c2", "h", "i")
 
-    def name(columns, n, before):
-        return [np.arange(len(n)) + before]
+def sampled_ranks(strings: DataFrame, r: Repeats) -> tuple[int, DataFrame]:
+    """How many symbols the names span, and (h, i, rank, lcp) of the suffixes at places 1 and 2 modulo 3.
 
-    named = _by_order(triples, ["sym", "c1", "c2"], "name", name)
-
-    def names_of(h, i, name):
-        return name, _next_at(h, i, 3, name), _next_at(h, i, 6, name), h, i
-
-    again = _by_text(named, ["i"], "n0 long, n3 long, n6 long, h long, i long", names_of)
+    Triples are named in their order, then triples of names, and so on, until
+    names that occur again span a string of ``length`` bytes or reach the end
+    of their run. lcp is what a suffix shares at most with any other sampled
+    one: exact up to three symbols, then no more than there is.
+    """
+    three = ["sym", "c1", "c2"]
+    triples = strings.where("i % 3 <> 0").select(*three, "h", "i", F.shiftright("place", 22).alias("at"))
 
-    def rank(columns, n, before):
-        n0, n3, n6 = columns
-        a = n0[1:] == n0[:-1]
-        b = a & (n3[1:] == n3[:-1]) & (n3[1:] > 0)
-        own = np.where(n > 1, 3 * (1 + (n3 > 0) + (n6 > 0)), 0)
-        return np.arange(len(n)) + before, _with_next(3 * (a.astype(np.int64) + b), own)
+    def name(columns, n, before):
+        return [np.arange(len(n)) + before, np.zeros(len(n), np.int64)]
 
-    return _by_order(again, ["n0", "n3", "n6"], "rank, lcp", rank)
+    named, depth = _by_order(triples, three, ["h", "i", "at", *three], "name, lcp", name), 3
 
+    while True:
 
-def merged(strings: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(h, i, lcp): place 0 merged with place 1 (list 1) and with place 2 (list 2), neighbours compared."""
-    rows = strings.select("h", "i", F.lit(0).cast("long").alias("rank"), "sym", "c1").union(
-        ranks.select("h", "i", "rank", F.lit(0).cast("long"), F.lit(0).cast("long"))
-    )
+        def names_of(h, i, at, sym, c1, c2, name, lcp, by=depth):
+            last = _next_at(h, i, 2 * by, name)
+            # what three names span at least; without a third they reach their run's end
+            span = np.where(last > 0, _next_at(h, i, 2 * by, at) + r.body - at, r.length)
+            return name, _next_at(h, i, by, name), last, sym, c1, c2, h, i, at, span, lcp
+
+        def rank(columns, n, before, by=depth):
+            n0, n1, n2, *firsts = columns
+            a = n0[1:] == n0[:-1]
+            b = a & (n1[1:] == n1[:-1]) & (n1[1:] > 0)
+            own = np.where(n > 1, by * (1 + (n1 > 0) + (n2 > 0)), 0)
+            near = np.where(a, by * (a.astype(np.int64) + b), _in_common(*firsts))
+            return np.arange(len(n)) + before, _with_next(near, own), n
+
+        keys, kept = ["n0", "n1", "n2", *three], ["h", "i", "at", *three, "span", "lcp"]
+        schema = ", ".join(f"{c} long" for c in ["n0", "n1", "n2", *three, "h", "i", "at", "span", "lcp"])
+        again = _by_text(named.select("h", "i", "at", *three, "name", "lcp"), ["i"], schema, names_of)
+        ranked = _by_order(again, keys, kept, "name, more, n", rank)
+        ranked = ranked.withColumn("lcp", F.greatest("lcp", "more")).drop("more")
+        ranked, depth = common.cut(ranked, "sampled-ranks"), 3 * depth
+        if not ranked.where((F.col("n") > 1) & (F.col("span") < r.length)).head(1):
+            return depth, ranked.select("h", "i", F.col("name").alias("rank"), "lcp")
+        named = ranked
+
+
+def merged(strings: DataFrame, ranks: DataFrame, depth: int) -> DataFrame:
+    """(h, i, lcp): place 0 merged with place 1 (list 1) and with place 2 (list 2), neighbours compared.
+
+    ``depth`` is how many symbols equal ranks have in common, unless their run ends before.
+    """
+    none = F.lit(0).cast("long")
+    rows = strings.select("h", "i", none.alias("rank"), "sym", "c1", "c2").union(ranks.select("h", "i", "rank", none, none, none))
 
-    def keys(h, i, rank, sym, c1):
+    def keys(h, i, rank, sym, c1, c2):
         new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (i[1:] != i[:-1])])
-        rank, sym, c1 = (np.add.reduceat(x, new) for x in (rank, sym, c1))
+        rank, sym, c1, c2 = (np.add.reduceat(x, new) for x in (rank, sym, c1, c2))
         h, i = h[new], i[new]
         one, two = i % 3 != 2, i % 3 != 1
         after, later = _next_at(h, i, 1, rank), _next_at(h, i, 2, rank)
@@ -268,20 +306,21 @@ def merged(strings: DataFrame, ranks: DataFrame) -> DataFrame:
             np.r_[sym[one], sym[two]],
             np.r_[np.zeros(one.sum(), np.int64), c1[two]],
             np.r_[after[one], later[two]],
+            np.r_[c1[one], c1[two]],
+            np.r_[c2[one], c2[two]],
             np.r_[h[one], h[two]],
             np.r_[i[one], i[two]],
         )
 
-    keyed = _by_text(rows, ["i"], "list long, sym long, c1 long, rank long, h long, i long", keys)
+    by = ["list", "sym", "second", "rank", "c1", "c2"]  # the last two follow from the others
+    keyed = _by_text(rows, ["i"], ", ".join(f"{c} long" for c in [*by, "h", "i"]), keys)
 
     def compare(columns, n, before):
-        which, sym, c1, rank = columns
-        a = (which[1:] == which[:-1]) & (sym[1:] == sym[:-1])
-        b = a & (c1[1:] == c1[:-1]) & (c1[1:] != 0)
-        own = np.where(n > 1, 1 + (c1 != 0) + 3 * (rank > 0), 0)
-        return [_with_next(a.astype(np.int64) + b, own)]
+        which, sym, _, rank, c1, c2 = columns
+        own = np.where(n > 1, which + np.where(rank > 0, depth, 0), 0)
+        return [_with_next(_in_common(sym, c1, c2, which[1:] == which[:-1]), own)]
 
-    return _by_order(keyed, ["list", "sym", "c1", "rank"], "lcp", compare)
+    return _by_order(keyed, by, ["h", "i"], "lcp", compare)
 
 
 def shared(strings: DataFrame, compared: DataFrame, r: Repeats) -> DataFrame:
@@ -289,6 +328,9 @@ def shared(strings: DataFrame, compared: DataFrame, r: Repeats) -> DataFrame:
 
     kind 0: strings of ``length`` bytes that start at sym .. ctx are repeats.
     kind 1 and 2: an anchor all of whose strings lie in such stretches, or not.
+    A string holds as many symbols as there are anchors in its first window;
+    strings that hold more than their suffix shares with its neighbours in the
+    order are no repeats, so they are left out.
     """
     none = F.lit(0).cast("long")
     rows = strings.select("h", "i", "place", "sym", "ctx", none.alias("lcp")).union(
@@ -300,13 +342,17 @@ def shared(strings: DataFrame, compared: DataFrame, r: Repeats) -> DataFrame:
         lcp = np.maximum.reduceat(lcp, new)
         packed, sym, ctx = (np.add.reduceat(x, new) for x in (packed, sym, ctx))
         h, i = h[new], i[new]
-        place, first, last = _unpacked(packed)
+        place, first, last, clipped = _unpacked(packed)
+        last = last - clipped
         at = np.arange(len(h))
         end_of_run = np.flatnonzero(np.r_[(h[1:] != h[:-1]) | (i[1:] != i[:-1] + 1), True])
         final = np.minimum(at + np.maximum(lcp, 1) - 1, end_of_run[np.searchsorted(end_of_run, at)])
         until = place[final] + r.body - r.length
         good = (lcp > 0) & (until >= place)
         text = np.cumsum(np.r_[True, h[1:] != h[:-1]])
+        beyond = at + np.minimum(lcp, 3)
+        known = (lcp < 3) & (beyond <= end_of_run[np.searchsorted(end_of_run, at)])
+        high = np.where(known, np.minimum(last, place[np.minimum(beyond, len(h) - 1)] - r.window), last)
         g, a, b = text[good] << 40, place[good], until[good]
         if len(a):  # joined to stretches, text by text
             reach = np.maximum.accumulate(g + b)
@@ -314,25 +360,43 @@ def shared(strings: DataFrame, compared: DataFrame, r: Repeats) -> DataFrame:
             s0 = np.flatnonzero(split)
             starts, ends = (g + a)[s0], reach[np.r_[s0[1:] - 1, len(a) - 1]]
             k = np.searchsorted(starts, (text << 40) + first, "right") - 1
-            inside = (k >= 0) & (ends[np.maximum(k, 0)] >= (text << 40) + last)
+            inside = (k >= 0) & (ends[np.maximum(k, 0)] >= (text << 40) + high)
             who, lo, hi = h[good][s0], a[s0], ends - g[s0]
         else:
             inside, who, lo, hi = np.zeros(len(h), bool), h[:0], h[:0], h[:0]
-        z = np.zeros(len(who), np.int64)
-        return np.r_[who, h], np.r_[z, packed], np.r_[lo, sym], np.r_[hi, ctx], np.r_[z, 2 - inside.astype(np.int64)]
+        z, may = np.zeros(len(who), np.int64), (lcp > 0) & (high >= first)
+        packed, kind = _packed(place[may], first[may], high[may]), 2 - inside.astype(np.int64)
+        return np.r_[who, h[may]], np.r_[z, packed], np.r_[lo, sym[may]], np.r_[hi, ctx[may]], np.r_[z, kind[may]]
 
     return _by_text(rows, ["i"], "h long, place long, sym long, ctx long, kind long", work)
 
 
-def _open_strings(texts: DataFrame, found: DataFrame, r: Repeats) -> DataFrame:
+def _islands(places: list[int]):
+    """Runs (first, last) of sorted whole numbers."""
+    begin = prev = places[0]
+    for a in [*places[1:], None]:
+        if a is None or a > prev + 1:
+            yield begin, prev
+            begin = a
+        prev = a
+
+
+def _joined(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, low, high): the ranges of each key, those that meet or overlap joined."""
+    within = Window.partitionBy(*keys).orderBy("low", "high")
+    reach = F.max("high").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.select("*", reach.alias("_reach"))
+    new = F.coalesce(F.col("low") > F.col("_reach") + 1, F.lit(True)).cast("int")
+    rows = rows.withColumn("_k", F.sum(new).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*keys, "_k").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("_k")
+
+
+def _open_strings(texts: DataFrame, each: DataFrame, r: Repeats) -> DataFrame:
     """(sym, ctx, low, high): repeated strings, as offsets from the anchor, of surroundings seen once.
 
     Strings are compared only within their anchor's symbol, each surroundings
     (all bytes of the strings that the anchor owns) once.
     """
-    each = found.where("kind > 0").groupBy("sym", "ctx").agg(
-        F.count("*").alias("n"), F.max("kind").alias("kind"), F.min(F.struct("h", "place")).alias("at")
-    )
     unsure = (F.col("n") == 1) & (F.col("kind") == 2)
     of_symbol = each.groupBy("sym").agg(F.max(unsure).alias("need"), F.count("*").alias("many")).where("need")
     asked = each.join(of_symbol.select("sym", "many"), "sym").select("sym", "ctx", "at", "many")
@@ -342,57 +406,58 @@ def _open_strings(texts: DataFrame, found: DataFrame, r: Repeats) -> DataFrame:
     lists = common.cut(lists, "passage-ends")
     texts = common.maybe_among(texts, lists, "h")
     lists = common.with_size_checked_broadcast(lists, 48, "asked", 56)
-    schema = "sym long, sub long, ctx long, low long, bytes binary"
+    schema = "sym long, sub long, ctx long, low long, high long, bytes binary"
+    types = [pa.int64()] * 5 + [pa.binary()]
 
     def strings(batches):
         for batch in batches:
-            out = []
+            out, first_with, spans = [], {}, {}
             for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 b = text.encode()
                 for x in asked:
-                    place, first, last = _unpacked(x["place"])
+                    place, first, last, _ = _unpacked(x["place"])
+                    sym, ctx = x["sym"], x["ctx"]
                     if not x["hot"]:
-                        out.append((x["sym"], 0, x["ctx"], first - place, b[first : last + r.length]))
+                        out.append((sym, 0, ctx, first - place, 0, b[first : last + r.length]))
                         continue
+                    # a crowded symbol's strings are dealt out one by one, equal ones of a batch once
                     for s in range(first, last + 1):
-                        d = xxhash.xxh3_128_digest(b[s : s + r.length])
-                        out.append((x["sym"], int.from_bytes(d[:8], "big", signed=True) | 1, x["ctx"], s - place, d))
-                while len(out) > 4096:
-                    yield _batch(schema, [pa.array(c, t) for c, t in zip(zip(*out[:4096]), TYPES)])
-                    out = out[4096:]
-            if out:
-                yield _batch(schema, [pa.array(c, t) for c, t in zip(zip(*out), TYPES)])
+                        d, here = xxhash.xxh3_128_digest(b[s : s + r.length]), (sym, ctx, s - place)
+                        known = first_with.setdefault((sym, d), here)
+                        if known is here:
+                            out.append((sym, int.from_bytes(d[:8], "big", signed=True) | 1, ctx, s - place, 0, d))
+                        else:
+                            for y in (known, here):
+                                spans.setdefault(y[:2], set()).add(y[2])
+            for (sym, ctx), lows in spans.items():
+                out += [(sym, ctx | 1, ctx, low, high, None) for low, high in _islands(sorted(lows))]
+            for k in range(0, len(out), 4096):
+                yield _batch(schema, [pa.array(c, t) for c, t in zip(zip(*out[k : k + 4096]), types)])
 
-    TYPES = [pa.int64()] * 4 + [pa.binary()]
     rows = texts.join(lists, "h").select("text", "asked").mapInArrow(strings, schema)
 
     def twice(columns):
-        sym, sub, ctx, low, data = columns
+        sym, sub, ctx, low, high, data = columns
         new = np.flatnonzero(np.r_[True, (sym[1:] != sym[:-1]) | (sub[1:] != sub[:-1])])
         out = []
         for s, e in zip(new.tolist(), [*new[1:].tolist(), len(sym)]):
             seen: dict[bytes, list] = {}
             for k in range(s, e):
                 b = data[k]
-                if sub[k]:
+                if b is None:  # known already
+                    out.append((int(sym[k]), int(ctx[k]), int(low[k]), int(high[k])))
+                elif sub[k]:
                     seen.setdefault(b, []).append((k, int(low[k])))
-                    continue
-                for a in range(len(b) - r.length + 1):
-                    d = xxhash.xxh3_128_digest(b[a : a + r.length])
-                    seen.setdefault(d, []).append((k, int(low[k]) + a))
+                else:
+                    for a in range(len(b) - r.length + 1):
+                        seen.setdefault(xxhash.xxh3_128_digest(b[a : a + r.length]), []).append((k, int(low[k]) + a))
             hits: dict[int, list[int]] = {}
             for who in seen.values():
                 if len(who) > 1:
                     for k, a in who:
                         hits.setdefault(k, []).append(a)
             for k, places in hits.items():
-                places.sort()
-                begin = prev = places[0]
-                for a in [*places[1:], None]:
-                    if a is None or a > prev + 1:
-                        out.append((int(sym[k]), int(ctx[k]), begin, prev))
-                        begin = a
-                    prev = a
+                out += [(int(sym[k]), int(ctx[k]), a, z) for a, z in _islands(sorted(places))]
         return [np.array(c, np.int64) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
 
     done = "sym long, ctx long, low long, high long"
@@ -401,7 +466,10 @@ def _open_strings(texts: DataFrame, found: DataFrame, r: Repeats) -> DataFrame:
         for columns in _whole_groups(batches, 2):
             yield _batch(done, twice(columns))
 
-    return rows.repartition("sym", "sub").sortWithinPartitions("sym", "sub").mapInArrow(run, done)
+    found = rows.repartition("sym", "sub").sortWithinPartitions("sym", "sub").mapInArrow(run, done)
+    found = common.cut(found, "string-ends")
+    common.drop(lists)
+    return found
 
 
 def _hashed(docs: DataFrame, seed: int, *others: str) -> DataFrame:
@@ -435,29 +503,28 @@ def repeated(docs: DataFrame, r: Repeats = Repeats()) -> tuple[int, DataFrame, D
     ).select("h", "text")
     common.small_batches(spark, 1000)
     strings = common.cut(symbol_strings(symbol_rows(texts, r)), "symbol-strings")
-    ranks = common.cut(sampled_ranks(strings), "sampled-ranks")
-    compared = merged(strings, ranks).union(ranks.select("h", "i", "lcp"))
+    depth, ranks = sampled_ranks(strings, r)
+    compared = merged(strings, ranks, depth).union(ranks.select("h", "i", "lcp"))
     found = common.cut(shared(strings, compared, r), "shared")
-    ends = common.cut(_open_strings(texts, found, r), "string-ends")
-    # surroundings seen twice are repeats as a whole
-    marks = found.where("kind = 2").select("h", "place", "sym", "ctx")
-    every = found.where("kind > 0").groupBy("sym", "ctx").agg(F.count("*").alias("n")).where("n > 1")
-    place = F.shiftright("place", 14)
-    whole = marks.join(every, ["sym", "ctx"], "left_semi").select(
-        "h",
-        (place - F.shiftright("place", 7).bitwiseAND(127)).alias("low"),
-        (place - F.col("place").bitwiseAND(127)).alias("high"),
+    each = found.where("kind > 0").groupBy("sym", "ctx").agg(
+        F.count("*").alias("n"), F.max("kind").alias("kind"), F.min(F.struct("h", "place")).alias("at")
+    )
+    each = common.cut(each, "surroundings")
+    ends = _joined(_open_strings(texts, each, r), ["sym", "ctx"])
+    # surroundings seen twice are repeats as a whole; the few seen very often are kept apart
+    whole = each.where("n > 1 and kind = 2").select(
+        "sym", "ctx", (-F.shiftright("at.place", 7).bitwiseAND(127)).alias("low"), (-F.col("at.place").bitwiseAND(127)).alias("high"), "n"
     )
-    part = marks.join(ends, ["sym", "ctx"]).select("h", (place + F.col("low")).alias("low"), (place + F.col("high")).alias("high"))
+    frequent = common.with_size_checked_broadcast(whole.where(F.col("n") > FREQUENT).drop("n"), 48)
+    rare = ends.join(whole, ["sym", "ctx"], "left_anti").union(whole.where(F.col("n") <= FREQUENT).drop("n"))
+    marks, place = found.where("kind = 2"), F.shiftright("place", 22)
+    others = marks.join(frequent.select("sym", "ctx"), ["sym", "ctx"], "left_anti").join(rare, ["sym", "ctx"])
+    part = marks.join(frequent, ["sym", "ctx"]).unionByName(others)
+    part = part.select("h", (place + F.col("low")).alias("low"), (place + F.col("high")).alias("high"))
     bulk = found.where("kind = 0").select("h", F.col("sym").alias("low"), F.col("ctx").alias("high"))
-    before = Window.partitionBy("h").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
-    rows = bulk.union(whole).union(part).withColumn("_reach", F.max("high").over(before))
-    new = F.coalesce(F.col("low") > F.col("_reach") + 1, F.lit(True)).cast("int")
-    upto = Window.partitionBy("h").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.withColumn("_k", F.sum(new).over(upto)).groupBy("h", "_k").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    spans = joined.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
+    spans = _joined(bulk.union(part), ["h"]).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
     spans = common.cut(spans, "stretches")
-    common.drop(strings, ranks, found, ends)
+    common.drop(strings, ranks, found, each)
     return seed, copies, spans
 
 
@@ -528,4 +595,4 @@ def strip_repeats(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
 
 
 def query(spark, sf_dir) -> DataFrame:
-    return cleaned(common.table(spark, sf_dir, "documents")).drop("kept_text")
+    return cleaned(common.table(spark, sf_dir, "documents")).withColumnRenamed("kept_text", "text")

@@ -318,6 +318,55 @@ def test_repeats_equal_brute_force(spark, monkeypatch, seed, crowded):
     assert as_counter(suffixes.cleaned(df, suffixes.Repeats(length=40, window=16))) == brute_repeats(docs, 40)
 
 
+def repetitive(seed):
+    """Texts of few letters with copies, edits, shared passages at every place, the ends too, and runs."""
+    rng = random.Random(seed)
+    letters = lambda n, of="abcdefgh": "".join(rng.choice(of) for _ in range(n))
+    passage, docs = letters(60), []
+    for k in range(150):
+        cut = rng.randrange(40, 61)
+        t = letters(rng.randrange(80)) + rng.choice([passage[:cut], passage[-cut:], passage + passage[:30]])
+        docs.append((k, t + letters(rng.choice([0, 0, 3, 50]))))
+    return docs
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_repeats_at_the_ends_of_texts(spark, seed):
+    docs = repetitive(seed)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert as_counter(suffixes.cleaned(df, suffixes.Repeats(length=40, window=16))) == brute_repeats(docs, 40)
+
+
+def test_the_order_of_suffixes_decides(spark, monkeypatch):
+    docs = repetitive(5)
+    df, r = spark.createDataFrame(docs, "doc_id long, text string"), suffixes.Repeats(length=40, window=16)
+    right, ranks = brute_repeats(docs, 40), suffixes.sampled_ranks
+
+    def shuffled(strings, r):
+        depth, found = ranks(strings, r)
+        return depth, found.withColumn("rank", F.xxhash64("h", "i")).withColumn("lcp", F.lit(0).cast("long"))
+
+    monkeypatch.setattr(suffixes, "sampled_ranks", shuffled)
+    assert as_counter(suffixes.cleaned(df, r)) != right
+    monkeypatch.setattr(suffixes, "sampled_ranks", ranks)
+    nothing = lambda strings, ranks, depth: strings.select("h", "i", F.lit(0).cast("long").alias("lcp"))
+    monkeypatch.setattr(suffixes, "merged", nothing)
+    assert as_counter(suffixes.cleaned(df, r)) != right
+
+
+def test_a_passage_of_many_documents_makes_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "CROWDED", 64)
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = letters(80)
+    docs = [(k, letters(70) + passage + letters(70)) for k in range(400)]
+    df, r = spark.createDataFrame(docs, "doc_id long, text string"), suffixes.Repeats(length=40, window=16)
+    made, joined = [], suffixes._joined
+    monkeypatch.setattr(suffixes, "_joined", lambda rows, keys: made.append(common.cut(joined(rows, keys))) or made[-1])
+    assert as_counter(suffixes.cleaned(df, r)) == brute_repeats(docs, 40)
+    assert made[0].count() <= 8 * len(docs)
+
+
 def test_repeats_of_the_smallest_tables(spark, data, texts):
     got = as_counter(registry.queries()["op6_suffix_array_dedup"](spark, data))
     assert got == brute_repeats([(i, r.text) for i, r in texts.items()], 400)
