@@ -1,25 +1,20 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code of 64 bits is cut into four segments of 16. Codes at Hamming distance
-below 4 * (r + 1) agree with the query in some segment up to r bits, so after
-the search of all segments at radius r a query whose k-th verified distance
-is below 4 * (r + 1) is done. The radius grows, for the queries that are left,
-until all are.
-
-Index and queries are packed by (segment, the segment's upper byte) in chunks
-of bounded size. Chunks meet by an equality join on the upper byte, the
-queries' side carrying every upper byte within the radius; which rows of two
-chunks are that near, and their whole distance, is worked out in arrays. The search at radius r gives the codes at
-distances 4 r to 4 r + 3, all of which have a segment within r.
+A code of 64 bits is cut into four segments of 16, each indexed by its whole
+value. At radius r every query asks for the values that differ from its own
+segment in exactly r bits (1, 16, 120, 560 ... of the 65,536), an equality
+join; the whole distance of what it meets is counted bit by bit. Two codes at
+Hamming distance 4 * r + 3 or less agree in some segment up to r bits, so
+after radius r all of these have been met, and a query whose k-th distance is
+no more is done. The radius grows, for the queries that are left, until all
+are. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,11 +22,10 @@ from . import common
 
 @dataclass(frozen=True)
 class Search:
-    """Queries are the rows whose id ``every`` divides; ``chunk`` bounds packed rows."""
+    """Queries are the rows whose id ``every`` divides."""
 
     k: int = 10
     every: int = 20
-    chunk: int = 4096
 
 
 SEGMENTS, BITS = 4, 16
@@ -40,7 +34,8 @@ SEGMENTS, BITS = 4, 16
 def sign_codes(vectors: DataFrame, ident: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(id, code): bit i is 1 if the i-th of the first 64 values is above 0.
 
-    Missing values, nulls and null vectors give 0 bits; rows without an id are left out.
+    Missing values, nulls and null vectors give 0 bits; rows without an id are
+    left out; other columns are ignored.
     """
     bits = [
         F.when(F.get(F.col(column), F.lit(i)) > 0, F.expr(f"shiftleft(1L, {i})")).otherwise(F.lit(0).cast("long"))
@@ -57,68 +52,42 @@ def sign_codes(vectors: DataFrame, ident: str = "vec_id", column: str = "embeddi
     )
 
 
-def _packed(codes: DataFrame, chunk: int, columns: list[str]) -> DataFrame:
-    """(segment, top, packed): rows of longs, by segment of ``code`` and its upper byte, in chunks."""
-    many = codes.count()
-    dealt = F.pmod(F.xxhash64("code"), F.lit(max(1, -(-many // (256 * chunk // 4)))))
-    rows = codes.select(
-        "code", *columns, dealt.alias("_chunk"), F.explode(F.array(*map(F.lit, range(SEGMENTS)))).alias("segment")
-    ).withColumn("top", F.expr("cast(shiftrightunsigned(code, segment * 16 + 8) & 255 as int)"))
-    packed = F.flatten(F.sort_array(F.collect_list(F.array("code", *columns))))
-    return rows.groupBy("segment", "top", "_chunk").agg(packed.alias("packed")).drop("_chunk")
-
-
-def _candidates(chunks: DataFrame, asked: DataFrame, radius: int, search: Search) -> DataFrame:
-    """(query, code, least, distance) at distances 4 * radius .. 4 * radius + 3: of each task, a query's k nearest."""
-    k = search.k
-    # every upper byte within the radius, 256 at most
-    probes = _packed(asked, search.chunk, []).select("*", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("mask"))
-    probes = probes.withColumn("spent", F.bit_count("mask")).where(F.col("spent") <= radius)
-    probes = probes.select("segment", F.col("top").bitwiseXOR(F.col("mask")).alias("top"), "spent", F.col("packed").alias("queries"))
-    met = probes.join(chunks, ["segment", "top"])
-
-    def best(held):
-        q, c, n, d = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((n, d, q))
-        q, c, n, d = q[order], c[order], n[order], d[order]
-        new = np.r_[True, (q[1:] != q[:-1]) | (n[1:] != n[:-1])]
-        q, c, n, d = q[new], c[new], n[new], d[new]
-        at = np.arange(len(q))
-        rank = at - np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], at, 0))
-        return q[rank < k], c[rank < k], n[rank < k], d[rank < k]
-
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for i, (s, spent) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                q = batch.column(2)[i].values.to_numpy().view(np.uint64)
-                rows = batch.column(3)[i].values.to_numpy().reshape(-1, 2)
-                c, least, low = rows[:, 0].view(np.uint64), rows[:, 1], np.uint64(16 * s)
-                for a in range(0, len(q), 64):
-                    part = q[a : a + 64]
-                    apart = part[:, None] ^ c[None, :]
-                    far = np.bitwise_count(apart)
-                    near = (far // SEGMENTS == radius) & (np.bitwise_count((apart >> low) & np.uint64(255)) <= radius - spent)
-                    x, y = np.nonzero(near)
-                    if len(x):
-                        held.append((part[x].view(np.int64), c[y].view(np.int64), least[y], far[near].astype(np.int64)))
-                        size += len(x)
-                if size > 1_000_000:
-                    held = [best(held)]
-                    size = len(held[0][0])
-                    if size > 500_000:
-                        yield batch_of(held.pop())
-                        size = 0
-        if held:
-            yield batch_of(best(held))
-
-    def batch_of(x):
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in x], ["query", "code", "least", "distance"])
-
-    return met.select("segment", "spent", "queries", "packed").mapInArrow(run, FOUND)
-
-
-FOUND = "query long, code long, least long, distance long"
+def _segment(code: Column, s: int) -> Column:
+    return F.shiftrightunsigned(code, BITS * s).bitwiseAND((1 << BITS) - 1)
+
+
+def _by_segment(codes: DataFrame, columns: list[str]) -> DataFrame:
+    """Every row once for each segment of ``code``: ``columns``, segment, value."""
+    parts = F.array(*[F.struct(F.lit(s).alias("segment"), _segment(F.col("code"), s).alias("value")) for s in range(SEGMENTS)])
+    return codes.select(*columns, F.inline(parts))
+
+
+def masks(radius: int) -> list[int]:
+    """The segment values with exactly ``radius`` bits."""
+    return [m for m in range(1 << BITS) if m.bit_count() == radius]
+
+
+def met(index: DataFrame, asked: DataFrame, radius: int) -> DataFrame:
+    """(query, code, least, distance) of the codes whose nearest segment is ``radius`` bits off, each once.
+
+    A pair comes out of the first of its nearest segments only, so nothing is
+    met twice, neither in this round nor in another.
+    """
+    probes = _by_segment(asked, ["code"]).select(F.col("code").alias("query"), "segment", "value", F.explode(F.lit(masks(radius))).alias("mask"))
+    probes = probes.select("query", "segment", F.col("value").bitwiseXOR(F.col("mask").cast("long")).alias("value"))
+    apart = F.col("query").bitwiseXOR(F.col("code"))
+    off = [F.bit_count(_segment(apart, s)) for s in range(SEGMENTS)]
+    first = F.lit(SEGMENTS - 1)
+    for s in reversed(range(SEGMENTS - 1)):
+        first = F.when(off[s] == radius, F.lit(s)).otherwise(first)
+    pairs = probes.join(index, ["segment", "value"])
+    pairs = pairs.where((F.least(*off) == radius) & (F.col("segment") == first))
+    return pairs.select("query", "code", "least", F.bit_count(apart).cast("long").alias("distance"))
+
+
+def _nearest(found: DataFrame, k: int) -> DataFrame:
+    near = Window.partitionBy("query").orderBy("distance", "least")
+    return found.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= k).drop("_n")
 
 
 def top_k(codes: DataFrame, search: Search = Search()) -> DataFrame:
@@ -129,39 +98,37 @@ def top_k(codes: DataFrame, search: Search = Search()) -> DataFrame:
     repeated ids are rows of their own. An empty table gives an empty result.
     """
     spark, k = codes.sparkSession, search.k
-    common.small_batches(spark)
     rows = common.cut(codes, "codes")
     by_code = Window.partitionBy("code").orderBy("id")
     members = rows.withColumn("_n", F.row_number().over(by_code)).where(F.col("_n") <= k).drop("_n")
     members = common.cut(members, "code-members")  # a top-k can hold no others
     distinct = members.groupBy("code").agg(F.min("id").alias("least"))
-    chunks = common.cut(_packed(distinct, search.chunk, ["least"]), "code-chunks")
+    index = common.cut(_by_segment(distinct, ["code", "least"]), "code-index")
     queries = rows.where(F.pmod("id", F.lit(search.every)) == 0)
     asked = common.cut(queries.select("code").distinct(), "asked")
-    total, radius = distinct.count(), 0
-    found = common.cut(spark.createDataFrame([], FOUND), "found")
-    done = []
+    total, radius, done = index.where("segment = 0").count(), 0, []
+    found = spark.createDataFrame([], "query long, code long, least long, distance long")
     while True:
-        both = found.union(_candidates(chunks, asked, radius, search)).dropDuplicates(["query", "code"])
-        nearest = Window.partitionBy("query").orderBy("distance", "least")
-        now = common.cut(both.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k).drop("_n"), "found")
-        # all codes below 4 * (radius + 1) have been seen, so k of them are the nearest
-        full = now.groupBy("query").agg(F.count("*").alias("_many")).where(F.col("_many") >= min(k, total)).select("query")
+        now = common.cut(_nearest(found.unionByName(met(index, asked, radius)), k), "found")
+        # all codes within 4 * radius + 3 have been met; with all codes met nothing nearer is left
+        ends = now.groupBy("query").agg(F.count("*").alias("_many"), F.max("distance").alias("_far"))
+        enough = (F.col("_many") >= min(k, total)) & ((F.col("_far") <= SEGMENTS * radius + SEGMENTS - 1) | F.lit(total <= k))
+        full = common.cut(ends.where(enough).select("query"), "full")
         last = radius == BITS
-        done.append(now if last else common.cut(now.join(full, "query", "left_semi"), "done"))
-        if last:
-            break
-        found = common.cut(now.join(full, "query", "left_anti"), "found")
-        asked = common.cut(asked.join(full, asked["code"] == full["query"], "left_anti"), "asked")
+        done.append(now if last else now.join(full, "query", "left_semi"))
         radius += 1
-        if not asked.head(1):
+        asked = common.cut(asked.join(full, asked["code"] == full["query"], "left_anti"), "asked")
+        if last or not asked.head(1):
             break
+        found = now.join(full, "query", "left_anti")
     near = done[0]
     for more in done[1:]:
         near = near.union(more)
     listed = near.join(members, "code").select(F.col("query"), "id", "distance")
     by_query = Window.partitionBy("query").orderBy("distance", "id")
     ranked = listed.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+    ranked = common.cut(ranked, "ranked")
+    common.drop(index, members)
     who = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query"))
     return who.join(ranked, "query").select("query_id", "rank", "id", F.col("distance").cast("int").alias("distance"))
 
