@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import load
+from .tokens import ranked
 
 
 @dataclass(frozen=True)
 class Template:
     """Reserved ids stand above the vocabulary of ``tokenizer``; ``marks`` are their strings."""
 
-    tokenizer: str = "byte_bpe_50k.json"
+    tokenizer: str = "byte_bpe_50k.tiktoken"
     start: int = 50257
     sep: int = 50258
     end: int = 50259
@@ -45,37 +45,53 @@ def unescape(text: str) -> str:
 
 
 class Assembler:
-    def __init__(self, source: str, template: Template):
-        self.template, self.tokenizer = template, load(source)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, ranks: bytes, template: Template):
+        self.template, self.tokenizer, self.roles = template, ranked(ranks), {}
 
     def encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(escape(text), add_special_tokens=False).ids
-
-    def turn(self, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of one turn and whether each is learnt."""
-        t, who, said = self.template, self.encode(role), self.encode(text)
-        ids = np.array([t.start, *who, t.sep, *said, t.end], np.int32)
-        steps = np.zeros(len(ids), np.int8)
-        if role == t.learns and said:
-            steps[len(who) + 2], steps[-1] = 1, -1
-        return ids, np.cumsum(steps, dtype=np.int8).astype(bool)
-
-    def decode(self, ids) -> str:
-        return self.tokenizer.decode(list(ids), skip_special_tokens=False)
-
-    def render(self, ids: np.ndarray) -> str:
-        t = self.template
-        who, said = self.parts(ids)
-        return f"{t.marks[0]}{self.decode(who)}{t.marks[1]}{self.decode(said)}{t.marks[2]}"
-
-    def parts(self, ids: np.ndarray):
-        sep = int(np.flatnonzero(ids == self.template.sep)[0])
-        return ids[1:sep].tolist(), ids[sep + 1 : -1].tolist()
-
-
-def _source(template: Template) -> str:
-    with open(public_tokenizers.path(template.tokenizer), encoding="utf-8") as f:
+        return self.tokenizer.encode_ordinary(escape(text) if "<" in text else text)
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.tokenizer.decode_bytes(ids.tolist()).decode()
+
+    def turns(self, roles: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all turns end to end, whether each is learnt, and where the turns end."""
+        t, flat, ends, starts, stops = self.template, [], [0], [], []
+        for role, text in zip(roles, texts):
+            if role not in self.roles:
+                self.roles = {**(self.roles if len(self.roles) < 1000 else {}), role: self.encode(role)}
+            said = self.encode(text)
+            flat += [t.start, *self.roles[role], t.sep]
+            if role == t.learns and said:
+                starts.append(len(flat))
+                stops.append(len(flat) + len(said))
+            flat += said
+            flat.append(t.end)
+            ends.append(len(flat))
+        steps = np.zeros(len(flat) + 1, np.int8)
+        steps[starts], steps[stops] = 1, -1
+        return np.array(flat, np.int32), np.cumsum(steps[:-1], dtype=np.int8).astype(bool), np.array(ends, np.int32)
+
+    def read(self, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str]:
+        """Role, text and what is learnt of a turn, still escaped."""
+        sep = int((ids == self.template.sep).argmax())
+        key = ids[1:sep].tobytes()
+        if key not in self.roles:
+            self.roles = {**(self.roles if len(self.roles) < 1000 else {}), key: self.decode(ids[1:sep])}
+        said, at = self.decode(ids[sep + 1 : -1]), np.flatnonzero(mask)
+        if not len(at):
+            return self.roles[key], said, ""
+        if len(at) == len(ids) - sep - 2 and at[0] == sep + 1:  # all of the text, which is decoded already
+            return self.roles[key], said, said
+        return self.roles[key], said, self.decode(ids[at])
+
+    def render(self, role: str, said: str) -> str:
+        a, b, c = self.template.marks
+        return f"{a}{role}{b}{said}{c}"
+
+
+def _source(template: Template) -> bytes:
+    with open(public_tokenizers.path(template.tokenizer), "rb") as f:
         return f.read()
 
 
@@ -95,15 +111,9 @@ def formatted(turns: DataFrame, template: Template = Template()) -> DataFrame:
         for batch in batches:
             made = made or Assembler(shared.value, template)
             role, text = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            pairs = [made.turn(r, t) for r, t in zip(role, text)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(i) for i in range(3)),
-                    pa.array([i for i, _ in pairs], pa.list_(pa.int32())),
-                    pa.array([m for _, m in pairs], pa.list_(pa.bool_())),
-                ],
-                ["conv_id", "turn", "role", "ids", "mask"],
-            )
+            ids, mask, ends = made.turns(role, text)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (ids, mask)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *lists], ["conv_id", "turn", "role", "ids", "mask"])
 
     common.small_batches(spark)
     rows = turns.select(
@@ -136,19 +146,20 @@ def read_back(assembled: DataFrame, template: Template = Template()) -> DataFram
 
         for batch in batches:
             done = []
-            for key, ids, mask in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            flat, learnt = batch.column(1).values.to_numpy(), batch.column(2).values.to_numpy(zero_copy_only=False)
+            ends = batch.column(1).offsets.to_numpy()
+            for key, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                 if state is None or key != at:
                     if state is not None:
                         done.append(row(at, state))
                     at, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids = np.array(ids, np.int32)
-                who, said = made.parts(ids)
-                learnt = unescape(made.decode(ids[np.array(mask, bool)].tolist()))
+                role, said, under = made.read(flat[a:b], learnt[a:b])
+                plain, under = unescape(said), unescape(under)
                 state[0] += 1
-                state[1].update(f"{unescape(made.decode(who))}\n{unescape(made.decode(said))}\n".encode())
-                state[2] += len(learnt)
-                state[3].update(learnt.encode())
-                state[4] += len(made.render(ids))
+                state[1].update(f"{unescape(role)}\n{plain}\n".encode())
+                state[2] += len(under)
+                state[3].update(under.encode())
+                state[4] += len(made.render(role, said))
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], names)
         if state is not None:

@@ -12,11 +12,14 @@ from __future__ import annotations
 
 import os
 import re
+from base64 import b64decode
 from dataclasses import dataclass
 from itertools import islice
+from unicodedata import category
 
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +27,12 @@ from . import common
 
 #: The tokenizer's pattern in terms of the faster standard module.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Characters that the library sorts otherwise than PIECES does, or that came to
-#: Unicode later: parts of text with any of them go to the library whole.
+#: Characters that need the pattern itself.
 UNSURE = re.compile(r"[^\u0000-\u001b\u0020-\u00b1\u00b4-\u00b8\u00ba-\u00bb\u00bf-\u052f\u2010-\u2060]")
+#: The tokenizer's pattern as it is, for all other writing.
+WIDE = regex.compile(public_tokenizers.PATTERN)
+#: A long text may be cut here: what stands before and behind is encoded as in the whole.
+BREAK = re.compile(r"(?<=\S) (?=\S)")
 
 
 @dataclass(frozen=True)
@@ -49,6 +55,14 @@ def load(source: str):
     return Tokenizer.from_str(source)
 
 
+def ranked(source: bytes):
+    """The same vocabulary's tokenizer from its table of ranks, several times as fast; control strings are plain text to it."""
+    import tiktoken
+
+    ranks = {b64decode(a): int(b) for a, b in map(bytes.split, source.splitlines())}
+    return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -56,16 +70,32 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in prints else chr(256 + rest.index(b)) for b in range(256)]
 
 
-def pieces(text: str, at_once: int = 100_000):
+def pattern_for(text: str):
+    """What cuts a text as the library does; None if it has characters newer than Python's Unicode, which the library may sort otherwise."""
+    if not UNSURE.search(text):
+        return PIECES
+    return None if any(category(c) == "Cn" for c in set(text)) else WIDE
+
+
+def pieces(text: str, pattern, at_once: int = 100_000):
     """Lists of pre-tokens; a long text comes in several."""
     if len(text) <= 1 << 20:
-        yield PIECES.findall(text)
+        yield pattern.findall(text)
         return
-    found = (m.group() for m in PIECES.finditer(text))
+    found = (m.group() for m in pattern.finditer(text))
     while part := list(islice(found, at_once)):
         yield part
 
 
+def stretches(text: str, size: int = 1 << 20):
+    """A text in parts of about ``size`` characters that are encoded as they are in the whole."""
+    at = 0
+    while len(text) - at > size and (m := BREAK.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 class Counter2:
     """Counts tokens of texts with a fixed first tier and a bounded second."""
 
@@ -91,10 +121,10 @@ class Counter2:
         parts = (text or "").split(self.counting.special)
         total = len(parts) - 1
         for part in parts:
-            if UNSURE.search(part):
+            if (pattern := pattern_for(part)) is None:
                 total += len(self.tokenizer.encode(part, add_special_tokens=False).ids)
                 continue
-            for found in pieces(part):
+            for found in pieces(part, pattern):
                 known = list(map(self.frequent.get, found))
                 if None in known:
                     total += self.lengths([p for p, n in zip(found, known) if n is None])
@@ -109,7 +139,7 @@ def frequent_lengths(source: str, counting: Counting) -> dict[str, int]:
     tokenizer = load(source)
     ids = range(min(tokenizer.get_vocab_size(with_added_tokens=False), counting.frequent))
     found = (tokenizer.decode([i]) for i in ids)
-    usual = [p for p in dict.fromkeys(found) if p and "\ufffd" not in p and not UNSURE.search(p) and PIECES.findall(p) == [p]]
+    usual = [p for p in dict.fromkeys(found) if p and "\ufffd" not in p and (x := pattern_for(p)) and x.findall(p) == [p]]
     return dict(zip(usual, (len(x.ids) for x in tokenizer.encode_batch(usual, add_special_tokens=False))))
 
 
