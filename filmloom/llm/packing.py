@@ -3,6 +3,8 @@
 The histogram of all lengths decides the buckets: dynamic programming finds
 the upper bounds that minimise padding when every sequence is padded to its
 bucket's bound. Inside a bucket sequences fill batches up to a token budget.
+Sequences are token ids: a batch's rows, padded to its bucket's bound, are what
+a training step reads, and the pieces of a document are its ids again.
 """
 
 from __future__ import annotations
@@ -10,11 +12,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .mixing import word_count
+from .tokens import ranked, stretches
 
 
 @dataclass(frozen=True)
@@ -23,6 +27,7 @@ class Packing:
     further sequence, so nothing is cut off and the histogram has at most
     ``longest`` + 1 entries. ``budget`` bounds a batch's tokens, padding included."""
 
+    tokenizer: str = "byte_bpe_50k.tiktoken"
     longest: int = 2048
     buckets: int = 8
     budget: int = 16384
@@ -55,30 +60,65 @@ def boundaries(counts: dict[int, int], buckets: int) -> list[int]:
 
 
 def sequences(docs: DataFrame, packing: Packing) -> DataFrame:
-    """(doc_id, piece, n_tokens): documents as sequences of at most ``longest`` words; no word: one of length 0."""
-    sized = docs.select("doc_id", word_count(F.col("text")).alias("_n"))
-    last = F.greatest(F.ceil(F.col("_n") / packing.longest), F.lit(1)) - 1
-    cut = sized.select("doc_id", "_n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
-    length = F.least(F.col("_n") - F.col("piece") * packing.longest, F.lit(packing.longest).cast("long"))
-    return cut.select("doc_id", "piece", length.alias("n_tokens"))
+    """(doc_id, piece, n_tokens, ids): documents as sequences of at most ``longest`` tokens; empty and null texts: one of length 0."""
+    spark, longest = docs.sparkSession, packing.longest
+    with open(public_tokenizers.path(packing.tokenizer), "rb") as f:
+        shared = spark.sparkContext.broadcast(f.read())
+
+    def run(batches):
+        made = ranked(shared.value)
+        for batch in batches:
+            rows, flat, ends = [], [], [0]
+
+            def flush():
+                who, piece = zip(*rows) if rows else ((), ())
+                n = np.diff(np.array(ends, np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+                out = [pa.array(who, pa.int64()), pa.array(piece, pa.int64()), pa.array(n), lists]
+                return pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "n_tokens", "ids"])
+
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held, piece = [], 0
+                parts = [*stretches(text or "")]
+                for k, part in enumerate(parts):
+                    held += made.encode_ordinary(part)
+                    for at in range(0, max(len(held), 1), longest):
+                        if at + longest < len(held) or k == len(parts) - 1:
+                            rows.append((doc_id, piece))
+                            flat += held[at : at + longest]
+                            ends.append(len(flat))
+                            piece += 1
+                        else:
+                            held = held[at:]
+                    if len(flat) > 1 << 20:
+                        yield flush()
+                        rows, flat, ends = [], [], [0]
+            yield flush()
+
+    common.small_batches(spark)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return chosen.mapInArrow(run, "doc_id long, piece long, n_tokens long, ids array<int>")
 
 
 def pack(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
-    """doc_id, piece, n_tokens, bucket (its upper bound), batch, slot (row in the batch), padding.
+    """doc_id, piece, n_tokens, bucket (its upper bound), batch, slot (row in the batch), padding, ids.
 
-    Null texts have no words and go in as sequences of length 0; repeated rows
-    are sequences of their own. An empty table gives an empty result.
+    Null and empty texts go in as sequences of length 0; repeated rows are
+    sequences of their own; other columns are left out. An empty table gives
+    an empty result. Only narrow rows are numbered; the ids are moved once, or
+    not at all while the numbers are few.
     """
-    rows = common.cut(sequences(docs, packing), "sequences")
+    rows = common.cut(sequences(docs, packing).withColumn("_id", F.monotonically_increasing_id()), "sequences")
     counts = {r["n_tokens"]: r["count"] for r in rows.groupBy("n_tokens").count().collect()}  # at most longest + 1
     bounds = boundaries(counts, packing.buckets)
     upper = F.lit(bounds[-1] if bounds else 0)
     for b in reversed(bounds[:-1]):
         upper = F.when(F.col("n_tokens") <= b, F.lit(b)).otherwise(upper)
-    dealt = rows.withColumn("bucket", upper.cast("long"))
-    placed = common.numbered(dealt, ["bucket"], ["doc_id", "piece", "n_tokens"], "_at")
+    dealt = rows.select("_id", "doc_id", "piece", "n_tokens", upper.cast("long").alias("bucket"))
+    placed = common.cut(common.numbered(dealt, ["bucket"], ["doc_id", "piece", "n_tokens"], "_at").select("_id", "bucket", "_at"), "places")
+    placed = common.with_size_checked_broadcast(placed, 48)
     fits = F.greatest(F.floor(F.lit(packing.budget) / F.greatest(F.col("bucket"), F.lit(1))), F.lit(1))
-    return placed.select(
+    return rows.join(placed, "_id").select(
         "doc_id",
         "piece",
         "n_tokens",
@@ -86,6 +126,7 @@ def pack(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
         F.floor(F.col("_at") / fits).alias("batch"),
         (F.col("_at") % fits).alias("slot"),
         (F.col("bucket") - F.col("n_tokens")).alias("padding"),
+        "ids",
     )
 
 

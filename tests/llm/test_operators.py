@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from unicodedata import category
 
 import duckdb
 import numpy as np
@@ -140,11 +141,14 @@ def test_characters_are_sorted_as_the_library_sorts_them():
         source = f.read()
     pre, unsure = tokens.load(source).pre_tokenizer, 0
     for c in map(chr, [*range(0xD800), *range(0xE000, 0x30000)]):
-        if tokens.UNSURE.search(c):
+        pattern = tokens.pattern_for(c)
+        if pattern is not tokens.PIECES:
             unsure += ord(c) < 0x530
+        if pattern is None:
+            assert category(c) == "Cn"
             continue
         s = f"a{c}1 {c}{c}b,{c}"
-        assert [at for _, at in pre.pre_tokenize_str(s)] == [m.span() for m in tokens.PIECES.finditer(s)]
+        assert [at for _, at in pre.pre_tokenize_str(s)] == [m.span() for m in pattern.finditer(s)]
     assert unsure < 20
     counter = tokens.Counter2(source, {}, tokens.Counting())
     for word in ("hello", " the", "éü", "  ", "\n", "don't", "\x00\x01"):
@@ -400,23 +404,43 @@ def test_boundaries_have_the_least_padding():
 
 
 def test_packing(spark, data, texts, odd_documents, no_documents):
-    for df, want in (
-        (common.table(spark, data, "documents"), Counter({i: len(WORD.findall(r.text)) for i, r in texts.items()})),
-        (odd_documents, None),
-    ):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        plain = tokens.ranked(f.read())
+    for df in (common.table(spark, data, "documents"), odd_documents.dropDuplicates()):
         rows = packing.pack(df, packing.Packing(longest=100, buckets=4, budget=900)).collect()
-        batches = defaultdict(list)
-        total = Counter()
+        batches, of = defaultdict(list), defaultdict(dict)
         for r in rows:
-            assert r.n_tokens <= r.bucket <= 100 and r.padding == r.bucket - r.n_tokens
+            assert len(r.ids) == r.n_tokens <= r.bucket <= 100 and r.padding == r.bucket - r.n_tokens
             batches[r.bucket, r.batch].append(r.slot)
-            total[r.doc_id] += r.n_tokens
+            if r.doc_id is not None:
+                of[r.doc_id][r.piece] = r.ids
         for (bucket, _), slots in batches.items():
             assert sorted(slots) == list(range(len(slots))) and len(slots) * bucket <= 900
-        assert want is None or total == want
+        # batches are full but for the last of a bucket
+        last = {b: max(k for c, k in batches if c == b) for b, _ in batches}
+        assert all(len(v) == max(1, 900 // max(b, 1)) for (b, k), v in batches.items() if k < last[b])
+        # the pieces of a document are its tokens again, whole but for the last
+        want = {r.doc_id: plain.encode_ordinary(r.text or "") for r in df.collect() if r.doc_id is not None}
+        assert {i: [x for k in sorted(p) for x in p[k]] for i, p in of.items()} == want
+        assert all(len(x) == 100 for p in of.values() for k, x in p.items() if k < max(p))
+    assert packing.pack(odd_documents).agg(F.count("*"), F.sum("n_tokens")).first()[0] > odd_documents.count()
     assert packing.pack(no_documents).count() == 0
 
 
+def test_long_texts_are_encoded_in_parts_as_in_the_whole():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        plain = tokens.ranked(f.read())
+    rng = random.Random(77)
+    for _ in range(200):
+        s = "".join(rng.choice(["ab", " ", "  ", "\n", "'s", "1", "é", "中", "!", " x"]) for _ in range(rng.randrange(80)))
+        parts = [*tokens.stretches(s, 7)]
+        assert "".join(parts) == s and [i for p in parts for i in plain.encode_ordinary(p)] == plain.encode_ordinary(s)
+
+
 # 8 ----------------------------------------------------------------- chat formatting
 
 
