@@ -3,10 +3,13 @@
 Everything is DataFrame functions. The statistics of a text become a short
 vector; for every (lang, source) group a minimum-covariance-determinant (MCD)
 estimate of location and scatter is found by concentration steps: keep the
-share of rows with the smallest Mahalanobis distances, estimate again from
-these, repeat. A row is rejected if its distance from its group's estimate is
-beyond a chi-square bound. All steps are grouped sums and binned quantiles,
-so no group meets in one task however large it is.
+half of the rows with the smallest Mahalanobis distances, estimate again from
+these, repeat. Steps begin at several fixed starts; after a few of them each
+group goes on from the one of the least determinant until its half is stable.
+An estimate is shrunk towards that of all rows by how few rows it rests on. A
+row is rejected if its distance from its group's estimate is beyond a
+chi-square bound. All steps are grouped sums and binned quantiles, so no group
+meets in one task however large it is.
 """
 
 from __future__ import annotations
@@ -30,11 +33,14 @@ class Rules:
     ``support`` of a group's rows carry its estimate, half of them so that a
     third of junk, however alike, can't; ``inflate`` makes the
     scatter of that share consistent for normal data in four dimensions.
+    ``tried`` steps are made from every start and ``steps`` in all at most.
     ``cutoff`` bounds the squared distance (chi-square with four degrees of
     freedom exceeds it with probability 1e-6). ``floors`` are the
     least standard deviations, which keep groups whose statistics are nearly
-    all alike from rejecting small differences. A group of fewer than
-    ``least_rows`` rows uses the estimate of all rows.
+    all alike from rejecting small differences. An estimate from n rows counts
+    n, that of all rows ``weight``; that one's own scatter is shrunk likewise
+    towards standard deviations of ``wide``, which count ``few`` rows and so
+    matter only to tiny tables.
     """
 
     min_words: int = 10
@@ -42,10 +48,13 @@ class Rules:
     window: int = 5
     support: float = 0.5
     inflate: float = 2.11
-    steps: int = 4
+    tried: int = 2
+    steps: int = 16
     cutoff: float = 33.4
     floors: tuple[float, ...] = (0.08, 0.10, 0.12, 0.08)
-    least_rows: int = 40
+    weight: float = 40.0
+    wide: float = 0.5
+    few: float = 4.0
 
 
 #: Bins per unit of log2 in quantiles of distances; bins per unit in those of statistics.
@@ -115,23 +124,32 @@ def _quantiles(rows: DataFrame, keys: list[str], bins: Column, share: float, nam
     return marked.where(F.col("_upto") >= F.ceil(F.col("_all") * share)).groupBy(*keys).agg(F.min("_bin").alias(name))
 
 
-def _moments(rows: DataFrame, p: int, rules: Rules, inflate: float) -> DataFrame:
-    """Per group (g), the mean m0.. and the inverse Cholesky factor's rows of the scatter."""
-    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    sums = rows.groupBy("g").agg(
+def _pairs(p: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(p) for j in range(i + 1)]
+
+
+def _moments(rows: DataFrame, keys: list[str], p: int, rules: Rules, inflate: float) -> DataFrame:
+    """Per group the rows n, the mean m0.. and the scatter c0_0, c1_0 .."""
+    sums = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)],
-        *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs],
+        *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _pairs(p)],
     )
-    cov = {}
-    for i, j in pairs:
+    cov = []
+    for i, j in _pairs(p):
         c = (F.col(f"s{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * inflate
-        cov[i, j] = F.greatest(c, F.lit(0.0)) + rules.floors[i] ** 2 if i == j else c
-    out = sums.select("g", "n", *[f"m{i}" for i in range(p)], *[c.alias(f"c{i}_{j}") for (i, j), c in cov.items()])
-    for i, j in pairs:  # Cholesky, column by column of each row
+        cov.append((F.greatest(c, F.lit(0.0)) + rules.floors[i] ** 2 if i == j else c).alias(f"c{i}_{j}"))
+    return sums.select(*keys, "n", *[f"m{i}" for i in range(p)], *cov)
+
+
+def _factored(estimates: DataFrame, p: int) -> DataFrame:
+    """``estimates`` with the Cholesky factor's rows l0_0, l1_0 .. and the log of the determinant, instead of the scatter."""
+    out = estimates
+    for i, j in _pairs(p):
         rest = F.col(f"c{i}_{j}") - reduce(add, [F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)], F.lit(0.0))
         out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}_{j}"))
-    return out.drop(*[f"c{i}_{j}" for i, j in pairs])
+    det = reduce(add, [2 * F.log(F.col(f"l{i}_{i}")) for i in range(p)])
+    return out.withColumn("log_det", det).drop(*[f"c{i}_{j}" for i, j in _pairs(p)])
 
 
 def _distance(p: int) -> Column:
@@ -143,27 +161,81 @@ def _distance(p: int) -> Column:
     return reduce(add, [y * y for y in ys])
 
 
+def _starts(points: DataFrame, p: int, rules: Rules) -> DataFrame:
+    """Where the steps begin: medians with the floors, medians with the quartiles' spread, plain moments."""
+    bins = F.posexplode(F.array(*[F.floor(F.col(f"x{i}") * STAT_BINS) for i in range(p)])).alias("_i", "_bin")
+    counts = points.select("g", bins).groupBy("g", "_i", "_bin").agg(F.count("*").alias("_n"))
+    each = Window.partitionBy("g", "_i")
+    marked = counts.select("*", F.sum("_n").over(each.orderBy("_bin")).alias("_upto"), F.sum("_n").over(each).alias("_all"))
+    shares = {"a": 0.25, "b": 0.5, "c": 0.75}
+
+    def quantile(i, share):
+        return F.min(F.when((F.col("_i") == i) & (F.col("_upto") >= F.ceil(F.col("_all") * share)), F.col("_bin")))
+
+    found = marked.groupBy("g").agg(*[((quantile(i, s) + 0.5) / STAT_BINS).alias(f"{k}{i}") for i in range(p) for k, s in shares.items()])
+    plain = _moments(points, ["g"], p, rules, 1.0)
+
+    def start(k, centre, scatter):
+        m = [centre(i).alias(f"m{i}") for i in range(p)]
+        return F.struct(F.lit(k).alias("start"), *m, *[scatter(i, j).alias(f"c{i}_{j}") for i, j in _pairs(p)])
+
+    def diagonal(of):
+        return lambda i, j: of(i) if i == j else F.lit(0.0)
+
+    floors = diagonal(lambda i: F.lit(rules.floors[i] ** 2))
+    spread = diagonal(lambda i: ((F.col(f"c{i}") - F.col(f"a{i}")) / 1.349) ** 2 + rules.floors[i] ** 2)
+    median = lambda i: F.col(f"b{i}")
+    three = F.array(start(0, median, floors), start(1, median, spread), start(2, lambda i: F.col(f"m{i}"), lambda i, j: F.col(f"c{i}_{j}")))
+    return found.join(plain, "g").select("g", "n", F.inline(three))
+
+
 def estimate(points: DataFrame, p: int, rules: Rules) -> DataFrame:
-    """MCD estimate per group g of points (g, x0 .. x[p-1])."""
-    centre = None
-    for i in range(p):
-        median = _quantiles(points, ["g"], F.floor(F.col(f"x{i}") * STAT_BINS), 0.5, f"b{i}")
-        centre = median if centre is None else centre.join(median, "g")
-    start = centre.select(
-        "g",
-        *[((F.col(f"b{i}") + 0.5) / STAT_BINS).alias(f"m{i}") for i in range(p)],
-        *[F.lit(rules.floors[i] if i == j else 0.0).alias(f"l{i}_{j}") for i in range(p) for j in range(i + 1)],
-    )
-    now = common.cut(start, "quality-centres")
+    """MCD estimate per group g of points (g, x0 .. x[p-1]): n rows it rests on, m0.., c0_0 .. and log_det."""
+    keys, xs = ["g", "start"], [f"x{i}" for i in range(p)]
+    now = common.cut(_starts(points, p, rules), "quality-starts")
     for step in range(rules.steps):
-        small = common.with_size_checked_broadcast(now, 200)
-        far = points.join(small, "g").withColumn("_d", F.floor(F.log2(_distance(p) + 2.0**-10) * FINE))
-        bound = common.with_size_checked_broadcast(_quantiles(far, ["g"], F.col("_d"), rules.support, "_most"), 32)
-        core = far.join(bound, "g").where("_d <= _most").select("g", *[f"x{i}" for i in range(p)])
-        after = common.cut(_moments(core, p, rules, rules.inflate), "quality-step")
-        common.drop(now)
+        factors = common.with_size_checked_broadcast(_factored(now, p).drop("n"), 200)
+        far = points.join(factors, "g").withColumn("_d", F.floor(F.log2(_distance(p) + 2.0**-10) * FINE))
+        bound = common.with_size_checked_broadcast(_quantiles(far, keys, F.col("_d"), rules.support, "_most"), 40)
+        core = far.join(bound, keys).where("_d <= _most").select(*keys, *xs)
+        after = _moments(core, keys, p, rules, rules.inflate)
+        det = _factored(after, p).select(*keys, "log_det")
+        after = after.join(det, keys)
+        if step + 1 == rules.tried:  # each group goes on from its best start
+            least = Window.partitionBy("g").orderBy("log_det", "start")
+            after = after.withColumn("_n", F.row_number().over(least)).where("_n = 1").drop("_n")
+        after, before = common.cut(after, "quality-step"), now
+        if step + 1 > rules.tried:
+            moved = after.join(before.select(*keys, F.col("log_det").alias("_det"), F.col("n").alias("_was")), keys)
+            stable = not moved.where((F.abs(F.col("log_det") - F.col("_det")) > 1e-9) | (F.col("n") != F.col("_was"))).head(1)
+        else:
+            stable = False
+        common.drop(before)
         now = after
-    return now
+        if stable:
+            break
+    return now.drop("start")
+
+
+def shrunk(estimates: DataFrame, p: int, rules: Rules) -> DataFrame | None:
+    """Per group (g) m0.. and the factor l0_0 .. after shrinking towards the group ``all``, itself among them; None without it."""
+    pooled = estimates.where(F.col("g") == "all").first()
+    if pooled is None:
+        return None
+    w = rules.few / (pooled["n"] + rules.few)
+    wide = {(i, j): (1 - w) * pooled[f"c{i}_{j}"] + (w * rules.wide**2 if i == j else 0.0) for i, j in _pairs(p)}
+    v = F.when(F.col("g") == "all", 1.0).otherwise(F.lit(rules.weight) / (F.col("n") + rules.weight))
+    off = [F.col(f"m{i}") - pooled[f"m{i}"] for i in range(p)]
+    return _factored(
+        estimates.withColumn("_v", v).select(
+            "g",
+            *[(F.col(f"m{i}") - F.col("_v") * off[i]).alias(f"m{i}") for i in range(p)],
+            *[
+                ((1 - F.col("_v")) * F.col(f"c{i}_{j}") + F.col("_v") * wide[i, j]).alias(f"c{i}_{j}") for i, j in _pairs(p)
+            ],
+        ),
+        p,
+    )
 
 
 def judged(docs: DataFrame, rules: Rules = Rules(), others: tuple[str, ...] = ()) -> DataFrame:
@@ -187,20 +259,19 @@ def judged(docs: DataFrame, rules: Rules = Rules(), others: tuple[str, ...] = ()
     rows = common.cut(rows.select("*", *[x.alias(f"x{i}") for i, x in enumerate(vector(rules))]), "quality-stats")
     points = rows.where(~F.col("base_failed"))
     xs = [f"x{i}" for i in range(p)]
-    sizes = points.groupBy("g").agg(F.count("*").alias("_size"))
-    sizes = common.with_size_checked_broadcast(sizes, 64)
-    large = F.when(F.col("_size") >= rules.least_rows, F.col("g"))
-    both = points.join(sizes, "g", "left").select(F.explode(F.array_compact(F.array(large, F.lit("all")))).alias("g"), *xs)
-    found = estimate(both, p, rules)
-    keys = rows.join(sizes, "g", "left").withColumn("g", F.coalesce(large, F.lit("all")))
-    small = common.with_size_checked_broadcast(found, 200)
-    near = (F.col("n") < rules.support * rules.least_rows) | (_distance(p) <= rules.cutoff)
-    return keys.join(small, "g", "left").select(
+    both = points.select(F.explode(F.array("g", F.lit("all"))).alias("g"), *xs)
+    found = shrunk(estimate(both, p, rules), p, rules)
+    if found is None:  # no row passes the base rules
+        judged_rows, distance = rows, F.lit(None).cast("double")
+    else:
+        small = common.with_size_checked_broadcast(found, 200)
+        judged_rows, distance = rows.join(small, "g", "left"), _distance(p)
+    return judged_rows.select(
         "doc_id",
         *BASE,
         "base_failed",
-        (~F.col("base_failed") & F.coalesce(near, F.lit(True))).alias("kept"),
-        _distance(p).alias("distance"),
+        (~F.col("base_failed") & F.coalesce(distance <= rules.cutoff, F.lit(True))).alias("kept"),
+        distance.alias("distance"),
         *others,
     )
 

@@ -513,7 +513,7 @@ def test_quality_numbers_and_verdicts(spark, data, texts):
     good = [kept[i] for i, q in labels.items() if q == 1 and i in kept]
     assert sum(good) >= 0.95 * len(good)
     junk = [i for i, r in texts.items() if base_numbers(r.text)[2] > base_numbers(r.text)[0]]
-    assert junk and sum(kept[i] for i in junk) <= 0.25 * len(junk)  # short ones say little
+    assert junk and sum(kept[i] for i in junk) <= max(1, 0.05 * len(junk))  # a short one says little
 
 
 def test_quality_of_odd_documents(odd_documents, no_documents):
@@ -530,7 +530,7 @@ def test_mcd_ignores_a_third_of_outliers(spark):
     clean, bad = rng.normal(0, 1, (400, p)), rng.normal(0, 0.1, (100, p)) + 30
     df = spark.createDataFrame([("g", *map(float, x)) for x in np.vstack([clean, bad])], "g string, " + ", ".join(f"x{i} double" for i in range(p)))
     (r,) = quality.estimate(df, p, quality.Rules()).collect()
-    assert all(abs(r[f"m{i}"]) < 0.4 for i in range(p)) and all(0.5 < r[f"l{i}_{i}"] < 2 for i in range(p))
+    assert all(abs(r[f"m{i}"]) < 0.4 for i in range(p)) and all(0.25 < r[f"c{i}_{i}"] < 4 for i in range(p))
 
 
 # 10 ----------------------------------------------------------------------- sharding
