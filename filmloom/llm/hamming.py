@@ -62,9 +62,13 @@ def _by_segment(codes: DataFrame, columns: list[str]) -> DataFrame:
     return codes.select(*columns, F.inline(parts))
 
 
-def masks(radius: int) -> list[int]:
-    """The segment values with exactly ``radius`` bits."""
-    return [m for m in range(1 << BITS) if m.bit_count() == radius]
+def flipped(probes: DataFrame, bits: int) -> DataFrame:
+    """``probes`` with every ``value`` that differs from theirs in exactly ``bits`` bits: one bit after another, upwards."""
+    rows = probes.withColumn("_bit", F.lit(-1))
+    for k in range(bits):
+        rows = rows.select(*probes.columns, F.explode(F.sequence(F.col("_bit") + 1, F.lit(BITS - bits + k))).alias("_bit"))
+        rows = rows.withColumn("value", F.col("value").bitwiseXOR(F.expr("shiftleft(1L, _bit)")))
+    return rows.drop("_bit")
 
 
 def met(index: DataFrame, asked: DataFrame, radius: int) -> DataFrame:
@@ -73,8 +77,7 @@ def met(index: DataFrame, asked: DataFrame, radius: int) -> DataFrame:
     A pair comes out of the first of its nearest segments only, so nothing is
     met twice, neither in this round nor in another.
     """
-    probes = _by_segment(asked, ["code"]).select(F.col("code").alias("query"), "segment", "value", F.explode(F.lit(masks(radius))).alias("mask"))
-    probes = probes.select("query", "segment", F.col("value").bitwiseXOR(F.col("mask").cast("long")).alias("value"))
+    probes = flipped(_by_segment(asked, ["code"]).withColumnRenamed("code", "query"), radius)
     apart = F.col("query").bitwiseXOR(F.col("code"))
     off = [F.bit_count(_segment(apart, s)) for s in range(SEGMENTS)]
     first = F.lit(SEGMENTS - 1)
