@@ -10,9 +10,10 @@ ranges of ranks within an arc, is joined to the rows.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Positions on the ring; a virtual node stands at one of them.
-CELLS = 1 << 14
+CELLS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -28,12 +29,13 @@ class Ring:
     """Shards 0 .. shards-1 with ``points`` virtual nodes each.
 
     ``slack`` is the share by which a shard may exceed the mean load; 0 makes
-    the loads equal, at most one row apart. More slack moves fewer rows when
-    the number of shards changes.
+    the loads equal, at most one row apart. Many points keep the arcs' loads
+    near the mean already, so little overflows and little moves when the number
+    of shards changes.
     """
 
     shards: int = 40
-    points: int = 64
+    points: int = 512
     slack: float = 0.0
 
     def arcs(self) -> list[tuple[int, int]]:
@@ -72,36 +74,39 @@ class Ring:
         return ranges
 
 
-def assign(rows: DataFrame, key: Column, ring: Ring) -> DataFrame:
+def assign(rows: DataFrame, key: Column, ring: Ring, order: list[str] | None = None) -> DataFrame:
     """``rows`` with shard and slot (0, 1, 2 ... within each shard).
 
     ``rows`` should be narrow; it is written once. Rows with a null key are
-    spread by their other columns.
+    spread by the columns ``order`` (all of them unless given), by which the
+    rows of an arc are ranked too.
     """
-    spread = F.pmod(F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(*rows.columns)), F.lit(CELLS))
+    order = order or rows.columns
+    spread = F.pmod(F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(*order)), F.lit(CELLS))
     placed = common.cut(rows.withColumn("_cell", spread.cast("int")), "ring-rows")
     arcs = ring.arcs()
     stops = [cell for cell, _ in arcs]
     spark = rows.sparkSession
-    owner = spark.createDataFrame(
-        [(c, bisect_left(stops, c) % len(arcs)) for c in range(CELLS)], "_cell int, _arc int"
-    )
+    at = np.searchsorted(stops, np.arange(CELLS)) % len(arcs)
+    owner = spark.createDataFrame(pd.DataFrame({"_cell": np.arange(CELLS, dtype=np.int32), "_arc": at.astype(np.int32)}))
     on_arc = placed.join(F.broadcast(owner), "_cell").drop("_cell")
     counts = {r["_arc"]: r["count"] for r in on_arc.groupBy("_arc").count().collect()}  # at most one row per virtual node
     ranges = ring.walk([counts.get(a, 0) for a in range(len(arcs))])
     plan = spark.createDataFrame(ranges or [(-1, 0, 0, 0, 0)], "_on int, _first long, _end long, shard int, _slot long")
-    ranked = common.numbered(on_arc, ["_arc"], rows.columns, "_rank")
+    ranked = common.numbered(on_arc, ["_arc"], order, "_rank")
     here = (F.col("_arc") == F.col("_on")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))
     joined = ranked.join(F.broadcast(plan), here)
     return joined.select(*rows.columns, "shard", (F.col("_slot") + F.col("_rank") - F.col("_first")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, ring: Ring = Ring()) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, next_shard for every row.
 
     The law is ``rows``: with no slack the counts of any two shards differ by
-    one at most. A null text counts as empty; repeated rows each get a slot of
-    their own; an empty table gives an empty result.
+    one at most. ``next_shard`` is where the row goes on a ring of one shard
+    more, under the same law: its own shard again for nearly all rows. A null
+    text counts as empty; repeated rows each get a slot of their own; an empty
+    table gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -109,9 +114,18 @@ def shard_documents(docs: DataFrame, ring: Ring = Ring()) -> DataFrame:
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
-    out = assign(rows, F.col("doc_id"), ring)
-    return out.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    key = F.col("doc_id")
+    now = assign(rows, key, ring).withColumnsRenamed({"shard": "_shard", "slot": "_slot_"})
+    grown = assign(now, key, replace(ring, shards=ring.shards + 1), rows.columns)
+    return grown.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        F.col("_shard").alias("shard"),
+        F.col("_slot_").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        F.col("shard").alias("next_shard"),
     )
 
 
