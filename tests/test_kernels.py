@@ -121,14 +121,55 @@ def test_composite_touches_nothing_but_the_text():
         R.composite(plane, alpha[:5], Composite(), 10, "tv")
 
 
-def test_healing_in_a_window_equals_healing_the_whole():
+@pytest.mark.parametrize("smooth", [0.0, 2.0])
+def test_healing_by_parts_equals_healing_the_whole(smooth):
     depth = RNG.integers(0, 1000, (150, 160)).astype(np.float32)
     mask = np.zeros((150, 160), bool)
     mask[70:80, 70:95] = True
+    mask[60:90, 97:99] = True
+    mask[0:4, 0:9] = True
+    mask[84:86, 60:96] = True
+    mask |= RNG.random(mask.shape) < 0.02
     _, row, column = A.nearest_unset(mask)
     filled = depth[row, column]
-    want = np.where(mask, A.gaussian_blur(filled, 2.0), depth)
-    assert R.heal(depth, mask) == pytest.approx(want, abs=1e-2)
+    want = np.where(mask, A.gaussian_blur(filled, smooth), depth) if smooth else filled
+    assert R.heal(depth, mask, smooth) == pytest.approx(want, abs=1e-2)
+
+
+def test_strokes_are_judged_as_if_each_were_alone():
+    shape = np.zeros((60, 120), np.float32)
+    shape[10:40, 10:14] = 1
+    shape[10:40, 16:20] = 1
+    shape[12:38, 40:80] = 1
+    shape[50, 100] = 1
+    kept = G.keep_strokes(shape, Strokes(max_stroke=10.0, solidify=False))
+    assert kept[20, 11] and kept[20, 17] and not kept[20, 60] and not kept[50, 100]
+    assert G.keep_strokes(shape, Strokes(min_cc_area=2000)) is None
+
+
+def test_blobs_off_the_text_depth_are_dropped():
+    shape, depth = np.zeros((60, 200), np.float32), np.full((60, 200), 0.2, np.float32)
+    for k in range(6):
+        shape[20:40, 10 + 30 * k : 14 + 30 * k] = 1
+    depth[:, 158:180] = 0.9
+    kept = G.keep_strokes(shape, Strokes(), depth=depth)
+    assert kept[30, 11] and kept[30, 131] and not kept[30, 161]
+    depth[:, 60:180] = 0.9  # no majority any more at one value
+    depth[:, 60:120] = 0.55
+    assert G.keep_strokes(shape, Strokes(), depth=depth)[30, 161]
+    assert G.keep_strokes(shape, Strokes(depth_tol=0), depth=depth)[30, 161]
+
+
+def test_medians_of_groups():
+    k, v = RNG.integers(0, 7, 300), RNG.random(300)
+    got = G.medians(k, v, 9)
+    assert got[:7] == pytest.approx([np.median(v[k == g]) for g in range(7)]) and np.isnan(got[7:]).all()
+
+
+def test_appearance():
+    got = G.appearance(scene(250), (15, 20, 170, 60))
+    assert got[0] > 0.5 and got[2] < 0.05
+    assert G.appearance(scene(250), (15, 20, 17, 60)) is None
 
 
 def test_memory_drops_specks_and_spares_moved_text():
