@@ -1,4 +1,4 @@
-"""Command line: ``python -m filmloom.cli probe|masks|fix|triage|query ...`` over tables in a folder.
+"""Command line: ``python -m filmloom.cli probe|detect|masks|preview|fix|triage|query ...`` over tables in a folder.
 
 Exit codes: 0 done, 1 failed, 2 wrong use, 130 interrupted.
 """
@@ -9,6 +9,7 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import config as C
 
@@ -20,10 +21,21 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     probe = sub.add_parser("probe", help="clips of a folder and their fingerprints")
     probe.add_argument("root")
-    masks = sub.add_parser("masks", help="masks from folders of stills and a table of boxes")
-    masks.add_argument("stills")
-    masks.add_argument("boxes")
-    masks.add_argument("out")
+    probe.add_argument("--out", help="a table in place of the listing")
+    for name, text in (
+        ("detect", "the boxes that pass the gates, as a table"),
+        ("masks", "masks from folders of stills and a table of boxes"),
+        ("preview", "masks of a few frames of every clip, as in a full run"),
+    ):
+        masks = sub.add_parser(name, help=text)
+        masks.add_argument("stills")
+        masks.add_argument("boxes")
+        masks.add_argument("out")
+        masks.add_argument("--depth", help="folders of depth stills that veto glyphs off the text's depth")
+        masks.add_argument("--bits", type=int, default=10)
+        masks.add_argument("--range", choices=("tv", "pc"), default="pc")
+        if name == "preview":
+            masks.add_argument("--frames", required=True, help="such as 12,40 or 0-120:20")
     fix = sub.add_parser("fix", help="repaired depth from depth stills and a mask cache")
     fix.add_argument("depth")
     fix.add_argument("masks")
@@ -32,7 +44,8 @@ def parser() -> argparse.ArgumentParser:
     fix.add_argument("--range", choices=("tv", "pc"), default="pc")
     triage = sub.add_parser("triage", help="report of clips from a table of frames")
     triage.add_argument("frames")
-    triage.add_argument("out")
+    triage.add_argument("out", help="a folder; clips that its report has already are left out")
+    triage.add_argument("--boxes", help="a table of boxes with their tilt, from which those that count are counted anew")
     query = sub.add_parser("query", help="one of the named queries over a folder of tables")
     query.add_argument("name")
     query.add_argument("folder")
@@ -51,24 +64,43 @@ def options(args) -> C.Config:
 
 
 def work(spark: SparkSession, args, config: C.Config) -> None:
-    from .operators import masks, scan
+    from .kernels.repair import code_range
+    from .operators import gates, masks, scan
     from .sources import catalog, frames
 
     if args.command == "probe":
         files = catalog.listing(spark, args.root)
-        catalog.clips(files, args.root).show(1000, truncate=False)
-        catalog.fingerprints(spark, args.root).show(1000, truncate=False)
-    elif args.command == "masks":
-        rgb = frames.read_stills(spark, args.stills)
-        first = rgb.select("height", "width").first()
-        found = masks.run(rgb, spark.read.parquet(args.boxes), config, first.width, first.height)
-        frames.write_cache(found, args.out, {"source": args.stills, "version": 1})
+        found = catalog.clips(files, args.root)
+        marks = catalog.fingerprints(spark, args.root)
+        if args.out:
+            found.join(marks, "path", "left").write.parquet(args.out)
+        else:
+            found.show(found.count(), truncate=False)
+            marks.show(marks.count(), truncate=False)
+    elif args.command in ("detect", "masks", "preview"):
+        rgb, dets = frames.read_stills(spark, args.stills), spark.read.parquet(args.boxes)
+        more = {}
+        if args.depth:
+            more = {"depth": frames.read_stills(spark, args.depth, rgb=False), "codes": code_range(args.bits, args.range)}
+        if args.command == "detect":
+            kept = masks.boxes(rgb, dets, config)
+            good = gates.overlaid(masks.looks(rgb, kept), config.filters)
+            kept.join(good, ["clip_id", "frame_idx", "det_id"]).write.parquet(args.out)
+        elif args.command == "preview":
+            numbers = F.explode(F.array(*[F.lit(n).cast("long") for n in C.parse_frames(args.frames)])).alias("frame_idx")
+            wanted = rgb.select("clip_id").distinct().select("clip_id", numbers)
+            masks.masks_for(rgb, dets, wanted, config, **more).write.parquet(args.out)
+        else:
+            frames.write_cache(masks.run(rgb, dets, config, **more), args.out, {"source": args.stills, "version": 1})
     elif args.command == "fix":
         depth = frames.read_stills(spark, args.depth, rgb=False)
         fixed = masks.repaired(depth, frames.read_cache(spark, args.masks), config, args.bits, args.range)
         frames.write_stills(fixed, args.out).write.format("noop").mode("overwrite").save()
     elif args.command == "triage":
-        scan.write_report(scan.triage(spark.read.parquet(args.frames)), args.out)
+        seen = scan.not_reported(spark, spark.read.parquet(args.frames), args.out)
+        if args.boxes:
+            seen = scan.looked_at(seen, spark.read.parquet(args.boxes), config.filters)
+        scan.write_report(scan.triage(seen), args.out)
     else:
         from .plans.queries import QUERIES
 

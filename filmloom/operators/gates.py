@@ -9,16 +9,18 @@ from ..config import Filters, Level, Strokes, Sweep, parse_roi
 from ..functions import boxes
 
 
-def geometry(dets: DataFrame, width: int, height: int, options: Filters = Filters()) -> DataFrame:
+def geometry(dets: DataFrame, width: int | Column, height: int | Column, options: Filters = Filters()) -> DataFrame:
     """Boxes of plausible size and shape, at least half inside the region of interest.
 
-    The region is the whole frame when scene text is to be masked as well.
+    ``width`` and ``height`` are the frames' size, one for all or columns. The
+    region is the whole frame when scene text is to be masked as well.
     """
     x0, y0, x1, y1 = parse_roi(options.roi if options.scene_text == "keep" else "full")
-    roi = tuple(F.lit(v).cast("double") for v in (x0 * width, y0 * height, x1 * width, y1 * height))
+    width, height = (F.lit(v).cast("double") for v in (width, height))
+    roi = tuple(F.lit(v) * side for v, side in ((x0, width), (y0, height), (x1, width), (y1, height)))
     b = boxes.box()
     w, h = b[2] - b[0], b[3] - b[1]
-    share = h / float(height)
+    share = h / height
     return dets.where((w > 1) & (h > 1)).where(
         (share >= options.min_text_height)
         & (share <= options.max_text_height)
@@ -45,6 +47,12 @@ def size_floor(clips: DataFrame, options: Filters, min_height: float = 0.02, min
     return clips.withColumn("min_text_height", floor)
 
 
+def overlaid(looks: DataFrame, options: Filters = Filters()) -> DataFrame:
+    """``looks`` (contrast, lit, spread; null: too small to say) of regions that look like overlaid writing."""
+    flat = (F.col("lit") < 8) | (F.col("spread") <= options.max_chroma_std)
+    return looks.where((F.col("contrast") >= options.min_contrast) & flat)
+
+
 def flat_and_contrasty(pixels: DataFrame, keys: list[str], options: Filters = Filters()) -> DataFrame:
     """Per region (``keys``) of pixels r, g, b: contrast, side, lit, spread and keep.
 

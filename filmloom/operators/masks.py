@@ -14,18 +14,53 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import steps
 from ..config import Config
 from ..kernels import arrays as A, glyphs as G, repair as R
 from ..sources.frames import array_of, few_frames
 
 PATCH = "clip_id string, frame_idx long, det_id long, x0 int, y0 int, h int, w int, level float, alpha binary"
+LOOK = "clip_id string, frame_idx long, det_id long, contrast double, lit long, spread double"
 MASK = "clip_id string, frame_idx long, height int, width int, mask binary, shape binary, level binary"
 
 
+def boxes(frames: DataFrame, dets: DataFrame, config: Config) -> DataFrame:
+    """Boxes that are sure enough and of a plausible shape, those of several detectors merged; det_id is new.
+
+    Sizes are each frame's own, so clips of any resolution go together.
+    """
+    from . import gates, tracks
+
+    order = ["detector_ord", "det_id"] if "detector_ord" in dets.columns else ["det_id"]
+    merged = tracks.merge(gates.confident(dets, config.detect.min_score), ["clip_id", "frame_idx"], order)
+    sized = merged.withColumnRenamed("kept_id", "det_id").join(frames.select("clip_id", "frame_idx", "width", "height"), ["clip_id", "frame_idx"])
+    return gates.geometry(sized, F.col("width"), F.col("height"), config.filters).drop("width", "height")
+
+
+def _with_boxes(frames: DataFrame, dets: DataFrame) -> DataFrame:
+    listed = dets.groupBy("clip_id", "frame_idx").agg(F.sort_array(F.collect_list(F.struct("det_id", "x0", "y0", "x1", "y1"))).alias("boxes"))
+    return frames.join(listed, ["clip_id", "frame_idx"])
+
+
+def looks(frames: DataFrame, dets: DataFrame) -> DataFrame:
+    """contrast, lit and spread of every box, for ``gates.overlaid``."""
+    names = [x.split()[0] for x in LOOK.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for clip, i, h, w, data, found in zip(*(b[c] for c in b.columns)):
+                rgb = array_of(data, h, w, 3, 8)
+                out += [(clip, i, d["det_id"], *(G.appearance(rgb, (d["x0"], d["y0"], d["x1"], d["y1"])) or (None,) * 3)) for d in found]
+            yield pd.DataFrame(out, columns=names).astype({"contrast": float, "lit": "Int64", "spread": float})
+
+    few_frames(frames.sparkSession, 8 << 20)
+    return _with_boxes(frames, dets).select("clip_id", "frame_idx", "height", "width", "data", "boxes").mapInPandas(run, LOOK)
+
+
 def patches(frames: DataFrame, dets: DataFrame, config: Config, guides: DataFrame | None = None, model=None) -> DataFrame:
     """One row per box that holds glyphs. ``guides``: depth (guide, floats as bytes) at the frames' size."""
-    boxes = dets.groupBy("clip_id", "frame_idx").agg(F.sort_array(F.collect_list(F.struct("det_id", "x0", "y0", "x1", "y1"))).alias("boxes"))
-    rows = frames.join(boxes, ["clip_id", "frame_idx"])
+    rows = _with_boxes(frames, dets)
     if guides is None:
         rows = rows.withColumn("guide", F.lit(None).cast("binary"))
     else:
@@ -59,9 +94,16 @@ def segments(rows: DataFrame, size: int, halo: int) -> DataFrame:
     return dealt.withColumn("own", F.col("segment") == F.floor(F.col("frame_idx") / size))
 
 
-def masks(frames: DataFrame, found: DataFrame, config: Config, segment: int = 64) -> DataFrame:
+def segment_length(frames: DataFrame, halo: int, budget: int = 384 << 20, most: int = 64) -> int:
+    """Frames in a segment, so that it and the frames around it, three planes each, fit ``budget`` bytes."""
+    pixels = frames.agg(F.max(F.col("height").cast("long") * F.col("width"))).first()[0] or 1
+    return max(1, min(most, budget // (3 * pixels) - 2 * halo))
+
+
+def masks(frames: DataFrame, found: DataFrame, config: Config, segment: int | None = None) -> DataFrame:
     """Masks of all frames from the patches that passed the gates: smoothed in time, held to what is remembered."""
     halo = config.temporal.window // 2 + config.temporal.prior_window // 2
+    segment = segment or segment_length(frames, halo)
     listed = found.groupBy("clip_id", "frame_idx").agg(
         F.collect_list(F.struct("det_id", "x0", "y0", "h", "w", "level", "alpha")).alias("patches")
     )
@@ -82,9 +124,10 @@ def masks(frames: DataFrame, found: DataFrame, config: Config, segment: int = 64
         r = temporal.window // 2
         smooth = [A.temporal(shapes[max(0, k - r) : k + r + 1], s, temporal.mode) for k, s in enumerate(shapes)]
         peaks, out, p = [int(v.max()) for v in levels], [], temporal.prior_window // 2
+        seen = list(zip(smooth, peaks))
         for k, own in enumerate(pdf["own"]):
             if own:
-                near = list(zip(smooth, peaks))[max(0, k - p) : k + p + 1]
+                near = seen[max(0, k - p) : k + p + 1]
                 shape = R.remember(smooth[k], near, temporal) if p else smooth[k]
                 level = A.dilate(levels[k], np.ones((5, 5), bool))
                 mask = A.to_u8(shape.astype(np.float32) / 255 * (level.astype(np.float32) / 255))
@@ -94,19 +137,21 @@ def masks(frames: DataFrame, found: DataFrame, config: Config, segment: int = 64
     return segments(rows, segment, halo).groupBy("clip_id", "segment").applyInPandas(run, MASK)
 
 
-def guides(depth: DataFrame, width: int, height: int, low: float, high: float) -> DataFrame:
-    """Depth planes as floats in [0, 1] at another size."""
+def guides(depth: DataFrame, frames: DataFrame, low: float, high: float) -> DataFrame:
+    """Depth planes as floats in [0, 1] at the size of their frames."""
+    sizes = frames.select("clip_id", "frame_idx", F.col("width").alias("_w"), F.col("height").alias("_h"))
 
     def run(batches):
         for b in batches:
             out = []
-            for clip, i, h, w, data in zip(*(b[c] for c in b.columns)):
+            for clip, i, h, w, data, width, height in zip(*(b[c] for c in b.columns)):
                 plane = np.frombuffer(data, np.uint16).reshape(h, w).astype(np.float32)
                 scaled = np.clip((plane - low) / max(high - low, 1.0), 0, 1).astype(np.float32)
                 out.append((clip, i, A.resize(scaled, width, height, "linear").astype(np.float32).tobytes()))
             yield pd.DataFrame(out, columns=["clip_id", "frame_idx", "guide"])
 
-    return depth.select("clip_id", "frame_idx", "height", "width", "data").mapInPandas(run, "clip_id string, frame_idx long, guide binary")
+    rows = depth.join(sizes, ["clip_id", "frame_idx"]).select("clip_id", "frame_idx", "height", "width", "data", "_w", "_h")
+    return rows.mapInPandas(run, "clip_id string, frame_idx long, guide binary")
 
 
 def repaired(depth: DataFrame, mask: DataFrame, config: Config, bits: int = 10, source_range: str = "tv") -> DataFrame:
@@ -129,14 +174,27 @@ def repaired(depth: DataFrame, mask: DataFrame, config: Config, bits: int = 10,
     return rows.select(*columns, "mh", "mw", "mask").mapInPandas(run, depth.schema)
 
 
-def run(frames: DataFrame, dets: DataFrame, config: Config, width: int, height: int, depth: DataFrame | None = None) -> DataFrame:
-    """Masks of a clip from its frames and boxes: geometry, persistence, extraction, time, memory."""
+def run(
+    frames: DataFrame,
+    dets: DataFrame,
+    config: Config,
+    depth: DataFrame | None = None,
+    codes: tuple[float, float] = (64.0, 940.0),
+    model=None,
+) -> DataFrame:
+    """Masks of clips from their frames and boxes: merging, geometry, appearance, extraction, persistence, time, memory.
+
+    ``depth`` planes, whose ``codes`` are the ends of their range, veto glyphs
+    off the text's depth; ``model`` gives learned strokes of a frame.
+    """
     from . import gates, tracks
 
     every = config.detect.detect_every
-    seen = dets.where(F.pmod("frame_idx", F.lit(every)) == 0) if every > 1 else dets
-    kept = gates.geometry(gates.confident(seen, config.detect.min_score), width, height, config.filters)
-    held = patches(frames, kept, config)
+    kept = boxes(frames, dets.where(F.pmod("frame_idx", F.lit(every)) == 0) if every > 1 else dets, config)
+    if config.filters.scene_text == "keep":
+        passed = gates.overlaid(looks(frames, kept), config.filters).select("clip_id", "frame_idx", "det_id")
+        kept = steps.cut(kept.join(passed, ["clip_id", "frame_idx", "det_id"]), "boxes")
+    held = patches(frames, kept, config, None if depth is None else guides(depth, frames, *codes), model)
     if every > 1:  # a skipped frame shows what the last detected one did
         offsets = F.explode(F.sequence(F.lit(0), F.lit(every - 1)))
         ends = frames.select("clip_id", "frame_idx")
@@ -146,11 +204,11 @@ def run(frames: DataFrame, dets: DataFrame, config: Config, width: int, height:
     return masks(frames, held.join(stay, ["clip_id", "frame_idx", "det_id"]), config)
 
 
-def masks_for(frames: DataFrame, dets: DataFrame, wanted: DataFrame, config: Config, width: int, height: int) -> DataFrame:
+def masks_for(frames: DataFrame, dets: DataFrame, wanted: DataFrame, config: Config, **more) -> DataFrame:
     """Masks of the ``wanted`` frames (clip_id, frame_idx), from the frames within the halo of them alone.
 
     The halo is the sum of the stages' radii, so each mask is that of a full run.
     """
     around = wanted.select("clip_id", F.explode(F.sequence(F.col("frame_idx") - config.halo, F.col("frame_idx") + config.halo)).alias("frame_idx")).distinct()
-    near, boxes = (x.join(around, ["clip_id", "frame_idx"], "left_semi") for x in (frames, dets))
-    return run(near, boxes, config, width, height).join(wanted.distinct(), ["clip_id", "frame_idx"], "left_semi")
+    near, found = (x.join(around, ["clip_id", "frame_idx"], "left_semi") for x in (frames, dets))
+    return run(near, found, config, **more).join(wanted.distinct(), ["clip_id", "frame_idx"], "left_semi")

@@ -80,6 +80,12 @@ def remembered_pixels(pixels: DataFrame, radius: int, min_level: float) -> DataF
     return pixels.withColumn("_sure", sure).withColumn("trusted", F.bool_or("_sure").over(around)).drop("_sure")
 
 
+def held_to_verdicts(pixels: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """``pixels`` (label, v) with v where its blob is kept, 0 elsewhere: a blob stays with ``least`` pixels above half."""
+    keep = pixels.groupBy(*keys, "label").agg(F.when(F.count_if(F.col("v") > 127) >= least, 255).otherwise(0).cast("long").alias("_keep"))
+    return pixels.join(keep, [*keys, "label"]).withColumn("v", F.col("v").bitwiseAND(F.col("_keep"))).drop("_keep")
+
+
 def tilt_scores(ink: DataFrame, keys: list[str], max_tilt: float = 8.0, step: float = 2.0, margin: float = 1.2) -> DataFrame:
     """Angle at which the sheared ink (x, y, v) falls into the fewest rows; 0 where no angle clearly wins.
 
@@ -87,8 +93,7 @@ def tilt_scores(ink: DataFrame, keys: list[str], max_tilt: float = 8.0, step: fl
     """
     import math
 
-    wide = 3 * max_tilt
-    n = int(wide / step)
+    n = math.ceil(max(2.5 * max_tilt, 45.0) / step)  # well past the tolerance, or a steep slope would pass for a slight one
     grid = [(k * step, math.tan(math.radians(k * step))) for k in range(-n, n + 1)]
     angles = F.array(*[F.struct(F.lit(a).alias("angle"), F.lit(t).alias("slope")) for a, t in grid])
     middle = F.avg("x").over(Window.partitionBy(*keys))

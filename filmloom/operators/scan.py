@@ -2,26 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import Reading, Sweep, Thresholds
+from ..config import Filters, Level, Reading, Sweep, Thresholds
 from ..functions import strings
-from . import gates, windows
+from . import gates, measures, windows
 
 #: Columns of the report, in order.
 REPORT = (
     "clip_id", "verdict", "stage", "total_frames", "swept_frames", "sweep_hits", "frames_scanned", "text_frames", "longest_run",
-    "peak_coverage", "hits", "words", "depth_path", "depth_status", "evidence",
+    "peak_coverage", "tilted_regions", "min_text_px", "hits", "words", "depth_path", "depth_status", "evidence",
 )
 
 
 def planned(frames: DataFrame, plan: DataFrame) -> DataFrame:
-    """Frames inside the windows of a plan (clip_id, start, count), with window_id."""
+    """Frames inside the windows of a plan (clip_id, start, count), with window_id; a window without count goes on to the end.
+
+    Windows are dealt out to their frame numbers, so frames meet them by an
+    equality join and no clip's frames meet all its windows.
+    """
     numbered = plan.withColumn("window_id", F.row_number().over(Window.partitionBy("clip_id").orderBy("start")).cast("long"))
-    met = frames.drop("window_id").join(numbered, "clip_id")
-    inside = (F.col("frame_idx") >= F.col("start")) & (F.col("count").isNull() | (F.col("frame_idx") < F.col("start") + F.col("count")))
-    return met.where(inside).drop("start", "count")
+    ends = frames.groupBy("clip_id").agg(F.max("frame_idx").alias("_end"))
+    last = F.least(F.col("_end"), F.coalesce(F.col("start") + F.col("count") - 1, F.col("_end")))
+    each = numbered.join(ends, "clip_id").where(last >= F.col("start"))
+    each = each.select("clip_id", "window_id", F.explode(F.sequence(F.col("start").cast("long"), last.cast("long"))).alias("frame_idx"))
+    return frames.drop("window_id").join(each, ["clip_id", "frame_idx"])
+
+
+def first_words(words: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The first ``most`` words (pos, word) of each group, in order; only these are gathered."""
+    ranked = words.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))).where(F.col("_rank") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("_rank", "word")))
+    return ranked.groupBy(*keys).agg(F.transform(listed, lambda x: x["word"]).alias("words"))
+
+
+def tilts(ink: DataFrame, dets: DataFrame, level: Level = Level()) -> DataFrame:
+    """``dets`` with tilt: the angle at which the ink (clip_id, frame_idx, det_id, x, y, v) of a box runs; null where too little says so."""
+    keys = ["clip_id", "frame_idx", "det_id"]
+    peak = F.max("v").over(Window.partitionBy(*keys))
+    strong = ink.withColumn("_peak", peak).where(F.col("v") >= F.greatest(F.lit(8.0), F.floor(F.col("_peak") / 4))).drop("_peak")
+    h, w = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
+    wide = dets.where((h >= level.min_height) & (w >= level.min_aspect * h)).select(*keys)
+    enough = strong.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= level.min_ink).select(*keys)
+    judged = strong.join(wide, keys).join(enough, keys)
+    scores = measures.tilt_scores(measures.thinned(judged, keys, ["y", "x"], level.max_ink), keys, level.max_tilt, margin=level.margin)
+    return dets.join(scores.select(*keys, "tilt"), keys, "left")
+
+
+def looked_at(frames: DataFrame, dets: DataFrame, filters: Filters = Filters(), level: Level = Level(), min_pixels: int = 14) -> DataFrame:
+    """``frames`` (clip_id, frame_idx, height) with dets, the boxes that count, and tilted, those that run aslope.
+
+    Boxes (y0, y1, tilt) lower than the clip's floor don't count; of a frame
+    whose only measurable boxes are sloped none does.
+    """
+    clips = frames.groupBy("clip_id").agg(F.max("height").alias("height"))
+    floors = gates.size_floor(clips, filters, min_pixels=min_pixels)
+    tall = dets.join(floors, "clip_id").where(F.col("y1") - F.col("y0") >= F.col("min_text_height") * F.col("height"))
+    keys = ["clip_id", "frame_idx"]
+    level_ones = gates.upright(tall, keys, level) if level.require else tall
+    kept = level_ones.groupBy(*keys).agg(F.count("*").alias("dets"))
+    tilted = tall.groupBy(*keys).agg(F.count_if(F.abs("tilt") > level.max_tilt).alias("tilted"))
+    out = frames.drop("dets", "tilted").join(kept, keys, "left").join(tilted, keys, "left")
+    return out.fillna({"dets": 0, "tilted": 0}).join(floors.select("clip_id", F.ceil(F.col("min_text_height") * F.col("height")).alias("min_text_px")), "clip_id")
 
 
 def triage(
@@ -35,7 +79,7 @@ def triage(
     window_len: int = 45,
     radius: int = 10,
 ) -> DataFrame:
-    """Report of clips from their frames (clip_id, frame_idx, coverage, dets).
+    """Report of clips from their frames (clip_id, frame_idx, coverage, dets; tilted and min_text_px as ``looked_at`` gives them).
 
     A clip whose sweep pays is read only around what the sweep finds, others
     in evenly spread windows. ``words`` (clip_id, frame_idx, pos, word,
@@ -53,6 +97,9 @@ def triage(
     close = windows.confirm_plan(hits, clips, window_len, radius)
     blind = windows.window_plan(clips, n_windows, window_len, radius).join(worth, "clip_id", "left_anti")
     verdict = windows.verdicts(planned(frames, close.unionByName(blind)), thresholds)
+    extra = [F.sum("tilted").alias("tilted_regions") if "tilted" in frames.columns else F.lit(0).cast("long").alias("tilted_regions")]
+    extra.append(F.max("min_text_px").alias("min_text_px") if "min_text_px" in frames.columns else F.lit(None).cast("long").alias("min_text_px"))
+    clips = clips.join(frames.groupBy("clip_id").agg(*extra), "clip_id")
     out = clips.join(looked, "clip_id", "left").join(verdict, "clip_id", "left").fillna({"flagged": False})
     if words is not None:
         best = windows.strongest(frames, reading.max_frames).select("clip_id", "frame_idx", "rank")
@@ -81,4 +128,15 @@ def triage(
 def write_report(report: DataFrame, path: str) -> None:
     """The report as CSV with a header; lists are joined by blanks."""
     flat = report.withColumns({c: F.concat_ws(" ", F.transform(c, lambda x: x.cast("string"))) for c in ("hits", "words")})
-    flat.write.option("header", True).csv(path)
+    flat.write.option("header", True).mode("append").csv(path)
+
+
+def not_reported(spark: SparkSession, frames: DataFrame, path: str) -> DataFrame:
+    """``frames`` of the clips that the report at ``path`` does not have yet, for going on after an end; all if there is none."""
+    try:
+        done = spark.read.option("header", True).csv(path).select("clip_id")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return frames
+    return gates.not_done(frames, done.select(F.col("clip_id").cast(frames.schema["clip_id"].dataType)), "clip_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Filters, Sweep, Thresholds
 from ..functions import boxes, pixels as px, strings
-from ..operators import gates, measures, pairing, tracks, windows
+from ..operators import gates, measures, pairing, scan, tracks, windows
 from . import views as V
 
 QUERIES: dict = {}
@@ -78,7 +78,17 @@ def nms_merge(spark, d) -> DataFrame:
     )
 
 
-@query(None)
+MEETS = """(least(k.x1, d[1].x1) > greatest(k.x0, d[1].x0)) AND (least(k.y1, d[1].y1) > greatest(k.y0, d[1].y0)) AND
+      100 * (least(k.x1, d[1].x1) - greatest(k.x0, d[1].x0)) * (least(k.y1, d[1].y1) - greatest(k.y0, d[1].y0)) >=
+      60 * ((k.x1 - k.x0) * (k.y1 - k.y0) + (d[1].x1 - d[1].x0) * (d[1].y1 - d[1].y0) - (least(k.x1, d[1].x1) - greatest(k.x0, d[1].x0)) * (least(k.y1, d[1].y1) - greatest(k.y0, d[1].y0)))"""
+
+
+@query(f"""WITH {V.DETECTIONS}, listed AS (
+  SELECT clip_id, frame_idx, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'score': score}} ORDER BY det_id) AS l FROM detections GROUP BY 1, 2),
+kept AS (SELECT clip_id, frame_idx, list_reduce(list_transform(l, lambda d: [d]), lambda acc, d: CASE WHEN list_position(list_transform(acc, lambda k: {MEETS}), true) IS NULL THEN list_concat(acc, d)
+  ELSE list_transform(acc, lambda k, i: CASE WHEN i = list_position(list_transform(acc, lambda k: {MEETS}), true) THEN
+    {{'x0': k.x0, 'y0': k.y0, 'x1': k.x1, 'y1': k.y1, 'score': greatest(k.score, d[1].score)}} ELSE k END) END) AS l FROM listed)
+SELECT clip_id, frame_idx, i - 1 AS kept_id, l[i].x0 AS x0, l[i].y0 AS y0, l[i].x1 AS x1, l[i].y1 AS y1, l[i].score AS score FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM kept)""")
 def nms_merge_scores(spark, d) -> DataFrame:
     return tracks.merge(V.detections(spark, d), ["clip_id", "frame_idx"], ["det_id"])
 
@@ -349,12 +359,11 @@ def _depth_files(spark, d) -> tuple[DataFrame, DataFrame]:
 @query(f"""WITH {V.CLIP_FILES}, {KEYS_SQL}, dep AS (SELECT replace(regexp_replace(path, '(_v\\d)', '\\1_depth'), '/clips/', '/depth/') AS path, key || '_depth' AS key, is_dir, ext, lower(regexp_replace(name, '(_v\\d)', '\\1_depth')) AS name FROM k),
 r AS (SELECT c.page_id, c.path, d.path AS depth_path, row_number() OVER (PARTITION BY c.page_id ORDER BY CASE WHEN d.is_dir = c.is_dir THEN 0 ELSE 1 END,
   CASE WHEN d.ext IN ('.mp4', '.mov', '.mkv', '.avi', '.webm', '.m4v') OR d.is_dir THEN 0 ELSE 1 END, d.name, d.path) AS rn, count(d.path) OVER (PARTITION BY c.page_id) AS n
-  FROM k c LEFT JOIN dep d ON c.key || '_depth' = d.key WHERE c.page_id % 2 = 0)
+  FROM k c LEFT JOIN dep d ON c.key || '_depth' = d.key)
 SELECT page_id, path, depth_path, CASE n WHEN 0 THEN 'missing' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status FROM r WHERE rn = 1""")
 def pair_depth_ranked(spark, d) -> DataFrame:
     files, depth = _depth_files(spark, d)
-    clips = files.where(F.pmod("page_id", F.lit(2)) == 0).select("page_id", "path", "is_dir")
-    return pairing.find_depth(clips, depth).select("page_id", "path", "depth_path", "status")
+    return pairing.find_depth(files.select("page_id", "path", "is_dir"), depth).select("page_id", "path", "depth_path", "status")
 
 
 @query(f"WITH {V.CLIP_FILES}, {KEYS_SQL} SELECT key, array_to_string(list_sort(list(path)), ';') AS paths, count(*) AS n FROM k GROUP BY 1")
@@ -385,20 +394,20 @@ def destinations(spark, d) -> DataFrame:
     return files.select(path.alias("path")).withColumn("dst", strings.destination(F.col("path"), "/clips", "/out"))
 
 
-@query(f"""WITH {V.CLIP_FILES}, there AS (SELECT DISTINCT path AS dst, 40 AS size, is_dir FROM clip_files WHERE page_id % 3 = 0)
+@query(f"""WITH {V.CLIP_FILES}, there AS (SELECT path AS dst, max(size) AS size, is_dir FROM clip_files WHERE path LIKE '%_v0%' GROUP BY path, is_dir)
 SELECT c.page_id, CASE WHEN t.dst IS NULL THEN 'copied' WHEN t.is_dir OR c.is_dir OR t.size = c.size THEN 'exists' ELSE 'exists (differs)' END AS action
 FROM clip_files c LEFT JOIN there t ON c.path = t.dst""")
 def copy_actions(spark, d) -> DataFrame:
     files = V.clip_files(spark, d)
     moves = files.select("page_id", F.col("path").alias("dst"), F.col("size").alias("src_size"), F.col("is_dir").alias("src_dir"))
-    there = files.where(F.pmod("page_id", F.lit(3)) == 0).select("path", F.lit(40).alias("size"), "is_dir").distinct()
+    there = files.where(F.contains("path", F.lit("_v0"))).groupBy("path", "is_dir").agg(F.max("size").alias("size"))
     return pairing.copy_plan(moves, there).select("page_id", "action")
 
 
-@query(f"""WITH {V.CLIP_FILES}, done AS (SELECT DISTINCT path FROM clip_files WHERE page_id % 3 = 0) SELECT page_id, path FROM clip_files WHERE path NOT IN (SELECT path FROM done)""")
+@query(f"""WITH {V.CLIP_FILES}, done AS (SELECT DISTINCT path FROM clip_files WHERE path LIKE '%_v0%') SELECT page_id, path FROM clip_files WHERE path NOT IN (SELECT path FROM done)""")
 def anti_skip_existing(spark, d) -> DataFrame:
     files = V.clip_files(spark, d)
-    return gates.not_done(files, files.where(F.pmod("page_id", F.lit(3)) == 0), "path").select("page_id", "path")
+    return gates.not_done(files, files.where(F.contains("path", F.lit("_v0"))), "path").select("page_id", "path")
 
 
 @query(f"""WITH {V.FRAMES}, a AS (SELECT clip_id, frame_idx - 2 AS frame_idx, coverage FROM frames WHERE frame_idx >= 2), b AS (SELECT clip_id, frame_idx - 5 AS frame_idx, dets FROM frames WHERE frame_idx >= 5)
@@ -501,13 +510,24 @@ def agreement_veto(spark, d) -> DataFrame:
     return gates.agreeing(_parts(spark, d), ["clip_id", "frame_idx"], "bh", 2.0, 0.6).select("clip_id", "frame_idx", "label")
 
 
-@query(f"""WITH {V.DETECTIONS}, t AS (SELECT clip_id, frame_idx, det_id, CASE WHEN det_id % 4 = 0 THEN NULL ELSE (x0 + y0 * 3 + x1) % 41 - 20 END AS tilt FROM detections),
-u AS (SELECT *, bool_or(tilt IS NOT NULL AND abs(tilt) <= 8) OVER w AS level, bool_or(tilt IS NOT NULL AND abs(tilt) > 8) OVER w AS sloped FROM t WINDOW w AS (PARTITION BY clip_id, frame_idx))
-SELECT clip_id, frame_idx, det_id FROM u WHERE (tilt IS NULL OR abs(tilt) <= 8) AND NOT (sloped AND NOT level)""")
+def _tilt_sql(keys: str) -> str:
+    """tilts (keys, tilt, best, flat) of the pixels above half: sheared by every angle, the fewest rows win."""
+    return f"""ink AS (SELECT *, y // 4 AS det_id FROM pixels WHERE v > 127), angles AS (SELECT CAST(2 * k AS DOUBLE) AS angle, tan(radians(2 * k)) AS slope FROM range(-23, 24) t(k)),
+mid AS (SELECT *, avg(x) OVER (PARTITION BY {keys}) AS m FROM ink),
+band AS (SELECT {keys}, angle, round_even(y - (x - m) * slope, 0) AS band, sum(v) AS s FROM mid, angles GROUP BY ALL),
+score AS (SELECT {keys}, angle, CAST(sum(s * s) AS BIGINT) AS score FROM band GROUP BY ALL),
+won AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, abs(angle), angle DESC) AS rn, max(score) FILTER (angle = 0) OVER (PARTITION BY {keys}) AS flat FROM score),
+tilts AS (SELECT {keys}, CASE WHEN score <= flat * 1.2::DOUBLE THEN 0.0::DOUBLE ELSE angle END AS tilt, score AS best, flat FROM won WHERE rn = 1)"""
+
+
+@query(f"""WITH {V.PIXELS}, {_tilt_sql("clip_id, frame_idx, det_id")},
+u AS (SELECT *, bool_or(abs(tilt) <= 8) OVER w AS level, bool_or(abs(tilt) > 8) OVER w AS sloped FROM tilts WINDOW w AS (PARTITION BY clip_id, frame_idx))
+SELECT clip_id, frame_idx, det_id, tilt FROM u WHERE abs(tilt) <= 8 AND NOT (sloped AND NOT level)""")
 def upright_rule(spark, d) -> DataFrame:
-    det = V.detections(spark, d)
-    tilt = F.when(F.pmod("det_id", F.lit(4)) != 0, F.pmod(F.col("x0") + F.col("y0") * 3 + F.col("x1"), F.lit(41)) - 20)
-    return gates.upright(det.withColumn("tilt", tilt), ["clip_id", "frame_idx"]).select("clip_id", "frame_idx", "det_id")
+    """Halves of images as boxes, by the tilt of their own ink."""
+    keys = ["clip_id", "frame_idx", "det_id"]
+    ink = V.pixels(spark, d).where("v > 127").withColumn("det_id", F.floor(F.col("y") / 4))
+    return gates.upright(measures.tilt_scores(ink, keys), keys[:2]).select(*keys, "tilt")
 
 
 @query(f"WITH {PARTS} SELECT clip_id, frame_idx, sum(area * (label % 5) // 10) / greatest(sum(area), 1)::DOUBLE AS fill, sum(area * (label % 5) // 10) / greatest(sum(area), 1)::DOUBLE < 0.2 AS thin FROM parts GROUP BY 1, 2")
@@ -539,7 +559,7 @@ def chroma_flatness(spark, d) -> DataFrame:
     return out.withColumns({"contrast": F.round("contrast", 6), "spread": F.round("spread", 6)})
 
 
-@query(None)
+@query(f"""WITH {V.PIXELS}, {_tilt_sql("clip_id, frame_idx")} SELECT clip_id, frame_idx, tilt, best, flat FROM tilts""")
 def baseline_tilt(spark, d) -> DataFrame:
     ink = V.pixels(spark, d).where("v > 127")
     return measures.tilt_scores(ink, ["clip_id", "frame_idx"])
@@ -565,10 +585,27 @@ def alignment_notes(spark, d) -> DataFrame:
     return pairing.alignment_notes(pairs).select("k", F.array_join("notes", "; ").alias("notes"))
 
 
-@query(f"""WITH {V.PIXELS} SELECT clip_id, frame_idx, y, x, least(greatest(v + (((v * 3 + x * 5) % 256) - v), 0), 255) AS v FROM pixels""")
+@query(f"""WITH {V.COLOURS}, p AS (SELECT *, CAST(round_even((r + g + b) / 3.0::DOUBLE, 0) AS BIGINT) AS plane, (r * 3 + x * 5) % 256 AS wanted FROM colours)
+SELECT clip_id, frame_idx, y, x, CASE WHEN wanted - plane + r < 0 THEN 0 WHEN wanted - plane + r > 255 THEN 255 ELSE wanted - plane + r END AS r,
+  CASE WHEN wanted - plane + g < 0 THEN 0 WHEN wanted - plane + g > 255 THEN 255 ELSE wanted - plane + g END AS g,
+  CASE WHEN wanted - plane + b < 0 THEN 0 WHEN wanted - plane + b > 255 THEN 255 ELSE wanted - plane + b END AS b FROM p""")
 def delta_write(spark, d) -> DataFrame:
-    plane = F.pmod(F.col("v") * 3 + F.col("x") * 5, F.lit(256))
-    return V.pixels(spark, d).withColumn("v", px.clip(F.col("v") + (plane - F.col("v")), 0, 255))
+    """A plane written back into stills of three channels by the stills' own writer, frame by frame."""
+    import numpy as np
+    import pandas as pd
+
+    from ..sources import stills
+
+    def run(pdf):
+        image = np.zeros((8, 8, 3), np.uint8)
+        ys, xs = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        image[ys, xs] = pdf[["r", "g", "b"]].to_numpy()
+        plane = np.zeros((8, 8), np.uint16)
+        plane[ys, xs] = (pdf["r"].to_numpy() * 3 + xs * 5) % 256
+        out = stills.decode(stills.encode(stills.with_plane(image, plane)))[ys, xs].astype(np.int64)
+        return pd.DataFrame({"clip_id": pdf["clip_id"], "frame_idx": pdf["frame_idx"], "y": ys, "x": xs, "r": out[:, 0], "g": out[:, 1], "b": out[:, 2]})
+
+    return V.colours(spark, d).groupBy("clip_id", "frame_idx").applyInPandas(run, "clip_id long, frame_idx long, y long, x long, r long, g long, b long")
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '420' WHEN 1 THEN '444' WHEN 2 THEN '400' ELSE '420' END AS chroma,
@@ -580,10 +617,10 @@ def pixel_formats(spark, d) -> DataFrame:
     return V.read(spark, d, "part", "p_partkey").select("p_partkey", chroma.alias("chroma"), bits.alias("bits"))
 
 
-@query("SELECT page_id, substr(sha256(length(html) || '|' || page_id || '|' || substr(html, 1, 200)), 1, 16) AS fingerprint FROM pages")
+@query("SELECT page_id, substr(sha256(length(html) || '|' || page_id || '|' || html), 1, 16) AS fingerprint FROM pages")
 def source_fingerprint(spark, d) -> DataFrame:
     p = V.read(spark, d, "pages", "page_id", "html")
-    return p.select("page_id", strings.fingerprint(F.length("html"), F.col("page_id"), F.substring("html", 1, 200)).alias("fingerprint"))
+    return p.select("page_id", strings.fingerprint(F.length("html"), F.col("page_id"), F.col("html")).alias("fingerprint"))
 
 
 @query(f"""WITH {V.DETECTIONS}, n AS (SELECT det_id, clip_id, frame_idx, x0 / 640.0::DOUBLE AS a, x1 / 640.0::DOUBLE AS c, y0 / 360.0::DOUBLE AS b, y1 / 360.0::DOUBLE AS d, score FROM detections)
@@ -595,32 +632,70 @@ def relative_boxes(spark, d) -> DataFrame:
     return detectors.from_relative(det, 640, 360, 0.3).select("clip_id", "frame_idx", "det_id", "x0", "y0", "x1", "y1")
 
 
-def _film(spark, clips: int = 2, frames: int = 24):
-    from ..config import build
-    from ..sources import frames as source
+def _planes(spark, d) -> DataFrame:
+    """clip_id, frame_idx, values: images of 8 x 8 by clip, numbered without gaps."""
+    e = V.pixels(spark, d).groupBy("clip_id", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
+    order = Window.partitionBy("clip_id").orderBy("frame_idx")
+    return e.select(F.col("clip_id").cast("string").alias("clip_id"), (F.row_number().over(order) - 1).cast("long").alias("frame_idx"), F.transform("p", lambda p: p["v"]).alias("values"))
 
-    rgb, depth, dets = source.synthetic(spark, clips, frames)
-    return rgb, depth, dets, build("both", **{"filters.min_text_height": 0.05})
 
+def _bytes_of(values, kind: str):
+    """Values of an image as bytes: one, two (little end first) or a float in 255ths each."""
+    import numpy as np
 
-@query(None)
+    @F.pandas_udf("binary")
+    def made(v):
+        if kind == "float":
+            return v.map(lambda a: (np.asarray(a, np.float32) / np.float32(255)).tobytes())
+        return v.map(lambda a: np.asarray(a, kind).tobytes())
+
+    return made(values)
+
+
+def _unpacked(rows: DataFrame, column: str, width: int) -> DataFrame:
+    """clip_id, frame_idx, y, x, v from images of 8 x 8 as bytes."""
+    one = lambda i, k: F.conv(F.hex(F.substring(F.col(column), i * width + k + 1, F.lit(1))), 16, 10).cast("long")
+    value = lambda i: one(i, 0) if width == 1 else one(i, 0) + 256 * one(i, 1)
+    long = rows.select("clip_id", "frame_idx", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(63)), value)).alias("i", "v"))
+    return long.select("clip_id", "frame_idx", F.floor(F.col("i") / 8).alias("y"), F.pmod("i", F.lit(8)).cast("long").alias("x"), "v")
+
+
+PLANES_SQL = f"""{V.PIXELS}, planes AS (SELECT CAST(clip_id AS VARCHAR) AS clip_id, dense_rank() OVER (PARTITION BY clip_id ORDER BY frame_idx) - 1 AS frame_idx, y, x, v FROM pixels)"""
+
+
+@query(f"""WITH {PLANES_SQL}, near AS (SELECT *, list_sort(list(v) OVER (PARTITION BY clip_id, y, x ORDER BY frame_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS n FROM planes),
+smooth AS (SELECT *, (n[(len(n) - 1) // 2 + 1] + n[len(n) // 2 + 1]) // 2 AS s FROM near),
+lit AS (SELECT DISTINCT a.clip_id, a.frame_idx, a.y, a.x FROM planes a JOIN planes b ON a.clip_id = b.clip_id AND a.frame_idx = b.frame_idx AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 WHERE b.v >= 64)
+SELECT clip_id, frame_idx, y, x, CAST(CASE WHEN l.y IS NULL THEN 0 ELSE s END AS BIGINT) AS v FROM smooth LEFT JOIN lit l USING (clip_id, frame_idx, y, x)""")
 def mask_frames(spark, d) -> DataFrame:
-    """Masks of synthetic clips: covered pixels and level by frame."""
+    """Masks from patches: composed, their medians over three frames, their level spread by two pixels."""
+    from ..config import build
     from ..operators import masks
 
-    rgb, _, dets, config = _film(spark)
-    m = masks.run(rgb, dets, config, 160, 90)
-    return m.select("clip_id", "frame_idx", "height", "width", F.sha2("mask", 256).alias("mask_sha"))
+    planes = _planes(spark, d)
+    frames = planes.select("clip_id", "frame_idx", F.lit(8).alias("height"), F.lit(8).alias("width"))
+    zero, eight = F.lit(0), F.lit(8)
+    found = planes.select(
+        "clip_id", "frame_idx", F.lit(1).cast("long").alias("det_id"), zero.alias("x0"), zero.alias("y0"), eight.alias("h"), eight.alias("w"),
+        F.lit(1.0).cast("float").alias("level"), _bytes_of(F.col("values"), "float").alias("alpha"),
+    )
+    return _unpacked(masks.masks(frames, found, build(**{"temporal.prior_window": 0}), 16), "mask", 1)
 
 
-@query(None)
+@query(f"""WITH {PLANES_SQL}, m AS (SELECT *, CASE WHEN v > 170 THEN 1.0::DOUBLE WHEN v > 120 THEN 0.2::DOUBLE ELSE 0 END AS a FROM planes)
+SELECT clip_id, frame_idx, y, x, CAST(round(4 * v * (1 - a) + 869.92::DOUBLE * a) AS BIGINT) AS v FROM m""")
 def repair_depth(spark, d) -> DataFrame:
-    """Repaired depth of synthetic clips."""
+    """Text painted into depth planes at one level, without healing, growing or feathering."""
+    from ..config import build
     from ..operators import masks
 
-    rgb, depth, dets, config = _film(spark)
-    fixed = masks.repaired(depth, masks.run(rgb, dets, config, 160, 90), config)
-    return fixed.select("clip_id", "frame_idx", "name", F.sha2("data", 256).alias("data_sha"))
+    planes = _planes(spark, d)
+    size = [F.lit(8).alias("height"), F.lit(8).alias("width")]
+    depth = planes.select("clip_id", "frame_idx", *size, _bytes_of(F.transform("values", lambda v: 4 * v), "<u2").alias("data"))
+    alpha = F.transform("values", lambda v: F.when(v > 170, 255).when(v > 120, 51).otherwise(0))
+    mask = planes.select("clip_id", "frame_idx", *size, _bytes_of(alpha, "u1").alias("mask"))
+    options = build(**{"composite.heal": "none", "composite.dilate": 0, "composite.feather": 0.0})
+    return _unpacked(masks.repaired(depth, mask, options, 10, "tv"), "data", 2)
 
 
 def _events(spark, d, last: bool = False) -> DataFrame:
@@ -640,7 +715,7 @@ def stream_verdicts(spark, d) -> DataFrame:
     from ..streaming import verdicts as S
 
     rows = S.drained(spark, S.stream_verdicts(_events(spark, d).drop("ts")), "update")
-    last = F.max_by(F.struct(*[c for c in rows.columns if c != "clip_id"]), "frames_scanned")
+    last = F.max_by(F.struct(*[c for c in rows.columns if c not in ("clip_id", "late")]), "frames_scanned")
     return rows.groupBy("clip_id").agg(last.alias("v")).select("clip_id", "v.*")
 
 
@@ -726,12 +801,12 @@ def colour_spread(spark, d) -> DataFrame:
     return measures.colour_spread(V.pixels(spark, d).withColumn("label", F.col("y")), ["clip_id", "frame_idx"])
 
 
-@query(f"""WITH {V.FRAMES} SELECT a.clip_id, a.frame_idx, a.coverage, b.dets, c.window_id FROM frames a JOIN (SELECT * FROM frames WHERE frame_idx % 2 = 0) b USING (clip_id, frame_idx)
-  JOIN (SELECT * FROM frames WHERE frame_idx % 3 = 0) c USING (clip_id, frame_idx)""")
+@query(f"""WITH {V.FRAMES} SELECT a.clip_id, a.frame_idx, a.coverage, b.dets, c.window_id FROM frames a JOIN (SELECT * FROM frames WHERE dets >= 1) b USING (clip_id, frame_idx)
+  JOIN (SELECT * FROM frames WHERE coverage > 0.0001) c USING (clip_id, frame_idx)""")
 def preview_join(spark, d) -> DataFrame:
     f = V.frames(spark, d)
-    rgb, depth = f.select("clip_id", "frame_idx", "coverage"), f.where("frame_idx % 2 = 0").select("clip_id", "frame_idx", "dets")
-    mask = f.where("frame_idx % 3 = 0").select("clip_id", "frame_idx", "window_id")
+    rgb, depth = f.select("clip_id", "frame_idx", "coverage"), f.where("dets >= 1").select("clip_id", "frame_idx", "dets")
+    mask = f.where("coverage > 0.0001").select("clip_id", "frame_idx", "window_id")
     return pairing.zipped(pairing.zipped(rgb, depth), mask)
 
 
@@ -739,8 +814,7 @@ def preview_join(spark, d) -> DataFrame:
 SELECT clip_id, frame_idx, y, x, CAST(v & keep AS BIGINT) AS v FROM pixels p JOIN verdict k USING (clip_id, frame_idx) WHERE p.y // 3 = k.label""")
 def verdict_lookup(spark, d) -> DataFrame:
     p = V.pixels(spark, d).withColumn("label", F.floor(F.col("y") / 3))
-    keep = p.groupBy("clip_id", "frame_idx", "label").agg(F.when(F.count_if(F.col("v") > 127) >= 10, 255).otherwise(0).cast("long").alias("keep"))
-    return p.join(keep, ["clip_id", "frame_idx", "label"]).select("clip_id", "frame_idx", "y", "x", F.col("v").bitwiseAND(F.col("keep")).alias("v"))
+    return measures.held_to_verdicts(p, ["clip_id", "frame_idx"], 10).select("clip_id", "frame_idx", "y", "x", "v")
 
 
 @query(f"""WITH {V.PIXELS}, n AS (SELECT *, row_number() OVER (PARTITION BY clip_id, frame_idx ORDER BY y, x) - 1 AS rn, count(*) OVER (PARTITION BY clip_id, frame_idx) AS n FROM pixels WHERE v > 100)
@@ -749,10 +823,10 @@ def ink_stride(spark, d) -> DataFrame:
     return measures.thinned(V.pixels(spark, d).where("v > 100"), ["clip_id", "frame_idx"], ["y", "x"], 20).select("clip_id", "frame_idx", "y", "x")
 
 
-@query(f"WITH {V.FRAMES} SELECT DISTINCT clip_id, frame_idx FROM frames WHERE frame_idx % 2 = 0 EXCEPT SELECT clip_id, frame_idx FROM frames WHERE coverage > 0.0001")
+@query(f"WITH {V.FRAMES} SELECT DISTINCT clip_id, frame_idx FROM frames WHERE dets >= 1 EXCEPT SELECT clip_id, frame_idx FROM frames WHERE coverage > 0.0001")
 def on_off_difference(spark, d) -> DataFrame:
     f = V.frames(spark, d)
-    return f.where("frame_idx % 2 = 0").select("clip_id", "frame_idx").subtract(f.where("coverage > 0.0001").select("clip_id", "frame_idx"))
+    return f.where("dets >= 1").select("clip_id", "frame_idx").subtract(f.where("coverage > 0.0001").select("clip_id", "frame_idx"))
 
 
 @query(f"""WITH {V.PIXELS}, b AS (SELECT clip_id, frame_idx, y // 4 AS label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pixels WHERE v > 170 GROUP BY 1, 2, 3)
@@ -763,7 +837,7 @@ def region_mask(spark, d) -> DataFrame:
     return measures.region_pixels(p, blobs, ["clip_id", "frame_idx"]).select("clip_id", "frame_idx", "y", "x")
 
 
-@query(f"""WITH {V.PIXELS}, tile AS (SELECT * FROM pixels WHERE frame_idx < 60), bad AS (SELECT * FROM tile WHERE v > 170), good AS (SELECT * FROM tile WHERE v <= 170),
+@query(f"""WITH {V.PIXELS}, tile AS (SELECT * FROM pixels), bad AS (SELECT * FROM tile WHERE v > 170), good AS (SELECT * FROM tile WHERE v <= 170),
 n AS (SELECT b.clip_id, b.frame_idx, b.y, b.x, min((b.y - g.y) * (b.y - g.y) + (b.x - g.x) * (b.x - g.x)) AS gap FROM bad b JOIN good g USING (clip_id, frame_idx) GROUP BY 1, 2, 3, 4)
 SELECT * FROM n""")
 def nearest_valid(spark, d) -> DataFrame:
@@ -781,8 +855,7 @@ def nearest_valid(spark, d) -> DataFrame:
         ys, xs = np.nonzero(mask)
         return pd.DataFrame({"clip_id": pdf["clip_id"].iloc[0], "frame_idx": pdf["frame_idx"].iloc[0], "y": ys, "x": xs, "gap": np.rint(far[ys, xs] ** 2).astype(int)})
 
-    tile = V.pixels(spark, d).where("frame_idx < 60")
-    return tile.groupBy("clip_id", "frame_idx").applyInPandas(run, "clip_id long, frame_idx long, y long, x long, gap long")
+    return V.pixels(spark, d).groupBy("clip_id", "frame_idx").applyInPandas(run, "clip_id long, frame_idx long, y long, x long, gap long")
 
 
 @query(f"""WITH {V.CLIP_FILES}, {KEYS_SQL} SELECT page_id, '/out/' || (page_id % 7) || '/' || key || '_depth.mkv' AS dst FROM k""")
@@ -792,20 +865,22 @@ def depth_destinations(spark, d) -> DataFrame:
     return f.select("page_id", strings.depth_destination(depth, F.col("path"), "/clips", "/out").alias("dst"))
 
 
-@query(f"""WITH {V.WORDS}, w AS (SELECT doc_id % 150 AS clip_id, doc_id, pos, word, confidence FROM words WHERE doc_id < 150)
-SELECT clip_id, array_to_string(list(word ORDER BY pos)[1:6], ' ') AS words FROM w GROUP BY 1""")
+@query(f"""WITH {V.WORDS}, w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM words)
+SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS words FROM w WHERE rn <= 6 GROUP BY 1""")
 def first_words(spark, d) -> DataFrame:
-    w = V.words(spark, d).where("doc_id < 150")
-    first = F.slice(F.array_sort(F.collect_list(F.struct("pos", "word"))), 1, 6)
-    return w.groupBy(F.pmod("doc_id", F.lit(150)).alias("clip_id")).agg(F.array_join(F.transform(first, lambda x: x["word"]), " ").alias("words"))
+    return scan.first_words(V.words(spark, d), ["doc_id"], 6).select("doc_id", F.array_join("words", " ").alias("words"))
 
 
 @query(None)
 def masks_for_frames(spark, d) -> DataFrame:
-    """Masks of single frames, computed from no more than their context."""
+    """Masks of one frame of a drawn clip for every supplier, computed from no more than its context."""
+    from ..config import build
     from ..operators import masks
+    from ..sources import frames as source
 
-    rgb, _, dets, config = _film(spark)
-    wanted = rgb.where("frame_idx in (7, 12)").select("clip_id", "frame_idx")
-    m = masks.masks_for(rgb, dets, wanted, config, 160, 90)
-    return m.select("clip_id", "frame_idx", F.sha2("mask", 256).alias("mask_sha"))
+    names = V.read(spark, d, "supplier", "s_suppkey").select(F.concat(F.lit("clip"), F.col("s_suppkey").cast("string")).alias("clip_id"))
+    rgb, depth, dets = source.synthetic(spark, names, 12, 96, 54)
+    config = build("both", **{"filters.min_text_height": 0.05})
+    wanted = names.select("clip_id", F.lit(6).cast("long").alias("frame_idx"))
+    m = masks.masks_for(rgb, dets, wanted, config, depth=depth, codes=(0.0, 1023.0))
+    return m.select("clip_id", "frame_idx", "height", "width", F.sha2("mask", 256).alias("mask_sha"))

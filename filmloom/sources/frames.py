@@ -90,10 +90,11 @@ def read_cache(spark: SparkSession, path: str, fingerprint: str | None = None) -
     return spark.read.parquet(f"{path}/masks")
 
 
-def synthetic(spark: SparkSession, clips: int = 2, frames: int = 24, width: int = 160, height: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rgb frames, depth frames, detections) of clips with a burned-in line in the middle half of their frames."""
-    base = spark.range(clips).select(F.concat(F.lit("clip"), F.col("id").cast("string")).alias("clip_id"), F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("frame_idx"))
-    base = base.withColumn("frame_idx", F.col("frame_idx").cast("long"))
+def synthetic(spark: SparkSession, clips: int | DataFrame = 2, frames: int = 24, width: int = 160, height: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rgb frames, depth frames, detections) of clips (so many, or those of a table) with a burned-in line in the middle half of their frames."""
+    if isinstance(clips, int):
+        clips = spark.range(clips).select(F.concat(F.lit("clip"), F.col("id").cast("string")).alias("clip_id"))
+    base = clips.select("clip_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(frames - 1).cast("long"))).alias("frame_idx"))
     shown = F.col("frame_idx").between(frames // 4, 3 * frames // 4)
     boxes = base.where(shown).select(
         "clip_id", "frame_idx", F.lit(1).cast("long").alias("det_id"),

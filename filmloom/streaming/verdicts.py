@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,35 +9,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .. import steps
 from ..config import Thresholds
 
-VERDICT = "clip_id long, frames_scanned long, text_frames long, longest_run long, peak_coverage double, flagged boolean"
-STATE = "scanned long, hits long, run long, longest long, peak double, flagged boolean"
+VERDICT = "clip_id long, frames_scanned long, text_frames long, longest_run long, peak_coverage double, flagged boolean, late long"
+STATE = "scanned long, hits long, run long, longest long, peak double, flagged boolean, late long, newest long"
+
+
+def _in_order(batches: Iterator[pd.DataFrame], newest: int) -> tuple[pd.DataFrame, int]:
+    """Rows of one trigger by frame, and how many come too late: at or before a frame that was counted already."""
+    rows = pd.concat(list(batches)).sort_values("frame_idx")
+    fresh = rows[rows["frame_idx"] > newest]
+    return fresh, len(rows) - len(fresh)
 
 
 def stream_verdicts(frames: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Running verdict of each clip from a stream (clip_id, frame_idx, coverage, dets).
 
-    Frames of a clip arrive in order from batch to batch; within a batch they
-    are sorted. Once a clip is flagged its later frames are dropped unread.
+    Within a trigger frames are sorted. A frame that comes after a later one
+    was counted can't be part of a run any more: it is left out and counted as
+    ``late``. Once a clip is flagged its later frames are dropped unread.
     """
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        scanned, hits, run, longest, peak, flagged = state.get if state.exists else (0, 0, 0, 0, 0.0, False)
-        rows = pd.concat(list(batches)).sort_values("frame_idx")
-        for coverage, dets in zip(rows["coverage"], rows["dets"]):
+        scanned, hits, run, longest, peak, flagged, late, newest = state.get if state.exists else (0, 0, 0, 0, 0.0, False, 0, -1)
+        rows, more = _in_order(batches, newest)
+        late += more
+        for i, coverage, dets in zip(rows["frame_idx"], rows["coverage"], rows["dets"]):
             if flagged:
                 break
-            scanned, peak = scanned + 1, max(peak, float(coverage))
+            scanned, peak, newest = scanned + 1, max(peak, float(coverage)), int(i)
             run = run + 1 if dets >= 1 and coverage >= t.min_coverage else 0
             hits, longest = hits + (run > 0), max(longest, run)
             flagged = hits >= t.min_text_frames and longest >= t.min_run
-        state.update((scanned, hits, run, longest, peak, flagged))
-        yield pd.DataFrame([(key[0], scanned, hits, longest, peak, flagged)], columns=[c.split()[0] for c in VERDICT.split(", ")])
+        state.update((scanned, hits, run, longest, peak, flagged, late, newest))
+        yield pd.DataFrame([(key[0], scanned, hits, longest, peak, flagged, late)], columns=[c.split()[0] for c in VERDICT.split(", ")])
 
     return frames.groupBy("clip_id").applyInPandasWithState(update, VERDICT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def stream_carry_forward(frames: DataFrame, every: int) -> DataFrame:
+    """A stream (clip_id, frame_idx, v) in which frames whose index ``every`` does not divide show what the last such frame did.
+
+    Before the first such frame the value is null. Frames that come late are
+    left out, as in ``stream_verdicts``.
+    """
+
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest, held = state.get if state.exists else (-1, None)
+        rows, _ = _in_order(batches, newest)
+        out = []
+        for i, v in zip(rows["frame_idx"], rows["v"]):
+            newest, held = int(i), (None if pd.isna(v) else float(v)) if i % every == 0 else held
+            out.append((key[0], newest, held))
+        state.update((newest, held))
+        yield pd.DataFrame(out, columns=["clip_id", "frame_idx", "v"]).astype({"v": float})
+
+    return frames.groupBy("clip_id").applyInPandasWithState(update, SMOOTH, "newest long, held double", "append", GroupStateTimeout.NoTimeout)
+
+
 SMOOTH = "clip_id long, frame_idx long, v double"
 
 
@@ -49,12 +76,12 @@ def stream_medians(frames: DataFrame, radius: int) -> DataFrame:
 
     A frame comes out when ``radius`` later ones have arrived, or when the
     clip's last frame has; windows are cut off at both ends. State holds at
-    most 2 * radius + 1 values of a clip.
+    most 2 * radius + 1 values of a clip. Frames that come late are left out.
     """
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else []
-        done = state.get[1] if state.exists else 0  # leading frames of ``held`` that are out already
+        index, values, done = state.get if state.exists else ([], [], 0)
+        held = list(zip(index, values))  # the first ``done`` of them are out already
         out = []
 
         def emit(k):
@@ -62,7 +89,7 @@ def stream_medians(frames: DataFrame, radius: int) -> DataFrame:
             n = len(near)
             out.append((key[0], held[k][0], (near[(n - 1) // 2] + near[n // 2]) / 2))
 
-        rows = pd.concat(list(batches)).sort_values("frame_idx")
+        rows, _ = _in_order(batches, held[-1][0] if held else -1)
         for i, v, last in zip(rows["frame_idx"], rows["v"], rows["last"]):
             held.append((int(i), float(v)))
             while done + radius < len(held):
@@ -74,10 +101,10 @@ def stream_medians(frames: DataFrame, radius: int) -> DataFrame:
                 for k in range(done, len(held)):
                     emit(k)
                 done = len(held)
-        state.update((json.dumps(held), done))
+        state.update(([i for i, _ in held], [v for _, v in held], done))
         yield pd.DataFrame(out, columns=["clip_id", "frame_idx", "v"])
 
-    return frames.groupBy("clip_id").applyInPandasWithState(update, SMOOTH, "held string, done long", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("clip_id").applyInPandasWithState(update, SMOOTH, "index array<long>, held array<double>, done long", "append", GroupStateTimeout.NoTimeout)
 
 
 def with_event_time(frames: DataFrame, start: str, fps_num: int, fps_den: int) -> DataFrame:
@@ -100,11 +127,28 @@ def tumbling_hits(hits: DataFrame, length: str, late: str = "0 seconds") -> Data
     return out.select("clip_id", F.col("window.start").alias("start"), "hits", "peak")
 
 
-def drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """All that a stream over finished input gives, as a table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="filmloom-")
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode)
-    run = writer.option("checkpointLocation", f"{shared.rstrip('/')}/{name}").trigger(availableNow=True).start()
+def to_files(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append"):
+    """Run a stream over what has arrived, each trigger's rows in a folder of its own; a trigger that is run again replaces its rows.
+
+    Started again with the same ``checkpoint`` it goes on where it ended.
+    """
+
+    def keep(rows: DataFrame, trigger: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/trigger={trigger}")
+
+    writer = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint)
+    run = writer.trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return run
+
+
+def drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """All that a stream over finished input gives, as a table of files; of a complete result the last."""
+    folder = steps.fresh(spark, "drained")
+    run = to_files(stream, f"{folder}/rows", f"{folder}/state", mode)
+    if run.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema.add("trigger", "long")).parquet(f"{folder}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("trigger") == rows.agg(F.max("trigger")).first()[0])
+    return rows.drop("trigger")
