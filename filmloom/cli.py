@@ -81,7 +81,7 @@ def work(spark: SparkSession, args, config: C.Config) -> None:
         rgb, dets = frames.read_stills(spark, args.stills), spark.read.parquet(args.boxes)
         more = {}
         if args.depth:
-            more = {"depth": frames.read_stills(spark, args.depth, rgb=False), "codes": code_range(args.bits, args.range)}
+            more = {"depth": frames.read_depth(spark, args.depth), "codes": code_range(args.bits, args.range)}
         if args.command == "detect":
             kept = masks.boxes(rgb, dets, config)
             good = gates.overlaid(masks.looks(rgb, kept), config.filters)
@@ -93,9 +93,9 @@ def work(spark: SparkSession, args, config: C.Config) -> None:
         else:
             frames.write_cache(masks.run(rgb, dets, config, **more), args.out, {"source": args.stills, "version": 1})
     elif args.command == "fix":
-        depth = frames.read_stills(spark, args.depth, rgb=False)
+        depth = frames.read_depth(spark, args.depth)
         fixed = masks.repaired(depth, frames.read_cache(spark, args.masks), config, args.bits, args.range)
-        frames.write_stills(fixed, args.out).write.format("noop").mode("overwrite").save()
+        frames.write_depth(fixed, args.out)
     elif args.command == "triage":
         seen = scan.not_reported(spark, spark.read.parquet(args.frames), args.out)
         if args.boxes:

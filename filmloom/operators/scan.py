@@ -59,13 +59,14 @@ def looked_at(frames: DataFrame, dets: DataFrame, filters: Filters = Filters(),
     """
     clips = frames.groupBy("clip_id").agg(F.max("height").alias("height"))
     floors = gates.size_floor(clips, filters, min_pixels=min_pixels)
-    tall = dets.join(floors, "clip_id").where(F.col("y1") - F.col("y0") >= F.col("min_text_height") * F.col("height"))
+    floors = floors.select("clip_id", F.ceil(F.round(F.col("min_text_height") * F.col("height"), 6)).alias("min_text_px"))
+    tall = dets.join(floors, "clip_id").where(F.col("y1") - F.col("y0") >= F.col("min_text_px"))
     keys = ["clip_id", "frame_idx"]
     level_ones = gates.upright(tall, keys, level) if level.require else tall
     kept = level_ones.groupBy(*keys).agg(F.count("*").alias("dets"))
     tilted = tall.groupBy(*keys).agg(F.count_if(F.abs("tilt") > level.max_tilt).alias("tilted"))
     out = frames.drop("dets", "tilted").join(kept, keys, "left").join(tilted, keys, "left")
-    return out.fillna({"dets": 0, "tilted": 0}).join(floors.select("clip_id", F.ceil(F.col("min_text_height") * F.col("height")).alias("min_text_px")), "clip_id")
+    return out.fillna({"dets": 0, "tilted": 0}).join(floors, "clip_id")
 
 
 def triage(

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings
 from ..operators import pairing
+from . import files
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """path, size, modified of every file below ``root``; contents stay unread."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return found.select(F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def clips(files: DataFrame, root: str, recursive: bool = True, skip: tuple[str, ...] = ()) -> DataFrame:
+def clips(found: DataFrame, root: str, recursive: bool = True, skip: tuple[str, ...] = ()) -> DataFrame:
     """Clips (path, is_dir, key): films, and folders of stills, which are not looked into; ordered by lower path.
 
     What lies below a folder of ``skip``, as an earlier run's output, is left out.
     """
     base = root.rstrip("/")
-    kept = files.where(F.startswith("path", F.lit(base + "/")))
+    kept = found.where(F.startswith("path", F.lit(base + "/")))
     for s in skip:
         kept = kept.where(~F.startswith("path", F.lit(s.rstrip("/") + "/")))
     if not recursive:
@@ -39,8 +41,13 @@ def clips(files: DataFrame, root: str, recursive: bool = True, skip: tuple[str,
 
 
 def fingerprints(spark: SparkSession, root: str, head: int = 1 << 20) -> DataFrame:
-    """path -> 16 hex digits of size, whole second of change and the first ``head`` bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    start = F.substring(F.col("content"), 1, head)
-    made = F.sha2(F.concat(F.encode(F.concat_ws("|", F.col("length").cast("string"), F.unix_seconds("modificationTime").cast("string")), "UTF-8"), start), 256)
-    return files.select("path", F.substring(made, 1, 16).alias("fingerprint"))
+    """path -> 16 hex digits of size, whole second of change and the first ``head`` bytes, of which no more are read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+
+    @F.pandas_udf("binary")
+    def starts(path: pd.Series) -> pd.Series:
+        return path.map(lambda p: files.head(p, head))
+
+    about = F.encode(F.concat_ws("|", F.col("length").cast("string"), F.unix_seconds("modificationTime").cast("string")), "UTF-8")
+    made = F.sha2(F.concat(about, starts("path")), 256)
+    return found.select(F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "").alias("path"), F.substring(made, 1, 16).alias("fingerprint"))

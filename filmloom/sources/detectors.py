@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -48,6 +49,8 @@ def detect(names: tuple[str, ...], rows: dict[str, DataFrame]) -> DataFrame:
             found.append(REGISTRY[name](rows[name]).withColumn("detector_ord", F.lit(k)))
         elif len(names) == 1:
             raise ValueError(f"no detector named {name!r}")
+        else:
+            warnings.warn(f"detector {name!r} is left out: it is not known or has no rows", stacklevel=2)
     if not found:
         raise RuntimeError("no detector could be used")
     out = found[0]

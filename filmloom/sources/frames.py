@@ -6,12 +6,12 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings
 from ..operators import pairing
-from . import stills
+from . import files, stills
 
 FRAME = "clip_id string, frame_idx long, name string, height int, width int, channels int, bits int, data binary"
 
@@ -42,30 +42,39 @@ def read_stills(spark: SparkSession, path: str, rgb: bool = True, frame_bytes: i
     return rows.select("folder", "frame_idx", "path", "content").mapInPandas(run, FRAME)
 
 
+def folder_names(frames: DataFrame) -> DataFrame:
+    """clip_id -> folder: the clip's last name; clips that share it get a number as well, in the order of their ids."""
+    last = F.regexp_extract("clip_id", r"([^/]+)/*$", 1)
+    named = frames.select("clip_id").distinct().withColumn("_last", last)
+    k = F.row_number().over(Window.partitionBy("_last").orderBy("clip_id"))
+    many = F.count("*").over(Window.partitionBy("_last"))
+    return named.select("clip_id", F.when(many > 1, F.concat("_last", F.lit("-"), k.cast("string"))).otherwise(F.col("_last")).alias("folder"))
+
+
 def write_stills(frames: DataFrame, folder: str) -> DataFrame:
     """(clip_id, name, path): every frame as a still under its own name; an unknown extension becomes .png.
 
-    Files go through the Hadoop-free path of the executors, so ``folder`` must be one that they share.
+    ``folder`` is a path or address that all executors share; a file appears
+    under its name only when it is whole.
     """
 
     def run(batches):
-        import os
-
+        store, base = files.located(folder)
         for b in batches:
             out = []
-            for clip, name, h, w, c, bits, data in zip(*(b[k] for k in ("clip_id", "name", "height", "width", "channels", "bits", "data"))):
+            for clip, name, h, w, c, bits, data, sub in zip(*(b[k] for k in ("clip_id", "name", "height", "width", "channels", "bits", "data", "folder"))):
                 image = array_of(data, h, w, c, bits)
-                base, dot, ext = name.rpartition(".")
+                stem, dot, ext = name.rpartition(".")
                 ext = f".{ext.lower()}" if dot and f".{ext.lower()}" in (".png", ".pgm", ".ppm") else ".png"
-                to = f"{folder}/{clip.rstrip('/').rsplit('/', 1)[-1]}/{base or name}{ext}"
-                os.makedirs(os.path.dirname(to), exist_ok=True)
-                with open(f"{to}.part", "wb") as f:
+                to = f"{base}/{sub}/{stem or name}{ext}"
+                store.create_dir(f"{base}/{sub}", recursive=True)
+                with store.open_output_stream(f"{to}.part") as f:
                     f.write(stills.encode(image, ext))
-                os.replace(f"{to}.part", to)
+                store.move(f"{to}.part", to)
                 out.append((clip, name, to))
             yield pd.DataFrame(out, columns=["clip_id", "name", "path"])
 
-    return frames.mapInPandas(run, "clip_id string, name string, path string")
+    return frames.join(folder_names(frames), "clip_id").mapInPandas(run, "clip_id string, name string, path string")
 
 
 def array_of(data: bytes, height: int, width: int, channels: int, bits: int) -> np.ndarray:
@@ -123,3 +132,19 @@ def synthetic(spark: SparkSession, clips: int | DataFrame = 2, frames: int = 24,
         return base.mapInPandas(run, FRAME)
 
     return draw(False), draw(True), boxes
+
+
+def write_depth(frames: DataFrame, out: str) -> str:
+    """Depth frames as ``out`` asks: a folder of stills, or a table if it ends in .parquet; stills or table is returned."""
+    if out.rstrip("/").endswith(".parquet"):
+        frames.write.partitionBy("clip_id").parquet(out)
+        return "table"
+    write_stills(frames, out).write.format("noop").mode("overwrite").save()
+    return "stills"
+
+
+def read_depth(spark: SparkSession, path: str) -> DataFrame:
+    """Depth frames from a table that ``write_depth`` wrote, or from folders of stills."""
+    if path.rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(path)
+    return read_stills(spark, path, rgb=False)

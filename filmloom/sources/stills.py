@@ -1,4 +1,8 @@
-"""Stills as bytes: PNG, PGM and PPM in 8 or 16 bits, read and written with the standard library."""
+"""Stills as bytes: PNG, PGM, PPM and plain TIFF in 8 or 16 bits, read with the standard library; all but TIFF are written too.
+
+Palettes, 1 to 4 bits, interlaced PNGs, and TIFFs in tiles or packed otherwise
+than by Deflate or PackBits are refused.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,9 @@ def decode(data: bytes) -> np.ndarray:
         return _decode_png(data)
     if data[:2] in (b"P5", b"P6"):
         return _decode_pnm(data)
-    raise ValueError("neither PNG nor PGM nor PPM")
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return _decode_tiff(data)
+    raise ValueError("neither PNG nor PGM nor PPM nor TIFF")
 
 
 def encode(image: np.ndarray, suffix: str = ".png") -> bytes:
@@ -71,34 +77,88 @@ def _decode_png(data: bytes) -> np.ndarray:
     if raw.size < h * (w * unit + 1):
         raise ValueError("PNG ends early")
     lines = raw[: h * (w * unit + 1)].reshape(h, w * unit + 1)
-    out, above = np.zeros((h, w * unit), np.uint8), np.zeros(w * unit, np.uint8)
-    for y in range(h):
-        above = out[y] = _unfilter(int(lines[y, 0]), lines[y, 1:], above, unit)
+    out = _unfiltered(lines[:, 0], lines[:, 1:].reshape(h, w, unit)).reshape(h, w * unit)
     if depth == 16:
         out = out.view(">u2").astype(np.uint16)
     return out.reshape((h, w) if _CHANNELS[colour] == 1 else (h, w, _CHANNELS[colour]))
 
 
-def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, unit: int) -> np.ndarray:
-    if kind == 0:
-        return line
-    if kind == 1:
-        return np.cumsum(line.reshape(-1, unit), axis=0, dtype=np.uint8).ravel()
-    if kind == 2:
-        return line + above
-    if kind not in (3, 4):
-        raise ValueError(f"PNG filter {kind}")
-    out, up = line.astype(int).tolist(), above.tolist()
-    for x in range(len(out)):
-        left = out[x - unit] if x >= unit else 0
-        if kind == 3:
-            guess = (left + up[x]) // 2
+def _unfiltered(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Lines (h, w, bytes of a pixel) with their filters undone.
+
+    Lines that hang on pixels beside and above at once are done along
+    diagonals: all pixels with the same x + y need only earlier ones.
+    """
+    if (kinds > 4).any():
+        raise ValueError(f"PNG filter {kinds.max()}")
+    h, w, unit = lines.shape
+    out = np.zeros((h + 1, w + 1, unit), np.uint8)  # one line above and one pixel to the left, all 0
+    if (kinds < 3).all():
+        for y, kind in enumerate(kinds):
+            line = np.cumsum(lines[y], axis=0, dtype=np.uint8) if kind == 1 else lines[y]
+            out[y + 1, 1:] = line + out[y, 1:] if kind == 2 else line
+        return out[1:, 1:]
+    for s in range(h + w - 1):
+        y = np.arange(max(0, s - w + 1), min(h, s + 1))
+        x, kind = s - y, kinds[y][:, None]
+        left, up, corner = (out[a, b].astype(np.int16) for a, b in ((y + 1, x), (y, x + 1), (y, x)))
+        far = [np.abs(left + up - corner - v) for v in (left, up, corner)]
+        nearest = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], up, corner))
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) // 2, nearest], 0)
+        out[y + 1, x + 1] = lines[y, x] + guess.astype(np.uint8)
+    return out[1:, 1:]
+
+
+#: Numbers of TIFF tags: fixed values.
+_WIDTH, _HEIGHT, _BITS, _PACKED, _STRIPS, _SAMPLES, _SIZES, _PLANAR, _PREDICTOR = 256, 257, 258, 259, 273, 277, 279, 284, 317
+
+
+def _decode_tiff(data: bytes) -> np.ndarray:
+    order = "<" if data[:2] == b"II" else ">"
+    try:
+        (at,) = struct.unpack_from(order + "I", data, 4)
+        (n,) = struct.unpack_from(order + "H", data, at)
+        tags = {}
+        for k in range(n):
+            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+            letter = {1: "B", 3: "H", 4: "I"}.get(kind)
+            if letter:
+                form = f"{order}{count}{letter}"
+                place = at + 10 + 12 * k
+                place = place if struct.calcsize(form) <= 4 else struct.unpack_from(order + "I", data, place)[0]
+                tags[tag] = struct.unpack_from(form, data, place)
+        w, h, samples = tags[_WIDTH][0], tags[_HEIGHT][0], tags.get(_SAMPLES, (1,))[0]
+        bits, packed = set(tags.get(_BITS, (1,))), tags.get(_PACKED, (1,))[0]
+        parts = [data[a : a + size] for a, size in zip(tags[_STRIPS], tags[_SIZES])]
+    except (struct.error, KeyError) as e:
+        raise ValueError(f"damaged TIFF: {e}") from None
+    unpack = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpacked_bits}.get(packed)
+    if unpack is None or bits not in ({8}, {16}) or (samples > 1 and tags.get(_PLANAR, (1,))[0] != 1):
+        raise ValueError("TIFF of a kind that is not read")
+    kind = np.dtype(f"{order}u2" if bits == {16} else "u1")
+    try:
+        raw = b"".join(map(unpack, parts))
+    except zlib.error as e:
+        raise ValueError(f"damaged TIFF: {e}") from None
+    if len(raw) < h * w * samples * kind.itemsize:
+        raise ValueError("TIFF ends early")
+    image = np.frombuffer(raw, kind, h * w * samples).reshape(h, w, samples).astype(kind.newbyteorder("="))
+    if tags.get(_PREDICTOR, (1,))[0] == 2:
+        image = np.cumsum(image, axis=1, dtype=image.dtype)
+    return image[..., 0] if samples == 1 else image
+
+
+def _unpacked_bits(data: bytes) -> bytes:
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
         else:
-            corner = up[x - unit] if x >= unit else 0
-            p = left + up[x] - corner
-            _, _, guess = min((abs(p - left), 0, left), (abs(p - up[x]), 1, up[x]), (abs(p - corner), 2, corner))
-        out[x] = (out[x] + guess) & 255
-    return np.array(out, np.uint8)
+            out += data[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
 
 
 def _encode_png(image: np.ndarray) -> bytes:
