@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..steps import cut, drop, shared_folder  # noqa: F401  used as common.cut and so on
+
 #: Java regex: what separates words, and the characters alone.
 GAPS = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
-#: A side is broadcast up to this many bytes, counted before; else shuffled.
-BROADCAST_BYTES = 16 << 20
+#: A side is broadcast up to this many bytes in memory, by its counted rows; else shuffled.
+BROADCAST_BYTES = 12 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,42 +23,13 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="filmloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    The lineage ends there, so a lost executor costs no recomputation of
-    what lies before, and values drawn before stay as they are.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(*frames: DataFrame) -> None:
-    """Remove the tables that ``cut`` wrote, once nothing reads them any more."""
-    for df in frames:
-        spark = df.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def with_size_checked_broadcast(df: DataFrame, row_bytes: int, array: str | None = None, item_bytes: int = 0) -> DataFrame:
     """Mark ``df`` for broadcast if its counted size is small; else leave the join to a shuffle.
 
-    The size is ``row_bytes`` a row and ``item_bytes`` for each item of the column ``array``.
+    The data are ``row_bytes`` a row and ``item_bytes`` for each item of the
+    column ``array``; as a table in memory a row takes twice that and some.
     """
-    size = F.count("*") * row_bytes
+    size = F.count("*") * (2 * row_bytes + 32)
     if array:
         size = size + F.coalesce(F.sum(F.size(array)), F.lit(0)) * item_bytes
     return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_BYTES else df

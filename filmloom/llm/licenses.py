@@ -13,6 +13,7 @@ from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -138,6 +139,26 @@ def _chained(words: list[bytes], t: Template, chain: list[tuple[int, int]]) -> N
     return Notice(len(found) / len(t.words), len(t.words), t.name, min(places), max(places) + 1)
 
 
+#: From so many stretches of a text on their words are counted together.
+MANY = 64
+
+
+def _bounded(words: list[bytes], t: Template, places: list[int], stretches: set[tuple[int, int]]):
+    """(i, j, bound) of stretches of ``places``: how many of the template's words they hold, so what they can match at most."""
+    if len(stretches) < MANY:
+        for i, j in stretches:
+            part = Counter([words[k] for k in places[i:j]])
+            yield i, j, sum([min(n, t.counts[w]) for w, n in part.items()])
+        return
+    ends = np.array(sorted(stretches))
+    held = np.array([words[k] for k in places], object)
+    bound = np.zeros(len(ends), np.int64)
+    for w, n in t.counts.items():
+        upto = np.r_[0, np.cumsum(held == w)]
+        bound += np.minimum(upto[ends[:, 1]] - upto[ends[:, 0]], n)
+    yield from zip(ends[:, 0].tolist(), ends[:, 1].tolist(), bound.tolist())
+
+
 def scan(words: list[bytes], known: list[Template], least: float, vocabulary: set[bytes] | None = None) -> tuple[Notice | None, list[Notice]]:
     """The notice that covers best (the longer template wins a tie) and all that reach ``least``.
 
@@ -164,11 +185,9 @@ def scan(words: list[bytes], known: list[Template], least: float, vocabulary: se
         places = sorted([k for w in t.counts if w in at for k in at[w]])
         stretches = {(bisect_left(places, s), bisect_left(places, s + size + 2 * slack)) for s in {k - j - slack for k, j in hits}}
         tried = []
-        for i, j in stretches:
-            bound = min(j - i, size)
+        for i, j, bound in _bounded(words, t, places, stretches):
             if bound >= least * size or best is None or (bound / size, size) > (best.cover, best.size):
-                part = Counter([words[k] for k in places[i:j]])
-                tried.append((-sum([min(n, t.counts[w]) for w, n in part.items()]), i, j))
+                tried.append((-bound, i, j))
         for bound, i, j in sorted(tried):
             if -bound < least * size and best is not None and (-bound / size, size) <= (best.cover, best.size):
                 break
@@ -210,7 +229,8 @@ def license_scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, least: floa
     ``notices`` are all that reach ``least`` (license, coverage, first_word,
     end_word), in the order of the text; the other columns have the best.
     license is null and the words -1 where no template reaches ``least``; the
-    best coverage is given all the same. Null and blank texts have coverage 0;
+    best coverage is given all the same. Of notices with equal coverage the
+    longer template's is best, then the one that is found first. Null and blank texts have coverage 0;
     repeated rows are scanned each; whole texts are scanned, whatever their length.
     """
     known = templates(texts)

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Rows of one entry that a task writes at once.
+TOGETHER = 10_000
+
 _DONE = "array<struct<doc_id:bigint,size:bigint,sel:int>>"
 _OPEN = "struct<doc_id:bigint,size:bigint,p:double>"
 
@@ -171,7 +174,14 @@ def plan(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, source for every row of ``docs``."""
-    each = plan(docs, mix).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_k"))
+    each = common.cut(plan(docs, mix), "mix-plan")
+    if (each.agg(F.max("n")).first()[0] or 0) > TOGETHER:  # one row said very often: no task writes all of them
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / TOGETHER))).alias("_part")
+        each = each.select("*", part).repartition(each.sparkSession.sparkContext.defaultParallelism)
+        first = F.col("_part") * TOGETHER + 1
+        each = each.select("*", F.explode(F.sequence(first, F.least(F.col("n"), first + TOGETHER - 1))).alias("_k"))
+    else:
+        each = each.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_k"))
     copies = F.col("whole") + F.when(F.col("_k") <= F.col("extra"), 1).otherwise(0)
     return each.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), "source"

@@ -1,3 +1,5 @@
+import random
+
 from filmloom.llm import licenses
 
 MIT = licenses.TEMPLATES["MIT-text"]
@@ -37,3 +39,59 @@ def test_every_notice_is_returned(spark):
     assert [n.license for n in long] == ["MIT-text", "GPL-3.0-header", "MIT-text"]
     assert [n.coverage for n in long] == [1.0] * 3 and r.license == "MIT-text"
     assert scanned(spark, "nothing of the kind").notices == []
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0] * (len(b) + 1)
+        for k, y in enumerate(b):
+            row[k + 1] = before[k] + 1 if x == y else max(before[k + 1], row[k])
+    return row[-1]
+
+
+def damaged(words, rng, share):
+    """``words`` with ``share`` of them lost or replaced, and others put between."""
+    out = []
+    for w in words:
+        if rng.random() < share:
+            if rng.random() < 0.5:
+                continue
+            w = b"other"
+        out.append(w)
+        if rng.random() < share / 2:
+            out.append(rng.choice([b"the", b"of", b"noise"]))
+    return out
+
+
+def test_coverage_against_the_longest_common_subsequence():
+    """Alignment never says more than there is; of damaged notices that keep the bound nearly all are found, with nearly all their words."""
+    rng, known = random.Random(41), licenses.templates(licenses.TEMPLATES)
+    common = [b"the", b"of", b"and", b"to", b"in", b"software", b"is", b"word", b"any", b"license"]
+    due, found, lost = 0, 0, 0
+    for t in known:
+        for k in range(40):
+            notice = damaged(t.words, rng, rng.choice([0, 0.05, 0.1, 0.15]))
+            text = rng.choices(common, k=60) + notice + rng.choices(common, k=60)
+            best = longest_common(notice, t.words) / len(t.words)
+            _, reached = licenses.scan(text, known, 0.8)
+            own = max((n.cover for n in reached if n.name == t.name), default=0.0)
+            assert own <= longest_common(text, t.words) / len(t.words) + 1e-9
+            if best >= 0.8:
+                due, found = due + 1, found + (own >= 0.8)
+                lost += own < best - 0.05
+    assert due > 250 and found >= 0.98 * due and lost <= 0.05 * due
+
+
+def test_a_text_full_of_key_words(spark, monkeypatch):
+    """Every word a seed: one notice among 200,000 of them is found, and counting together changes nothing."""
+    words = [w.decode() for w in licenses.tokens(MIT)]
+    rng = random.Random(42)
+    text = " ".join(rng.choices(words, k=100_000)) + " " + MIT + " " + " ".join(["sublicense"] * 100_000)
+    r = scanned(spark, text)
+    assert r.license == "MIT-text" and r.coverage == 1.0 and r.n_words == 200_000 + len(words)
+    assert 100_000 <= r.first_word + len(words) <= 100_000 + 2 * len(words)
+    known, some = licenses.templates(licenses.TEMPLATES), licenses.tokens(" ".join(rng.choices(words, k=600)) + MIT)
+    together = licenses.scan(some, known, 0.8)
+    monkeypatch.setattr(licenses, "MANY", 10**9)
+    assert licenses.scan(some, known, 0.8) == together
