@@ -128,18 +128,19 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i + 1)]
 
 
-def _moments(rows: DataFrame, keys: list[str], p: int, rules: Rules, inflate: float) -> DataFrame:
-    """Per group the rows n, the mean m0.. and the scatter c0_0, c1_0 .."""
+def _moments(rows: DataFrame, keys: list[str], p: int, rules: Rules, inflate: float, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Per group the rows n, the mean m0.. and the scatter c0_0, c1_0 .., and columns that are the same in all its rows."""
     sums = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)],
         *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _pairs(p)],
+        *[F.first(c).alias(c) for c in carried],
     )
     cov = []
     for i, j in _pairs(p):
         c = (F.col(f"s{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * inflate
         cov.append((F.greatest(c, F.lit(0.0)) + rules.floors[i] ** 2 if i == j else c).alias(f"c{i}_{j}"))
-    return sums.select(*keys, "n", *[f"m{i}" for i in range(p)], *cov)
+    return sums.select(*keys, "n", *[f"m{i}" for i in range(p)], *cov, *carried)
 
 
 def _factored(estimates: DataFrame, p: int) -> DataFrame:
@@ -191,30 +192,27 @@ def _starts(points: DataFrame, p: int, rules: Rules) -> DataFrame:
 
 def estimate(points: DataFrame, p: int, rules: Rules) -> DataFrame:
     """MCD estimate per group g of points (g, x0 .. x[p-1]): n rows it rests on, m0.., c0_0 .. and log_det."""
-    keys, xs = ["g", "start"], [f"x{i}" for i in range(p)]
+    keys, xs, was = ["g", "start"], [f"x{i}" for i in range(p)], ("was_n", "was_det")
     now = common.cut(_starts(points, p, rules), "quality-starts")
+    few = common.fits_broadcast(now.count(), 200)  # every step has a row for each of these, no more
+    small = F.broadcast if few else lambda df: df
     for step in range(rules.steps):
-        factors = common.with_size_checked_broadcast(_factored(now, p).drop("n"), 200)
-        far = points.join(factors, "g").withColumn("_d", F.floor(F.log2(_distance(p) + 2.0**-10) * FINE))
-        bound = common.with_size_checked_broadcast(_quantiles(far, keys, F.col("_d"), rules.support, "_most"), 40)
-        core = far.join(bound, keys).where("_d <= _most").select(*keys, *xs)
-        after = _moments(core, keys, p, rules, rules.inflate)
-        det = _factored(after, p).select(*keys, "log_det")
-        after = after.join(det, keys)
+        factors = _factored(now.drop(*was, "log_det"), p).withColumnsRenamed({"n": "was_n", "log_det": "was_det"})
+        far = points.join(small(factors), "g").withColumn("_d", F.floor(F.log2(_distance(p) + 2.0**-10) * FINE))
+        bound = _quantiles(far, keys, F.col("_d"), rules.support, "_most")
+        core = far.join(small(bound), keys).where("_d <= _most").select(*keys, *xs, *was)
+        after = _moments(core, keys, p, rules, rules.inflate, was)
+        after = after.join(_factored(after, p).select(*keys, "log_det"), keys)
         if step + 1 == rules.tried:  # each group goes on from its best start
             least = Window.partitionBy("g").orderBy("log_det", "start")
             after = after.withColumn("_n", F.row_number().over(least)).where("_n = 1").drop("_n")
-        after, before = common.cut(after, "quality-step"), now
-        if step + 1 > rules.tried:
-            moved = after.join(before.select(*keys, F.col("log_det").alias("_det"), F.col("n").alias("_was")), keys)
-            stable = not moved.where((F.abs(F.col("log_det") - F.col("_det")) > 1e-9) | (F.col("n") != F.col("_was"))).head(1)
-        else:
-            stable = False
-        common.drop(before)
+        after = common.cut(after, "quality-step")
+        common.drop(now)
         now = after
-        if stable:
+        moved = (F.abs(F.col("log_det") - F.col("was_det")) > 1e-9) | (F.col("n") != F.col("was_n"))
+        if step + 1 > rules.tried and not now.where(moved).head(1):
             break
-    return now.drop("start")
+    return now.drop("start", *was)
 
 
 def shrunk(estimates: DataFrame, p: int, rules: Rules) -> DataFrame | None:
