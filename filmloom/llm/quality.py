@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -57,7 +57,7 @@ class Rules:
     few: float = 4.0
 
 
-#: Bins per unit of log2 in quantiles of distances; bins per unit in those of statistics.
+#: Bins per unit of log2 in quantiles of distances; bins per unit in those of statistics. A quantile counts bins, so a group takes no more memory than these.
 FINE, STAT_BINS = 32, 512
 
 
@@ -115,15 +115,6 @@ def vector(rules: Rules) -> list[Column]:
     ]
 
 
-def _quantiles(rows: DataFrame, keys: list[str], bins: Column, share: float, name: str) -> DataFrame:
-    """Per group, the least bin up to which ``share`` of its rows lie. Exact over the bins."""
-    counts = rows.groupBy(*keys, bins.alias("_bin")).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy("_bin")
-    whole = Window.partitionBy(*keys)
-    marked = counts.select("*", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(whole).alias("_all"))
-    return marked.where(F.col("_upto") >= F.ceil(F.col("_all") * share)).groupBy(*keys).agg(F.min("_bin").alias(name))
-
-
 def _pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i + 1)]
 
@@ -143,39 +134,46 @@ def _moments(rows: DataFrame, keys: list[str], p: int, rules: Rules, inflate: fl
     return sums.select(*keys, "n", *[f"m{i}" for i in range(p)], *cov, *carried)
 
 
-def _factored(estimates: DataFrame, p: int) -> DataFrame:
-    """``estimates`` with the Cholesky factor's rows l0_0, l1_0 .. and the log of the determinant, instead of the scatter."""
-    out = estimates
-    for i, j in _pairs(p):
-        rest = F.col(f"c{i}_{j}") - reduce(add, [F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)], F.lit(0.0))
-        out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}_{j}"))
-    det = reduce(add, [2 * F.log(F.col(f"l{i}_{i}")) for i in range(p)])
-    return out.withColumn("log_det", det).drop(*[f"c{i}_{j}" for i, j in _pairs(p)])
+def _inverted(estimates: DataFrame, p: int) -> DataFrame:
+    """``estimates`` with the inverse of the scatter, q0_0, q1_0 .., and the log of its determinant, by Gauss-Jordan steps."""
+    full = F.array(*[F.col(f"c{max(i, j)}_{min(i, j)}") for i in range(p) for j in range(p)], F.lit(0.0))
+
+    def step(a, k):
+        pivot = F.greatest(F.get(a, k * p + k), F.lit(1e-12))
+
+        def cell(at):
+            i, j = F.floor(at / p).cast("int"), at % p
+            above, beside, own = F.get(a, k * p + j), F.get(a, i * p + k), F.get(a, at)
+            inner = F.when(i == k, F.when(j == k, 1 / pivot).otherwise(own / pivot))
+            return F.when(at == p * p, own + F.log(pivot)).otherwise(inner.when(j == k, -own / pivot).otherwise(own - beside * above / pivot))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(p * p)), cell)
+
+    solved = estimates.withColumn("_q", F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), full, step))
+    cells = {f"q{i}_{j}": F.get("_q", F.lit(i * p + j)) for i, j in _pairs(p)}
+    return solved.withColumns({**cells, "log_det": F.get("_q", F.lit(p * p))}).drop("_q")
 
 
 def _distance(p: int) -> Column:
-    """Squared Mahalanobis distance by forward substitution."""
-    ys: list[Column] = []
-    for i in range(p):
-        rest = F.col(f"x{i}") - F.col(f"m{i}") - reduce(add, [F.col(f"l{i}_{k}") * ys[k] for k in range(i)], F.lit(0.0))
-        ys.append(rest / F.col(f"l{i}_{i}"))
-    return reduce(add, [y * y for y in ys])
+    """Squared Mahalanobis distance."""
+    off = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(p)]
+    return reduce(add, [F.col(f"q{i}_{j}") * off[i] * off[j] * (1 if i == j else 2) for i, j in _pairs(p)])
+
+
+def _quantile(bins: str, share: float) -> Column:
+    """The least bin up to which ``share`` of a group's rows lie."""
+    return F.expr(f"percentile_disc({share}D) WITHIN GROUP (ORDER BY {bins})")
 
 
 def _starts(points: DataFrame, p: int, rules: Rules) -> DataFrame:
     """Where the steps begin: medians with the floors, medians with the quartiles' spread, plain moments."""
-    bins = F.posexplode(F.array(*[F.floor(F.col(f"x{i}") * STAT_BINS) for i in range(p)])).alias("_i", "_bin")
-    counts = points.select("g", bins).groupBy("g", "_i", "_bin").agg(F.count("*").alias("_n"))
-    each = Window.partitionBy("g", "_i")
-    marked = counts.select("*", F.sum("_n").over(each.orderBy("_bin")).alias("_upto"), F.sum("_n").over(each).alias("_all"))
     shares = {"a": 0.25, "b": 0.5, "c": 0.75}
-
-    def quantile(i, share):
-        return F.min(F.when((F.col("_i") == i) & (F.col("_upto") >= F.ceil(F.col("_all") * share)), F.col("_bin")))
-
-    found = marked.groupBy("g").agg(*[((quantile(i, s) + 0.5) / STAT_BINS).alias(f"{k}{i}") for i in range(p) for k, s in shares.items()])
+    found = points.groupBy("g").agg(*[_quantile(f"floor(x{i} * {STAT_BINS})", s).alias(f"{k}{i}") for i in range(p) for k, s in shares.items()])
     plain = _moments(points, ["g"], p, rules, 1.0)
 
+    def quartile(i, k):
+        return (F.col(f"{k}{i}") + 0.5) / STAT_BINS
+
     def start(k, centre, scatter):
         m = [centre(i).alias(f"m{i}") for i in range(p)]
         return F.struct(F.lit(k).alias("start"), *m, *[scatter(i, j).alias(f"c{i}_{j}") for i, j in _pairs(p)])
@@ -184,8 +182,8 @@ def _starts(points: DataFrame, p: int, rules: Rules) -> DataFrame:
         return lambda i, j: of(i) if i == j else F.lit(0.0)
 
     floors = diagonal(lambda i: F.lit(rules.floors[i] ** 2))
-    spread = diagonal(lambda i: ((F.col(f"c{i}") - F.col(f"a{i}")) / 1.349) ** 2 + rules.floors[i] ** 2)
-    median = lambda i: F.col(f"b{i}")
+    spread = diagonal(lambda i: ((quartile(i, "c") - quartile(i, "a")) / 1.349) ** 2 + rules.floors[i] ** 2)
+    median = lambda i: quartile(i, "b")
     three = F.array(start(0, median, floors), start(1, median, spread), start(2, lambda i: F.col(f"m{i}"), lambda i, j: F.col(f"c{i}_{j}")))
     return found.join(plain, "g").select("g", "n", F.inline(three))
 
@@ -196,16 +194,18 @@ def estimate(points: DataFrame, p: int, rules: Rules) -> DataFrame:
     now = common.cut(_starts(points, p, rules), "quality-starts")
     few = common.fits_broadcast(now.count(), 200)  # every step has a row for each of these, no more
     small = F.broadcast if few else lambda df: df
+    inverse = [f"q{i}_{j}" for i, j in _pairs(p)]
     for step in range(rules.steps):
-        factors = _factored(now.drop(*was, "log_det"), p).withColumnsRenamed({"n": "was_n", "log_det": "was_det"})
+        scatter = [f"c{i}_{j}" for i, j in _pairs(p)]
+        factors = _inverted(now, p).drop(*was, *scatter).withColumnsRenamed({"n": "was_n", "log_det": "was_det"})
         far = points.join(small(factors), "g").withColumn("_d", F.floor(F.log2(_distance(p) + 2.0**-10) * FINE))
-        bound = _quantiles(far, keys, F.col("_d"), rules.support, "_most")
+        bound = far.groupBy(*keys).agg(_quantile("_d", rules.support).alias("_most"))
         core = far.join(small(bound), keys).where("_d <= _most").select(*keys, *xs, *was)
-        after = _moments(core, keys, p, rules, rules.inflate, was)
-        after = after.join(_factored(after, p).select(*keys, "log_det"), keys)
+        after = _inverted(_moments(core, keys, p, rules, rules.inflate, was), p).drop(*inverse)
         if step + 1 == rules.tried:  # each group goes on from its best start
-            least = Window.partitionBy("g").orderBy("log_det", "start")
-            after = after.withColumn("_n", F.row_number().over(least)).where("_n = 1").drop("_n")
+            columns = [c for c in after.columns if c != "g"]
+            best = F.min_by(F.struct(*columns), F.struct("log_det", "start")).alias("_best")
+            after = after.groupBy("g").agg(best).select("g", "_best.*")
         after = common.cut(after, "quality-step")
         common.drop(now)
         now = after
@@ -216,7 +216,7 @@ def estimate(points: DataFrame, p: int, rules: Rules) -> DataFrame:
 
 
 def shrunk(estimates: DataFrame, p: int, rules: Rules) -> DataFrame | None:
-    """Per group (g) m0.. and the factor l0_0 .. after shrinking towards the group ``all``, itself among them; None without it."""
+    """Per group (g) m0.. and the inverse q0_0 .. after shrinking towards the group ``all``, itself among them; None without it."""
     pooled = estimates.where(F.col("g") == "all").first()
     if pooled is None:
         return None
@@ -224,7 +224,7 @@ def shrunk(estimates: DataFrame, p: int, rules: Rules) -> DataFrame | None:
     wide = {(i, j): (1 - w) * pooled[f"c{i}_{j}"] + (w * rules.wide**2 if i == j else 0.0) for i, j in _pairs(p)}
     v = F.when(F.col("g") == "all", 1.0).otherwise(F.lit(rules.weight) / (F.col("n") + rules.weight))
     off = [F.col(f"m{i}") - pooled[f"m{i}"] for i in range(p)]
-    return _factored(
+    return _inverted(
         estimates.withColumn("_v", v).select(
             "g",
             *[(F.col(f"m{i}") - F.col("_v") * off[i]).alias(f"m{i}") for i in range(p)],
