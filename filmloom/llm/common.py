@@ -14,8 +14,16 @@ GAP_CHARS = " \t\n\x0b\x0c\r"
 BROADCAST_BYTES = 12 << 20
 
 
+#: A table of fewer bytes for each core is dealt out, for a small file is often one row group and so one task.
+WORTH_DEALING = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path, cores = f"{sf_dir}/{name}.parquet", spark.sparkContext.defaultParallelism
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    df = spark.read.parquet(path)
+    return df.repartition(cores) if size < cores * WORTH_DEALING else df
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,7 +33,8 @@ class Rules:
     ``support`` of a group's rows carry its estimate, half of them so that a
     third of junk, however alike, can't; ``inflate`` makes the
     scatter of that share consistent for normal data in four dimensions.
-    ``tried`` steps are made from every start and ``steps`` in all at most.
+    ``tried`` steps are made from every start, and then more until no
+    determinant's log changes by over ``stable``, ``steps`` in all at most.
     ``cutoff`` bounds the squared distance (chi-square with four degrees of
     freedom exceeds it with probability 1e-6). ``floors`` are the
     least standard deviations, which keep groups whose statistics are nearly
@@ -49,7 +50,8 @@ class Rules:
     support: float = 0.5
     inflate: float = 2.11
     tried: int = 2
-    steps: int = 16
+    steps: int = 12
+    stable: float = 1e-3
     cutoff: float = 33.4
     floors: tuple[float, ...] = (0.08, 0.10, 0.12, 0.08)
     weight: float = 40.0
@@ -119,19 +121,19 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i + 1)]
 
 
-def _moments(rows: DataFrame, keys: list[str], p: int, rules: Rules, inflate: float, carried: tuple[str, ...] = ()) -> DataFrame:
-    """Per group the rows n, the mean m0.. and the scatter c0_0, c1_0 .., and columns that are the same in all its rows."""
-    sums = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)],
-        *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _pairs(p)],
-        *[F.first(c).alias(c) for c in carried],
-    )
-    cov = []
+def _sums(p: int) -> list[Column]:
+    """Of a group's points the number n, the sums s0.. and the sums of products s0_0, s1_0 .."""
+    products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _pairs(p)]
+    return [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(p)], *products]
+
+
+def _moments(sums: DataFrame, keys: list[str], p: int, rules: Rules, inflate: float, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Per group the rows n, the mean m0.. and the scatter c0_0, c1_0 .. from its sums."""
+    mean, cov = [F.col(f"s{i}") / F.col("n") for i in range(p)], []
     for i, j in _pairs(p):
-        c = (F.col(f"s{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * inflate
+        c = (F.col(f"s{i}_{j}") / F.col("n") - mean[i] * mean[j]) * inflate
         cov.append((F.greatest(c, F.lit(0.0)) + rules.floors[i] ** 2 if i == j else c).alias(f"c{i}_{j}"))
-    return sums.select(*keys, "n", *[f"m{i}" for i in range(p)], *cov, *carried)
+    return sums.select(*keys, "n", *[m.alias(f"m{i}") for i, m in enumerate(mean)], *cov, *carried)
 
 
 def _inverted(estimates: DataFrame, p: int) -> DataFrame:
@@ -169,7 +171,7 @@ def _starts(points: DataFrame, p: int, rules: Rules) -> DataFrame:
     """Where the steps begin: medians with the floors, medians with the quartiles' spread, plain moments."""
     shares = {"a": 0.25, "b": 0.5, "c": 0.75}
     found = points.groupBy("g").agg(*[_quantile(f"floor(x{i} * {STAT_BINS})", s).alias(f"{k}{i}") for i in range(p) for k, s in shares.items()])
-    plain = _moments(points, ["g"], p, rules, 1.0)
+    plain = _moments(points.groupBy("g").agg(*_sums(p)), ["g"], p, rules, 1.0)
 
     def quartile(i, k):
         return (F.col(f"{k}{i}") + 0.5) / STAT_BINS
@@ -190,17 +192,22 @@ def _starts(points: DataFrame, p: int, rules: Rules) -> DataFrame:
 
 def estimate(points: DataFrame, p: int, rules: Rules) -> DataFrame:
     """MCD estimate per group g of points (g, x0 .. x[p-1]): n rows it rests on, m0.., c0_0 .. and log_det."""
-    keys, xs, was = ["g", "start"], [f"x{i}" for i in range(p)], ("was_n", "was_det")
+    keys, was = ["g", "start"], ("was_det",)
     now = common.cut(_starts(points, p, rules), "quality-starts")
     few = common.fits_broadcast(now.count(), 200)  # every step has a row for each of these, no more
     small = F.broadcast if few else lambda df: df
     inverse = [f"q{i}_{j}" for i, j in _pairs(p)]
     for step in range(rules.steps):
         scatter = [f"c{i}_{j}" for i, j in _pairs(p)]
-        factors = _inverted(now, p).drop(*was, *scatter).withColumnsRenamed({"n": "was_n", "log_det": "was_det"})
+        factors = _inverted(now, p).drop(*was, *scatter).withColumnRenamed("log_det", "was_det").drop("n")
         far = points.join(small(factors), "g").withColumn("_d", F.floor(F.log2(_distance(p) + 2.0**-10) * FINE))
-        bound = far.groupBy(*keys).agg(_quantile("_d", rules.support).alias("_most"))
-        core = far.join(small(bound), keys).where("_d <= _most").select(*keys, *xs, *was)
+        # one pass: sums by bins of the distance, then the bins of the nearest half of the rows
+        bins = far.groupBy(*keys, "_d").agg(*_sums(p), *[F.first(c).alias(c) for c in was])
+        group = Window.partitionBy(*keys)
+        nearer = F.sum("n").over(group.orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+        core = bins.withColumn("_near", nearer < F.ceil(F.sum("n").over(group) * rules.support)).where("_near")
+        totals = [F.sum(c).alias(c) for c in bins.columns if c not in (*keys, "_d", *was)]
+        core = core.groupBy(*keys).agg(*totals, *[F.first(c).alias(c) for c in was])
         after = _inverted(_moments(core, keys, p, rules, rules.inflate, was), p).drop(*inverse)
         if step + 1 == rules.tried:  # each group goes on from its best start
             columns = [c for c in after.columns if c != "g"]
@@ -209,8 +216,7 @@ def estimate(points: DataFrame, p: int, rules: Rules) -> DataFrame:
         after = common.cut(after, "quality-step")
         common.drop(now)
         now = after
-        moved = (F.abs(F.col("log_det") - F.col("was_det")) > 1e-9) | (F.col("n") != F.col("was_n"))
-        if step + 1 > rules.tried and not now.where(moved).head(1):
+        if step + 1 > rules.tried and not now.where(F.abs(F.col("log_det") - F.col("was_det")) > rules.stable).head(1):
             break
     return now.drop("start", *was)
 
