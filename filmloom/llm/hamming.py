@@ -106,10 +106,13 @@ def top_k(codes: DataFrame, search: Search = Search()) -> DataFrame:
     members = rows.withColumn("_n", F.row_number().over(by_code)).where(F.col("_n") <= k).drop("_n")
     members = common.cut(members, "code-members")  # a top-k can hold no others
     distinct = members.groupBy("code").agg(F.min("id").alias("least"))
-    index = common.cut(_by_segment(distinct, ["code", "least"]), "code-index")
+    kept = common.cut(_by_segment(distinct, ["code", "least"]), "code-index")
+    total = kept.where("segment = 0").count()
+    # probes are many times the rows that they come from, so it must never be they that are broadcast
+    index = F.broadcast(kept) if common.fits_broadcast(SEGMENTS * total, 28) else kept.hint("merge")
     queries = rows.where(F.pmod("id", F.lit(search.every)) == 0)
     asked = common.cut(queries.select("code").distinct(), "asked")
-    total, radius, done = index.where("segment = 0").count(), 0, []
+    radius, done = 0, []
     found = spark.createDataFrame([], "query long, code long, least long, distance long")
     while True:
         now = common.cut(_nearest(found.unionByName(met(index, asked, radius)), k), "found")
@@ -131,7 +134,7 @@ def top_k(codes: DataFrame, search: Search = Search()) -> DataFrame:
     by_query = Window.partitionBy("query").orderBy("distance", "id")
     ranked = listed.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
     ranked = common.cut(ranked, "ranked")
-    common.drop(index, members)
+    common.drop(kept, members)
     who = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query"))
     return who.join(ranked, "query").select("query_id", "rank", "id", F.col("distance").cast("int").alias("distance"))
 

@@ -136,6 +136,21 @@ def test_the_tree_has_several_levels(spark):
     assert len(got) == 2 and all(abs(r.k - r.t) <= 20 for r in got)
 
 
+def test_one_row_said_very_often(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TOGETHER", 64)
+    rows = [(7, "one two three", "a")] * 700 + [(k, "w " * (k % 9 + 1), "ab"[k % 2]) for k in range(100, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sources = defaultdict(list)
+    for _, text, source in rows:
+        sources[source].append(len(text.split()))
+    got = mixing.mixed(df).collect()
+    check_mix(got, [s for v in sources.values() for s in v], sources)
+    assert sum(r.doc_id == 7 for r in got) == 700
+    packed = packing.pack(df, packing.Packing(longest=10, buckets=3, budget=60)).groupBy("bucket", "batch").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("top")).collect()
+    assert sum(r.n for r in packed) == len(rows) and all(r.n == r.slots == r.top + 1 for r in packed)
+    check_shards(sharding.shard_documents(df).collect(), len(rows))
+
+
 # 3 -------------------------------------------------------------------- token counts
 
 
