@@ -40,13 +40,13 @@ def letters(word: Column) -> Column:
 
 
 def one_character(word: Column) -> Column:
-    kept = letters(word)
-    return (F.length(kept) >= 2) & (F.size(F.array_distinct(F.split(kept, ""))) == 1)
+    return letters(word).rlike(r"^(.)\1+$")
 
 
 def legible(word: Column, confidence: Column, min_chars: int = 3, min_confidence: float = 0.45) -> Column:
     """Long and sure enough to be writing, and not one character over and over."""
-    return (F.length(letters(word)) >= max(1, min_chars)) & (confidence >= min_confidence) & ~one_character(word)
+    sure = confidence >= min_confidence  # first, for the rest is expressions over letters
+    return sure & (F.length(letters(word)) >= max(1, min_chars)) & ~one_character(word)
 
 
 def frame_numbers(text: Column) -> Column:

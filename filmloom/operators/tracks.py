@@ -57,16 +57,18 @@ def persistence(dets: DataFrame, frames: DataFrame, options: Filters = Filters()
     same = boxes.iou_at_least(boxes.box(), boxes.box("_"), round(100 * options.persist_iou))
     if options.allow_vertical_scroll:
         same = same | boxes.scrolled(boxes.box(), boxes.box("_"))
-    met = dets.join(offered, ["clip_id", "frame_idx"]).where(same)
-    hits = met.groupBy("clip_id", "frame_idx", "det_id").agg(F.count_distinct("_seen").alias("hits"))
+    met, keys = dets.join(offered, ["clip_id", "frame_idx"]), ["clip_id", "frame_idx", "det_id"]
+    if 2 * radius < 63:  # frames of the window as bits; a box meets itself, so none is lost
+        at = F.expr(f"shiftleft(1L, cast(_seen - frame_idx + {radius} as int))")
+        hits = F.bit_count(F.coalesce(F.bit_or(F.when(same, at)), F.lit(0).cast("long"))).cast("long")
+    else:
+        hits = F.count_distinct(F.when(same, F.col("_seen")))
+    out = met.groupBy(*keys).agg(*[F.first(c).alias(c) for c in dets.columns if c not in keys], hits.alias("hits"))
     ends = frames.groupBy("clip_id").agg(F.min("frame_idx").alias("_first"), F.max("frame_idx").alias("_last"))
     length = (
         F.least(F.col("frame_idx") + radius, F.col("_last")) - F.greatest(F.col("frame_idx") - radius, F.col("_first")) + 1
     )
-    out = dets.join(hits, ["clip_id", "frame_idx", "det_id"], "left").join(ends, "clip_id")
-    out = out.withColumn("hits", F.coalesce("hits", F.lit(0))).withColumn(
-        "required", F.least(F.lit(options.min_persist_frames).cast("long"), length)
-    )
+    out = out.join(ends, "clip_id").withColumn("required", F.least(F.lit(options.min_persist_frames).cast("long"), length))
     always = options.scene_text != "keep" or options.min_persist_frames <= 1
     return out.withColumn("keep", F.lit(True) if always else F.col("hits") >= F.col("required")).drop("_first", "_last")
 
