@@ -13,7 +13,6 @@ from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,24 +138,47 @@ def _chained(words: list[bytes], t: Template, chain: list[tuple[int, int]]) -> N
     return Notice(len(found) / len(t.words), len(t.words), t.name, min(places), max(places) + 1)
 
 
-#: From so many stretches of a text on their words are counted together.
-MANY = 64
+def _bounded(words: list[bytes], t: Template, places: list[int], starts: set[int], length: int):
+    """(bound, i, j) of the stretches places[i:j] that begin at ``starts``: the template's words that they hold, so what they can match at most.
 
-
-def _bounded(words: list[bytes], t: Template, places: list[int], stretches: set[tuple[int, int]]):
-    """(i, j, bound) of stretches of ``places``: how many of the template's words they hold, so what they can match at most."""
-    if len(stretches) < MANY:
-        for i, j in stretches:
-            part = Counter([words[k] for k in places[i:j]])
-            yield i, j, sum([min(n, t.counts[w]) for w, n in part.items()])
-        return
-    ends = np.array(sorted(stretches))
-    held = np.array([words[k] for k in places], object)
-    bound = np.zeros(len(ends), np.int64)
-    for w, n in t.counts.items():
-        upto = np.r_[0, np.cumsum(held == w)]
-        bound += np.minimum(upto[ends[:, 1]] - upto[ends[:, 0]], n)
-    yield from zip(ends[:, 0].tolist(), ends[:, 1].tolist(), bound.tolist())
+    One window moves over the text, so a word is counted in and out once,
+    however many stretches there are.
+    """
+    held, need, bound, a, b, out = dict.fromkeys(t.counts, 0), t.counts, 0, 0, 0, {}
+    for s in sorted(starts):
+        i, j = bisect_left(places, s), bisect_left(places, s + length)
+        if (i, j) in out:
+            continue
+        while b < j:
+            w = words[places[b]]
+            bound += held[w] < need[w]
+            held[w] += 1
+            b += 1
+        while a < i:
+            w = words[places[a]]
+            held[w] -= 1
+            bound -= held[w] < need[w]
+            a += 1
+        out[i, j] = bound
+    return [(n, i, j) for (i, j), n in out.items()]
+
+
+def _chains(words: list[bytes], t: Template, hits: list[tuple[int, int]], own: list[Notice], least: float) -> list[Notice]:
+    """Notices on the longest chains of the template's single words, whatever lies between, as long as chains reach the bound."""
+    found: list[Notice] = []
+    while hits:
+        taken = [(n.first, n.end) for n in [*own, *found] if n.cover >= least]
+        hits = [(k, j) for k, j in hits if not any(a <= k < b for a, b in taken)]
+        parts, part = [], []
+        for k, j in hits:
+            if part and len(t.words) < SHORT and k - part[-1][0] > len(t.words):
+                parts, part = [*parts, part], []
+            part.append((k, j))
+        chained = [_chained(words, t, increasing(x)) for x in [*parts, part] if len(x) > 1]
+        found += chained
+        if not any(n.cover >= least for n in chained):
+            break
+    return found
 
 
 def scan(words: list[bytes], known: list[Template], least: float, vocabulary: set[bytes] | None = None) -> tuple[Notice | None, list[Notice]]:
@@ -164,59 +186,46 @@ def scan(words: list[bytes], known: list[Template], least: float, vocabulary: se
 
     A stretch as long as the template and half as much again is tried around
     every place of every word that the template holds once, so one notice of
-    several is aligned alone. Stretches are tried in the order of how many of
-    the template's words they hold, which bounds what they can cover. Then the
-    longest chains of such words are tried, whatever text lies between.
-    Notices of one template do not overlap.
+    several is aligned alone. Stretches of all templates are tried in the order
+    of how many of the template's words they hold, which bounds what they can
+    cover, down to what the best one covers. Then the longest chains of such
+    words are tried, whatever text lies between. Notices of one template do not overlap.
     """
     vocabulary = vocabulary_of(known) if vocabulary is None else vocabulary
+    among = [k for k, w in enumerate(words) if w in vocabulary]
     at: dict[bytes, list[int]] = {}
-    for k, w in enumerate(words):
-        if w in vocabulary:
-            at.setdefault(w, []).append(k)
-    best, reached = None, []
-    bounds = [(sum([min(n, len(at[w])) for w, n in t.counts.items() if w in at]) / len(t.words), t) for t in known]
-    for most, t in sorted(bounds, key=lambda x: (-x[0], -len(x[1].words))):
-        size, own = len(t.words), []
-        if not most or (most < least and best is not None and (most, size) <= (best.cover, best.size)):
-            continue
-        slack = size // 4 + 2
-        hits = sorted([(k, j) for w, j in t.seeds.items() if w in at for k in at[w]])
-        places = sorted([k for w in t.counts if w in at for k in at[w]])
-        stretches = {(bisect_left(places, s), bisect_left(places, s + size + 2 * slack)) for s in {k - j - slack for k, j in hits}}
-        tried = []
-        for i, j, bound in _bounded(words, t, places, stretches):
-            if bound >= least * size or best is None or (bound / size, size) > (best.cover, best.size):
-                tried.append((-bound, i, j))
-        for bound, i, j in sorted(tried):
-            if -bound < least * size and best is not None and (-bound / size, size) <= (best.cover, best.size):
-                break
-            # other words than the template's never match
-            found = align([words[k] for k in places[i:j]], t.words)
-            if found:
-                notice = Notice(len(found) / size, size, t.name, places[i + found[0][0]], places[i + found[-1][0]] + 1)
-                own.append(notice)
-                if best is None or (notice.cover, size) > (best.cover, best.size):
-                    best = notice
-        if most < least:
+    for k in among:
+        at.setdefault(words[k], []).append(k)
+    tried, places, owned = [], [], [[] for _ in known]
+    for index, t in enumerate(known):
+        slack = len(t.words) // 4 + 2
+        starts = {k - j - slack for w, j in t.seeds.items() if w in at for k in at[w]}
+        places.append([k for k in among if words[k] in t.counts] if starts else [])
+        for bound, i, j in _bounded(words, t, places[-1], starts, len(t.words) + 2 * slack):
+            tried.append((-bound / len(t.words), -len(t.words), index, i, j))
+    tried.sort()
+    best = None
+    for ratio, size, index, i, j in tried:
+        if -ratio < least and best is not None and (-ratio, -size) <= (best.cover, best.size):
+            break
+        # other words than the template's never match
+        t, where = known[index], places[index]
+        found = align([words[k] for k in where[i:j]], t.words)
+        if found:
+            notice = Notice(len(found) / len(t.words), len(t.words), t.name, where[i + found[0][0]], where[i + found[-1][0]] + 1)
+            owned[index].append(notice)
+            if best is None or (notice.cover, notice.size) > (best.cover, best.size):
+                best = notice
+    reached: list[Notice] = []
+    for t, own in zip(known, owned):
+        if sum([min(n, len(at[w])) for w, n in t.counts.items() if w in at]) < least * len(t.words):
             continue
-        while hits:
-            taken = [(n.first, n.end) for n in own if n.cover >= least]
-            hits = [(k, j) for k, j in hits if not any(a <= k < b for a, b in taken)]
-            parts, part = [], []
-            for k, j in hits:
-                if part and size < SHORT and k - part[-1][0] > size:
-                    parts, part = [*parts, part], []
-                part.append((k, j))
-            chained = [_chained(words, t, increasing(x)) for x in [*parts, part] if len(x) > 1]
-            own += chained
-            for notice in chained:
-                if best is None or (notice.cover, size) > (best.cover, best.size):
-                    best = notice
-            if not any(n.cover >= least for n in chained):
-                break
+        more = _chains(words, t, sorted([(k, j) for w, j in t.seeds.items() if w in at for k in at[w]]), own, least)
+        for notice in more:
+            if best is None or (notice.cover, notice.size) > (best.cover, best.size):
+                best = notice
         chosen: list[Notice] = []
-        for n in sorted((n for n in own if n.cover >= least), key=lambda n: (-n.cover, n.end - n.first, n.first)):
+        for n in sorted((n for n in [*own, *more] if n.cover >= least), key=lambda n: (-n.cover, n.end - n.first, n.first)):
             if all(n.end <= m.first or m.end <= n.first for m in chosen):
                 chosen.append(n)
         reached += chosen
