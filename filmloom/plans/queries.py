@@ -663,6 +663,25 @@ def _unpacked(rows: DataFrame, column: str, width: int) -> DataFrame:
 PLANES_SQL = f"""{V.PIXELS}, planes AS (SELECT CAST(clip_id AS VARCHAR) AS clip_id, dense_rank() OVER (PARTITION BY clip_id ORDER BY frame_idx) - 1 AS frame_idx, y, x, v FROM pixels)"""
 
 
+@query(f"""WITH {PLANES_SQL}, often AS (SELECT clip_id, y, x, avg(CASE WHEN v > 127 THEN 1.0::DOUBLE ELSE 0 END) >= 0.4 AS truth FROM planes GROUP BY 1, 2, 3),
+labelled AS (SELECT o.*, bool_and(n.truth) AS core FROM often o JOIN often n ON o.clip_id = n.clip_id AND abs(o.y - n.y) <= 1 AND abs(o.x - n.x) <= 1 GROUP BY ALL),
+shown AS (SELECT clip_id, frame_idx FROM planes GROUP BY 1, 2 HAVING count(*) FILTER (v > 127) >= 16)
+SELECT clip_id, frame_idx, count(*) FILTER (v > 127 AND truth) / greatest(count(*) FILTER (v > 127 OR truth), 1)::DOUBLE AS iou,
+  count(*) FILTER (v > 127 AND core) / greatest(count(*) FILTER (core), 1)::DOUBLE AS recall, count(*) FILTER (v > 127 AND truth) / greatest(count(*) FILTER (v > 127), 1)::DOUBLE AS precision
+FROM planes JOIN labelled USING (clip_id, y, x) JOIN shown USING (clip_id, frame_idx) WHERE clip_id IN (SELECT clip_id FROM often WHERE truth) GROUP BY 1, 2""")
+def label_scores(spark, d) -> DataFrame:
+    """Masks of frames against their clip's label: the pixels that are lit in four of ten frames."""
+    from ..sources import labels
+
+    planes, long = _planes(spark, d), F.posexplode("values").alias("i", "v")
+    pixels = planes.select("clip_id", "frame_idx", long).withColumns({"y": F.floor(F.col("i") / 8), "x": F.pmod("i", F.lit(8)), "lit": F.col("v") > 127})
+    glyphs = pixels.groupBy("clip_id", "y", "x").agg(F.avg(F.col("lit").cast("double")).alias("often")).where("often >= 0.4")
+    shown = pixels.groupBy("clip_id", "frame_idx").agg(F.when(F.count_if("lit") >= 16, "on").otherwise("off").alias("state"))
+    eight = [F.lit(8).alias("height"), F.lit(8).alias("width")]
+    made = labels.gathered(glyphs, shown, planes.select("clip_id").distinct().select("clip_id", *eight))
+    return labels.scored(planes.select("clip_id", "frame_idx", *eight, _bytes_of(F.col("values"), "u1").alias("mask")), made)
+
+
 @query(f"""WITH {PLANES_SQL}, near AS (SELECT *, list_sort(list(v) OVER (PARTITION BY clip_id, y, x ORDER BY frame_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS n FROM planes),
 smooth AS (SELECT *, (n[(len(n) - 1) // 2 + 1] + n[len(n) // 2 + 1]) // 2 AS s FROM near),
 lit AS (SELECT DISTINCT a.clip_id, a.frame_idx, a.y, a.x FROM planes a JOIN planes b ON a.clip_id = b.clip_id AND a.frame_idx = b.frame_idx AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 WHERE b.v >= 64)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from filmloom.config import build
 from filmloom.operators import masks, scan
@@ -104,8 +105,6 @@ def test_masks_by_segment_equal_masks_of_the_whole(spark):
 
 
 def test_clips_of_one_name_are_kept_apart(spark, tmp_path):
-    from pyspark.sql import functions as F
-
     _, depth, _ = source.synthetic(spark, 1, 3, 12, 8)
     both = depth.withColumn("clip_id", F.lit("/a/shot")).union(depth.withColumn("clip_id", F.lit("/b/shot")))
     paths = {r.path for r in source.write_stills(both, str(tmp_path / "out")).collect()}
@@ -129,8 +128,6 @@ def test_options_of_the_gates_alter_the_masks(spark, option, value):
 
 
 def test_detectors_are_merged_and_sizes_are_each_clips_own(spark):
-    from pyspark.sql import functions as F
-
     rgb, _, dets = source.synthetic(spark, 1, 8, 96, 54)
     config = build("both", **{"filters.min_text_height": 0.05})
     both = dets.withColumn("detector_ord", F.lit(0)).union(dets.withColumns({"x0": F.col("x0") + 1, "score": F.lit(0.95), "detector_ord": F.lit(1)}))
@@ -153,8 +150,6 @@ def test_masks_of_single_frames_equal_a_full_run(spark):
 
 
 def test_depth_vetoes_what_lies_elsewhere(spark):
-    from pyspark.sql import functions as F
-
     rgb, depth, dets = source.synthetic(spark, 1, 8, 160, 90)
     config = build("both", **{"filters.min_text_height": 0.05, "temporal.prior_window": 0})
 
@@ -177,6 +172,30 @@ def test_segments_get_shorter_as_frames_grow(spark):
     assert size(90, 160) == 64 and size(1080, 1920) < 64 and size(4320, 7680) == 1
 
 
+def test_labels_are_written_read_and_scored(spark, tmp_path):
+    from filmloom.operators import measures
+    from filmloom.sources import labels
+
+    glyphs = spark.createDataFrame([("a", y, x) for y in range(2, 7) for x in range(3, 8)], "clip_id string, y long, x long")
+    states = spark.createDataFrame([("a", i, "on" if i < 3 else "off") for i in range(5)], "clip_id string, frame_idx long, state string")
+    sizes = spark.createDataFrame([("a", 12, 16)], "clip_id string, height int, width int")
+    labels.write(labels.gathered(glyphs, states, sizes), str(tmp_path / "labels"))
+    made = labels.read(spark, str(tmp_path / "labels"))
+    assert made.first().method == "differencing" and made.first().on == [0, 1, 2]
+    mask = np.zeros((12, 16), np.uint8)
+    mask[2:7, 3:8] = 255
+    (tmp_path / "found" / "a").mkdir(parents=True)
+    for i, m in ((0, mask), (1, np.zeros_like(mask)), (2, np.repeat(np.repeat(mask, 2, 0), 2, 1)), (4, mask)):
+        (tmp_path / "found" / "a" / f"m{i}.png").write_bytes(stills.encode(m))
+    found = labels.read_masks(spark, str(tmp_path / "found"))
+    named = found.withColumn("clip_id", F.regexp_extract("clip_id", "([^/]+)$", 1))
+    for window in (False, True):
+        got = {r.frame_idx: (r.iou, r.recall, r.precision) for r in labels.scored(named, made, window).collect()}
+        assert got == {0: (1.0, 1.0, 1.0), 1: (0.0, 0.0, 0.0), 2: (1.0, 1.0, 1.0)}
+    (r,) = measures.score_summary(labels.scored(named, made), ["clip_id"]).collect()
+    assert (r.iou, r.worst, r.frames) == (1.0, 0.0, 3)
+
+
 def test_mask_cache_refuses_another_source(spark, tmp_path):
     rows = spark.createDataFrame([("a", 0, b"x")], "clip_id string, frame_idx long, mask binary")
     source.write_cache(rows, str(tmp_path / "cache"), {"fingerprint": "f1"})
