@@ -7,6 +7,9 @@ import re
 from dataclasses import dataclass, field
 
 
+# Names and defaults of the options are fixed values: results mean the same only with the same ones.
+
+
 @dataclass(frozen=True)
 class Detect:
     detectors: tuple[str, ...] = ("table",)

@@ -84,3 +84,10 @@ def fingerprint(size: Column, modified: Column, head: Column) -> Column:
 def depth_destination(depth: Column, clip: Column, source_root: str, dest_root: str) -> Column:
     """A depth map beside its clip's place under ``dest_root``, under its own name."""
     return F.concat(F.regexp_replace(destination(clip, source_root, dest_root), r"[^/]*$", ""), file_name(depth))
+
+
+def suggested_output(path: Column, is_dir: Column, mark: str = "_fixed") -> Column:
+    """Where a repaired ``path`` goes by default: beside it, a folder for a folder, a film without extension as .mp4."""
+    ext = F.regexp_extract(file_name(path), r"[^.](\.[^.]+)$", 1)
+    film = F.concat(F.regexp_replace(path, r"[^/]*$", ""), stem(path), F.lit(mark), F.when(ext == "", ".mp4").otherwise(ext))
+    return F.when(is_dir, F.concat(path, F.lit(mark))).otherwise(film)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import gates
+
 PERCENTS = (5, 10, 50, 90, 95)
 
 
@@ -166,6 +168,13 @@ def score_summary(scores: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def preview_numbers(pixels: DataFrame, keys: list[str], low: float, high: float, brightness: float) -> DataFrame:
+    """What a preview says of a mask's pixels (v, 0 .. 255): the share covered, the peak, and the code that text is painted with."""
+    covered = F.avg(gates.text_pixels(F.col("v")).cast("double"))
+    painted = F.lit(low + min(max(brightness, 0.0), 1.0) * (high - low))
+    return pixels.groupBy(*keys).agg(covered.alias("covered"), (F.max("v") / 255.0).alias("peak"), painted.alias("painted"))
+
+
 def report_totals(report: DataFrame) -> DataFrame:
     return report.groupBy("verdict").agg(F.count("*").alias("clips"))
 

@@ -50,6 +50,12 @@ def is_sequence(files: DataFrame) -> DataFrame:
     return frame_order(files).groupBy("folder").agg(F.count("*").alias("stills"))
 
 
+def collapsed(files: DataFrame) -> DataFrame:
+    """``files`` (path, is_dir) with ``clip``: the folder of a still, which stands for all of its sequence, else the path itself."""
+    still = ~F.col("is_dir") & strings.suffix(F.col("path")).isin(*STILL_SUFFIXES)
+    return files.withColumn("clip", F.when(still, F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.col("path")))
+
+
 def clip_key(path: Column, is_dir: Column) -> Column:
     return F.lower(F.when(is_dir, strings.file_name(path)).otherwise(strings.stem(path)))
 

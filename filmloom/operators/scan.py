@@ -13,7 +13,7 @@ from . import gates, measures, windows
 #: Columns of the report, in order.
 REPORT = (
     "clip_id", "verdict", "stage", "total_frames", "swept_frames", "sweep_hits", "frames_scanned", "text_frames", "longest_run",
-    "peak_coverage", "tilted_regions", "min_text_px", "hits", "words", "depth_path", "depth_status", "evidence",
+    "peak_coverage", "tilted_regions", "min_text_px", "hits", "words", "depth_path", "depth_status", "rgb_action", "rgb_dest", "depth_action", "evidence",
 )
 
 
@@ -73,6 +73,7 @@ def triage(
     frames: DataFrame,
     words: DataFrame | None = None,
     pairs: DataFrame | None = None,
+    copies: DataFrame | None = None,
     sweep: Sweep = Sweep(),
     thresholds: Thresholds = Thresholds(),
     reading: Reading = Reading(),
@@ -85,7 +86,8 @@ def triage(
     A clip whose sweep pays is read only around what the sweep finds, others
     in evenly spread windows. ``words`` (clip_id, frame_idx, pos, word,
     confidence) turns a flagged clip into text or rejected; without it flagged
-    is text. ``pairs`` (clip_id, depth_path, depth_status) is joined to the report.
+    is text. ``pairs`` (clip_id, depth_path, depth_status) is joined to the report, and so is ``copies``
+    (clip_id, rgb_action, rgb_dest, depth_action), what copying the clip did or would do.
     """
     clips = frames.groupBy("clip_id").agg((F.max("frame_idx") + 1).alias("total_frames"))
     worth = windows.sweep_is_worth_it(clips, sweep, n_windows, window_len, radius).where("worth_it").select("clip_id")
@@ -119,6 +121,11 @@ def triage(
         out = out.join(pairs.select("clip_id", "depth_path", "depth_status"), "clip_id", "left")
     else:
         out = out.withColumns({"depth_path": F.lit(None).cast("string"), "depth_status": F.lit(None).cast("string")})
+    done = ("rgb_action", "rgb_dest", "depth_action")
+    if copies is not None:
+        out = out.join(copies.select("clip_id", *done), "clip_id", "left")
+    else:
+        out = out.withColumns({c: F.lit(None).cast("string") for c in done})
     stage = F.when(F.col("frames_scanned").isNull(), "swept").when(F.col("flagged") & F.lit(words is not None), "read").otherwise("confirmed")
     verdict = F.when(~F.col("flagged"), "clean").when(text, "text").otherwise("rejected")
     evidence = F.format_string("%d/%d frames, run %d, peak %.2e", "text_frames", "frames_scanned", "longest_run", "peak_coverage")

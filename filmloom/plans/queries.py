@@ -903,3 +903,16 @@ def masks_for_frames(spark, d) -> DataFrame:
     wanted = names.select("clip_id", F.lit(6).cast("long").alias("frame_idx"))
     m = masks.masks_for(rgb, dets, wanted, config, depth=depth, codes=(0.0, 1023.0))
     return m.select("clip_id", "frame_idx", "height", "width", F.sha2("mask", 256).alias("mask_sha"))
+
+
+@query(f"""WITH {V.CLIP_FILES}, {KEYS_SQL}, e AS (SELECT *, regexp_extract(name, '[^.](\\.[^.]+)$', 1) AS own FROM k)
+SELECT page_id, CASE WHEN is_dir THEN path || '_fixed' ELSE regexp_replace(path, '[^/]*$', '') || regexp_replace(name, '\\.[^.]+$', '') || '_fixed' || CASE WHEN own = '' THEN '.mp4' ELSE own END END AS dst,
+  CASE WHEN NOT is_dir AND ext IN ('.png', '.tif', '.tiff', '.ppm', '.pgm') THEN regexp_replace(path, '/[^/]*$', '') ELSE path END AS clip FROM e""")
+def suggested_outputs(spark, d) -> DataFrame:
+    f = pairing.collapsed(V.clip_files(spark, d))
+    return f.select("page_id", strings.suggested_output(F.col("path"), F.col("is_dir")).alias("dst"), "clip")
+
+
+@query(f"""WITH {V.PIXELS} SELECT clip_id, frame_idx, avg(CASE WHEN v >= 6 THEN 1.0::DOUBLE ELSE 0 END) AS covered, max(v) / 255.0::DOUBLE AS peak, 64 + 0.92::DOUBLE * 876 AS painted FROM pixels GROUP BY 1, 2""")
+def preview_numbers(spark, d) -> DataFrame:
+    return measures.preview_numbers(V.pixels(spark, d), ["clip_id", "frame_idx"], 64.0, 940.0, 0.92)

@@ -42,6 +42,13 @@ def read_stills(spark: SparkSession, path: str, rgb: bool = True, frame_bytes: i
     return rows.select("folder", "frame_idx", "path", "content").mapInPandas(run, FRAME)
 
 
+def sequence_info(frames: DataFrame) -> DataFrame:
+    """Per clip of stills: size, bits, channels, how many there are, and range, which is pc for stills always."""
+    first = F.min_by(F.struct("height", "width", "channels", "bits"), "frame_idx").alias("_first")
+    each = frames.groupBy("clip_id").agg(first, F.count("*").alias("frames"))
+    return each.select("clip_id", "_first.*", "frames", F.lit("pc").alias("range"))
+
+
 def folder_names(frames: DataFrame) -> DataFrame:
     """clip_id -> folder: the clip's last name; clips that share it get a number as well, in the order of their ids."""
     last = F.regexp_extract("clip_id", r"([^/]+)/*$", 1)

@@ -88,6 +88,8 @@ def test_stills_are_read_in_natural_order_and_written_back(spark, tmp_path):
     assert source.array_of(got[2].data, 3, 4, 1, 16).max() == 10
     frames = source.read_stills(spark, str(tmp_path / "in"), rgb=False)
     assert source.write_stills(frames, str(tmp_path / "out")).count() == 3
+    (info,) = source.sequence_info(frames).collect()
+    assert (info.height, info.width, info.bits, info.frames, info.range) == (3, 4, 16, 3, "pc")
     assert (stills.decode((tmp_path / "out" / "shot" / "f10.png").read_bytes()) == 10).all()
 
 
