@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
     df = spark.read.parquet(path)
-    return df.repartition(cores) if size < cores * WORTH_DEALING else df
+    few = size < cores * WORTH_DEALING and df.rdd.getNumPartitions() <= cores
+    return df.repartition(cores) if few else df
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
