@@ -187,9 +187,8 @@ def _next_at(h, i, by: int, values):
     return np.where(key[at] == key + by, values[at], 0)
 
 
-def symbol_rows(texts: DataFrame, r: Repeats) -> DataFrame:
-    """(sym, ctx, h, place) of every anchor of texts (h, text)."""
-    schema = "sym long, ctx long, h long, place long"
+def _digests(texts: DataFrame, r: Repeats, schema: str, rows) -> DataFrame:
+    """``rows(h, bytes, anchors, digest)``, columns of ``schema``, of every text (h, text) that has anchors."""
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
@@ -197,14 +196,9 @@ def symbol_rows(texts: DataFrame, r: Repeats) -> DataFrame:
             out = []
             for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 b = text.encode()
-                place, first, last = anchors(b, r)
-                if len(place):
-                    clipped = np.clip(last - (len(b) - r.length), 0, r.window)
-                    p, f, e = place.tolist(), first.tolist(), (last - clipped).tolist()
-                    sym = np.fromiter((digest(b[x : x + r.body]) for x in p), np.uint64, len(p)).view(np.int64)
-                    ctx = [digest(b[x : y + r.length], (z - x) << 8 | max(y - x + 1, 0)) for x, y, z in zip(f, e, p)]
-                    sym[sym == 0] = 1
-                    out.append((sym, np.array(ctx, np.uint64).view(np.int64), np.full(len(p), h), _packed(place, first, last, clipped)))
+                found = anchors(b, r)
+                if len(found[0]):
+                    out.append(rows(h, b, found, digest))
             if out:
                 whole = [np.concatenate(x) for x in zip(*out)]
                 for at in range(0, len(whole[0]), 100_000):
@@ -213,10 +207,34 @@ def symbol_rows(texts: DataFrame, r: Repeats) -> DataFrame:
     return texts.select("h", "text").mapInArrow(run, schema)
 
 
-def symbol_strings(symbols: DataFrame) -> DataFrame:
+def _symbols(b: bytes, place: np.ndarray, r: Repeats, digest) -> np.ndarray:
+    sym = np.fromiter((digest(b[x : x + r.body]) for x in place.tolist()), np.uint64, len(place)).view(np.int64)
+    return np.where(sym == 0, 1, sym)
+
+
+def symbol_rows(texts: DataFrame, r: Repeats) -> DataFrame:
+    """(sym, ctx, h, place) of every anchor of texts (h, text)."""
+
+    def rows(h, b, found, digest):
+        place, first, last = found
+        clipped = np.clip(last - (len(b) - r.length), 0, r.window)
+        edges = zip(first.tolist(), (last - clipped).tolist(), place.tolist())
+        ctx = [digest(b[x : y + r.length], (z - x) << 8 | max(y - x + 1, 0)) for x, y, z in edges]
+        whole = np.array(ctx, np.uint64).view(np.int64), np.full(len(place), h), _packed(place, first, last, clipped)
+        return _symbols(b, place, r, digest), *whole
+
+    return _digests(texts, r, "sym long, ctx long, h long, place long", rows)
+
+
+def symbols_seen_twice(texts: DataFrame, r: Repeats) -> DataFrame:
+    """(sym) of the symbols that two anchors or more have."""
+    alone = _digests(texts, r, "sym long", lambda h, b, found, digest: (_symbols(b, found[0], r, digest),))
+    often = alone.groupBy("sym").agg(F.count("*").alias("n")).where("n > 1").select("sym")
+    return common.cut(often, "symbols-seen-twice")  # a table of its own, so that a frequent symbol's join can be split
+
+
+def symbol_strings(symbols: DataFrame, often: DataFrame) -> DataFrame:
     """(h, i, place, sym, ctx, c1, c2): symbols seen twice or more, numbered within runs; 0 ends a run."""
-    often = symbols.groupBy("sym").agg(F.count("*").alias("n")).where("n > 1").select("sym")
-    often = common.cut(often, "symbols-seen-twice")  # a table of its own, so that a frequent symbol's join can be split
     kept = symbols.join(often, "sym").select("h", "place", "sym", "ctx")
 
     def work(h, packed, sym, ctx):
@@ -502,7 +520,8 @@ def repeated(docs: DataFrame, r: Repeats = Repeats()) -> tuple[int, DataFrame, D
         F.col("rep").isNull() | F.col("doc_id").eqNullSafe(F.col("rep"))
     ).select("h", "text")
     common.small_batches(spark, 1000)
-    strings = common.cut(symbol_strings(symbol_rows(texts, r)), "symbol-strings")
+    often = symbols_seen_twice(texts, r)
+    strings = common.cut(symbol_strings(symbol_rows(texts, r), often), "symbol-strings")
     depth, ranks = sampled_ranks(strings, r)
     compared = merged(strings, ranks, depth).union(ranks.select("h", "i", "lcp"))
     found = common.cut(shared(strings, compared, r), "shared")
@@ -524,7 +543,7 @@ def repeated(docs: DataFrame, r: Repeats = Repeats()) -> tuple[int, DataFrame, D
     bulk = found.where("kind = 0").select("h", F.col("sym").alias("low"), F.col("ctx").alias("high"))
     spans = _joined(bulk.union(part), ["h"]).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"))
     spans = common.cut(spans, "stretches")
-    common.drop(strings, ranks, found, each)
+    common.drop(often, strings, ranks, found, each)
     return seed, copies, spans
 
 
