@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k_search": hamming.ORACLE}
+    return {"op1_top_k_search": hamming.ORACLE, "op8_chat_formatting": chat.ORACLE}
