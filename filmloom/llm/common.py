@@ -11,7 +11,7 @@ from ..steps import cut, drop, shared_folder  # noqa: F401  used as common.cut a
 GAPS = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 #: A side is broadcast up to this many bytes in memory, by its counted rows; else shuffled.
-BROADCAST_BYTES = 12 << 20
+BROADCAST_BYTES = 4 << 20
 
 
 #: A table of fewer bytes for each core is dealt out, for a small file is often one row group and so one task.

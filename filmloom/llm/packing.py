@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,29 +106,51 @@ def pack(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
 
     Null and empty texts go in as sequences of length 0; repeated rows are
     sequences of their own; other columns are left out. An empty table gives
-    an empty result. Only narrow rows are numbered; the ids are moved once, or
-    not at all while the numbers are few.
+    an empty result. Sequences are numbered where they lie: the rows of each
+    partition of the written table are counted by bucket, and go on from where
+    the partitions before it end, so no token moves. What the driver holds is
+    a number for each partition and bucket.
     """
-    rows = common.cut(sequences(docs, packing).withColumn("_id", F.monotonically_increasing_id()), "sequences")
+    rows = common.cut(sequences(docs, packing), "sequences")
+    spark = rows.sparkSession
     counts = {r["n_tokens"]: r["count"] for r in rows.groupBy("n_tokens").count().collect()}  # at most longest + 1
-    bounds = boundaries(counts, packing.buckets)
-    upper = F.lit(bounds[-1] if bounds else 0)
-    for b in reversed(bounds[:-1]):
-        upper = F.when(F.col("n_tokens") <= b, F.lit(b)).otherwise(upper)
-    dealt = rows.select("_id", "doc_id", "piece", "n_tokens", upper.cast("long").alias("bucket"))
-    placed = common.cut(common.numbered(dealt, ["bucket"], ["doc_id", "piece", "n_tokens"], "_at").select("_id", "bucket", "_at"), "places")
-    placed = common.with_size_checked_broadcast(placed, 48)
-    fits = F.greatest(F.floor(F.lit(packing.budget) / F.greatest(F.col("bucket"), F.lit(1))), F.lit(1))
-    return rows.join(placed, "_id").select(
-        "doc_id",
-        "piece",
-        "n_tokens",
-        "bucket",
-        F.floor(F.col("_at") / fits).alias("batch"),
-        (F.col("_at") % fits).alias("slot"),
-        (F.col("bucket") - F.col("n_tokens")).alias("padding"),
-        "ids",
-    )
+    bounds = np.array(boundaries(counts, packing.buckets) or [0], np.int64)
+    which = F.lit(len(bounds) - 1)
+    for k in reversed(range(len(bounds) - 1)):
+        which = F.when(F.col("n_tokens") <= int(bounds[k]), F.lit(k)).otherwise(which)
+    dealt = rows.withColumn("_bucket", which)
+    found = dealt.groupBy(F.spark_partition_id().alias("part"), "_bucket").count().collect()
+    each = np.zeros((1 + max([r["part"] for r in found], default=0), len(bounds)), np.int64)
+    for r in found:
+        each[r["part"], r["_bucket"]] = r["count"]
+    shared = spark.sparkContext.broadcast((each, np.cumsum(each, axis=0) - each))
+    fits = np.maximum(packing.budget // np.maximum(bounds, 1), 1)
+
+    def run(batches):
+        expected, starts = shared.value
+        part = TaskContext.get().partitionId()
+        due = expected[part] if part < len(expected) else np.zeros(len(bounds), np.int64)
+        next_ = starts[part].copy() if part < len(starts) else np.zeros(len(bounds), np.int64)
+        seen = np.zeros(len(bounds), np.int64)
+        for batch in batches:
+            bucket = batch.column(4).to_numpy()
+            at = np.zeros(len(bucket), np.int64)
+            for k in np.unique(bucket):
+                here = np.flatnonzero(bucket == k)
+                at[here] = next_[k] + np.arange(len(here))
+                next_[k] += len(here)
+                seen[k] += len(here)
+            upper = bounds[bucket]
+            made = [upper, at // fits[bucket], at % fits[bucket], upper - batch.column(2).to_numpy()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(3)), *map(pa.array, made), batch.column(3)],
+                ["doc_id", "piece", "n_tokens", "bucket", "batch", "slot", "padding", "ids"],
+            )
+        if (seen != due).any():
+            raise RuntimeError("the written table was dealt out otherwise than when it was counted")
+
+    schema = "doc_id long, piece long, n_tokens long, bucket long, batch long, slot long, padding long, ids array<int>"
+    return dealt.select("doc_id", "piece", "n_tokens", "ids", "_bucket").mapInArrow(run, schema)
 
 
 def query(spark, sf_dir) -> DataFrame:
