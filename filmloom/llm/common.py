@@ -32,9 +32,9 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def fits_broadcast(rows: int, row_bytes: int) -> bool:
+def fits_broadcast(rows: int, row_bytes: int, most: int = BROADCAST_BYTES) -> bool:
     """Whether so many rows may be broadcast: in memory a row takes twice its data and some."""
-    return rows * (2 * row_bytes + 32) <= BROADCAST_BYTES
+    return rows * (2 * row_bytes + 32) <= most
 
 
 def with_size_checked_broadcast(df: DataFrame, row_bytes: int, array: str | None = None, item_bytes: int = 0) -> DataFrame:

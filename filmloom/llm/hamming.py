@@ -6,7 +6,7 @@ segment in exactly r bits (1, 16, 120, 560 ... of the 65,536), an equality
 join; the whole distance of what it meets is counted bit by bit. Two codes at
 Hamming distance 4 * r + 3 or less agree in some segment up to r bits, so
 after radius r all of these have been met, and a query whose k-th distance is
-no more is done. The radius grows, for the queries that are left, until all
+no more is done. What is farther than the k-th distance so far is passed over. The radius grows, for the queries that are left, until all
 are. All of it is DataFrame functions.
 """
 
@@ -22,10 +22,11 @@ from . import common
 
 @dataclass(frozen=True)
 class Search:
-    """Queries are the rows whose id ``every`` divides."""
+    """Queries are the rows whose id ``every`` divides; an index of up to ``broadcast`` bytes is broadcast."""
 
     k: int = 10
     every: int = 20
+    broadcast: int = 32 << 20
 
 
 SEGMENTS, BITS = 4, 16
@@ -72,19 +73,20 @@ def flipped(probes: DataFrame, bits: int) -> DataFrame:
 
 
 def met(index: DataFrame, asked: DataFrame, radius: int) -> DataFrame:
-    """(query, code, least, distance) of the codes whose nearest segment is ``radius`` bits off, each once.
+    """(query, code, least, distance) of the codes whose nearest segment is ``radius`` bits off and that are within the query's bound, each once.
 
     A pair comes out of the first of its nearest segments only, so nothing is
-    met twice, neither in this round nor in another.
+    met twice, neither in this round nor in another. The bound is the k-th
+    distance so far, beyond which no code can be among the nearest.
     """
-    probes = flipped(_by_segment(asked, ["code"]).withColumnRenamed("code", "query"), radius)
+    probes = flipped(_by_segment(asked, ["code", "bound"]).withColumnRenamed("code", "query"), radius)
     apart = F.col("query").bitwiseXOR(F.col("code"))
     off = [F.bit_count(_segment(apart, s)) for s in range(SEGMENTS)]
     first = F.lit(SEGMENTS - 1)
     for s in reversed(range(SEGMENTS - 1)):
         first = F.when(off[s] == radius, F.lit(s)).otherwise(first)
     pairs = probes.join(index, ["segment", "value"])
-    pairs = pairs.where((F.least(*off) == radius) & (F.col("segment") == first))
+    pairs = pairs.where((F.bit_count(apart) <= F.col("bound")) & (F.least(*off) == radius) & (F.col("segment") == first))
     return pairs.select("query", "code", "least", F.bit_count(apart).cast("long").alias("distance"))
 
 
@@ -109,9 +111,9 @@ def top_k(codes: DataFrame, search: Search = Search()) -> DataFrame:
     kept = common.cut(_by_segment(distinct, ["code", "least"]), "code-index")
     total = kept.where("segment = 0").count()
     # probes are many times the rows that they come from, so it must never be they that are broadcast
-    index = F.broadcast(kept) if common.fits_broadcast(SEGMENTS * total, 28) else kept.hint("merge")
+    index = F.broadcast(kept) if common.fits_broadcast(SEGMENTS * total, 28, search.broadcast) else kept.hint("merge")
     queries = rows.where(F.pmod("id", F.lit(search.every)) == 0)
-    asked = common.cut(queries.select("code").distinct(), "asked")
+    asked = common.cut(queries.select("code", F.lit(64).cast("long").alias("bound")).distinct(), "asked")
     radius, done = 0, []
     found = spark.createDataFrame([], "query long, code long, least long, distance long")
     while True:
@@ -119,11 +121,13 @@ def top_k(codes: DataFrame, search: Search = Search()) -> DataFrame:
         # all codes within 4 * radius + 3 have been met; with all codes met nothing nearer is left
         ends = now.groupBy("query").agg(F.count("*").alias("_many"), F.max("distance").alias("_far"))
         enough = (F.col("_many") >= min(k, total)) & ((F.col("_far") <= SEGMENTS * radius + SEGMENTS - 1) | F.lit(total <= k))
-        full = common.cut(ends.where(enough).select("query"), "full")
+        ends = common.cut(ends.select("query", enough.alias("enough"), F.when(F.col("_many") >= k, F.col("_far")).otherwise(64).alias("_bound")), "ends")
+        full = ends.where("enough").select("query")
         last = radius == BITS
         done.append(now if last else now.join(full, "query", "left_semi"))
         radius += 1
-        asked = common.cut(asked.join(full, asked["code"] == full["query"], "left_anti"), "asked")
+        asked = asked.join(ends, asked["code"] == ends["query"], "left").where(~F.coalesce("enough", F.lit(False)))
+        asked = common.cut(asked.select("code", F.coalesce("_bound", F.lit(64)).cast("long").alias("bound")), "asked")
         if last or not asked.head(1):
             break
         found = now.join(full, "query", "left_anti")

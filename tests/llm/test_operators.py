@@ -40,13 +40,14 @@ def test_query_equals_sql(spark, data, name):
 # 1 ---------------------------------------------------------------- top-k search
 
 
-def test_top_k_with_copies_ties_and_far_queries(spark):
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
+def test_top_k_with_copies_ties_and_far_queries(spark, broadcast):
     rng = np.random.default_rng(3)
     codes = [int(x) for x in rng.integers(-(2**63), 2**63, 60)] + [5] * 30 + [5 ^ 1, 5 ^ 3, -1]
     rows = [(i, c) for i, c in enumerate(codes)] + [(0, codes[0])]
     df = spark.createDataFrame(rows, "id long, code long").withColumn("least", F.lit(0))
     got = defaultdict(list)
-    for r in hamming.top_k(df.select("id", "code"), hamming.Search(k=7, every=10)).collect():
+    for r in hamming.top_k(df.select("id", "code"), hamming.Search(k=7, every=10, broadcast=broadcast)).collect():
         got[r.query_id].append((r.distance, r.id))
     for q, code in rows:
         if q % 10 == 0 and q:
@@ -59,7 +60,7 @@ def test_radii_meet_every_code_once(spark):
     rng = np.random.default_rng(31)
     codes = [int(x) for x in rng.integers(-(2**63), 2**63, 40)]
     df = spark.createDataFrame([(c, i) for i, c in enumerate(codes)], "code long, least long")
-    index, asked = hamming._by_segment(df, ["code", "least"]), df.where("least < 3").select("code")
+    index, asked = hamming._by_segment(df, ["code", "least"]), df.where("least < 3").select("code", F.lit(64).alias("bound"))
     seen = Counter()
     for radius in range(hamming.BITS + 1):
         for r in hamming.met(index, asked, radius).collect():
@@ -73,7 +74,7 @@ def test_few_codes_are_looked_at(spark):
     rng = np.random.default_rng(32)
     rows = [(int(c), i) for i, c in enumerate(rng.integers(-(2**63), 2**63, 20_000))]
     df = spark.createDataFrame(rows, "code long, least long")
-    index, asked = hamming._by_segment(df, ["code", "least"]), df.where("least < 50").select("code")
+    index, asked = hamming._by_segment(df, ["code", "least"]), df.where("least < 50").select("code", F.lit(64).alias("bound"))
     looked = sum(hamming.met(index, asked, r).count() for r in range(3))
     assert 50 * 20_000 * 0.004 < looked < 50 * 20_000 * 0.02
 
