@@ -46,6 +46,8 @@ STRETCH = 1 << 19
 APART = 30
 #: Symbols with more distinct surroundings than this have their strings dealt out by digest.
 CROWDED = 1024
+#: Strings and spans that a task holds before it hands them on.
+HELD = 20_000
 #: Surroundings seen more often than this meet their rows by a broadcast; there is at most one for so many rows.
 FREQUENT = 4096
 
@@ -428,8 +430,16 @@ def _open_strings(texts: DataFrame, each: DataFrame, r: Repeats) -> DataFrame:
     types = [pa.int64()] * 5 + [pa.binary()]
 
     def strings(batches):
+        out, first_with, spans = [], {}, {}
+
+        def flushed():
+            for (sym, ctx), lows in spans.items():
+                out.extend((sym, ctx | 1, ctx, low, high, None) for low, high in _islands(sorted(lows)))
+            for k in range(0, len(out), 4096):
+                yield _batch(schema, [pa.array(c, t) for c, t in zip(zip(*out[k : k + 4096]), types)])
+            out.clear(), first_with.clear(), spans.clear()
+
         for batch in batches:
-            out, first_with, spans = [], {}, {}
             for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 b = text.encode()
                 for x in asked:
@@ -438,7 +448,7 @@ def _open_strings(texts: DataFrame, each: DataFrame, r: Repeats) -> DataFrame:
                     if not x["hot"]:
                         out.append((sym, 0, ctx, first - place, 0, b[first : last + r.length]))
                         continue
-                    # a crowded symbol's strings are dealt out one by one, equal ones of a batch once
+                    # a crowded symbol's strings are dealt out one by one, equal ones held together once
                     for s in range(first, last + 1):
                         d, here = xxhash.xxh3_128_digest(b[s : s + r.length]), (sym, ctx, s - place)
                         known = first_with.setdefault((sym, d), here)
@@ -447,10 +457,9 @@ def _open_strings(texts: DataFrame, each: DataFrame, r: Repeats) -> DataFrame:
                         else:
                             for y in (known, here):
                                 spans.setdefault(y[:2], set()).add(y[2])
-            for (sym, ctx), lows in spans.items():
-                out += [(sym, ctx | 1, ctx, low, high, None) for low, high in _islands(sorted(lows))]
-            for k in range(0, len(out), 4096):
-                yield _batch(schema, [pa.array(c, t) for c, t in zip(zip(*out[k : k + 4096]), types)])
+                    if len(out) + len(spans) > HELD:
+                        yield from flushed()
+        yield from flushed()
 
     rows = texts.join(lists, "h").select("text", "asked").mapInArrow(strings, schema)
 
