@@ -38,15 +38,16 @@ def fits_broadcast(rows: int, row_bytes: int, most: int = BROADCAST_BYTES) -> bo
 
 
 def with_size_checked_broadcast(df: DataFrame, row_bytes: int, array: str | None = None, item_bytes: int = 0) -> DataFrame:
-    """Mark ``df`` for broadcast if its counted size is small; else leave the join to a shuffle.
+    """Mark ``df`` for broadcast if its counted size is small; else have it joined by a shuffle.
 
-    The data are ``row_bytes`` a row and ``item_bytes`` for each item of the
+    Spark goes by the size of files, which may be a fraction of that of the
+    table in memory, so beyond the bound it is told not to broadcast. The data are ``row_bytes`` a row and ``item_bytes`` for each item of the
     column ``array``; as a table in memory a row takes twice that and some.
     """
     size = F.count("*") * (2 * row_bytes + 32)
     if array:
         size = size + F.coalesce(F.sum(F.size(array)), F.lit(0)) * item_bytes
-    return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_BYTES else df
+    return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_BYTES else df.hint("merge")
 
 
 def maybe_among(rows: DataFrame, keys: DataFrame, h: str) -> DataFrame:
