@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,11 +88,13 @@ def assign(rows: DataFrame, key: Column, ring: Ring, order: list[str] | None = N
     stops = [cell for cell, _ in arcs]
     spark = rows.sparkSession
     at = np.searchsorted(stops, np.arange(CELLS)) % len(arcs)
-    owner = spark.createDataFrame(pd.DataFrame({"_cell": np.arange(CELLS, dtype=np.int32), "_arc": at.astype(np.int32)}))
+    owner = spark.createDataFrame(pa.table({"_cell": np.arange(CELLS, dtype=np.int32), "_arc": at.astype(np.int32)}))
     on_arc = placed.join(F.broadcast(owner), "_cell").drop("_cell")
     counts = {r["_arc"]: r["count"] for r in on_arc.groupBy("_arc").count().collect()}  # at most one row per virtual node
     ranges = ring.walk([counts.get(a, 0) for a in range(len(arcs))])
-    plan = spark.createDataFrame(ranges or [(-1, 0, 0, 0, 0)], "_on int, _first long, _end long, shard int, _slot long")
+    kinds = {"_on": np.int32, "_first": np.int64, "_end": np.int64, "shard": np.int32, "_slot": np.int64}
+    columns = zip(*ranges) if ranges else [()] * len(kinds)
+    plan = spark.createDataFrame(pa.table({name: np.array(c, kind) for (name, kind), c in zip(kinds.items(), columns)}))
     ranked = common.numbered(on_arc, ["_arc"], order, "_rank")
     here = (F.col("_arc") == F.col("_on")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))
     joined = ranked.join(F.broadcast(plan), here)
