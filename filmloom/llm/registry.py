@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, hamming, licenses, mixing, packing, quality, sharding, simhash, suffixes, tokens
+from . import centroids, chat, hamming, licenses, mixing, packing, quality, sharding, simhash, suffixes, tokens
 
 
 def queries():
@@ -17,8 +17,9 @@ def queries():
         "op8_chat_formatting": chat.query,
         "op9_quality_rules": quality.query,
         "op10_sharding": sharding.query,
+        "op13_centroid_clustering": centroids.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k_search": hamming.ORACLE, "op8_chat_formatting": chat.ORACLE}
+    return {"op1_top_k_search": hamming.ORACLE, "op8_chat_formatting": chat.ORACLE, "op13_centroid_clustering": centroids.ORACLE}

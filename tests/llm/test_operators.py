@@ -28,7 +28,7 @@ def run(spark, data, name):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, data, name):
     duck = duckdb.connect()
-    for table in ("embeddings", "conversations"):
+    for table in ("documents", "embeddings", "conversations"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     want = duck.sql(registry.oracle_sql()[name]).df()
     got = registry.queries()[name](spark, data).toPandas()
