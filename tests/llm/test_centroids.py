@@ -33,7 +33,7 @@ def frame(spark, rows):
     )
 
 
-@pytest.mark.parametrize("seed,spread", [(1, 0.02), (2, 1.0), (3, 60_000.0)])
+@pytest.mark.parametrize("seed,spread", [(1, 0.02), (2, 1.0), (3, 20_000.0)])
 def test_clusters_equal_brute_force(spark, seed, spread):
     rng = np.random.default_rng(seed)
     middles = rng.normal(0, spread * 10, (5, 4))
