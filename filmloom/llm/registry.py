@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, chat, divergence, hamming, licenses, mixing, packing, quality, sharding, simhash, suffixes, tokens
+from . import centroids, chat, divergence, hamming, jaccard, licenses, mixing, packing, quality, sharding, simhash, suffixes, tokens
 
 
 def queries():
@@ -18,9 +18,16 @@ def queries():
         "op9_quality_rules": quality.query,
         "op10_sharding": sharding.query,
         "op11_source_divergence": divergence.query,
+        "op12_jaccard_join": jaccard.query,
         "op13_centroid_clustering": centroids.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k_search": hamming.ORACLE, "op8_chat_formatting": chat.ORACLE, "op11_source_divergence": divergence.ORACLE, "op13_centroid_clustering": centroids.ORACLE}
+    return {
+        "op1_top_k_search": hamming.ORACLE,
+        "op8_chat_formatting": chat.ORACLE,
+        "op11_source_divergence": divergence.ORACLE,
+        "op12_jaccard_join": jaccard.ORACLE,
+        "op13_centroid_clustering": centroids.ORACLE,
+    }
