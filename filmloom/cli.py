@@ -1,4 +1,4 @@
-"""Command line: ``python -m filmloom.cli probe|detect|masks|preview|fix|triage|query ...`` over tables in a folder.
+"""Command line: ``python -m filmloom.cli probe|detect|masks|preview|fix|scan|triage|query ...`` over tables in a folder.
 
 Exit codes: 0 done, 1 failed, 2 wrong use, 130 interrupted.
 """
@@ -46,6 +46,21 @@ def parser() -> argparse.ArgumentParser:
     triage.add_argument("frames")
     triage.add_argument("out", help="a folder; clips that its report has already are left out")
     triage.add_argument("--boxes", help="a table of boxes with their tilt, from which those that count are counted anew")
+    seen = sub.add_parser("scan", help="report of folders of stills, of which no more frames are read than needed")
+    seen.add_argument("stills")
+    seen.add_argument("out", help="a folder for the report; clips that it has already are left out")
+    seen.add_argument("--boxes", help="a table of boxes; without it the batch detectors of detect.detectors look for them")
+    seen.add_argument("--plugins", action="append", default=[], metavar="MODULE", help="a module that registers batch detectors or word readers")
+    seen.add_argument("--reader", help="a registered word reader")
+    seen.add_argument("--depth", help="a tree in which the clips' depth maps are looked for")
+    seen.add_argument("--dest", help="where clips with text are copied to, with their depth maps; those that are there already are left out")
+    seen.add_argument("--move", action="store_true")
+    seen.add_argument("--dry-run", action="store_true", help="say what would be copied")
+    for p_ in (triage, seen):
+        p_.add_argument("--words", help="a table of words (clip_id, frame_idx, pos, word, confidence)")
+        p_.add_argument("--no-sweep", action="store_true", help="read every clip's windows without a sweep before")
+    triage.add_argument("--pairs", help="a table of depth maps (clip_id, depth_path, depth_status)")
+    triage.add_argument("--copies", help="a table of copies (clip_id, rgb_action, rgb_dest, depth_action)")
     query = sub.add_parser("query", help="one of the named queries over a folder of tables")
     query.add_argument("name")
     query.add_argument("folder")
@@ -78,12 +93,13 @@ def work(spark: SparkSession, args, config: C.Config) -> None:
             found.show(found.count(), truncate=False)
             marks.show(marks.count(), truncate=False)
     elif args.command in ("detect", "masks", "preview"):
-        rgb, dets = frames.read_stills(spark, args.stills), spark.read.parquet(args.boxes)
-        more = {}
+        listing, dets = frames.listed(spark, args.stills), spark.read.parquet(args.boxes)
+        rgb, sizes = frames.read_stills(spark, args.stills), frames.still_sizes(listing)
+        more = {"sizes": sizes}
         if args.depth:
-            more = {"depth": frames.read_depth(spark, args.depth), "codes": code_range(args.bits, args.range)}
+            more |= {"depth": frames.read_depth(spark, args.depth), "codes": code_range(args.bits, args.range)}
         if args.command == "detect":
-            kept = masks.boxes(rgb, dets, config)
+            kept = masks.boxes(sizes, dets, config)
             good = gates.overlaid(masks.looks(rgb, kept), config.filters)
             kept.join(good, ["clip_id", "frame_idx", "det_id"]).write.parquet(args.out)
         elif args.command == "preview":
@@ -99,14 +115,65 @@ def work(spark: SparkSession, args, config: C.Config) -> None:
     elif args.command == "triage":
         seen = scan.not_reported(spark, spark.read.parquet(args.frames), args.out)
         if args.boxes:
-            seen = scan.looked_at(seen, spark.read.parquet(args.boxes), config.filters)
-        scan.write_report(scan.triage(seen), args.out)
+            seen = scan.looked_at(seen, spark.read.parquet(args.boxes), config.filters, config.level, config.size)
+        words, pairs, copied = (spark.read.parquet(t) if t else None for t in (args.words, args.pairs, args.copies))
+        sweep = None if args.no_sweep else config.sweep
+        scan.write_report(scan.triage(seen, words, pairs, copied, sweep, config.thresholds, config.reading, config.scan, config.halo), args.out)
+    elif args.command == "scan":
+        scanned(spark, args, config)
     else:
         from .plans.queries import QUERIES
 
         QUERIES[args.name](spark, args.folder).write.parquet(args.out)
 
 
+def scanned(spark: SparkSession, args, config: C.Config) -> None:
+    """Triage in waves, then copies of what has text, then the report."""
+    import importlib
+
+    from . import steps
+    from .operators import copies, pairing, scan, staged
+    from .sources import catalog, files, frames
+
+    for module in args.plugins:
+        importlib.import_module(module)
+    listing = scan.not_reported(spark, frames.listed(spark, args.stills), args.out)
+    root, dest = files.qualified(spark, args.stills), None if args.dest is None else files.qualified(spark, args.dest)
+    if dest is not None and not args.dry_run:  # clips whose copy is there are done
+        there = frames.listed(spark, dest).select("clip_id").distinct() if files.exists(dest) else None
+        if there is not None:
+            to = F.concat(F.lit(dest), F.expr(f"substring(clip_id, {len(root) + 1})"))
+            listing = listing.withColumn("_to", to).join(there.withColumnRenamed("clip_id", "_to"), "_to", "left_anti").drop("_to")
+    boxes, words = (spark.read.parquet(t) if t else None for t in (args.boxes, args.words))
+    clips = listing.select(F.col("clip_id").alias("path"), F.lit(True).alias("is_dir")).distinct()
+    pairs = None
+    if args.depth:
+        tree = catalog.listing(spark, args.depth, addresses=True)
+        folders = pairing.is_sequence(tree).select(F.col("folder").alias("path"), F.lit(True).alias("is_dir"))
+        found = pairing.find_depth(clips, folders.unionByName(tree.select("path", F.lit(False).alias("is_dir"))))
+        pairs = steps.cut(found.select(F.col("path").alias("clip_id"), "depth_path", F.col("status").alias("depth_status")), "pairs")
+    report = staged.triage(listing, staged.eyes_for_stills(config, boxes, words, args.reader), config, pairs, sweep=not args.no_sweep)
+    report = steps.cut(report, "report")
+    if dest is not None:
+        text = report.where("verdict = 'text'")
+        to = F.concat(F.lit(dest), F.expr(f"substring(clip_id, {len(root) + 1})"))
+        beside = F.concat(F.regexp_extract(to, r"^(.*)/[^/]*$", 1), F.lit("/"), F.regexp_extract("depth_path", r"([^/]+)/*$", 1))
+        rgb = text.select(F.col("clip_id").alias("src"), to.alias("dst"))
+        depth = text.where("depth_path is not null").select(F.col("depth_path").alias("src"), beside.alias("dst"))
+        both = steps.cut(rgb.unionByName(depth).distinct(), "copies")
+        found = catalog.listing(spark, args.stills, addresses=True).select("path", "size")
+        found = found if not args.depth else found.unionByName(catalog.listing(spark, args.depth, addresses=True).select("path", "size")).distinct()
+        if args.dry_run:
+            done = both.withColumn("action", F.lit("would move" if args.move else "would copy"))
+        else:
+            done = copies.clip_actions(steps.cut(copies.carried_out(copies.files_of(both, found), args.move), "copied"), both)
+        done = steps.cut(done, "copied")
+        own = done.select(F.col("src").alias("clip_id"), F.col("action").alias("rgb_action"), F.col("dst").alias("rgb_dest"))
+        pair = done.select(F.col("src").alias("depth_path"), F.col("action").alias("depth_action"))
+        report = report.drop("rgb_action", "rgb_dest", "depth_action").join(own, "clip_id", "left").join(pair, "depth_path", "left").select(*scan.REPORT)
+    scan.write_report(report, args.out)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     config = options(args)

@@ -117,6 +117,19 @@ class Level:
     max_ink: int = 4000
 
 
+@dataclass(frozen=True)
+class Size:
+    min_height: float = 0.02
+    min_pixels: int = 14
+
+
+@dataclass(frozen=True)
+class Scan:
+    windows: int = 8
+    window_len: int = 45
+    exhaustive: bool = False
+
+
 @dataclass(frozen=True)
 class Config:
     detect: Detect = field(default_factory=Detect)
@@ -124,6 +137,12 @@ class Config:
     strokes: Strokes = field(default_factory=Strokes)
     temporal: Temporal = field(default_factory=Temporal)
     composite: Composite = field(default_factory=Composite)
+    sweep: Sweep = field(default_factory=Sweep)
+    thresholds: Thresholds = field(default_factory=Thresholds)
+    reading: Reading = field(default_factory=Reading)
+    level: Level = field(default_factory=Level)
+    size: Size = field(default_factory=Size)
+    scan: Scan = field(default_factory=Scan)
 
     @property
     def halo(self) -> int:

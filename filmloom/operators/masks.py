@@ -18,9 +18,13 @@ from .. import steps
 from ..config import Config
 from ..kernels import arrays as A, glyphs as G, repair as R
 from ..sources.frames import array_of, few_frames
+from . import planes
 
 PATCH = "clip_id string, frame_idx long, det_id long, x0 int, y0 int, h int, w int, level float, alpha binary"
+SHAPE = "clip_id string, frame_idx long, height int, width int, shape binary, level binary, peak int"
 LOOK = "clip_id string, frame_idx long, det_id long, contrast double, lit long, spread double"
+#: Boxes are broadcast up to this many bytes, by their count.
+BROADCAST_BYTES = 4 << 20
 MASK = "clip_id string, frame_idx long, height int, width int, mask binary, shape binary, level binary"
 
 
@@ -38,8 +42,10 @@ def boxes(frames: DataFrame, dets: DataFrame, config: Config) -> DataFrame:
 
 
 def _with_boxes(frames: DataFrame, dets: DataFrame) -> DataFrame:
+    """Frames that have boxes, with them. Where all boxes are few, they go to the frames and no pixel moves."""
     listed = dets.groupBy("clip_id", "frame_idx").agg(F.sort_array(F.collect_list(F.struct("det_id", "x0", "y0", "x1", "y1"))).alias("boxes"))
-    return frames.join(listed, ["clip_id", "frame_idx"])
+    size = dets.select("clip_id", "frame_idx").agg(F.count("*") * 160).first()[0]
+    return frames.join(F.broadcast(listed) if size <= BROADCAST_BYTES else listed.hint("merge"), ["clip_id", "frame_idx"])
 
 
 def looks(frames: DataFrame, dets: DataFrame) -> DataFrame:
@@ -58,35 +64,51 @@ def looks(frames: DataFrame, dets: DataFrame) -> DataFrame:
     return _with_boxes(frames, dets).select("clip_id", "frame_idx", "height", "width", "data", "boxes").mapInPandas(run, LOOK)
 
 
-def patches(frames: DataFrame, dets: DataFrame, config: Config, guides: DataFrame | None = None, model=None) -> DataFrame:
-    """One row per box that holds glyphs. ``guides``: depth (guide, floats as bytes) at the frames' size."""
+def patches(
+    frames: DataFrame, dets: DataFrame, config: Config, depth: DataFrame | None = None, codes: tuple[float, float] = (64.0, 940.0), model=None, overlaid: bool = False
+) -> DataFrame:
+    """One row per box, in one pass over the frames: the glyphs it holds, alpha null where there are none.
+
+    With ``overlaid`` boxes that don't look like overlaid writing are left out
+    before anything is read from them. ``depth`` frames, whose ``codes`` are the
+    ends of their range, veto glyphs off the text's depth.
+    """
     rows = _with_boxes(frames, dets)
-    if guides is None:
-        rows = rows.withColumn("guide", F.lit(None).cast("binary"))
+    if depth is None:
+        rows = rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("_dh", "int"), ("_dw", "int"), ("_depth", "binary"))])
     else:
-        rows = rows.join(guides.select("clip_id", "frame_idx", "guide"), ["clip_id", "frame_idx"])
-    rows = rows.select("clip_id", "frame_idx", "height", "width", "data", "boxes", "guide")
-    strokes = config.strokes
+        plane = depth.select("clip_id", "frame_idx", F.col("height").alias("_dh"), F.col("width").alias("_dw"), F.col("data").alias("_depth"))
+        rows = rows.join(plane, ["clip_id", "frame_idx"])
+    rows = rows.select("clip_id", "frame_idx", "height", "width", "data", "boxes", "_dh", "_dw", "_depth")
+    strokes, filters = config.strokes, config.filters
 
     def run(batches):
         names = [x.split()[0] for x in PATCH.split(", ")]
         for b in batches:
             out = []
-            for clip, i, h, w, data, found, guide in zip(*(b[c] for c in b.columns)):
+            for clip, i, h, w, data, found, dh, dw, plane in zip(*(b[c] for c in b.columns)):
                 rgb = array_of(data, h, w, 3, 8)
-                depth = None if guide is None else np.frombuffer(guide, np.float32).reshape(h, w)
-                got = G.extract_frame(rgb, [(d["x0"], d["y0"], d["x1"], d["y1"]) for d in found], strokes, depth, model)
+                asked = [(d["det_id"], (d["x0"], d["y0"], d["x1"], d["y1"])) for d in found]
+                if overlaid:
+                    asked = [(k, box) for k, box in asked if G.overlaid(G.appearance(rgb, box), filters)]
+                guide = None if plane is None else guide_of(plane, int(dh), int(dw), h, w, *codes)
+                got = G.extract_frame(rgb, [box for _, box in asked], strokes, guide, model)
                 out += [
-                    (clip, i, d["det_id"], p.x0, p.y0, *p.alpha.shape, p.level, p.alpha.tobytes())
-                    for d, p in zip(found, got)
-                    if p is not None
+                    (clip, i, k, *((None,) * 6 if p is None else (p.x0, p.y0, *p.alpha.shape, p.level, p.alpha.tobytes()))) for (k, _), p in zip(asked, got)
                 ]
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=names).astype({c: "Int32" for c in ("x0", "y0", "h", "w")} | {"level": "Float32"})
 
     few_frames(frames.sparkSession, 8 << 20)
     return rows.mapInPandas(run, PATCH)
 
 
+def guide_of(plane: bytes, height: int, width: int, to_height: int, to_width: int, low: float, high: float) -> np.ndarray:
+    """A depth plane as floats in [0, 1] at the size of its frame."""
+    codes = np.frombuffer(plane, np.uint16).reshape(height, width).astype(np.float32)
+    scaled = np.clip((codes - low) / max(high - low, 1.0), 0, 1).astype(np.float32)
+    return A.resize(scaled, to_width, to_height, "linear").astype(np.float32)
+
+
 def segments(rows: DataFrame, size: int, halo: int) -> DataFrame:
     """Rows for every segment of ``size`` frames that is within ``halo`` of them, with ``own``."""
     first, last = F.floor((F.col("frame_idx") - halo) / size), F.floor((F.col("frame_idx") + halo) / size)
@@ -94,64 +116,72 @@ def segments(rows: DataFrame, size: int, halo: int) -> DataFrame:
     return dealt.withColumn("own", F.col("segment") == F.floor(F.col("frame_idx") / size))
 
 
-def segment_length(frames: DataFrame, halo: int, budget: int = 384 << 20, most: int = 64) -> int:
+def segment_length(frames: DataFrame, halo: int, budget: int = 128 << 20, most: int = 64) -> int:
     """Frames in a segment, so that it and the frames around it, three planes each, fit ``budget`` bytes."""
     pixels = frames.agg(F.max(F.col("height").cast("long") * F.col("width"))).first()[0] or 1
     return max(1, min(most, budget // (3 * pixels) - 2 * halo))
 
 
-def masks(frames: DataFrame, found: DataFrame, config: Config, segment: int | None = None) -> DataFrame:
-    """Masks of all frames from the patches that passed the gates: smoothed in time, held to what is remembered."""
-    halo = config.temporal.window // 2 + config.temporal.prior_window // 2
+def shapes(frames: DataFrame, found: DataFrame, config: Config, segment: int | None = None) -> DataFrame:
+    """Shape, smoothed in time, and level of all frames (clip_id, frame_idx, height, width) from the patches that passed the gates.
+
+    ``peak`` is the greatest level of a frame, before it is spread.
+    """
+    temporal = config.temporal
+    halo = temporal.window // 2 if temporal.mode != "none" else 0
     segment = segment or segment_length(frames, halo)
-    listed = found.groupBy("clip_id", "frame_idx").agg(
+    listed = found.where("alpha is not null").groupBy("clip_id", "frame_idx").agg(
         F.collect_list(F.struct("det_id", "x0", "y0", "h", "w", "level", "alpha")).alias("patches")
     )
     rows = frames.select("clip_id", "frame_idx", "height", "width").join(listed, ["clip_id", "frame_idx"], "left")
-    temporal = config.temporal
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_idx")
-        index, shapes, levels = pdf["frame_idx"].tolist(), [], []
+        index, made, levels = pdf["frame_idx"].tolist(), [], []
         for h, w, found in zip(pdf["height"], pdf["width"], pdf["patches"]):
             got = [
                 G.Patch(p["x0"], p["y0"], np.frombuffer(p["alpha"], np.float32).reshape(p["h"], p["w"]), p["level"], "")
                 for p in sorted(found if found is not None else [], key=lambda p: p["det_id"])
             ]
             s, v = G.compose(got, h, w)
-            shapes.append(s)
+            made.append(s)
             levels.append(v)
-        r = temporal.window // 2
-        smooth = [A.temporal(shapes[max(0, k - r) : k + r + 1], s, temporal.mode) for k, s in enumerate(shapes)]
-        peaks, out, p = [int(v.max()) for v in levels], [], temporal.prior_window // 2
-        seen = list(zip(smooth, peaks))
+        out = []
         for k, own in enumerate(pdf["own"]):
             if own:
-                near = seen[max(0, k - p) : k + p + 1]
-                shape = R.remember(smooth[k], near, temporal) if p else smooth[k]
-                level = A.dilate(levels[k], np.ones((5, 5), bool))
-                mask = A.to_u8(shape.astype(np.float32) / 255 * (level.astype(np.float32) / 255))
-                out.append((pdf["clip_id"].iloc[k], index[k], *mask.shape, mask.tobytes(), shape.tobytes(), level.tobytes()))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in MASK.split(", ")])
+                shape = A.temporal(made[max(0, k - halo) : k + halo + 1], made[k], temporal.mode)
+                level = A.dilate(levels[k], np.ones((5, 5), bool)) if levels[k].any() else levels[k]
+                out.append((pdf["clip_id"].iloc[k], index[k], *shape.shape, shape.tobytes(), level.tobytes(), int(levels[k].max())))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in SHAPE.split(", ")])
 
-    return segments(rows, segment, halo).groupBy("clip_id", "segment").applyInPandas(run, MASK)
+    return segments(rows, segment, halo).groupBy("clip_id", "segment").applyInPandas(run, SHAPE)
 
 
-def guides(depth: DataFrame, frames: DataFrame, low: float, high: float) -> DataFrame:
-    """Depth planes as floats in [0, 1] at the size of their frames."""
-    sizes = frames.select("clip_id", "frame_idx", F.col("width").alias("_w"), F.col("height").alias("_h"))
+def scaled(rows: DataFrame) -> DataFrame:
+    """Masks from shapes and levels, with ``words``, the bits that may stay, where a frame has lost some (null: all may)."""
 
     def run(batches):
         for b in batches:
             out = []
-            for clip, i, h, w, data, width, height in zip(*(b[c] for c in b.columns)):
-                plane = np.frombuffer(data, np.uint16).reshape(h, w).astype(np.float32)
-                scaled = np.clip((plane - low) / max(high - low, 1.0), 0, 1).astype(np.float32)
-                out.append((clip, i, A.resize(scaled, width, height, "linear").astype(np.float32).tobytes()))
-            yield pd.DataFrame(out, columns=["clip_id", "frame_idx", "guide"])
+            for clip, i, h, w, shape, level, words in zip(*(b[c] for c in b.columns)):
+                s, v = (np.frombuffer(x, np.uint8).reshape(h, w) for x in (shape, level))
+                if words is not None:
+                    s = s * planes.unpacked([tuple(x) for x in words], h, w)
+                mask = A.to_u8(s.astype(np.float32) / 255 * (v.astype(np.float32) / 255)) if s.any() else np.zeros((h, w), np.uint8)
+                out.append((clip, i, h, w, mask.tobytes(), s.tobytes(), level))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in MASK.split(", ")])
 
-    rows = depth.join(sizes, ["clip_id", "frame_idx"]).select("clip_id", "frame_idx", "height", "width", "data", "_w", "_h")
-    return rows.mapInPandas(run, "clip_id string, frame_idx long, guide binary")
+    few_frames(rows.sparkSession, 8 << 20)
+    return rows.select("clip_id", "frame_idx", "height", "width", "shape", "level", "words").mapInPandas(run, MASK)
+
+
+def masks(frames: DataFrame, found: DataFrame, config: Config, segment: int | None = None) -> DataFrame:
+    """Masks of all frames from the patches that passed the gates: smoothed in time, held to what is remembered."""
+    made = steps.cut(shapes(frames, found, config, segment), "shapes")
+    if config.temporal.prior_window // 2 < 1:
+        return scaled(made.withColumn("words", F.lit(None).cast("array<struct<y:int,w:int,bits:long>>")))
+    kept = planes.remembered(made, config.temporal)
+    return scaled(made.join(kept, ["clip_id", "frame_idx"], "left"))
 
 
 def repaired(depth: DataFrame, mask: DataFrame, config: Config, bits: int = 10, source_range: str = "tv") -> DataFrame:
@@ -181,34 +211,70 @@ def run(
     depth: DataFrame | None = None,
     codes: tuple[float, float] = (64.0, 940.0),
     model=None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Masks of clips from their frames and boxes: merging, geometry, appearance, extraction, persistence, time, memory.
 
+    Pixels are read once, to judge boxes and extract glyphs; ``sizes`` (clip_id,
+    frame_idx, height, width) spare a scan of the frames' narrow columns.
     ``depth`` planes, whose ``codes`` are the ends of their range, veto glyphs
     off the text's depth; ``model`` gives learned strokes of a frame.
     """
-    from . import gates, tracks
+    from . import tracks
 
     every = config.detect.detect_every
-    kept = boxes(frames, dets.where(F.pmod("frame_idx", F.lit(every)) == 0) if every > 1 else dets, config)
-    if config.filters.scene_text == "keep":
-        passed = gates.overlaid(looks(frames, kept), config.filters).select("clip_id", "frame_idx", "det_id")
-        kept = steps.cut(kept.join(passed, ["clip_id", "frame_idx", "det_id"]), "boxes")
-    held = patches(frames, kept, config, None if depth is None else guides(depth, frames, *codes), model)
+    narrow = ["clip_id", "frame_idx", "height", "width"]
+    sizes = sizes if sizes is not None else steps.cut(frames.select(*narrow), "sizes")
+    kept = steps.cut(boxes(sizes, dets.where(F.pmod("frame_idx", F.lit(every)) == 0) if every > 1 else dets, config), "boxes")
+    held = steps.cut(patches(frames, kept, config, depth, codes, model, config.filters.scene_text == "keep"), "patches")
+    kept = kept.join(held.select("clip_id", "frame_idx", "det_id"), ["clip_id", "frame_idx", "det_id"])
+    held = held.where("alpha is not null")
     if every > 1:  # a skipped frame shows what the last detected one did
         offsets = F.explode(F.sequence(F.lit(0), F.lit(every - 1)))
-        ends = frames.select("clip_id", "frame_idx")
+        ends = sizes.select("clip_id", "frame_idx")
         kept = kept.withColumn("_o", offsets).withColumn("frame_idx", F.col("frame_idx") + F.col("_o")).drop("_o").join(ends, ["clip_id", "frame_idx"])
         held = held.withColumn("_o", offsets).withColumn("frame_idx", F.col("frame_idx") + F.col("_o")).drop("_o").join(ends, ["clip_id", "frame_idx"])
-    stay = tracks.persistence(kept, frames, config.filters).where("keep").select("clip_id", "frame_idx", "det_id")
-    return masks(frames, held.join(stay, ["clip_id", "frame_idx", "det_id"]), config)
+    stay = tracks.persistence(kept, sizes, config.filters).where("keep").select("clip_id", "frame_idx", "det_id")
+    return masks(sizes, held.join(stay, ["clip_id", "frame_idx", "det_id"]), config)
+
+
+def measured(masks_: DataFrame) -> DataFrame:
+    """(clip_id, frame_idx, coverage): the opacity-weighted share of each mask."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"clip_id": b["clip_id"], "frame_idx": b["frame_idx"], "coverage": [np.frombuffer(m, np.uint8).sum(dtype=np.int64) / (255.0 * max(1, len(m))) for m in b["mask"]]})
+
+    few_frames(masks_.sparkSession, 2 << 20)
+    return masks_.select("clip_id", "frame_idx", "mask").mapInPandas(run, "clip_id string, frame_idx long, coverage double")
+
+
+def ink(masks_: DataFrame, dets: DataFrame) -> DataFrame:
+    """(clip_id, frame_idx, det_id, x, y, v) of the mask's pixels above 0 inside each box, for ``scan.tilts``."""
+    rows = _with_boxes(masks_.select("clip_id", "frame_idx", "height", "width", "mask"), dets)
+
+    def run(batches):
+        for b in batches:
+            for clip, i, h, w, mask, found in zip(*(b[c] for c in b.columns)):
+                plane = np.frombuffer(mask, np.uint8).reshape(h, w)
+                for d in found:
+                    x0, y0 = max(0, int(d["x0"])), max(0, int(d["y0"]))
+                    part = plane[y0 : max(0, int(d["y1"])), x0 : max(0, int(d["x1"]))]
+                    ys, xs = np.nonzero(part)
+                    yield pd.DataFrame({"clip_id": clip, "frame_idx": i, "det_id": d["det_id"], "x": xs + x0, "y": ys + y0, "v": part[ys, xs].astype(np.int64)})
+
+    few_frames(masks_.sparkSession, 2 << 20)
+    return rows.select("clip_id", "frame_idx", "height", "width", "mask", "boxes").mapInPandas(run, "clip_id string, frame_idx long, det_id long, x long, y long, v long")
 
 
 def masks_for(frames: DataFrame, dets: DataFrame, wanted: DataFrame, config: Config, **more) -> DataFrame:
     """Masks of the ``wanted`` frames (clip_id, frame_idx), from the frames within the halo of them alone.
 
     The halo is the sum of the stages' radii, so each mask is that of a full run.
+    Boxes are looked up in frames so far away alone, masks of frames around the wanted ones serve as memory.
     """
     around = wanted.select("clip_id", F.explode(F.sequence(F.col("frame_idx") - config.halo, F.col("frame_idx") + config.halo)).alias("frame_idx")).distinct()
     near, found = (x.join(around, ["clip_id", "frame_idx"], "left_semi") for x in (frames, dets))
+    if more.get("sizes") is not None:
+        more["sizes"] = more["sizes"].join(around, ["clip_id", "frame_idx"], "left_semi")
     return run(near, found, config, **more).join(wanted.distinct(), ["clip_id", "frame_idx"], "left_semi")

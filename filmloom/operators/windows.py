@@ -26,9 +26,9 @@ def smoothed(pixels: DataFrame, keys: list[str], mode: str = "median", window: i
 
 
 def observed(frames: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """Frames with hit, run (hits in a row within the window), text_frames and longest_run so far, flagged."""
-    hit = (F.col("dets") >= 1) & (F.col("coverage") >= t.min_coverage)
-    clip = Window.partitionBy("clip_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
+    """Frames with hit, run (hits in a row within the window), text_frames and longest_run so far, flagged; one window after another."""
+    hit = F.coalesce((F.col("dets") >= 1) & (F.col("coverage") >= t.min_coverage), F.lit(False))
+    clip = Window.partitionBy("clip_id").orderBy("window_id", "frame_idx").rowsBetween(Window.unboundedPreceding, 0)
     part = Window.partitionBy("clip_id", "window_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
     rows = frames.withColumn("hit", hit).withColumn("_break", F.sum(F.when(~F.col("hit"), 1).otherwise(0)).over(part))
     island = Window.partitionBy("clip_id", "window_id", "_break").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
@@ -37,12 +37,20 @@ def observed(frames: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return rows.withColumn("flagged", (F.col("text_frames") >= t.min_text_frames) & (F.col("longest_run") >= t.min_run)).drop("_break")
 
 
+def scanned(frames: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """``observed`` up to the first frame at which a clip is flagged, that one included; nothing after it is looked at."""
+    at = F.struct("window_id", "frame_idx")
+    rows = observed(frames, t).withColumn("_stop", F.min(F.when(F.col("flagged"), at)).over(Window.partitionBy("clip_id")))
+    return rows.where(F.col("_stop").isNull() | (at <= F.col("_stop"))).drop("_stop")
+
+
 def verdicts(frames: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """One row per clip: what was counted up to the first frame at which it is flagged, nothing after it."""
-    clip = Window.partitionBy("clip_id")
-    rows = observed(frames, t)
-    rows = rows.withColumn("_stop", F.min(F.when(F.col("flagged"), F.col("frame_idx"))).over(clip))
-    seen = rows.where(F.col("_stop").isNull() | (F.col("frame_idx") <= F.col("_stop")))
+    return counted(scanned(frames, t))
+
+
+def counted(seen: DataFrame) -> DataFrame:
+    """One row per clip of what ``scanned`` gives."""
     hits = F.slice(F.array_sort(F.collect_list(F.when(F.col("hit"), F.col("frame_idx")))), 1, 8)
     return seen.groupBy("clip_id").agg(
         F.count("*").alias("frames_scanned"),

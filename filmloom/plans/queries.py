@@ -772,13 +772,49 @@ def stream_tumbling_hits(spark, d) -> DataFrame:
     return rows.select("clip_id", F.unix_micros("start").alias("start_us"), "hits", "peak")
 
 
-@query(None)
+TRIAGE_SQL = f"""WITH {V.FRAMES}, {V.WORDS}, c AS (SELECT clip_id, max(frame_idx) + 1 AS n FROM frames GROUP BY 1),
+sweep AS (SELECT clip_id, n, CASE WHEN k = 1 OR n <= 6 * k THEN 1 ELSE k END AS k, k = 1 OR n <= 6 * k AS whole FROM (SELECT clip_id, n, greatest(1, least(8, (n * 25 // 100) // 6)) AS k FROM c)),
+sw AS (SELECT DISTINCT clip_id, CASE WHEN whole THEN 0 ELSE CAST(round_even(i * (n - 6) / (k - 1)::DOUBLE, 0) AS BIGINT) END AS a, CASE WHEN whole THEN n ELSE 6 END AS len FROM sweep, range(8) r(i) WHERE i < k),
+bl AS (SELECT DISTINCT clip_id, CASE WHEN n <= 360 THEN 0 ELSE CAST(round_even(i * (n - 45) / 7.0::DOUBLE, 0) AS BIGINT) END AS a, CASE WHEN n <= 360 THEN n ELSE 45 END AS len FROM c, range(8) r(i)),
+worth AS (SELECT clip_id FROM (SELECT clip_id, sum(len) + 10 * count(*) AS cheap, count(*) AS k FROM sw GROUP BY 1) JOIN (SELECT clip_id, sum(len) + 10 * count(*) AS blind FROM bl GROUP BY 1) USING (clip_id) WHERE k >= 3 AND cheap < 0.8::DOUBLE * blind),
+swept AS (SELECT f.clip_id, f.frame_idx, sw.a, f.dets >= 1 AS hit FROM frames f JOIN sw ON sw.clip_id = f.clip_id AND f.frame_idx BETWEEN sw.a AND sw.a + len - 1 SEMI JOIN worth ON worth.clip_id = f.clip_id),
+hits AS (SELECT clip_id, frame_idx FROM swept SEMI JOIN (SELECT clip_id, a FROM swept GROUP BY 1, 2 HAVING count(*) FILTER (hit) >= 2) USING (clip_id, a) WHERE hit),
+looked AS (SELECT clip_id, count(*) AS swept_frames, (SELECT count(*) FROM hits h WHERE h.clip_id = s.clip_id) AS sweep_hits FROM swept s GROUP BY 1),
+once AS (SELECT *, frame_idx - lag(frame_idx) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS gap FROM (SELECT DISTINCT * FROM hits)),
+grouped AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 45 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS g FROM once),
+close AS (SELECT DISTINCT clip_id, least(greatest(0, (a + b) // 2 - 22), greatest(0, n - 45)) AS a, 45 AS len FROM (SELECT clip_id, g, min(frame_idx) AS a, max(frame_idx) AS b FROM grouped WHERE g <= 4 GROUP BY 1, 2) JOIN c USING (clip_id)),
+plan AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY a) AS w FROM (SELECT * FROM close UNION ALL SELECT * FROM bl ANTI JOIN worth USING (clip_id))),
+seen AS (SELECT f.clip_id, f.frame_idx, f.coverage, f.dets, w, f.dets >= 1 AND f.coverage >= 2e-5::DOUBLE AS hit FROM frames f JOIN plan p ON p.clip_id = f.clip_id AND f.frame_idx BETWEEN p.a AND p.a + p.len - 1),
+broken AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY clip_id, w ORDER BY frame_idx) AS island FROM seen),
+run AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id, w, island ORDER BY frame_idx) AS run FROM broken),
+obs AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER o AS texts, max(run) OVER o AS longest, row_number() OVER o AS at FROM run WINDOW o AS (PARTITION BY clip_id ORDER BY w, frame_idx ROWS UNBOUNDED PRECEDING)),
+stop AS (SELECT clip_id, min(at) FILTER (texts >= 6 AND longest >= 3) AS stop FROM obs GROUP BY 1),
+kept AS (SELECT o.*, stop IS NOT NULL AS flagged FROM obs o JOIN stop USING (clip_id) WHERE stop IS NULL OR at <= stop),
+v AS (SELECT clip_id, count(*) AS frames_scanned, CAST(max(texts) AS BIGINT) AS text_frames, CAST(max(longest) AS BIGINT) AS longest_run, greatest(max(coverage), 0) AS peak_coverage, bool_or(flagged) AS flagged,
+  array_to_string((list(frame_idx ORDER BY frame_idx) FILTER (hit))[1:8], ' ') AS hits FROM kept GROUP BY 1),
+best AS (SELECT clip_id, frame_idx, row_number() OVER (PARTITION BY clip_id ORDER BY coverage DESC, frame_idx) AS rank FROM kept WHERE dets >= 1 QUALIFY rank <= 3),
+said AS (SELECT doc_id % 150 AS clip_id, pos // 4 AS frame_idx, pos, word, confidence, lower(regexp_replace(word, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS l FROM words),
+r AS (SELECT *, confidence >= 0.45::DOUBLE AND length(l) >= 3 AND length(replace(l, l[1], '')) > 0 AS good FROM said JOIN best USING (clip_id, frame_idx)),
+f AS (SELECT clip_id, min(rank) FILTER (good) AS rank FROM r GROUP BY 1),
+t AS (SELECT r.clip_id, any_value(f.rank) IS NOT NULL AS legible, CASE WHEN any_value(f.rank) IS NULL THEN array_to_string((list(word ORDER BY r.rank, pos, word))[1:6], ' ') ELSE array_to_string(list(word ORDER BY pos, word) FILTER (good AND r.rank = f.rank), ' ') END AS words FROM r JOIN f USING (clip_id) GROUP BY 1)
+SELECT clip_id, CASE WHEN NOT coalesce(flagged, false) THEN 'clean' WHEN coalesce(legible, false) THEN 'text' ELSE 'rejected' END AS verdict,
+  CASE WHEN frames_scanned IS NULL THEN 'swept' WHEN flagged THEN 'read' ELSE 'confirmed' END AS stage, n AS total_frames, swept_frames, sweep_hits, frames_scanned, text_frames, longest_run, peak_coverage,
+  coalesce(hits, '') AS hits, CASE WHEN flagged THEN coalesce(words, '') ELSE '' END AS words
+FROM c LEFT JOIN looked USING (clip_id) LEFT JOIN v USING (clip_id) LEFT JOIN t USING (clip_id)"""
+
+
+@query(TRIAGE_SQL)
 def triage_report(spark, d) -> DataFrame:
-    from ..operators import scan
+    """Verdicts of clips read in waves: sweep, windows one after another, strongest frames one after another."""
+    from ..config import Config
+    from ..operators import staged
 
     frames = V.frames(spark, d)
     words = V.words(spark, d).select(F.pmod("doc_id", F.lit(150)).alias("clip_id"), F.floor(F.col("pos") / 4).alias("frame_idx"), "pos", "word", "confidence")
-    out = scan.triage(frames, words)
+    look = staged.from_table(frames.drop("window_id"))
+    read = lambda wanted: wanted.select("clip_id", "frame_idx").join(words, ["clip_id", "frame_idx"])
+    out = staged.triage(frames.select("clip_id", "frame_idx"), staged.Eyes(look, look, read), Config(), radius=10)
+    out = out.select("clip_id", "verdict", "stage", "total_frames", "swept_frames", "sweep_hits", "frames_scanned", "text_frames", "longest_run", "peak_coverage", "hits", "words")
     return out.withColumns({c: F.concat_ws(" ", F.transform(c, lambda x: x.cast("string"))) for c in ("hits", "words")})
 
 
@@ -860,21 +896,45 @@ def region_mask(spark, d) -> DataFrame:
 n AS (SELECT b.clip_id, b.frame_idx, b.y, b.x, min((b.y - g.y) * (b.y - g.y) + (b.x - g.x) * (b.x - g.x)) AS gap FROM bad b JOIN good g USING (clip_id, frame_idx) GROUP BY 1, 2, 3, 4)
 SELECT * FROM n""")
 def nearest_valid(spark, d) -> DataFrame:
-    """Squared distance of every masked pixel to its nearest valid one, by the kernel."""
-    import numpy as np
-    import pandas as pd
-
-    from ..kernels import arrays
+    """Squared distance of every masked pixel to its nearest valid one, by a pass along the rows and one across."""
+    from ..operators import planes
 
-    def run(pdf):
-        plane = np.zeros((8, 8), np.int64)
-        plane[pdf["y"], pdf["x"]] = pdf["v"]
-        mask = plane > 170
-        far, _, _ = arrays.nearest_unset(mask)
-        ys, xs = np.nonzero(mask)
-        return pd.DataFrame({"clip_id": pdf["clip_id"].iloc[0], "frame_idx": pdf["frame_idx"].iloc[0], "y": ys, "x": xs, "gap": np.rint(far[ys, xs] ** 2).astype(int)})
-
-    return V.pixels(spark, d).groupBy("clip_id", "frame_idx").applyInPandas(run, "clip_id long, frame_idx long, y long, x long, gap long")
+    p = V.pixels(spark, d)
+    found = planes.nearest_valid(p.withColumn("v", F.when(F.col("v") <= 170, F.col("v"))), 8)
+    bad = p.where("v > 170").select("clip_id", "frame_idx", "y", "x")
+    return found.where("gap is not null").join(bad, ["clip_id", "frame_idx", "y", "x"]).select("clip_id", "frame_idx", "y", "x", "gap")
+
+
+@query(f"""WITH {PLANES_SQL}, sure AS (SELECT clip_id, frame_idx FROM planes GROUP BY 1, 2 HAVING max(v) >= 200),
+lit AS (SELECT p.* FROM planes p SEMI JOIN sure USING (clip_id, frame_idx) WHERE v > 127),
+shown AS (SELECT DISTINCT clip_id, frame_idx FROM planes WHERE v > 127)
+SELECT DISTINCT s.clip_id, s.frame_idx, p.y, p.x FROM shown s JOIN lit l ON s.clip_id = l.clip_id AND abs(s.frame_idx - l.frame_idx) <= 3
+JOIN planes p ON p.clip_id = s.clip_id AND p.frame_idx = s.frame_idx AND ((p.y = l.y AND abs(p.x - l.x) <= 1) OR (p.x = l.x AND abs(p.y - l.y) <= 1))""")
+def bit_memory(spark, d) -> DataFrame:
+    """What the confident frames around a frame show, grown by a cross: words of bits, in the JVM throughout."""
+    from ..kernels.arrays import ellipse
+    from ..operators import planes
+
+    long = _planes(spark, d).select("clip_id", "frame_idx", F.posexplode("values").alias("i", "v"))
+    pixels = long.withColumns({"y": F.floor(F.col("i") / 8), "x": F.pmod("i", F.lit(8)).cast("long")})
+    plane = planes.packed_pixels(pixels, F.col("v") > 127)
+    sure = pixels.groupBy("clip_id", "frame_idx").agg(F.max("v").alias("m")).where("m >= 200")
+    memory = planes.dilated(planes.around(plane.join(sure, planes.FRAME, "left_semi"), 3, plane), ellipse(3))
+    return planes.pixels_of(memory).where("y < 8 and x < 8")
+
+
+@query(f"""WITH RECURSIVE {V.PIXELS}, lit AS MATERIALIZED (SELECT clip_id, frame_idx, y, x, y * 8 + x AS i FROM pixels WHERE v > 150),
+touch AS MATERIALIZED (SELECT a.frame_idx, a.clip_id, a.i AS a, b.i AS b FROM lit a JOIN lit b ON a.clip_id = b.clip_id AND a.frame_idx = b.frame_idx AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+reach AS (SELECT clip_id, frame_idx, a, b FROM touch UNION SELECT r.clip_id, r.frame_idx, r.a, t.b FROM reach r JOIN touch t ON r.clip_id = t.clip_id AND r.frame_idx = t.frame_idx AND r.b = t.a),
+named AS (SELECT clip_id, frame_idx, a, min(b) AS root FROM reach GROUP BY 1, 2, 3)
+SELECT l.clip_id, l.frame_idx, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1
+FROM named n JOIN lit l ON l.clip_id = n.clip_id AND l.frame_idx = n.frame_idx AND l.i = n.a GROUP BY l.clip_id, l.frame_idx, root""")
+def pixel_components(spark, d) -> DataFrame:
+    """Area and box of every connected part of the bright pixels, from runs that touch."""
+    from ..operators import planes
+
+    found = planes.components(planes.packed_pixels(V.pixels(spark, d), F.col("v") > 150))
+    return planes.blobs(found).drop("label")
 
 
 @query(f"""WITH {V.CLIP_FILES}, {KEYS_SQL} SELECT page_id, '/out/' || (page_id % 7) || '/' || key || '_depth.mkv' AS dst FROM k""")
@@ -890,18 +950,45 @@ def first_words(spark, d) -> DataFrame:
     return scan.first_words(V.words(spark, d), ["doc_id"], 6).select("doc_id", F.array_join("words", " ").alias("words"))
 
 
+def _films(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rgb, depth, detections) of 96 x 56: every image of the table is a frame's scene, and the bright ones carry a line of bars, in front of it."""
+    import numpy as np
+    import pandas as pd
+
+    from ..sources.frames import FRAME
+
+    shown = _planes(spark, d).withColumn("lit", F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v) >= 64 * 120)
+    names = [x.split()[0] for x in FRAME.split(", ")]
+
+    def draw(depth: bool):
+        def run(batches):
+            for batch in batches:
+                out = []
+                for clip, i, values, lit in zip(batch["clip_id"], batch["frame_idx"], batch["values"], batch["lit"]):
+                    scene = np.kron(np.asarray(values).reshape(8, 8) // 2, np.ones((7, 12), int))
+                    bars = np.zeros(scene.shape, bool)
+                    for x in range(24, 72, 9):
+                        bars[36:47, x : x + 3] = lit
+                    plane = np.where(bars, 900, 300 + scene).astype(np.uint16) if depth else np.repeat(np.where(bars, 250, scene).astype(np.uint8)[..., None], 3, axis=2)
+                    out.append((clip, i, f"f{i:05d}.png", 56, 96, 1 if depth else 3, 16 if depth else 8, plane.tobytes()))
+                yield pd.DataFrame(out, columns=names)
+
+        return shown.mapInPandas(run, FRAME)
+
+    box = {"det_id": 1, "x0": 22, "y0": 34, "x1": 74, "y1": 49}
+    dets = shown.where("lit").select("clip_id", "frame_idx", *[F.lit(v).cast("long").alias(k) for k, v in box.items()], F.lit(0.9).alias("score"))
+    return draw(False), draw(True), dets
+
+
 @query(None)
 def masks_for_frames(spark, d) -> DataFrame:
-    """Masks of one frame of a drawn clip for every supplier, computed from no more than its context."""
+    """Masks of the frames that show text, from no more than their context: scenes of the embeddings, with their depth."""
     from ..config import build
     from ..operators import masks
-    from ..sources import frames as source
 
-    names = V.read(spark, d, "supplier", "s_suppkey").select(F.concat(F.lit("clip"), F.col("s_suppkey").cast("string")).alias("clip_id"))
-    rgb, depth, dets = source.synthetic(spark, names, 12, 96, 54)
+    rgb, depth, dets = _films(spark, d)
     config = build("both", **{"filters.min_text_height": 0.05})
-    wanted = names.select("clip_id", F.lit(6).cast("long").alias("frame_idx"))
-    m = masks.masks_for(rgb, dets, wanted, config, depth=depth, codes=(0.0, 1023.0))
+    m = masks.masks_for(rgb, dets, dets.select("clip_id", "frame_idx"), config, depth=depth, codes=(0.0, 1023.0))
     return m.select("clip_id", "frame_idx", "height", "width", F.sha2("mask", 256).alias("mask_sha"))
 
 

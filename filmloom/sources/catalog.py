@@ -11,10 +11,11 @@ from ..operators import pairing
 from . import files
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path, size, modified of every file below ``root``; contents stay unread."""
+def listing(spark: SparkSession, root: str, addresses: bool = False) -> DataFrame:
+    """path, size, modified of every file below ``root``; contents stay unread. Paths come without the store's address unless asked for."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return found.select(F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    path = F.col("path") if addresses else F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "")
+    return found.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def clips(found: DataFrame, root: str, recursive: bool = True, skip: tuple[str, ...] = ()) -> DataFrame:

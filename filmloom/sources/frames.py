@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -21,21 +23,82 @@ def few_frames(spark: SparkSession, frame_bytes: int, budget: int = 64 << 20) ->
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(max(1, budget // max(1, frame_bytes))))
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(clip_id, frame_idx, path, length) of the stills below ``path``, which stay unread; a folder is a clip, its order that of the trailing numbers."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    order = pairing.frame_order(found.select("path", "length"))
+    return order.select(F.col("folder").alias("clip_id"), "frame_idx", "path", "length")
+
+
+def frame_row(content: bytes, rgb: bool) -> tuple:
+    """(height, width, channels, bits, data) of a still."""
+    image = stills.decode(content)
+    image = stills.as_rgb(image) if rgb else image
+    return (*image.shape[:2], 1 if image.ndim == 2 else image.shape[2], image.dtype.itemsize * 8, image.tobytes())
+
+
+def read_listed(rows: DataFrame, rgb: bool = True, task_bytes: int = 64 << 20, others: tuple[str, ...] = ()) -> DataFrame:
+    """The frames of ``rows`` (clip_id, frame_idx, path, length), each file opened in a task, and no other; with error and seconds.
+
+    A still that can't be read or decoded gives a row without pixels that says why. ``others`` are columns to keep.
+    """
+    spark = rows.sparkSession
+    size = rows.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(-(-size // task_bytes) * 4, rows.count()), spark.sparkContext.defaultParallelism)
+    kinds = dict(rows.dtypes)
+    schema = f"{FRAME}, path string, error string, seconds double" + "".join(f", {c} {kinds[c]}" for c in others)
+    names = [x.split()[0] for x in FRAME.split(", ")] + ["path", "error", "seconds", *others]
+
+    def run(batches):
+        for b in batches:
+            out, held = [], 0
+            for clip, idx, path, *rest in zip(*(b[c] for c in b.columns)):
+                start, failed, made = time.perf_counter(), None, (None,) * 5
+                try:
+                    made = frame_row(files.whole(path), rgb)
+                except (OSError, ValueError) as e:
+                    failed = f"{type(e).__name__}: {e}"
+                out.append((clip, idx, path.rsplit("/", 1)[-1], *made, path, failed, time.perf_counter() - start, *rest))
+                held += len(made[-1] or b"")
+                if held > task_bytes:
+                    yield frame_table(out, names)
+                    out, held = [], 0
+            if out:
+                yield frame_table(out, names)
+
+    dealt = rows.select("clip_id", "frame_idx", "path", *others).repartition(tasks, "clip_id", "frame_idx")
+    few_frames(spark, 8 << 20)
+    return dealt.mapInPandas(run, schema)
+
+
+def frame_table(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("height", "width", "channels", "bits")})
+
+
+def still_sizes(rows: DataFrame) -> DataFrame:
+    """(clip_id, frame_idx, height, width) of stills (path): from the first bytes of a file, where its format allows."""
+
+    def run(batches):
+        for b in batches:
+            sizes = [stills.size_of(files.head(p, 4096), lambda p=p: files.whole(p)) for p in b["path"]]
+            yield pd.DataFrame({"clip_id": b["clip_id"], "frame_idx": b["frame_idx"], "height": [h for h, _ in sizes], "width": [w for _, w in sizes]})
+
+    dealt = rows.select("clip_id", "frame_idx", "path").repartition(rows.sparkSession.sparkContext.defaultParallelism * 4)
+    return dealt.mapInPandas(run, "clip_id string, frame_idx long, height int, width int")
+
+
 def read_stills(spark: SparkSession, path: str, rgb: bool = True, frame_bytes: int = 8 << 20) -> DataFrame:
-    """Frames of every folder of stills below ``path``; a folder is a clip, its order that of the trailing numbers."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.where(strings.suffix(F.col("path")).isin(*pairing.STILL_SUFFIXES))
-    order = pairing.frame_order(files.select("path")).select("path", "folder", "frame_idx")
-    rows = files.select("path", "content").join(order, "path")
+    """Frames of every folder of stills below ``path``; a damaged still raises."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = found.where(strings.suffix(F.col("path")).isin(*pairing.STILL_SUFFIXES))
+    order = pairing.frame_order(found.select("path")).select("path", "folder", "frame_idx")
+    rows = found.select("path", "content").join(order, "path")
 
     def run(batches):
         for b in batches:
             out = []
             for folder, idx, p, content in zip(b["folder"], b["frame_idx"], b["path"], b["content"]):
-                image = stills.decode(content)
-                image = stills.as_rgb(image) if rgb else image
-                c = 1 if image.ndim == 2 else image.shape[2]
-                out.append((folder, idx, p.rsplit("/", 1)[-1], *image.shape[:2], c, image.dtype.itemsize * 8, image.tobytes()))
+                out.append((folder, idx, p.rsplit("/", 1)[-1], *frame_row(content, rgb)))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in FRAME.split(", ")])
 
     few_frames(spark, frame_bytes)
@@ -61,9 +124,10 @@ def folder_names(frames: DataFrame) -> DataFrame:
 def write_stills(frames: DataFrame, folder: str) -> DataFrame:
     """(clip_id, name, path): every frame as a still under its own name; an unknown extension becomes .png.
 
-    ``folder`` is a path or address that all executors share; a file appears
-    under its name only when it is whole.
+    ``folder`` is a path in Spark's default store or an address, shared by all
+    executors; a file appears under its name only when it is whole.
     """
+    folder = files.qualified(frames.sparkSession, folder)
 
     def run(batches):
         store, base = files.located(folder)
@@ -142,7 +206,13 @@ def synthetic(spark: SparkSession, clips: int | DataFrame = 2, frames: int = 24,
 
 
 def write_depth(frames: DataFrame, out: str) -> str:
-    """Depth frames as ``out`` asks: a folder of stills, or a table if it ends in .parquet; stills or table is returned."""
+    """Depth frames as ``out`` asks: a folder of stills, or a table if it ends in .parquet; stills or table is returned.
+
+    Any other extension names a film, which nothing here can encode: ValueError.
+    """
+    ext = re.search(r"\.[A-Za-z][A-Za-z0-9]{1,4}$", out.rstrip("/"))
+    if ext and ext[0].lower() != ".parquet":
+        raise ValueError(f"{out}: depth goes out as a folder of stills or a .parquet table, not as {ext[0]}")
     if out.rstrip("/").endswith(".parquet"):
         frames.write.partitionBy("clip_id").parquet(out)
         return "table"

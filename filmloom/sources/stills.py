@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
+_PNM = re.compile(rb"(P[56])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s")
 _CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 
 
@@ -27,6 +28,17 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither PNG nor PGM nor PPM nor TIFF")
 
 
+def size_of(head: bytes, whole) -> tuple[int, int]:
+    """(height, width) of a still from its first bytes; ``whole`` gives all of a file of another format."""
+    if head[:8] == _SIGNATURE and len(head) >= 24:
+        w, h = struct.unpack_from(">II", head, 16)
+        return h, w
+    found = _PNM.match(head)
+    if found:
+        return int(found[3]), int(found[2])
+    return decode(whole()).shape[:2]
+
+
 def encode(image: np.ndarray, suffix: str = ".png") -> bytes:
     if suffix in (".pgm", ".ppm"):
         h, w = image.shape[:2]
@@ -37,7 +49,7 @@ def encode(image: np.ndarray, suffix: str = ".png") -> bytes:
 
 
 def _decode_pnm(data: bytes) -> np.ndarray:
-    head = re.match(rb"(P[56])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s", data)
+    head = _PNM.match(data)
     if not head:
         raise ValueError("damaged PNM header")
     w, h, top = int(head[2]), int(head[3]), int(head[4])
