@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import steps
 from ..sources import files
 
 DONE = "src string, dst string, action string"
@@ -24,8 +25,10 @@ def carried_out(moves: DataFrame, move: bool = False, chunk: int = 8 << 20) -> D
 
     A file is written beside its place and put there when it is whole, so one
     that exists is either a whole copy or somebody else's; that tells what an
-    earlier run has done. A source goes only when its copy has its size.
+    earlier run has done. A source goes only when its copy has its size. What is to be done is
+    written down first, since listings change while files move.
     """
+    moves = steps.cut(moves.select("src", "dst", "size"), "moves")
 
     def one(src: str, dst: str, size: int) -> str:
         (store, a), (target, b) = files.located(src), files.located(dst)

@@ -228,7 +228,7 @@ def test_copies_are_gone_on_with_and_nothing_is_overwritten(spark, tmp_path):
     (tmp_path / "out" / "a").mkdir()
     (tmp_path / "out" / "a" / "f000.png").write_bytes((tmp_path / "in" / "a" / "f000.png").read_bytes())  # a run that ended here
     (tmp_path / "out" / "a" / "f001.png.part").write_bytes(b"half")
-    moves = copies.files_of(clips, found)
+    moves = spark.createDataFrame(copies.files_of(clips, found).collect())
     done = spark.createDataFrame(copies.carried_out(moves).collect())
     actions = {r.src.rsplit("/", 1)[-1]: r.action for r in copies.clip_actions(done, clips).collect()}
     assert actions == {"a": "copied", "b": "exists (differs)", "film.mp4": "copied"}
