@@ -166,7 +166,7 @@ def scaled(rows: DataFrame) -> DataFrame:
             for clip, i, h, w, shape, level, words in zip(*(b[c] for c in b.columns)):
                 s, v = (np.frombuffer(x, np.uint8).reshape(h, w) for x in (shape, level))
                 if words is not None:
-                    s = s * planes.unpacked([tuple(x) for x in words], h, w)
+                    s = s * planes.unpacked([(x["y"], x["w"], x["bits"]) for x in words], h, w)
                 mask = A.to_u8(s.astype(np.float32) / 255 * (v.astype(np.float32) / 255)) if s.any() else np.zeros((h, w), np.uint8)
                 out.append((clip, i, h, w, mask.tobytes(), s.tobytes(), level))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in MASK.split(", ")])

@@ -787,9 +787,9 @@ plan AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY a) AS w FROM
 seen AS (SELECT f.clip_id, f.frame_idx, f.coverage, f.dets, w, f.dets >= 1 AND f.coverage >= 2e-5::DOUBLE AS hit FROM frames f JOIN plan p ON p.clip_id = f.clip_id AND f.frame_idx BETWEEN p.a AND p.a + p.len - 1),
 broken AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY clip_id, w ORDER BY frame_idx) AS island FROM seen),
 run AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id, w, island ORDER BY frame_idx) AS run FROM broken),
-obs AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER o AS texts, max(run) OVER o AS longest, row_number() OVER o AS at FROM run WINDOW o AS (PARTITION BY clip_id ORDER BY w, frame_idx ROWS UNBOUNDED PRECEDING)),
-stop AS (SELECT clip_id, min(at) FILTER (texts >= 6 AND longest >= 3) AS stop FROM obs GROUP BY 1),
-kept AS (SELECT o.*, stop IS NOT NULL AS flagged FROM obs o JOIN stop USING (clip_id) WHERE stop IS NULL OR at <= stop),
+obs AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER o AS texts, max(run) OVER o AS longest, row_number() OVER o AS step FROM run WINDOW o AS (PARTITION BY clip_id ORDER BY w, frame_idx ROWS UNBOUNDED PRECEDING)),
+stop AS (SELECT clip_id, min(step) FILTER (texts >= 6 AND longest >= 3) AS last FROM obs GROUP BY 1),
+kept AS (SELECT o.*, last IS NOT NULL AS flagged FROM obs o JOIN stop USING (clip_id) WHERE last IS NULL OR step <= last),
 v AS (SELECT clip_id, count(*) AS frames_scanned, CAST(max(texts) AS BIGINT) AS text_frames, CAST(max(longest) AS BIGINT) AS longest_run, greatest(max(coverage), 0) AS peak_coverage, bool_or(flagged) AS flagged,
   array_to_string((list(frame_idx ORDER BY frame_idx) FILTER (hit))[1:8], ' ') AS hits FROM kept GROUP BY 1),
 best AS (SELECT clip_id, frame_idx, row_number() OVER (PARTITION BY clip_id ORDER BY coverage DESC, frame_idx) AS rank FROM kept WHERE dets >= 1 QUALIFY rank <= 3),
@@ -798,7 +798,8 @@ r AS (SELECT *, confidence >= 0.45::DOUBLE AND length(l) >= 3 AND length(replace
 f AS (SELECT clip_id, min(rank) FILTER (good) AS rank FROM r GROUP BY 1),
 t AS (SELECT r.clip_id, any_value(f.rank) IS NOT NULL AS legible, CASE WHEN any_value(f.rank) IS NULL THEN array_to_string((list(word ORDER BY r.rank, pos, word))[1:6], ' ') ELSE array_to_string(list(word ORDER BY pos, word) FILTER (good AND r.rank = f.rank), ' ') END AS words FROM r JOIN f USING (clip_id) GROUP BY 1)
 SELECT clip_id, CASE WHEN NOT coalesce(flagged, false) THEN 'clean' WHEN coalesce(legible, false) THEN 'text' ELSE 'rejected' END AS verdict,
-  CASE WHEN frames_scanned IS NULL THEN 'swept' WHEN flagged THEN 'read' ELSE 'confirmed' END AS stage, n AS total_frames, swept_frames, sweep_hits, frames_scanned, text_frames, longest_run, peak_coverage,
+  CASE WHEN frames_scanned IS NULL THEN 'swept' WHEN flagged THEN 'read' ELSE 'confirmed' END AS stage, n AS total_frames, coalesce(swept_frames, 0) AS swept_frames, coalesce(sweep_hits, 0) AS sweep_hits,
+  coalesce(frames_scanned, 0) AS frames_scanned, coalesce(text_frames, 0) AS text_frames, coalesce(longest_run, 0) AS longest_run, coalesce(peak_coverage, 0) AS peak_coverage,
   coalesce(hits, '') AS hits, CASE WHEN flagged THEN coalesce(words, '') ELSE '' END AS words
 FROM c LEFT JOIN looked USING (clip_id) LEFT JOIN v USING (clip_id) LEFT JOIN t USING (clip_id)"""
 
@@ -815,6 +816,7 @@ def triage_report(spark, d) -> DataFrame:
     read = lambda wanted: wanted.select("clip_id", "frame_idx").join(words, ["clip_id", "frame_idx"])
     out = staged.triage(frames.select("clip_id", "frame_idx"), staged.Eyes(look, look, read), Config(), radius=10)
     out = out.select("clip_id", "verdict", "stage", "total_frames", "swept_frames", "sweep_hits", "frames_scanned", "text_frames", "longest_run", "peak_coverage", "hits", "words")
+    out = out.fillna(0, ["swept_frames", "sweep_hits", "frames_scanned", "text_frames", "longest_run", "peak_coverage"])
     return out.withColumns({c: F.concat_ws(" ", F.transform(c, lambda x: x.cast("string"))) for c in ("hits", "words")})
 
 
