@@ -50,7 +50,7 @@ def parser() -> argparse.ArgumentParser:
     seen.add_argument("stills")
     seen.add_argument("out", help="a folder for the report; clips that it has already are left out")
     seen.add_argument("--boxes", help="a table of boxes; without it the batch detectors of detect.detectors look for them")
-    seen.add_argument("--plugins", action="append", default=[], metavar="MODULE", help="a module that registers batch detectors or word readers")
+    seen.add_argument("--plugins", action="append", default=[], metavar="MODULE", help="a module, or a file of one, that registers batch detectors or word readers")
     seen.add_argument("--reader", help="a registered word reader")
     seen.add_argument("--depth", help="a tree in which the clips' depth maps are looked for")
     seen.add_argument("--dest", help="where clips with text are copied to, with their depth maps; those that are there already are left out")
@@ -136,6 +136,9 @@ def scanned(spark: SparkSession, args, config: C.Config) -> None:
     from .sources import catalog, files, frames
 
     for module in args.plugins:
+        if module.endswith(".py"):  # a file goes to the workers as well
+            spark.sparkContext.addPyFile(module)
+            module = module.rsplit("/", 1)[-1][:-3]
         importlib.import_module(module)
     listing = scan.not_reported(spark, frames.listed(spark, args.stills), args.out)
     root, dest = files.qualified(spark, args.stills), None if args.dest is None else files.qualified(spark, args.dest)

@@ -59,21 +59,19 @@ def triage(listing: DataFrame, eyes: Eyes, config: Config = Config(), pairs: Dat
 
 def _confirmed(listing: DataFrame, plan: DataFrame, eyes: Eyes, config: Config) -> DataFrame:
     """What was seen of the windows, those of a clip one after another until it is decided."""
-    looked = windows.scanned(eyes.stare(scan.planned(listing.where(F.lit(False)), plan)), config.thresholds)
     seen, wave = None, 1
     while True:
         now = plan.where(F.col("window_id") == wave)
         if seen is not None:
-            done = looked.where("flagged").select("clip_id")
-            broken = scan.failures(looked)
+            looked = windows.scanned(seen, config.thresholds)
+            done, broken = looked.where("flagged").select("clip_id"), scan.failures(looked)
             done = done if broken is None else done.unionByName(broken.select("clip_id"))
             now = now.join(done.distinct(), "clip_id", "left_anti")
         now = steps.cut(now, "wave")
-        if not now.head(1):
-            return looked if seen is None else steps.cut(looked, "seen")
+        if seen is not None and not now.head(1):
+            return steps.cut(windows.scanned(seen, config.thresholds), "seen")
         found = steps.cut(eyes.stare(scan.planned(listing, now)), "seen")
         seen = found if seen is None else seen.unionByName(found)
-        looked = windows.scanned(seen, config.thresholds)
         wave += 1
 
 

@@ -632,6 +632,15 @@ def relative_boxes(spark, d) -> DataFrame:
     return detectors.from_relative(det, 640, 360, 0.3).select("clip_id", "frame_idx", "det_id", "x0", "y0", "x1", "y1")
 
 
+@query(f"""WITH {V.DETECTIONS} SELECT clip_id, frame_idx, det_id, x0, y0, x0 + (x1 - x0) // 2 - 20 AS x1, y1 FROM detections WHERE x0 + (x1 - x0) // 2 - 20 > x0 AND y1 > y0""")
+def extents(spark, d) -> DataFrame:
+    """Boxes given as xmin, xmax, ymin, ymax, of which some are turned inside out."""
+    from ..sources import detectors
+
+    middle = F.col("x0") + F.floor((F.col("x1") - F.col("x0")) / 2) - 20
+    return detectors.from_extents(V.detections(spark, d).select("clip_id", "frame_idx", "det_id", F.array("x0", middle, "y0", "y1").alias("extent")))
+
+
 def _planes(spark, d) -> DataFrame:
     """clip_id, frame_idx, values: images of 8 x 8 by clip, numbered without gaps."""
     e = V.pixels(spark, d).groupBy("clip_id", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))

@@ -169,6 +169,19 @@ def test_depth_vetoes_what_lies_elsewhere(spark):
     assert ink(depth=far, codes=(0.0, 1023.0)) < ink(depth=depth, codes=(0.0, 1023.0)) == ink()
 
 
+def test_a_model_of_strokes_is_used(spark):
+    rgb, _, dets = source.synthetic(spark, 1, 6, 96, 54)
+    config = build("both", **{"filters.min_text_height": 0.05, "strokes.strokes_from": "hisam", "temporal.mode": "none", "temporal.prior_window": 0})
+
+    def model(picture):  # one thick stroke in place of the bars
+        plane = np.zeros(picture.shape[:2], np.float32)
+        plane[40:50, 30:70] = 1.0
+        return plane
+
+    lit = lambda **k: np.frombuffer(masks.run(rgb, dets, config, **k).where("frame_idx = 3").first().mask, np.uint8).reshape(54, 96) > 127
+    assert lit(model=model)[41:49, 31:69].all() and not lit()[41:49, 31:69].all()
+
+
 def test_segments_get_shorter_as_frames_grow(spark):
     size = lambda h, w: masks.segment_length(spark.createDataFrame([(h, w)], "height int, width int"), 11)
     assert size(90, 160) == 64 and size(1080, 1920) < 64 and size(4320, 7680) == 1
