@@ -37,7 +37,7 @@ def fits_broadcast(rows: int, row_bytes: int, most: int = BROADCAST_BYTES) -> bo
     return rows * (2 * row_bytes + 32) <= most
 
 
-def with_size_checked_broadcast(df: DataFrame, row_bytes: int, array: str | None = None, item_bytes: int = 0) -> DataFrame:
+def with_size_checked_broadcast(df: DataFrame, row_bytes: int, array: str | None = None, item_bytes: int = 0, most: int = BROADCAST_BYTES) -> DataFrame:
     """Mark ``df`` for broadcast if its counted size is small; else have it joined by a shuffle.
 
     Spark goes by the size of files, which may be a fraction of that of the
@@ -47,7 +47,7 @@ def with_size_checked_broadcast(df: DataFrame, row_bytes: int, array: str | None
     size = F.count("*") * (2 * row_bytes + 32)
     if array:
         size = size + F.coalesce(F.sum(F.size(array)), F.lit(0)) * item_bytes
-    return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_BYTES else df.hint("merge")
+    return F.broadcast(df) if df.agg(size).first()[0] <= most else df.hint("merge")
 
 
 def maybe_among(rows: DataFrame, keys: DataFrame, h: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Joining texts by the Jaccard similarity of their word shingles, with signature trees.
 
-Sets of ``x`` shingles that share four fifths of their union share one of the
-first x - ceil(0.8 x) + 1 in any order of all shingles. In the order taken here
-those known to be frequent come last, the most frequent at the very end. Only
-sets whose first shingles another set has too can be similar to any; they are
-the leaves of the forest.
+A set of x shingles shares at least c with any similar one among the first
+x - ceil(0.8 x) + c of both, in any order of all shingles. In the order taken
+here those known to be frequent come last, the most frequent at the very end.
+Only sets of whose first shingles others have as many as that can be similar to
+any; they are the leaves of the forest.
 
 Leaves lie sorted by size band and first shared shingle in blocks, which are the
 lowest nodes that Spark sees: each holds the OR of its sets' bitmaps, its range of sizes
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, simhash
@@ -41,8 +41,12 @@ class Jaccard:
     of: int = 100
 
     def first(self, n: int) -> int:
-        """How many first shingles of a set of ``n`` are looked at."""
-        return n - -(-self.share * n // self.of) + 1
+        """How many first shingles of a set of ``n`` are looked at: one in fifty more than needed to share one."""
+        return min(n, n - -(-self.share * n // self.of) + 1 + n // 50)
+
+    def least(self, n):
+        """How many of these any similar set, which may be smaller, has among its own; a number or a column."""
+        return F.floor(F.ceil(n * self.share / self.of) / 50) + 1 if isinstance(n, Column) else -(-self.share * n // self.of) // 50 + 1
 
     def similar(self, both, a, b):
         return self.of * both >= self.share * (a + b - both)
@@ -61,6 +65,10 @@ LOAD, LIGHT = 1 << 20, 1 << 11
 FAN_BITS, FAN, AT_ONCE = 4, 8, 64
 #: 64-bit words of a block's bitmap.
 WORDS = 32
+#: Entries that a task deals out at once; of a bucket, about so many are compared in a task.
+ENTRIES, BUCKET = 1 << 20, 1 << 22
+#: A side of a join is broadcast up to so many bytes in memory, by its counted rows: what it meets are texts or many shingles.
+BROADCAST = 16 << 20
 #: Bytes of a text that are split at once.
 PIECE = 1 << 22
 
@@ -106,6 +114,10 @@ def shingle_set(raw: bytes, words: Words, size: int) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def _small(df: DataFrame, row_bytes: int) -> DataFrame:
+    return common.with_size_checked_broadcast(df, row_bytes, most=BROADCAST)
+
+
 def bitmap(tokens: np.ndarray, words: int) -> np.ndarray:
     """The bits that the tokens hash to, as 64-bit words."""
     bits = np.zeros(words * 64, np.uint8)
@@ -186,108 +198,168 @@ def _prints(rows: DataFrame, known, how: Jaccard) -> DataFrame:
     return chosen.mapInArrow(run, "doc_id long, _k1 long, _k2 long, fp long, n long, firsts array<long>")
 
 
-def _shared(classes: DataFrame) -> DataFrame:
-    """(token, fp, n) of the first shingles that at least two classes have."""
-    keys = classes.select(F.explode("firsts").alias("token"), "fp", "n")
-    tokens = common.cut(keys.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select("token"), "jaccard-tokens")
-    met = common.maybe_among(keys, tokens, "token").join(common.with_size_checked_broadcast(tokens, 8), "token", "left_semi")
-    return common.cut(met, "jaccard-keys")
-
-
-def _leaves(rows: DataFrame, prints: DataFrame, keys: DataFrame, how: Jaccard) -> DataFrame:
-    """(block, fp, n, items): the sets in blocks, and for each block a row without fp: its bitmap, sizes and excess.
-
-    Sets are read anew from one text of each class that has a shared first shingle.
+def _entries(batches, chosen):
+    """(tokens, fps) of all first shingles that ``chosen`` (tokens to booleans) takes, in parts of about ``ENTRIES``."""
+    tokens, fps, held, seen = [], [], 0, set()
+    for batch in batches:
+        ends, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+        for fp, a, b in zip(batch.column(0).to_numpy(), ends[:-1], ends[1:]):
+            if fp in seen:  # equal texts of a task
+                continue
+            seen.add(fp)
+            own = flat[a:b][chosen(flat[a:b].view(np.uint64))]
+            tokens.append(own)
+            fps.append(np.full(len(own), fp))
+            held += len(own)
+        if held > ENTRIES:
+            yield np.concatenate(tokens), np.concatenate(fps)
+            tokens, fps, held, seen = [], [], 0, set()
+    if held:
+        yield np.concatenate(tokens), np.concatenate(fps)
+
+
+def _shared(prints: DataFrame, known: tuple[np.ndarray, np.ndarray], how: Jaccard) -> DataFrame:
+    """(token, fp, n): the first shingles that several sets have, of the sets that have enough of them.
+
+    Shingles known as frequent are in several sets. The others are, in each
+    task's chunks, in one set each, so they are as often as there are chunks at
+    most; they are dealt out in buckets, many in a row, and compared there.
     """
-    wanted = keys.groupBy("fp").agg(F.min("token").alias("at"), F.first("n").alias("n"))
-    kept = common.maybe_among(prints.select("fp", "_k1", "_k2"), wanted, "fp").groupBy("fp").agg(F.min(F.struct("_k1", "_k2")).alias("k"))
-    one = common.cut(wanted.join(kept, "fp").select("fp", "at", "n", "k._k1", "k._k2"), "jaccard-texts")
-    texts = rows.select("_k1", "_k2", _raw(rows)).join(common.with_size_checked_broadcast(one, 48), ["_k1", "_k2"])
+    spark = prints.sparkSession
+    names = spark.sparkContext.broadcast(known[0])
+
+    def is_known(tokens):
+        at = np.minimum(np.searchsorted(names.value, tokens), max(0, len(names.value) - 1))
+        return names.value[at] == tokens if len(names.value) else np.zeros(len(tokens), bool)
+
+    rows = prints.where("n > 0").select("fp", "firsts")
+    total = rows.agg(F.sum(F.size("firsts"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+
+    def often(batches):
+        for tokens, fps in _entries(batches, is_known):
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(fps)], ["token", "fp"])
+
+    def deal(batches):
+        for tokens, fps in _entries(batches, lambda t: ~is_known(t)):
+            bucket = (_mixed(tokens.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, tokens, fps = bucket[order], tokens[order], fps[order]
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            parts = [[x[s:e].tobytes() for s, e in zip(cuts, [*cuts[1:], len(bucket)])] for x in (tokens, fps)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *(pa.array(x, pa.binary()) for x in parts)], ["bucket", "tokens", "fps"])
+
+    def several(parts):
+        tokens, fps = (np.frombuffer(b"".join(x), np.int64) for x in zip(*parts))
+        order = np.lexsort((fps, tokens))
+        tokens, fps = tokens[order], fps[order]
+        new = np.r_[True, (tokens[1:] != tokens[:-1]) | (fps[1:] != fps[:-1])]
+        tokens, fps = tokens[new], fps[new]
+        same = tokens[1:] == tokens[:-1]
+        kept = np.r_[False, same] | np.r_[same, False]
+        return pa.RecordBatch.from_arrays([pa.array(tokens[kept]), pa.array(fps[kept])], ["token", "fp"])
+
+    def met(batches):
+        now, parts = None, []
+        for batch in batches:
+            for bucket, tokens, fps in zip(*[c.to_pylist() for c in batch.columns]):
+                if bucket != now and parts:
+                    yield several(parts)
+                    parts = []
+                now = bucket
+                parts.append((tokens, fps))
+        if parts:
+            yield several(parts)
+
+    common.small_batches(spark, 2048)
+    dealt = rows.mapInArrow(deal, "bucket int, tokens binary, fps binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(met, "token long, fp long").unionByName(rows.mapInArrow(often, "token long, fp long"))
+    found = common.cut(found, "jaccard-keys")
+    sizes = prints.where("n > 0").select("fp", "n").distinct()
+    # a frequent shingle of a set comes once from every task that has the set, so sets may look to have more than they do
+    wanted = found.groupBy("fp").agg(F.count("*").alias("k"))
+    wanted = wanted.join(sizes, "fp").where(F.col("k") >= how.least(F.col("n"))).select("fp", "n")
+    wanted = _small(common.cut(wanted, "jaccard-wanted"), 16)
+    return common.cut(common.maybe_among(found, wanted, "fp").join(wanted, "fp").select("token", "fp", "n").distinct(), "jaccard-keys")
+
+
+def _blocks(keys: DataFrame, how: Jaccard) -> DataFrame:
+    """(fp, n, block): sets in the order of size band and first shared shingle, cut into blocks that are numbered in that order."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(how.of / how.share)))
+    rows = keys.groupBy("fp").agg(F.min("token").alias("at"), F.first("n").alias("n")).withColumn("band", band)
+    inorder = common.cut(rows, "jaccard-order").repartitionByRange("band", "at", "fp").sortWithinPartitions("band", "at", "fp")
+
+    def run(batches):
+        load, band, block = 0, None, -1
+        for batch in batches:
+            out = []
+            for b, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if b != band or load >= LOAD:
+                    load, band, block = 0, b, block + 1
+                load += max(n, LIGHT)
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.int64())], ["fp", "n", "part", "at"])
+
+    parts = inorder.select("band", "fp", "n", F.spark_partition_id().alias("part")).mapInArrow(run, "fp long, n long, part int, at long")
+    placed = common.cut(parts, "jaccard-parts")
+    sizes = placed.groupBy("part").agg(F.max("at") + 1).collect()  # one row a partition
+    offset, starts = 0, []
+    for part, n in sorted(map(tuple, sizes)):
+        starts.append((part, offset))
+        offset += n
+    starts = keys.sparkSession.createDataFrame(starts, "part int, start long")
+    return common.cut(placed.join(F.broadcast(starts), "part").select("fp", "n", (F.col("start") + F.col("at")).alias("block")), "jaccard-blocks")
+
+
+def _leaves(rows: DataFrame, prints: DataFrame, placed: DataFrame, how: Jaccard) -> DataFrame:
+    """(block, fp, n, items, bits): the sets of the placed classes, each read anew from one of its texts, with its bitmap."""
+    kept = common.maybe_among(prints.select("fp", "_k1", "_k2"), placed, "fp").groupBy("fp").agg(F.min(F.struct("_k1", "_k2")).alias("k"))
+    one = common.cut(placed.join(kept, "fp").select("block", "fp", "n", "k._k1", "k._k2"), "jaccard-texts")
+    near = common.maybe_among(rows.select("_k1", "_k2", _raw(rows)), one, "_k1")
+    texts = near.join(_small(one, 48), ["_k1", "_k2"])
 
-    def sets(batches):
+    def run(batches):
         words = Words()
         for batch in batches:
-            items = [shingle_set(raw, words, how.shingle).tobytes() for raw in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(items, pa.binary())], ["fp", "at", "n", "items"])
+            sets = [shingle_set(raw, words, how.shingle) for raw in batch.column(3).to_pylist()]
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * WORDS), pa.array(np.concatenate([bitmap(t, WORDS) for t in sets]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([t.tobytes() for t in sets], pa.binary()), maps], ["block", "fp", "n", "items", "bits"])
 
-    def blocks(batches):
-        held, load, band, first = [], 0, None, None
+    common.small_batches(rows.sparkSession)
+    sets = common.cut(texts.select("block", "fp", "n", "text").mapInArrow(run, "block long, fp long, n long, items binary, bits array<long>"), "jaccard-sets")
+    if sets.count() > one.count():  # the same row several times
+        sets = common.cut(sets.dropDuplicates(["fp"]), "jaccard-sets")
+    return sets
 
-        def told():
-            tokens = [np.frombuffer(items, np.uint64) for _, _, items in held]
-            maps = [bitmap(t, WORDS) for t in tokens]
-            sizes = [len(t) for t in tokens]
-            excess = max(s - int(np.bitwise_count(m).sum()) for s, m in zip(sizes, maps))
-            # the row of the first set names the block
-            node = (first, None, len(held), None, np.bitwise_or.reduce(maps).view(np.int64).tolist(), min(sizes), max(sizes), excess)
-            some = [(first, fp, n, items, None, None, None, None) for fp, n, items in held] + [node]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), LEAF_TYPES)], LEAF_NAMES)
 
-        for batch in batches:
-            for b, at, fp, n, items in zip(*[c.to_pylist() for c in batch.columns]):
-                if held and (b != band or load >= LOAD):
-                    yield told()
-                    held, load = [], 0
-                if not held:
-                    first, band = (b, at, fp), b
-                held.append((fp, n, items))
-                load += max(n, LIGHT)
-        if held:
-            yield told()
+def _nodes(sets: DataFrame) -> DataFrame:
+    """(block, bits, low, high, excess): the union of a block's bitmaps, its sizes, and by how much a set may outnumber its bits."""
+    ones = F.aggregate("bits", F.lit(0), lambda n, w: n + F.bit_count(w))
+    held = sets.select("block", "bits", F.col("n").alias("low"), F.col("n").alias("high"), (F.col("n") - ones).alias("excess"))
+    return common.cut(_united(held), "jaccard-nodes")
 
-    common.small_batches(rows.sparkSession)
-    texts = texts.select("fp", "at", "n", "text").mapInArrow(sets, "fp long, at long, n long, items binary").dropDuplicates(["fp"])
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(how.of / how.share)))
-    placed = common.cut(texts.select(band.alias("band"), "at", "fp", "n", "items"), "jaccard-sets")
-    inorder = placed.repartitionByRange("band", "at", "fp").sortWithinPartitions("band", "at", "fp")
-    return common.cut(inorder.mapInArrow(blocks, LEAF_SCHEMA), "jaccard-leaves")
-
-
-LEAF_NAMES = ["name", "fp", "n", "items", "bits", "low", "high", "excess"]
-LEAF_TYPES = [
-    pa.struct([("band", pa.int64()), ("at", pa.int64()), ("fp", pa.int64())]), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64()
-]
-LEAF_SCHEMA = "name struct<band:long,at:long,fp:long>, fp long, n long, items binary, bits array<long>, low long, high long, excess long"
-
-
-def _numbered(leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets with block, nodes): blocks get numbers in their order, so that neighbours have the same parent."""
-    nodes = leaves.where("fp is null").select("name", "bits", "low", "high", "excess")
-    ranged = common.cut(nodes.repartitionByRange("name").sortWithinPartitions("name").withColumn("part", F.spark_partition_id()), "jaccard-nodes")
-    within = F.row_number().over(Window.partitionBy("part").orderBy("name")) - 1
-    before = ranged.groupBy("part").count()
-    starts = {r.part: r["count"] for r in before.collect()}  # one row a partition
-    offset, offsets = 0, []
-    for part in sorted(starts):
-        offsets.append((part, offset))
-        offset += starts[part]
-    spark = leaves.sparkSession
-    offsets = spark.createDataFrame(offsets, "part int, start long")
-    named = ranged.join(F.broadcast(offsets), "part").select("name", "bits", "low", "high", "excess", (F.col("start") + within).alias("block"))
-    named = common.cut(named, "jaccard-blocks")
-    ids = common.with_size_checked_broadcast(named.select("name", "block"), 40)
-    sets = leaves.where("fp is not null").join(ids, "name").select("block", "fp", "n", "items")
-    return common.cut(sets, "jaccard-blocked"), named.drop("name")
+
+def _united(nodes: DataFrame) -> DataFrame:
+    bits = F.array(*[F.bit_or(F.get("bits", F.lit(i))) for i in range(WORDS)]).alias("bits")
+    return nodes.groupBy("block").agg(bits, F.min("low").alias("low"), F.max("high").alias("high"), F.max("excess").alias("excess"))
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
     """The nodes one level up."""
-    up = F.shiftright("block", FAN_BITS).alias("block")
-    bits = F.array(*[F.bit_or(F.get("bits", F.lit(i))) for i in range(WORDS)]).alias("bits")
-    return nodes.groupBy(up).agg(bits, F.min("low").alias("low"), F.max("high").alias("high"), F.max("excess").alias("excess"))
+    return _united(nodes.withColumn("block", F.shiftright("block", FAN_BITS)))
 
 
 def _pruned(pairs: DataFrame, nodes: DataFrame, how: Jaccard) -> DataFrame:
     """Those of the pairs (token, a, b) of nodes whose sets may be similar."""
     cols = ["bits", "low", "high", "excess"]
-    small = common.with_size_checked_broadcast(nodes, 8 * WORDS + 56)
+    small = _small(nodes, 8 * WORDS + 56)
     one, other = (small.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols]) for s in "ab")
     both = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, c: n + c)
     most = F.least(both + F.least("excess_a", "excess_b"), "high_a", "high_b")
     each = pairs.select("a", "b").distinct().join(one, "a").join(other, "b")
     each = each.where(how.possible(most, *[F.col(c) for c in ("low_a", "low_b", "high_a", "high_b")])).select("a", "b")
     each = common.cut(each, "jaccard-node-pairs")
-    return pairs.join(common.with_size_checked_broadcast(each, 16), ["a", "b"], "left_semi").select("token", "a", "b")
+    return pairs.join(_small(each, 16), ["a", "b"], "left_semi").select("token", "a", "b")
 
 
 def block_pairs(at: DataFrame, nodes: DataFrame, how: Jaccard) -> DataFrame:
@@ -403,23 +475,16 @@ def tree_links(some: list[tuple], others: list[tuple], how: Jaccard) -> list[tup
     return edges
 
 
-def _linked(sets: DataFrame, keys: DataFrame, pairs: DataFrame, labels: DataFrame | None, how: Jaccard) -> DataFrame:
-    """Links (a, b) between sets of the pairs of blocks. Each task goes down the trees of one pair at a time.
+def _enough(keys: DataFrame, pairs: DataFrame, how: Jaccard) -> DataFrame:
+    """(a, b, side, fp): the sets of pairs (token, a, b) of blocks that have enough of their first shingles in common with the other block."""
+    at = keys.join(pairs.select("token", F.col("a").alias("block"), "a", "b"), ["token", "block"]).select("a", "b", F.lit(0).alias("side"), "fp", "n")
+    other = keys.join(pairs.where("a <> b").select("token", F.col("b").alias("block"), "a", "b"), ["token", "block"]).select("a", "b", F.lit(1).alias("side"), "fp", "n")
+    asked = at.unionByName(other).groupBy("a", "b", "side", "fp").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    return asked.where(F.col("k") >= how.least(F.col("n"))).select("a", "b", "side", "fp")
 
-    With ``labels`` (node, component), pairs of blocks whose sets all have the same are left out.
-    """
-    at = keys.join(pairs.select("token", F.col("a").alias("block"), "a", "b"), ["token", "block"]).select("a", "b", F.lit(0).alias("side"), "fp")
-    other = keys.join(pairs.where("a <> b").select("token", F.col("b").alias("block"), "a", "b"), ["token", "block"]).select("a", "b", F.lit(1).alias("side"), "fp")
-    asked = at.unionByName(other).distinct()
-    if labels is not None:
-        asked = asked.join(common.with_size_checked_broadcast(labels.withColumnRenamed("node", "fp"), 16), "fp", "left").withColumn("g", F.coalesce("component", "fp")).drop("component")
-        asked = common.cut(asked, "jaccard-asked")
-        open_ = asked.groupBy("a", "b").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least <> most").select("a", "b")
-        asked = asked.join(common.with_size_checked_broadcast(open_, 16), ["a", "b"], "left_semi")
-    else:
-        asked = asked.withColumn("g", F.col("fp"))
-    block = F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b"))
-    met = asked.withColumn("block", block).join(sets.select("block", "fp", "items"), ["block", "fp"])
+
+def _trees(met: DataFrame, how: Jaccard) -> DataFrame:
+    """Links (a, b) between sets (a, b, side, fp, g, items) of pairs of blocks. Each task goes down the trees of one pair at a time."""
     dealt = met.repartition("a", "b").sortWithinPartitions("a", "b", "side").select("a", "b", "side", "fp", "g", "items")
 
     def run(batches):
@@ -441,10 +506,27 @@ def _linked(sets: DataFrame, keys: DataFrame, pairs: DataFrame, labels: DataFram
         a, b = zip(*edges) if edges else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    common.small_batches(sets.sparkSession)
+    common.small_batches(met.sparkSession)
     return common.cut(dealt.mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
+def _within_blocks(sets: DataFrame, keys: DataFrame, pairs: DataFrame, how: Jaccard) -> DataFrame:
+    """Links between sets of the same block; a set that comes along for its bits in the filter changes nothing."""
+    asked = _enough(keys, pairs, how).select("fp").distinct()
+    own = common.maybe_among(sets.select("block", "fp", "items"), asked, "fp")
+    return _trees(own.select(F.col("block").alias("a"), F.col("block").alias("b"), F.lit(0).alias("side"), "fp", F.col("fp").alias("g"), "items"), how)
+
+
+def _across_blocks(sets: DataFrame, keys: DataFrame, pairs: DataFrame, labels: DataFrame, how: Jaccard) -> DataFrame:
+    """Links between sets of different blocks, of those pairs whose sets have not all the same label (node, component) already."""
+    named = _enough(keys, pairs, how).join(_small(labels.withColumnRenamed("node", "fp"), 16), "fp", "left")
+    asked = common.cut(named.withColumn("g", F.coalesce("component", "fp")).drop("component"), "jaccard-asked")
+    open_ = asked.groupBy("a", "b").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least <> most").select("a", "b")
+    asked = common.cut(asked.join(_small(open_, 16), ["a", "b"], "left_semi"), "jaccard-asked")
+    own = common.maybe_among(sets.select("fp", "items"), asked.select("fp").distinct(), "fp")
+    return _trees(_small(asked, 40).join(own, "fp"), how)
+
+
 def linked(docs: DataFrame, how: Jaccard = Jaccard()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: size of its set, smallest doc_id reachable over links.
 
@@ -455,17 +537,17 @@ def linked(docs: DataFrame, how: Jaccard = Jaccard()) -> DataFrame:
     ignored.
     """
     rows = simhash.keyed(docs.select("doc_id", "text"))
-    prints = common.cut(_prints(rows, frequent(docs, how), how), "jaccard")
-    classes = common.cut(prints.where("n > 0").select("fp", "n", "firsts").dropDuplicates(["fp"]), "jaccard-classes")
-    keys = _shared(classes)
-    leaves = _leaves(rows, prints, keys, how)
-    sets, nodes = _numbered(leaves)
-    placed = sets.select("fp", "block")
-    keys = common.cut(keys.select("token", "fp").join(common.with_size_checked_broadcast(placed, 16), "fp"), "jaccard-placed")
+    known = frequent(docs, how)
+    prints = common.cut(_prints(rows, known, how), "jaccard")
+    keys = _shared(prints, known, how)
+    placed = _blocks(keys, how)
+    sets = _leaves(rows, prints, placed, how)
+    nodes = _nodes(sets)
+    keys = common.cut(keys.join(_small(placed.select("fp", "block"), 16), "fp").select("token", "fp", "n", "block"), "jaccard-placed")
     pairs = block_pairs(keys.groupBy("token", "block").agg(F.count("*").alias("sets")), nodes, how)
-    links = _linked(sets, keys, pairs.where("a = b"), None, how)
+    links = _within_blocks(sets, keys, pairs.where("a = b"), how)
     labels = common.components(links, "jaccard-components")
-    across = _linked(sets, keys, pairs.where("a <> b"), labels, how)
+    across = _across_blocks(sets, keys, pairs.where("a <> b"), labels, how)
     if across.head(1):
         labels = common.components(links.union(across), "jaccard-components")
     return _with_components(prints, labels)
@@ -482,7 +564,7 @@ def _with_components(prints: DataFrame, labels: DataFrame) -> DataFrame:
     often = named.where(F.col("rows") > max(10_000, prints.count() // 1000)).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
     out = prints.select("doc_id", "n", "fp").join(F.broadcast(often), "fp", "left")
     hot = out.where("hot").select("doc_id", "n", F.col("hot_id").alias("component_id"))
-    rest = out.where("hot is null and n > 0").select("doc_id", "n", "fp").join(common.with_size_checked_broadcast(named.select("fp", "component_id"), 16), "fp")
+    rest = out.where("hot is null and n > 0").select("doc_id", "n", "fp").join(_small(named.select("fp", "component_id"), 16), "fp")
     none = out.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     found = hot.unionByName(rest.select("doc_id", "n", "component_id")).unionByName(none)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -71,7 +71,7 @@ def result(df):
 @pytest.mark.parametrize("seed,small", [(1, False), (2, True), (3, True)])
 def test_components_equal_brute_force(spark, monkeypatch, seed, small):
     if small:  # many blocks, several levels of nodes, few frequent shingles known, texts split in pieces
-        for name, value in {"LOAD": 300, "LIGHT": 100, "AT_ONCE": 3, "FAN_BITS": 1, "FREQUENT": 20 * (seed - 2), "PIECE": 50}.items():
+        for name, value in {"LOAD": 300, "LIGHT": 100, "AT_ONCE": 3, "FAN_BITS": 1, "FREQUENT": 20 * (seed - 2), "PIECE": 50, "ENTRIES": 300, "BUCKET": 500}.items():
             monkeypatch.setattr(jaccard, name, value)
     rows = corpus(seed)
     assert result(jaccard.linked(frame(spark, rows).repartition(4))) == brute_force(rows)
