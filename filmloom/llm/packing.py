@@ -9,12 +9,12 @@ a training step reads, and the pieces of a document are its ids again.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,37 +101,14 @@ def sequences(docs: DataFrame, packing: Packing) -> DataFrame:
     return chosen.mapInArrow(run, "doc_id long, piece long, n_tokens long, ids array<int>")
 
 
-def pack(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
-    """doc_id, piece, n_tokens, bucket (its upper bound), batch, slot (row in the batch), padding, ids.
-
-    Null and empty texts go in as sequences of length 0; repeated rows are
-    sequences of their own; other columns are left out. An empty table gives
-    an empty result. Sequences are numbered where they lie: the rows of each
-    partition of the written table are counted by bucket, and go on from where
-    the partitions before it end, so no token moves. What the driver holds is
-    a number for each partition and bucket.
-    """
-    rows = common.cut(sequences(docs, packing), "sequences")
-    spark = rows.sparkSession
-    counts = {r["n_tokens"]: r["count"] for r in rows.groupBy("n_tokens").count().collect()}  # at most longest + 1
-    bounds = np.array(boundaries(counts, packing.buckets) or [0], np.int64)
+def _numbered(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """``rows`` with _bucket, _part and _at: a row's number among those of its bucket in its task's part, written down with it."""
     which = F.lit(len(bounds) - 1)
     for k in reversed(range(len(bounds) - 1)):
         which = F.when(F.col("n_tokens") <= int(bounds[k]), F.lit(k)).otherwise(which)
-    dealt = rows.withColumn("_bucket", which)
-    found = dealt.groupBy(F.spark_partition_id().alias("part"), "_bucket").count().collect()
-    each = np.zeros((1 + max([r["part"] for r in found], default=0), len(bounds)), np.int64)
-    for r in found:
-        each[r["part"], r["_bucket"]] = r["count"]
-    shared = spark.sparkContext.broadcast((each, np.cumsum(each, axis=0) - each))
-    fits = np.maximum(packing.budget // np.maximum(bounds, 1), 1)
 
     def run(batches):
-        expected, starts = shared.value
-        part = TaskContext.get().partitionId()
-        due = expected[part] if part < len(expected) else np.zeros(len(bounds), np.int64)
-        next_ = starts[part].copy() if part < len(starts) else np.zeros(len(bounds), np.int64)
-        seen = np.zeros(len(bounds), np.int64)
+        next_ = np.zeros(len(bounds), np.int64)
         for batch in batches:
             bucket = batch.column(4).to_numpy()
             at = np.zeros(len(bucket), np.int64)
@@ -139,18 +116,42 @@ def pack(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
                 here = np.flatnonzero(bucket == k)
                 at[here] = next_[k] + np.arange(len(here))
                 next_[k] += len(here)
-                seen[k] += len(here)
-            upper = bounds[bucket]
-            made = [upper, at // fits[bucket], at % fits[bucket], upper - batch.column(2).to_numpy()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), *map(pa.array, made), batch.column(3)],
-                ["doc_id", "piece", "n_tokens", "bucket", "batch", "slot", "padding", "ids"],
-            )
-        if (seen != due).any():
-            raise RuntimeError("the written table was dealt out otherwise than when it was counted")
-
-    schema = "doc_id long, piece long, n_tokens long, bucket long, batch long, slot long, padding long, ids array<int>"
-    return dealt.select("doc_id", "piece", "n_tokens", "ids", "_bucket").mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], [*batch.schema.names, "_at"])
+
+    chosen = rows.select("doc_id", "piece", "n_tokens", "ids", which.alias("_bucket"), F.spark_partition_id().alias("_part"))
+    schema = "doc_id long, piece long, n_tokens long, ids array<int>, _bucket int, _part int, _at long"
+    return common.cut(chosen.mapInArrow(run, schema), "sequences-numbered")
+
+
+def pack(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
+    """doc_id, piece, n_tokens, bucket (its upper bound), batch, slot (row in the batch), padding, ids.
+
+    Null and empty texts go in as sequences of length 0; repeated rows are
+    sequences of their own; other columns are left out. An empty table gives
+    an empty result. Sequences are numbered where they lie, so no token moves:
+    a task writes each row with its part and its number in its bucket there,
+    and parts go on from where those before them end. How tables are split when they are
+    read again does not matter. What the driver and each task hold is a row for each part.
+    """
+    rows = common.cut(sequences(docs, packing), "sequences")
+    counts = {r["n_tokens"]: r["count"] for r in rows.groupBy("n_tokens").count().collect()}  # at most longest + 1
+    bounds = np.array(boundaries(counts, packing.buckets) or [0], np.int64)
+    dealt = _numbered(rows, bounds)
+    common.drop(rows)
+    found = dealt.groupBy("_part", "_bucket").count().collect()
+    parts = sorted({r["_part"] for r in found})
+    each = np.zeros((len(parts), len(bounds)), np.int64)
+    for r in found:
+        each[bisect_left(parts, r["_part"]), r["_bucket"]] = r["count"]
+    starts = (np.cumsum(each, axis=0) - each).tolist()
+    table = rows.sparkSession.createDataFrame([*zip(parts, starts)], "_part int, _starts array<long>")
+    fits = F.array(*[F.lit(int(n)).cast("long") for n in np.maximum(packing.budget // np.maximum(bounds, 1), 1)])
+    upper = F.array(*[F.lit(int(n)).cast("long") for n in bounds])
+    at, fit = F.get("_starts", F.col("_bucket")) + F.col("_at"), F.get(fits, F.col("_bucket"))
+    out = dealt.join(F.broadcast(table), "_part").withColumns({"_n": at, "_fit": fit, "bucket": F.get(upper, F.col("_bucket"))})
+    return out.select(
+        "doc_id", "piece", "n_tokens", "bucket", F.floor(F.col("_n") / F.col("_fit")).cast("long").alias("batch"), F.pmod("_n", "_fit").alias("slot"), (F.col("bucket") - F.col("n_tokens")).alias("padding"), "ids"
+    )
 
 
 def query(spark, sf_dir) -> DataFrame:
