@@ -9,7 +9,7 @@ template's words that are matched.
 from __future__ import annotations
 
 import string
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -107,6 +107,40 @@ class Notice:
     end: int
 
 
+class Spans:
+    """Places [first, end), merged where they overlap, so that looking one up is a search."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.firsts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.firsts.append(a)
+                self.ends.append(b)
+
+    def holds(self, k: int) -> bool:
+        i = bisect_right(self.firsts, k) - 1
+        return i >= 0 and k < self.ends[i]
+
+
+class Apart:
+    """Spans that don't overlap, in order; one is added only if it is apart from all others."""
+
+    def __init__(self):
+        self.firsts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, first: int, end: int) -> bool:
+        i = bisect_right(self.firsts, first)
+        if (i and self.ends[i - 1] > first) or (i < len(self.firsts) and self.firsts[i] < end):
+            return False
+        self.firsts.insert(i, first)
+        self.ends.insert(i, end)
+        return True
+
+
 #: In templates of fewer words, inserted text longer than the template ends a notice, for their words meet by chance.
 SHORT = 20
 
@@ -163,18 +197,23 @@ def _bounded(words: list[bytes], t: Template, places: list[int], starts: set[int
     return [(n, i, j) for (i, j), n in out.items()]
 
 
+def _within(spans: Apart, first: int, end: int) -> bool:
+    i = bisect_left(spans.firsts, first)
+    return i < len(spans.firsts) and spans.ends[i] <= end
+
+
 def _chains(words: list[bytes], t: Template, hits: list[tuple[int, int]], own: list[Notice], least: float) -> list[Notice]:
     """Notices on the longest chains of the template's single words, whatever lies between, as long as chains reach the bound."""
     found: list[Notice] = []
     while hits:
-        taken = [(n.first, n.end) for n in [*own, *found] if n.cover >= least]
-        hits = [(k, j) for k, j in hits if not any(a <= k < b for a, b in taken)]
-        parts, part = [], []
+        taken = Spans([(n.first, n.end) for n in [*own, *found] if n.cover >= least])
+        hits = [(k, j) for k, j in hits if not taken.holds(k)]
+        parts: list[list[tuple[int, int]]] = [[]]
         for k, j in hits:
-            if part and len(t.words) < SHORT and k - part[-1][0] > len(t.words):
-                parts, part = [*parts, part], []
-            part.append((k, j))
-        chained = [_chained(words, t, increasing(x)) for x in [*parts, part] if len(x) > 1]
+            if parts[-1] and len(t.words) < SHORT and k - parts[-1][-1][0] > len(t.words):
+                parts.append([])
+            parts[-1].append((k, j))
+        chained = [_chained(words, t, increasing(x)) for x in parts if len(x) > 1]
         found += chained
         if not any(n.cover >= least for n in chained):
             break
@@ -204,16 +243,21 @@ def scan(words: list[bytes], known: list[Template], least: float, vocabulary: se
         for bound, i, j in _bounded(words, t, places[-1], starts, len(t.words) + 2 * slack):
             tried.append((-bound / len(t.words), -len(t.words), index, i, j))
     tried.sort()
-    best = None
+    best, solid = None, [Apart() for _ in known]
     for ratio, size, index, i, j in tried:
         if -ratio < least and best is not None and (-ratio, -size) <= (best.cover, best.size):
             break
         # other words than the template's never match
         t, where = known[index], places[index]
+        # a whole notice without a gap is as good and as short as any of its stretch, which has no room for another
+        if j > i and _within(solid[index], where[i], where[j - 1] + 1):
+            continue
         found = align([words[k] for k in where[i:j]], t.words)
         if found:
             notice = Notice(len(found) / len(t.words), len(t.words), t.name, where[i + found[0][0]], where[i + found[-1][0]] + 1)
             owned[index].append(notice)
+            if len(found) == len(t.words) == notice.end - notice.first:
+                solid[index].add(notice.first, notice.end)
             if best is None or (notice.cover, notice.size) > (best.cover, best.size):
                 best = notice
     reached: list[Notice] = []
@@ -224,11 +268,9 @@ def scan(words: list[bytes], known: list[Template], least: float, vocabulary: se
         for notice in more:
             if best is None or (notice.cover, notice.size) > (best.cover, best.size):
                 best = notice
-        chosen: list[Notice] = []
-        for n in sorted((n for n in [*own, *more] if n.cover >= least), key=lambda n: (-n.cover, n.end - n.first, n.first)):
-            if all(n.end <= m.first or m.end <= n.first for m in chosen):
-                chosen.append(n)
-        reached += chosen
+        apart = Apart()
+        good = sorted((n for n in [*own, *more] if n.cover >= least), key=lambda n: (-n.cover, n.end - n.first, n.first))
+        reached += [n for n in good if apart.add(n.first, n.end)]
     return best, sorted(reached, key=lambda n: (n.first, n.end, n.name))
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 from filmloom.llm import licenses
 
@@ -102,3 +103,28 @@ def test_bounds_of_stretches():
         for bound, i, j in licenses._bounded(words, t, places, starts, length):
             inside = [words[k] for k in places[i:j]]
             assert bound == sum(min(inside.count(w), n) for w, n in t.counts.items())
+
+
+def test_very_many_notices_take_time_in_proportion():
+    known = licenses.templates(licenses.TEMPLATES)
+    mit = licenses.tokens(MIT)
+    spent = []
+    for n in (1000, 4000):
+        words = (mit + [b"other", b"words"]) * n
+        start = time.perf_counter()
+        best, reached = licenses.scan(words, known, 0.8)
+        spent.append(time.perf_counter() - start)
+        assert best.cover == 1.0 and [r.first for r in reached if r.name == "MIT-text"] == [k * (len(mit) + 2) for k in range(n)]
+    assert spent[1] < 8 * spent[0] + 1 and spent[1] < 20
+
+
+def test_spans():
+    rng = random.Random(44)
+    for _ in range(50):
+        some = [(a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(8))]
+        spans, apart, kept = licenses.Spans(some), licenses.Apart(), []
+        assert [spans.holds(k) for k in range(70)] == [any(a <= k < b for a, b in some) for k in range(70)]
+        for a, b in some:
+            free = all(b <= c or d <= a for c, d in kept)
+            assert apart.add(a, b) == free
+            kept += [(a, b)] * free

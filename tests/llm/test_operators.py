@@ -629,3 +629,18 @@ def test_bounded_loads(slack):
             seen[a] += 1
     moved = sum(a != b for a, b in zip(placed[40], placed[41])) / 40_000
     assert moved <= (0.05 if slack else 0.15)
+
+
+def test_packing_does_not_depend_on_how_tables_are_split(spark, data):
+    """Between the count and the read the size of splits changes, as it may with the number of executors."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        made = packing.pack(common.table(spark, data, "documents").repartition(3), packing.Packing(longest=100, buckets=4, budget=900))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        rows = made.select("bucket", "batch", "slot", "doc_id", "piece").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({(r.bucket, r.batch, r.slot) for r in rows}) == len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+    for b in {r.bucket for r in rows}:
+        fit = max(1, 900 // max(b, 1))
+        assert sorted(r.batch * fit + r.slot for r in rows if r.bucket == b) == list(range(sum(r.bucket == b for r in rows)))
