@@ -116,7 +116,7 @@ def segments(rows: DataFrame, size: int, halo: int) -> DataFrame:
     return dealt.withColumn("own", F.col("segment") == F.floor(F.col("frame_idx") / size))
 
 
-def segment_length(frames: DataFrame, halo: int, budget: int = 128 << 20, most: int = 64) -> int:
+def segment_length(frames: DataFrame, halo: int, budget: int = 48 << 20, most: int = 64) -> int:
     """Frames in a segment, so that it and the frames around it, three planes each, fit ``budget`` bytes."""
     pixels = frames.agg(F.max(F.col("height").cast("long") * F.col("width"))).first()[0] or 1
     return max(1, min(most, budget // (3 * pixels) - 2 * halo))
@@ -178,10 +178,14 @@ def scaled(rows: DataFrame) -> DataFrame:
 def masks(frames: DataFrame, found: DataFrame, config: Config, segment: int | None = None) -> DataFrame:
     """Masks of all frames from the patches that passed the gates: smoothed in time, held to what is remembered."""
     made = steps.cut(shapes(frames, found, config, segment), "shapes")
+    whole = made.withColumn("words", F.lit(None).cast("array<struct<y:int,w:int,bits:long>>"))
     if config.temporal.prior_window // 2 < 1:
-        return scaled(made.withColumn("words", F.lit(None).cast("array<struct<y:int,w:int,bits:long>>")))
-    kept = planes.remembered(made, config.temporal)
-    return scaled(made.join(kept, ["clip_id", "frame_idx"], "left"))
+        return scaled(whole)
+    kept = steps.cut(planes.remembered(made, config.temporal), "kept")
+    size = kept.agg(F.sum(F.size("words") * 48 + 64)).first()[0]
+    if size is None:  # no frame has lost anything
+        return scaled(whole)
+    return scaled(made.join(F.broadcast(kept) if size <= BROADCAST_BYTES else kept.hint("merge"), ["clip_id", "frame_idx"], "left"))
 
 
 def repaired(depth: DataFrame, mask: DataFrame, config: Config, bits: int = 10, source_range: str = "tv") -> DataFrame:
