@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Filters, Sweep, Thresholds
+from ..config import Filters, Sweep
 from ..functions import boxes, pixels as px, strings
 from ..operators import gates, measures, pairing, scan, tracks, windows
 from . import views as V
