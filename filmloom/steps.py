@@ -26,15 +26,15 @@ def fresh(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def cut(df: DataFrame, label: str = "step", compression: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back; ``compression`` is the session's if not given.
 
     The lineage ends there, so a lost executor costs no recomputation of
     what lies before, and values drawn before stay as they are.
     """
     spark = df.sparkSession
     path = fresh(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
