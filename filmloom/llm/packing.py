@@ -60,8 +60,28 @@ def boundaries(counts: dict[int, int], buckets: int) -> list[int]:
     return sorted(bounds)
 
 
+#: How ids lie in the tables between the steps: bytes, four of them an id, the low halves of a row's ids before the high ones.
+STORED = "doc_id long, piece long, n_tokens long, ids binary"
+
+
+def _stored(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows' ids (``ends`` are the rows' limits in ``ids``) as bytes that compress well: equal sequences are equal bytes."""
+    two = np.frombuffer(ids.astype("<u4").tobytes(), "<u2").reshape(-1, 2)
+    rows = [two[a:b].T.tobytes() for a, b in zip(ends[:-1], ends[1:])]
+    return pa.array(rows, pa.binary())
+
+
+def _as_lists(stored: pa.Array) -> pa.ListArray:
+    """``_stored`` the other way round."""
+    rows = [np.frombuffer(x, "<u2").reshape(2, -1) for x in stored.to_pylist()]
+    ends = np.r_[0, np.cumsum([x.shape[1] for x in rows])].astype(np.int32)
+    both = np.concatenate(rows, axis=1) if rows else np.zeros((2, 0), "<u2")
+    ids = both[0].astype(np.int32) | (both[1].astype(np.int32) << 16)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+
+
 def sequences(docs: DataFrame, packing: Packing) -> DataFrame:
-    """(doc_id, piece, n_tokens, ids): documents as sequences of at most ``longest`` tokens; empty and null texts: one of length 0."""
+    """(doc_id, piece, n_tokens, ids as ``STORED``): documents as sequences of at most ``longest`` tokens; empty and null texts: one of length 0."""
     spark, longest = docs.sparkSession, packing.longest
     with open(public_tokenizers.path(packing.tokenizer), "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
@@ -73,9 +93,8 @@ def sequences(docs: DataFrame, packing: Packing) -> DataFrame:
 
             def flush():
                 who, piece = zip(*rows) if rows else ((), ())
-                n = np.diff(np.array(ends, np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
-                out = [pa.array(who, pa.int64()), pa.array(piece, pa.int64()), pa.array(n), lists]
+                limits = np.array(ends, np.int64)
+                out = [pa.array(who, pa.int64()), pa.array(piece, pa.int64()), pa.array(np.diff(limits)), _stored(np.array(flat, np.int64), limits)]
                 return pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "n_tokens", "ids"])
 
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -98,7 +117,7 @@ def sequences(docs: DataFrame, packing: Packing) -> DataFrame:
 
     common.small_batches(spark)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, piece long, n_tokens long, ids array<int>")
+    return chosen.mapInArrow(run, STORED)
 
 
 def _numbered(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
@@ -119,8 +138,19 @@ def _numbered(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], [*batch.schema.names, "_at"])
 
     chosen = rows.select("doc_id", "piece", "n_tokens", "ids", which.alias("_bucket"), F.spark_partition_id().alias("_part"))
-    schema = "doc_id long, piece long, n_tokens long, ids array<int>, _bucket int, _part int, _at long"
-    return common.cut(chosen.mapInArrow(run, schema), "sequences-numbered")
+    schema = f"{STORED}, _bucket int, _part int, _at long"
+    return common.cut(chosen.mapInArrow(run, schema), "sequences-numbered", "zstd")
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """``rows`` with their ids as lists; ids are the last column."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _as_lists(batch.column(batch.num_columns - 1))], batch.schema.names)
+
+    types = [f"{c} {t}" for c, t in rows.dtypes[:-1]]
+    return rows.mapInArrow(run, ", ".join([*types, "ids array<int>"]))
 
 
 def pack(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
@@ -133,7 +163,7 @@ def pack(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
     and parts go on from where those before them end. How tables are split when they are
     read again does not matter. What the driver and each task hold is a row for each part.
     """
-    rows = common.cut(sequences(docs, packing), "sequences")
+    rows = common.cut(sequences(docs, packing), "sequences", "zstd")
     counts = {r["n_tokens"]: r["count"] for r in rows.groupBy("n_tokens").count().collect()}  # at most longest + 1
     bounds = np.array(boundaries(counts, packing.buckets) or [0], np.int64)
     dealt = _numbered(rows, bounds)
@@ -149,9 +179,10 @@ def pack(docs: DataFrame, packing: Packing = Packing()) -> DataFrame:
     upper = F.array(*[F.lit(int(n)).cast("long") for n in bounds])
     at, fit = F.get("_starts", F.col("_bucket")) + F.col("_at"), F.get(fits, F.col("_bucket"))
     out = dealt.join(F.broadcast(table), "_part").withColumns({"_n": at, "_fit": fit, "bucket": F.get(upper, F.col("_bucket"))})
-    return out.select(
+    placed = out.select(
         "doc_id", "piece", "n_tokens", "bucket", F.floor(F.col("_n") / F.col("_fit")).cast("long").alias("batch"), F.pmod("_n", "_fit").alias("slot"), (F.col("bucket") - F.col("n_tokens")).alias("padding"), "ids"
     )
+    return _read(placed)
 
 
 def query(spark, sf_dir) -> DataFrame:
