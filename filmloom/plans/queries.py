@@ -747,6 +747,24 @@ def stream_verdicts(spark, d) -> DataFrame:
     return rows.groupBy("clip_id").agg(last.alias("v")).select("clip_id", "v.*")
 
 
+@query(_persistence_sql(IOU_SQL, 3))
+def stream_persistence(spark, d) -> DataFrame:
+    """Boxes arrive as a stream of files, a box without area at a later frame behind them."""
+    from .. import steps
+    from ..streaming import persistence
+    from ..streaming import verdicts as S
+
+    det = V.detections(spark, d)
+    sides = ["clip_id", "frame_idx", "det_id", "x0", "y0", "x1", "y1"]
+    kept = gates.geometry(det, V.WIDTH, V.HEIGHT, FULL).select(*[F.col(c).cast("long").alias(c) for c in sides])
+    end = det.agg(F.max("frame_idx").alias("top")).select(F.lit(-1).cast("long"), F.col("top") + 1000, *[F.lit(0).cast("long")] * 5)
+    ends = det.groupBy("clip_id").agg(F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"))
+    folder = steps.fresh(spark, "boxes")
+    kept.union(end).write.parquet(folder)
+    boxes = spark.readStream.schema(kept.schema).parquet(folder)
+    return S.drained(spark, persistence.stream_persistence(boxes, ends), "append")
+
+
 @query("""WITH f AS (SELECT user_id AS clip_id, event_id AS frame_idx, value AS v FROM events)
 SELECT clip_id, frame_idx, quantile_cont(v, 0.5) OVER (PARTITION BY clip_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM f""")
 def stream_medians(spark, d) -> DataFrame:
