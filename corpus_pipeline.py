@@ -24,7 +24,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard 0.8), that of the smallest doc_id."""
+    """One document of each group of near duplicates (five-word shingles, Jaccard 0.8), that of the smallest doc_id.
+
+    SimHash fingerprints by deletion variants first, then the pairs that are too far apart for them.
+    """
     return similar.one_of_each(docs)
 
 

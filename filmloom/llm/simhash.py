@@ -42,7 +42,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """SimHash of a text's word shingles; 0 if it has no word."""
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes; 0 if there are none."""
     n = len(hashes)
     if not n:
         return 0

@@ -1,11 +1,14 @@
-"""Near-dedup by the Jaccard similarity of word shingles.
-
-Fingerprints of 64 bits cannot propose pairs of similarity 0.8: about ten of
-their bits differ, sixteen and more in some, and segments short enough for
-that are shared by chance. Candidates come from bands of least hashes instead:
-two texts meet if in one of ``BANDS`` bands all ``ROWS`` least hashes agree,
-which a pair of similarity 0.8 misses with probability 6e-7 (0.9: 2e-14).
-Every candidate is verified on the whole sets of shingles.
+"""SimHash near-dedup by deletion-variant signatures, with a wanted Jaccard similarity of word shingles.
+
+Texts whose SimHash fingerprints differ in three bits at most are found by
+the variants of ``simhash`` and verified on the whole sets of shingles: what
+they link is done. That reaches down to a similarity of about 0.98. Pairs of
+0.8 differ in about ten bits, sixteen and more in some, and segments short
+enough for that are shared by chance. So the rest, texts that no fingerprint
+has linked yet, is looked for in bands of least hashes: two texts meet if in
+one of ``BANDS`` bands all ``ROWS`` least hashes agree, which a pair of
+similarity 0.8 misses with probability 6e-7 (0.9: 2e-14). These are verified
+alike.
 """
 
 from __future__ import annotations
@@ -49,22 +52,43 @@ def similar(common_size, size_a, size_b, least: float):
 
 
 def _prints(rows: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, _k1, _k2, fp, bands): fp is a hash of the whole set, 0 for no word."""
+    """(doc_id, _k1, _k2, fp, sim, bands): fp is a hash of the whole set, 0 for no word; sim the text's SimHash."""
     names = ["doc_id", "_k1", "_k2"]
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t, shingle) for t in batch.column(0).to_pylist()]
+            hashes = [simhash.shingle_hashes(t, shingle) for t in batch.column(0).to_pylist()]
+            sets = [np.unique(x) for x in hashes]
+            sims = np.array([simhash.majority(x) for x in hashes], np.uint64)
             fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), simhash.SEED) if len(s) else 0 for s in sets], np.uint64)
             keys = [bands(s) for s in sets]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
             held = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64)), held], [*names, "fp", "bands"])
+            made = [pa.array(fps.view(np.int64)), pa.array(sims.view(np.int64)), held]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*names, "fp", "sim", "bands"])
 
     common.small_batches(rows.sparkSession)
     chosen = rows.select(F.col("text").cast("string").alias("text"), *[F.col(c).cast("long").alias(c) for c in names])
-    return chosen.mapInArrow(run, "doc_id long, _k1 long, _k2 long, fp long, bands array<long>")
+    return chosen.mapInArrow(run, "doc_id long, _k1 long, _k2 long, fp long, sim long, bands array<long>")
+
+
+def by_fingerprint(classes: DataFrame, distance: int = simhash.DISTANCE) -> DataFrame:
+    """Pairs (a, b) of classes (fp, sim) that connect all whose SimHash differs in ``distance`` bits at most, b the smaller."""
+    named = classes.where("fp <> 0").select("sim", "fp")
+    heads = common.cut(named.groupBy("sim").agg(F.min("fp").alias("rep")), "simhash-classes")
+    near = simhash.links(heads.select(F.col("sim").alias("fp"), "rep"), distance)
+    common.small_batches(classes.sparkSession)  # links takes batches of numbers, what follows whole texts
+    same = named.join(heads, "sim").where("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
+    return common.cut(same.union(near).distinct(), "simhash-pairs")
+
+
+def _unlinked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are not in one component yet."""
+    for side in ("a", "b"):
+        of = common.with_size_checked_broadcast(labels.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), 24)
+        pairs = pairs.join(of, side, "left")
+    return pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
 def _sets(rows: DataFrame, prints: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -162,22 +186,27 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, least: float
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """``docs`` with one row, that of the smallest doc_id, of each group linked by a Jaccard similarity of ``least`` or more.
 
-    Texts without a word are one group. Of each bucket every text is verified
-    against the bucket's first, then those not linked by that against all
+    Texts without a word are one group. Pairs of close fingerprints are
+    verified first. Of each bucket every text not linked to the bucket's first
+    by these is verified against it, then those not linked by that against all
     others, so a bucket of near copies costs no more than its texts. Null
     texts have no word; repeated rows are copies; ties go to the smaller hash.
     An empty table gives an empty result.
     """
     rows = simhash.keyed(docs)
     prints = common.cut(_prints(rows, shingle), "similar")
-    classes = common.cut(prints.select("fp", "bands").dropDuplicates(["fp"]), "similar-classes")
+    classes = common.cut(prints.select("fp", "sim", "bands").dropDuplicates(["fp"]), "similar-classes")
+    close = by_fingerprint(classes)
     keys = classes.select(F.explode("bands").alias("key"), "fp")
     buckets = keys.groupBy("key").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
     buckets = common.with_size_checked_broadcast(common.cut(buckets, "similar-heads"), 24)
     members = common.cut(keys.join(buckets, "key"), "similar-members")
     pairs = common.cut(members.where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct(), "similar-pairs")
-    sets = _sets(rows, prints, members.select("fp").distinct(), shingle)
-    edges = common.cut(_verified(pairs, sets, least), "similar-links")
+    wanted = members.select("fp").union(close.select("a")).union(close.select("b")).distinct()
+    sets = _sets(rows, prints, wanted, shingle)
+    linked = common.cut(_verified(close, sets, least), "similar-links")
+    rest = common.cut(_unlinked(pairs, common.components(linked, "simhash-components")), "similar-rest")
+    edges = linked.union(common.cut(_verified(rest, sets, least), "similar-links"))
     labels = common.components(edges, "similar-components")
     more = common.cut(_across(members, labels, sets, least), "similar-links")
     if more.head(1):
