@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -420,6 +421,33 @@ def test_repeats_of_the_smallest_tables(spark, data, texts):
     assert got == brute_repeats([(i, r.text) for i, r in texts.items()], 400)
 
 
+def test_texts_without_repeats_are_not_shuffled(spark, monkeypatch):
+    """Where the lists are too large for a broadcast, only texts that may be in them are joined by a shuffle."""
+    passage = "".join(random.Random(1).choices("abcdefgh ", k=120))
+    own = ["".join(random.Random(k).choices("ijklmnopqrstuvwxyz ", k=200)) for k in range(200)]
+    docs = [(k, t + (passage if k in (3, 90) else "")) for k, t in enumerate(own)] + [(200, own[7]), (201, None), (202, "")]
+    df, r, met, parted = spark.createDataFrame(docs, "doc_id long, text string"), suffixes.Repeats(length=40, window=16), [], common.parted
+
+    def watched(rows, keys, h):
+        may, rest = parted(rows, keys, h)
+        met.append((may.count(), rest.count()))
+        return may, rest
+
+    monkeypatch.setattr(common, "fits", lambda *a, **k: False)
+    monkeypatch.setattr(common, "parted", watched)
+    assert as_counter(suffixes.cleaned(df, r)) == brute_repeats(docs, 40)
+    assert met == [(2, 199), (4, 199)]
+
+
+def test_ranks_of_earlier_rounds_are_dropped(spark, monkeypatch):
+    docs = [(k, "ab" * 300 + "c" * k) for k in range(4)]
+    df, r, made, cut = spark.createDataFrame(docs, "doc_id long, text string"), suffixes.Repeats(length=40, window=16), [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df, label="step", compression=None: made.append((label, cut(df, label, compression))) or made[-1][1])
+    assert as_counter(suffixes.cleaned(df, r)) == brute_repeats(docs, 40)
+    ranks = [x.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://") for label, x in made if label == "sampled-ranks"]
+    assert len(ranks) > 1 and not any(map(os.path.exists, ranks))
+
+
 def test_repeats_of_odd_documents(spark, odd_documents, no_documents):
     rows = [(r.doc_id, r.text) for r in odd_documents.collect()]
     assert as_counter(suffixes.cleaned(odd_documents)) == brute_repeats(rows, 400)
