@@ -58,7 +58,7 @@ class Jaccard:
 
 SEED = 42
 #: Frequent shingles known to all tasks: so many at most, counted in chunks of so many shingles.
-FREQUENT, CHUNK = 1 << 18, 1 << 21
+FREQUENT, CHUNK = 1 << 18, 1 << 20
 #: A block holds sets of so many shingles together, small sets counting as ``LIGHT``.
 LOAD, LIGHT = 1 << 20, 1 << 11
 #: Children of a node among blocks (a power of two) and in a task; nodes of a level that are paired at once.
@@ -66,11 +66,11 @@ FAN_BITS, FAN, AT_ONCE = 4, 8, 64
 #: 64-bit words of a block's bitmap.
 WORDS = 32
 #: Entries that a task deals out at once; of a bucket, about so many are compared in a task.
-ENTRIES, BUCKET = 1 << 20, 1 << 22
+ENTRIES, BUCKET = 1 << 18, 1 << 21
 #: A side of a join is broadcast up to so many bytes in memory, by its counted rows: what it meets are texts or many shingles.
 BROADCAST = 16 << 20
-#: Bytes of a text that are split at once.
-PIECE = 1 << 22
+#: Bytes of a text that are split at once, and of a batch; words whose hashes a task knows.
+PIECE, BATCH, WORDS_KNOWN = 1 << 22, 1 << 22, 1 << 17
 
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,7 +81,7 @@ class Words(dict):
     """Hashes of words, so many at most."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= WORDS_KNOWN:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, SEED)
         return h
@@ -158,7 +158,7 @@ def frequent(docs: DataFrame, how: Jaccard) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield told()
 
-    common.small_batches(docs.sparkSession)
+    common.small_batches(docs.sparkSession, size=BATCH)
     counted = docs.select(_raw(docs)).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = counted.orderBy(F.col("n").desc(), "token").limit(FREQUENT).toArrow()
     tokens = found.column("token").to_numpy().astype(np.int64).view(np.uint64)
@@ -193,7 +193,7 @@ def _prints(rows: DataFrame, known, how: Jaccard) -> DataFrame:
             held = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), held], [*names, "fp", "n", "firsts"])
 
-    common.small_batches(rows.sparkSession)
+    common.small_batches(rows.sparkSession, size=BATCH)
     chosen = rows.select(_raw(rows), *[F.col(c).cast("long").alias(c) for c in names])
     return chosen.mapInArrow(run, "doc_id long, _k1 long, _k2 long, fp long, n long, firsts array<long>")
 
@@ -271,7 +271,7 @@ def _shared(prints: DataFrame, known: tuple[np.ndarray, np.ndarray], how: Jaccar
         if parts:
             yield several(parts)
 
-    common.small_batches(spark, 2048)
+    common.small_batches(spark, 2048, BATCH)
     dealt = rows.mapInArrow(deal, "bucket int, tokens binary, fps binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(met, "token long, fp long").unionByName(rows.mapInArrow(often, "token long, fp long"))
     found = common.cut(found, "jaccard-keys")
@@ -307,7 +307,8 @@ def _blocks(keys: DataFrame, how: Jaccard) -> DataFrame:
     for part, n in sorted(map(tuple, sizes)):
         starts.append((part, offset))
         offset += n
-    starts = keys.sparkSession.createDataFrame(starts, "part int, start long")
+    # an Arrow table: rows of Python objects would have each executor start further Python workers for them, which stay
+    starts = keys.sparkSession.createDataFrame(pa.table(list(zip(*starts)) or [[], []], pa.schema([("part", pa.int32()), ("start", pa.int64())])))
     return common.cut(placed.join(F.broadcast(starts), "part").select("fp", "n", (F.col("start") + F.col("at")).alias("block")), "jaccard-blocks")
 
 
@@ -325,7 +326,7 @@ def _leaves(rows: DataFrame, prints: DataFrame, placed: DataFrame, how: Jaccard)
             maps = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * WORDS), pa.array(np.concatenate([bitmap(t, WORDS) for t in sets]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([t.tobytes() for t in sets], pa.binary()), maps], ["block", "fp", "n", "items", "bits"])
 
-    common.small_batches(rows.sparkSession)
+    common.small_batches(rows.sparkSession, size=BATCH)
     sets = common.cut(texts.select("block", "fp", "n", "text").mapInArrow(run, "block long, fp long, n long, items binary, bits array<long>"), "jaccard-sets")
     if sets.count() > one.count():  # the same row several times
         sets = common.cut(sets.dropDuplicates(["fp"]), "jaccard-sets")
@@ -506,7 +507,7 @@ def _trees(met: DataFrame, how: Jaccard) -> DataFrame:
         a, b = zip(*edges) if edges else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    common.small_batches(met.sparkSession)
+    common.small_batches(met.sparkSession, size=BATCH)
     return common.cut(dealt.mapInArrow(run, "a long, b long"), "jaccard-links")
 
 

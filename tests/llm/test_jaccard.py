@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from filmloom.llm import jaccard
@@ -140,3 +142,31 @@ def test_first_shingles_of_similar_sets_meet():
         b = np.unique(np.r_[rng.choice(a, n - out, replace=False), rng.choice(pool, out)])
         if HOW.similar(len(np.intersect1d(a, b)), len(a), len(b)):
             assert len(np.intersect1d(jaccard.first_shingles(a, known, HOW), jaccard.first_shingles(b, known, HOW)))
+
+
+def test_workers_hold_little(spark, monkeypatch):
+    """Words known and bytes of a batch are bounded, whatever the texts; before, only rows of a batch were."""
+    monkeypatch.setattr(jaccard, "WORDS_KNOWN", 10)
+    words = jaccard.Words()
+    assert all(words[b"%d" % (k % 25)] == xxhash.xxh64_intdigest(b"%d" % (k % 25), jaccard.SEED) and len(words) <= 10 for k in range(500))
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        assert jaccard.linked(frame(spark, [(1, "a b c d e f"), (2, "a b c d e f")])).count() == 2
+        texts = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 200_000).alias("text"))
+        assert max(r.n for r in texts.mapInArrow(held, "n long").collect()) <= 1.2 * jaccard.BATCH
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", old)
+
+
+def test_blocks_start_no_python_workers_of_their_own(spark, monkeypatch):
+    """Rows of Python objects are an RDD of Python, for which each executor starts further workers; Arrow tables are not."""
+    made, create = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: made.append(data) or create(self, data, *a, **b))
+    keys = create(spark, [(1, 10, 50), (1, 11, 50), (2, 12, 400)], "token long, fp long, n long")
+    assert {r.fp for r in jaccard._blocks(keys, HOW).collect()} == {10, 11, 12}
+    assert made and all(isinstance(x, pa.Table) for x in made)
