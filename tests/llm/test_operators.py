@@ -386,6 +386,42 @@ def test_repeats_at_the_ends_of_texts(spark, seed):
     assert as_counter(suffixes.cleaned(df, suffixes.Repeats(length=40, window=16))) == brute_repeats(docs, 40)
 
 
+@pytest.fixture
+def small_parts(spark, monkeypatch):
+    """Batches of three rows and many tasks, so that most neighbours in an order lie in two of either."""
+    monkeypatch.setattr(common, "small_batches", lambda spark, *a, **k: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3"))
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "9", "spark.sql.execution.arrow.maxRecordsPerBatch": "3"}
+    old = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_all_neighbours_in_an_order_are_compared(spark, small_parts):
+    rng = random.Random(11)
+    rows = sorted({(rng.randrange(4), rng.randrange(1, 5), rng.randrange(1, 30)) for _ in range(150)})
+    common_to = lambda x, y: next((k for k in range(3) if x[k] != y[k]), 3)
+    right = {x: max(common_to(x, y) for y in rows if y != x) for x in rows}
+
+    def compare(columns, n, before):
+        return [np.arange(len(n)) + before, suffixes._with_next(suffixes._in_common(*columns), np.where(n > 1, 3, 0))]
+
+    df = spark.createDataFrame([(*x, 1) for x in rows], "sym long, c1 long, c2 long, n long")
+    found = suffixes._by_order(df, ["sym", "c1", "c2"], ["sym", "c1", "c2"], "name, lcp", compare, "lcp").collect()
+    assert {(r.sym, r.c1, r.c2): r.lcp for r in found} == right
+    assert [(r.sym, r.c1, r.c2) for r in sorted(found, key=lambda r: r.name)] == rows
+    assert len({r.name for r in found}) == len(rows) and len({r.name >> 40 for r in found}) > 1
+
+
+@pytest.mark.parametrize("seed", [12, 13])
+def test_repeats_whose_neighbours_lie_in_other_batches_and_tasks(spark, small_parts, seed):
+    docs = repetitive(seed)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert as_counter(suffixes.cleaned(df, suffixes.Repeats(length=40, window=16))) == brute_repeats(docs, 40)
+
+
 def test_the_order_of_suffixes_decides(spark, monkeypatch):
     docs = repetitive(5)
     df, r = spark.createDataFrame(docs, "doc_id long, text string"), suffixes.Repeats(length=40, window=16)
