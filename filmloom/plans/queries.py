@@ -747,22 +747,34 @@ def stream_verdicts(spark, d) -> DataFrame:
     return rows.groupBy("clip_id").agg(last.alias("v")).select("clip_id", "v.*")
 
 
+#: Boxes for each core that a stream may hold in its state at once.
+STREAM_BOXES = 2_000_000
+
+
 @query(_persistence_sql(IOU_SQL, 3))
 def stream_persistence(spark, d) -> DataFrame:
-    """Boxes arrive as a stream of files, a box without area at a later frame behind them."""
+    """Boxes arrive as streams of files, one after another, each with some of the clips and a box without area at a later frame behind them."""
+    from functools import reduce
+
     from .. import steps
     from ..streaming import persistence
     from ..streaming import verdicts as S
 
     det = V.detections(spark, d)
+    parts = -(-max(1, det.count()) // (STREAM_BOXES * spark.sparkContext.defaultParallelism))
+    part = F.pmod(F.xxhash64("clip_id"), F.lit(parts)).alias("part")
     sides = ["clip_id", "frame_idx", "det_id", "x0", "y0", "x1", "y1"]
     kept = gates.geometry(det, V.WIDTH, V.HEIGHT, FULL).select(*[F.col(c).cast("long").alias(c) for c in sides])
-    end = det.agg(F.max("frame_idx").alias("top")).select(F.lit(-1).cast("long"), F.col("top") + 1000, *[F.lit(0).cast("long")] * 5)
-    ends = det.groupBy("clip_id").agg(F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"))
+    ends = steps.cut(det.groupBy("clip_id").agg(F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last")), "ends")
+    later = ends.agg(F.coalesce(F.max("last"), F.lit(0)) + 1000).first()[0]
+    end = spark.range(parts).select(F.lit(-1).cast("long"), F.lit(later).cast("long"), *[F.lit(0).cast("long")] * 5, "id")
     folder = steps.fresh(spark, "boxes")
-    kept.union(end).write.parquet(folder)
-    boxes = spark.readStream.schema(kept.schema).parquet(folder)
-    return S.drained(spark, persistence.stream_persistence(boxes, ends), "append")
+    kept.select("*", part).union(end).write.partitionBy("part").parquet(folder)
+    found = []
+    for k in range(parts):
+        boxes = spark.readStream.schema(kept.schema).parquet(f"{folder}/part={k}")
+        found.append(S.drained(spark, persistence.stream_persistence(boxes, ends.where(part == k)), "append"))
+    return reduce(DataFrame.union, found)
 
 
 @query("""WITH f AS (SELECT user_id AS clip_id, event_id AS frame_idx, value AS v FROM events)
