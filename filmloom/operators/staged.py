@@ -40,12 +40,20 @@ class Eyes:
 
 
 def triage(listing: DataFrame, eyes: Eyes, config: Config = Config(), pairs: DataFrame | None = None, copies: DataFrame | None = None, sweep: bool = True, radius: int | None = None) -> DataFrame:
-    """``scan.triage`` of clips from a listing of their frames (clip_id, frame_idx and what the eyes need); ``radius`` is the options' halo if not given."""
+    """``scan.triage`` of clips from a listing of their frames (clip_id, frame_idx and what the eyes need); ``radius`` is the options' halo if not given.
+
+    The report is a table of files, so that its joins run by real sizes as the waves' do.
+    """
+    with steps.joined_by_real_size(listing.sparkSession):
+        return steps.cut(_triage(listing, eyes, config, pairs, copies, sweep, radius), "report")
+
+
+def _triage(listing: DataFrame, eyes: Eyes, config: Config, pairs: DataFrame | None, copies: DataFrame | None, sweep: bool, radius: int | None) -> DataFrame:
     plan, radius = config.scan, config.halo if radius is None else radius
     listing = steps.cut(listing, "listing")
     clips = steps.cut(listing.groupBy("clip_id").agg((F.max("frame_idx") + 1).alias("total_frames")), "clips")
     worth = steps.cut(scan.worth_sweeping(clips, config.sweep if sweep else None, plan, radius), "swept-clips")
-    wanted = scan.planned(listing.join(worth, "clip_id", "left_semi"), windows.sweep_plan(clips, config.sweep))
+    wanted = scan.planned(listing.join(steps.few(worth), "clip_id", "left_semi"), windows.sweep_plan(clips, config.sweep))
     swept = steps.cut(eyes.glance(wanted), "swept")
     close = windows.confirm_plan(scan.swept_hits(swept, config.sweep), clips, plan.window_len, radius)
     blind = windows.window_plan(clips, plan.windows, plan.window_len, radius, plan.exhaustive).join(worth, "clip_id", "left_anti")
@@ -89,7 +97,7 @@ def _read(listing: DataFrame, seen: DataFrame, eyes: Eyes, config: Config) -> Da
             said = scan.legible_words(read, config.reading).where("legible").select("clip_id")
             now = now.join(said, "clip_id", "left_anti")
         now = steps.cut(now, "evidence")
-        frames = listing.join(now, ["clip_id", "frame_idx"])
+        frames = listing.join(steps.few(now), ["clip_id", "frame_idx"])
         words = eyes.read(frames).join(now.select("clip_id", "frame_idx", "rank"), ["clip_id", "frame_idx"])
         found = steps.cut(words.select("clip_id", "frame_idx", "rank", "pos", "word", "confidence"), "words")
         read = found if read is None else read.unionByName(found)

@@ -846,13 +846,20 @@ FROM c LEFT JOIN looked USING (clip_id) LEFT JOIN v USING (clip_id) LEFT JOIN t
 @query(TRIAGE_SQL)
 def triage_report(spark, d) -> DataFrame:
     """Verdicts of clips read in waves: sweep, windows one after another, strongest frames one after another."""
+    from .. import steps
     from ..config import Config
     from ..operators import staged
 
     frames = V.frames(spark, d)
     words = V.words(spark, d).select(F.pmod("doc_id", F.lit(150)).alias("clip_id"), F.floor(F.col("pos") / 4).alias("frame_idx"), "pos", "word", "confidence")
     look = staged.from_table(frames.drop("window_id"))
-    read = lambda wanted: wanted.select("clip_id", "frame_idx").join(words, ["clip_id", "frame_idx"])
+    spoken = V.read(spark, d, "documents", "doc_id").select(F.pmod("doc_id", F.lit(150)).alias("clip_id")).distinct()
+
+    def read(wanted: DataFrame) -> DataFrame:
+        """Words of the wanted frames; these are cut down to clips that have words, so that mostly no word is shuffled."""
+        asked = steps.cut(wanted.select("clip_id", "frame_idx").join(spoken, "clip_id", "left_semi"), "asked")
+        return words.join(steps.few(asked), ["clip_id", "frame_idx"])
+
     out = staged.triage(frames.select("clip_id", "frame_idx"), staged.Eyes(look, look, read), Config(), radius=10)
     out = out.select("clip_id", "verdict", "stage", "total_frames", "swept_frames", "sweep_hits", "frames_scanned", "text_frames", "longest_run", "peak_coverage", "hits", "words")
     out = out.fillna(0, ["swept_frames", "sweep_hits", "frames_scanned", "text_frames", "longest_run", "peak_coverage"])

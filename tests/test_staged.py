@@ -248,3 +248,36 @@ def test_reading_options_hold_in_waves(spark):
     strict = staged.triage(frames.select("clip_id", "frame_idx"), staged.Eyes(look, look, words), SCAN)
     loose = staged.triage(frames.select("clip_id", "frame_idx"), staged.Eyes(look, look, words), replace(SCAN, reading=Reading(require=False)))
     assert "rejected" in {r.verdict for r in strict.collect()} and "rejected" not in {r.verdict for r in loose.collect()}
+
+
+def test_no_table_is_broadcast_for_the_size_of_its_files(spark, monkeypatch):
+    from filmloom import steps
+
+    monkeypatch.setattr(steps, "BROADCAST_BYTES", 0, raising=False)
+    frames, plans = table(spark, clips=6), []
+
+    def look(wanted):
+        out = staged.from_table(frames)(wanted)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    threshold, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "64m")  # all of these tables' files are smaller
+    try:
+        report = staged.triage(frames.select("clip_id", "frame_idx"), staged.Eyes(look, look), SCAN)
+        assert {spark.conf.get(threshold), spark.conf.get(measured, None)} == {"64m", None}
+        assert len(plans) >= 2 and not any("Broadcast" in p for p in plans)
+        assert report.count() == 6 and "Join" not in report._jdf.queryExecution().executedPlan().toString()
+        with pytest.raises(ZeroDivisionError), steps.joined_by_real_size(spark):
+            1 / 0
+        assert spark.conf.get(threshold) == "64m"
+    finally:
+        spark.conf.unset(threshold)
+
+
+def test_tables_between_steps_are_marked_for_broadcast_by_their_count(spark):
+    from filmloom import steps
+
+    rows = spark.range(3).withColumn("n", F.lit(1)).withColumnRenamed("id", "clip_id")
+    marked = [steps.few(steps.cut(x))._jdf.queryExecution().analyzed().toString() for x in (rows, spark.range(100_000).withColumnRenamed("id", "clip_id"))]
+    assert "broadcast" in marked[0] and "broadcast" not in marked[1]
